@@ -23,7 +23,7 @@ BASES = (1103515245, 1664525003)
 CHUNK = 1 << 16
 #: Members of a group that one copy of the group's lead is compared with.
 PER_LEAD = 256
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 _TABLES: dict = {}
 
 

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from inkwell.llm.common import read
+from inkwell.llm.decontam import decontamination_report
 from inkwell.llm.exact_dedup import exact_dedup
+from inkwell.llm.langid import identify_languages
+from inkwell.llm.lm import score_texts
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.sharding import shard_by_bytes
 
 
+def op1_decontamination(spark, sf_dir):
+    report = decontamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op3_sharding(spark, sf_dir):
     return shard_by_bytes(read(spark, sf_dir, "documents"))
 
@@ -20,13 +28,43 @@ def op8_mixing(spark, sf_dir):
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark, sf_dir):
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark, sf_dir):
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
+#: Words of a text as the contract of op1 takes them; RE2 reads the class by code point.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(13, len(w)) AS n
+              FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g
+                FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+        dg AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+        hit AS (SELECT doc_id, i, n, item FROM dg JOIN win USING (n, g)),
+        pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+                FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id,
