@@ -8,6 +8,7 @@ from inkwell.llm.exact_dedup import exact_dedup
 from inkwell.llm.langid import identify_languages
 from inkwell.llm.lm import score_texts
 from inkwell.llm.mixing import mix_sources
+from inkwell.llm.quality import quality_scores
 from inkwell.llm.sharding import shard_by_bytes
 
 
@@ -24,6 +25,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark, sf_dir):
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
