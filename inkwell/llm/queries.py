@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell.llm import license as licenses
 from inkwell.llm.common import read
 from inkwell.llm.decontam import decontamination_report
 from inkwell.llm.exact_dedup import exact_dedup
@@ -10,6 +11,7 @@ from inkwell.llm.lm import score_texts
 from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_scores
 from inkwell.llm.sharding import shard_by_bytes
+from inkwell.llm.substring import repeated_passages
 
 
 def op1_decontamination(spark, sf_dir):
@@ -29,6 +31,14 @@ def op5_quality(spark, sf_dir):
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,6 +56,8 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
@@ -79,4 +91,5 @@ ORACLE = {
                doc_id = min(doc_id) OVER w AS kept,
                sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op7_license_scan": licenses.oracle(),
 }
