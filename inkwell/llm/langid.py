@@ -15,7 +15,7 @@ from inkwell.llm.common import _LOWER, column_of, fold_of, text_blocks
 
 FEATURES = 1 << 13
 #: Training rows of a language at most (about; chosen by hash over all rows that may train).
-ROWS_PER_LANGUAGE = 1200
+ROWS_PER_LANGUAGE = 700
 #: Longer texts train nothing (they are scored like all others).
 TRAIN_BYTES = 1 << 16
 
