@@ -1,7 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""From raw documents to shards: what to keep, in which amounts, and where.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written and read again
+as the next one's ``docs``.
+"""
+
+from __future__ import annotations
+
+from inkwell.llm.common import materialise, read
+from inkwell.llm.decontam import drop_contaminated
+from inkwell.llm.jaccard import keep_one_of_each
+from inkwell.llm.mixing import taken_texts
+from inkwell.llm.quality import keep_good
+from inkwell.llm.sharding import shard_by_bytes
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the classifier accepts."""
+    return keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each class of near duplicates, the one of the smallest id."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that benchmark passages do not contaminate."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark, docs, sf_dir):
+    """The texts of the mixture: repeated, whole or in part as the quotas say."""
+    return taken_texts(docs)
+
+
+def sharding(spark, docs, sf_dir):
+    """A shard of near equal bytes and a slot for each text of the mixture."""
+    return shard_by_bytes(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixing),
+    ("sharding", sharding),
+]
+
+#: The classifier and the differencing are beyond SQL; tests state the stages by hand.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The stages' result over ``documents``, each stage's written to the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, f"stage{k}")
+    return docs

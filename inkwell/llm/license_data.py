@@ -61,6 +61,7 @@ SPELLINGS = [
     ("licence", "license"),
     ("licenced", "licensed"),
     ("sublicence", "sublicense"),
+    ("sub licence", "sublicense"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
     ("non commercial", "noncommercial"),

@@ -6,6 +6,7 @@ from inkwell.llm import license as licenses
 from inkwell.llm.common import read
 from inkwell.llm.decontam import decontamination_report
 from inkwell.llm.exact_dedup import exact_dedup
+from inkwell.llm.jaccard import near_duplicates
 from inkwell.llm.langid import identify_languages
 from inkwell.llm.lm import score_texts
 from inkwell.llm.mixing import mix_sources
@@ -19,6 +20,10 @@ def op1_decontamination(spark, sf_dir):
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return shard_by_bytes(read(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_lm_scoring(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality": op5_quality,
