@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RULE_LINE = r"(?U)^\s*[_\-=]{4,}\s*$"
 CONTROL_START = r"^[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -63,7 +63,7 @@ def replace_all(c: Column, steps) -> Column:
 
 def lookalikes(c: Column) -> Column:
     """Curly quotes, dashes, ellipsis, no-break space; soft hyphens go."""
-    c = F.translate(c, "‘’“”– ­", "''\"\"- ")
+    c = F.translate(c, "\u2018\u2019\u201c\u201d\u2013\u00a0\u00ad", "''\"\"- ")
     return F.replace(F.replace(c, F.lit("—"), F.lit("--")), F.lit("…"), F.lit("..."))
 
 
