@@ -17,12 +17,12 @@ from pyspark.sql.window import Window
 from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, sized, text_blocks
 
 #: Bytes of a chunk: the least, the mean of what follows, the most.
-LEAST, MEAN, MOST = 8, 24, 256
+LEAST, MEAN, MOST = 8, 32, 256
 MIN_WORDS = 50
 #: Bytes on either side of a run that are compared; a boundary inside a passage is nearer its edge.
-CONTEXT = 320
+CONTEXT = 192
 #: Shorter runs cannot grow to a passage of 50 words of usual length.
-LEAST_RUN = 40
+LEAST_RUN = 64
 BROADCAST_ROWS = 100_000
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, np.bool_)
@@ -60,36 +60,32 @@ def cuts(h: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST)
     return [*out, size] if size else []
 
 
-def chunk_pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and digests of all pairs of neighbouring chunks of a text."""
+def chunk_pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and digests of all pairs of neighbouring chunks of a text; a place is the start, and in
+    ten bits each the two lengths."""
     ends = np.array(cuts(gear_hashes(data)), np.int64)
     if len(ends) < 2:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts = np.concatenate([[0], ends[:-1]])
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
     digest = lambda a, b: (sums[b] - sums[a]) * down[a]
     pair = mix64(digest(starts[:-1], ends[1:])) ^ mix64(digest(starts[:-1], ends[:-1]) + (ends[1:] - starts[:-1]).astype(np.uint64))
-    return starts[:-1], ends[1:], pair
+    return starts[:-1] << 20 | (ends - starts)[:-1] << 10 | (ends - starts)[1:], pair
 
 
 def _pairs(batches):
     for batch in batches:
         keys = column_of(batch, "_key").to_numpy()
         for lo, hi, buf, offs in text_blocks(column_of(batch, "_text")):
-            key, number, start, end, digest = [], [], [], [], []
+            key, place, digest = [], [], []
             for r in range(hi - lo):
-                s, e, d = chunk_pairs(buf[offs[r] : offs[r + 1]])
-                key.append(np.full(len(s), keys[lo + r]))
-                number.append(np.arange(len(s)))
-                start.append(s)
-                end.append(e)
+                at, d = chunk_pairs(buf[offs[r] : offs[r + 1]])
+                key.append(np.full(len(at), keys[lo + r]))
+                place.append(at)
                 digest.append(d.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(key).astype(np.int64)), *(pa.array(np.concatenate(v).astype(np.int32)) for v in (number, start, end)), pa.array(np.concatenate(digest))],
-                names=["_key", "_no", "_start", "_end", "_digest"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (key, place, digest)], names=["_key", "_at", "_digest"])
 
 
 def _contexts(id_type: str):
@@ -178,15 +174,20 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
-    pairs = materialise(rows.select("_key", "_text").mapInArrow(_pairs, "_key long, _no int, _start int, _end int, _digest long"), "pairs")
+    pairs = materialise(rows.select("_key", "_text").mapInArrow(_pairs, "_key long, _at long, _digest long"), "pairs")
     repeated = pairs.groupBy("_digest").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b")
-    hits = pairs.join(repeated, "_digest").repartition("_key").dropDuplicates(["_key", "_no"])
+    hits = pairs.join(repeated, "_digest").repartition("_key").dropDuplicates(["_key", "_at"])
     hits = hits.withColumn("_later", F.col("_key") != F.col("a")).withColumn("_partner", F.when(F.col("_later"), F.col("a")).otherwise(F.col("b"))).drop("a", "b")
-    number = lambda *by: (F.col("_no") - F.row_number().over(Window.partitionBy("_key", *by).orderBy("_no"))).cast("long")
-    hits = materialise(hits.withColumn("_run", number()).withColumn("_sub", number("_later")), "hits")
+    hits = hits.withColumn("_start", F.shiftright("_at", 20)).withColumn("_middle", F.col("_start") + F.shiftright("_at", 10).bitwiseAND(F.lit(1023))).withColumn("_end", F.col("_middle") + F.col("_at").bitwiseAND(F.lit(1023)))
+    in_text = Window.partitionBy("_key").orderBy("_start")
+    apart = F.coalesce(F.lag("_middle").over(in_text) != F.col("_start"), F.lit(True))
+    turns = apart | (F.lag("_later").over(in_text) != F.col("_later"))
+    hits = hits.withColumn("_apart", apart.cast("long")).withColumn("_turn", turns.cast("long"))
+    hits = hits.withColumn("_run", F.sum("_apart").over(in_text)).withColumn("_sub", F.sum("_turn").over(in_text))
+    hits = materialise(hits.select("_key", "_digest", "_start", "_end", "_later", "_partner", "_run", "_sub"), "hits")
     stretches = hits.groupBy("_key", "_run", "_later", "_sub").agg(F.min("_start").alias("s"), F.max("_end").alias("e"))
 
-    end = lambda pick: pick(F.struct("_digest", "_partner"), F.col("_no"))
+    end = lambda pick: pick(F.struct("_digest", "_partner"), F.col("_start"))
     runs = hits.groupBy("_key", "_run").agg(F.min("_start").alias("s"), F.max("_end").alias("e"), end(F.min_by).alias("x"), end(F.max_by).alias("y"))
     runs = runs.where(F.col("e") - F.col("s") >= LEAST_RUN)
     runs = runs.select("_key", F.lit(0).cast("long").alias("kind"), F.col("_run").alias("run"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("x._digest").alias("d1"), F.col("y._digest").alias("d2"), F.col("x._partner").alias("p1"), F.col("y._partner").alias("p2"))
@@ -199,13 +200,13 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
     jobs = materialise(jobs, "jobs")
     texts = rows.join(sized(jobs, jobs.count(), BROADCAST_ROWS), F.col("_key") == F.col("_k")).drop("_k")
     run, schema = _contexts(id_type)
-    found = materialise(texts.mapInArrow(run, schema).dropDuplicates(["_key", "kind", "run", "d1"]), "contexts")
-    others = found.where("kind = 1")
+    found = materialise(texts.mapInArrow(run, schema), "contexts")
+    others = found.where("kind = 1").select("_key", "_id", "d1", "d2", "before", "after").dropDuplicates(["_key", "d1"])
     own = found.where("kind = 0")
     own = own.join(others.select(F.col("_key").alias("p1"), "d1", F.col("before").alias("other_before"), F.col("_id").alias("other_id")), ["p1", "d1"], "left")
     own = own.join(others.select(F.col("_key").alias("p2"), "d2", F.col("after").alias("other_after")), ["p2", "d2"], "left")
     run, schema = _extend(id_type, min_words)
-    return own.mapInArrow(run, schema), stretches
+    return own.mapInArrow(run, schema).distinct(), stretches  # repeated rows are one document
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
