@@ -45,7 +45,7 @@ ABBREVIATIONS = [
 #: Messages of the cleaner.
 BLANK = "Empty or blank text — no content extracted"
 SHORT = "Very little text extracted — page may be blank or image-only"
-NOISY = "Low alpha ratio (%.0f%%) — output may contain OCR noise"
+NOISY = "Low alpha ratio (%d%%) — output may contain OCR noise"
 UPPER = "Text is mostly uppercase — may be a stylistic choice or OCR issue"
 
 
@@ -126,7 +126,7 @@ def clean_warnings(raw: Column, cleaned: Column) -> Column:
     ratio = alpha_ratio(cleaned)
     found = [
         F.when(F.length(cleaned) < 50, SHORT),
-        F.when(ratio < 0.4, F.format_string(NOISY, ratio * 100)),
+        F.when(ratio < 0.4, F.format_string(NOISY, F.bround(ratio * 100).cast("int"))),
         F.when((upper_ratio(cleaned) > 0.85) & (F.length(cleaned) > 100), UPPER),
     ]
     return F.when(is_blank(raw), F.array(F.lit(BLANK))).otherwise(F.array_compact(F.array(*found)))

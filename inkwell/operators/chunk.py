@@ -128,25 +128,28 @@ def table_blocks(tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
     t = t.withColumns({"head": F.concat_ws("\n", F.format_string("Table block on page %d", "page_number"), F.format_string("Table %d", F.col("table_index") + 1), F.concat(F.lit("Columns: "), F.array_join(F.element_at("rows", 1), " | "))), "n_columns": F.size(F.element_at("rows", 1))})
     alone = F.size("rows") == 1
     body = F.when(alone, F.col("rows")).otherwise(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))))
-    body = F.transform(body, lambda r, i: F.struct((i + 2).alias("no"), F.array_join(r, " | ").alias("cells")))
-    line = lambda no, cells: F.concat(F.lit("Row "), no.cast("string"), F.lit(": "), cells)
-    state = "struct<done:array<struct<start:int,lines:array<string>>>,start:int,lines:array<string>,len:int>"
-    initial = F.struct(F.array().cast("array<struct<start:int,lines:array<string>>>").alias("done"), F.lit(1).alias("start"), F.array().cast("array<string>").alias("lines"), F.length("head").alias("len")).cast(state)
+    t = t.withColumn("cells", F.transform(body, lambda r: F.array_join(r, " | ")))
+    # The fold keeps where blocks begin, and of the open one its label, rows and characters.
+    state = "struct<begins:array<int>,label:int,n:int,len:int>"
+    initial = F.expr(f"CAST(NULL AS {state})")
+    sizes = F.transform("cells", lambda c, i: F.struct(i.alias("i"), F.length(c).alias("len")))
+    width = lambda no, size: 7 + F.length(no.cast("string")) + size  # noqa: E731  a line break, the label and the cells
 
     def step(a, x):
-        n = F.size(a["lines"])
-        nxt = line(a["start"] + n, x["cells"])
-        grown = a["len"] + 1 + F.length(nxt)
-        full = (n > 0) & ((n + 1 > config.table_rows) | (grown > config.chunk_chars))
-        fresh = line(x["no"], x["cells"])
-        return F.when(
-            full,
-            F.struct(F.array_append(a["done"], F.struct(a["start"].alias("start"), a["lines"].alias("lines"))).alias("done"), x["no"].alias("start"), F.array(fresh).alias("lines"), (F.length("head") + 1 + F.length(fresh)).alias("len")).cast(state),
-        ).otherwise(F.struct(a["done"].alias("done"), a["start"].alias("start"), F.array_append(a["lines"], nxt).alias("lines"), grown.alias("len")).cast(state))
-
-    last = lambda a: F.array_append(a["done"], F.struct(a["start"].alias("start"), a["lines"].alias("lines")))
-    t = t.withColumn("blocks", F.aggregate(body, initial, step, last))
-    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", F.posexplode("blocks").alias("block", "b"))
+        grown = a["len"] + width(a["label"] + a["n"], x["len"])
+        full = a.isNull() | (a["n"] + 1 > config.table_rows) | (grown > config.chunk_chars)
+        label = F.when(a.isNull(), 1).otherwise(x["i"] + 2)
+        fresh = F.struct(F.concat(F.coalesce(a["begins"], F.array().cast("array<int>")), F.array(x["i"])).alias("begins"), label.alias("label"), F.lit(1).alias("n"), (F.length("head") + width(label, x["len"])).alias("len"))
+        more = F.struct(a["begins"].alias("begins"), a["label"].alias("label"), (a["n"] + 1).alias("n"), grown.alias("len"))
+        return F.when(full, fresh).otherwise(more)
+
+    t = t.withColumn("begins", F.aggregate(sizes, initial, step)["begins"])
+    # The generator stands between the fold and its uses, so that it runs once a table.
+    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", "cells", "begins", F.posexplode("begins").alias("block", "at"))
+    upto = F.coalesce(F.try_element_at("begins", (F.col("block") + 2).cast("int")), F.size("cells"))
+    label = F.when(F.col("block") == 0, 1).otherwise(F.col("at") + 2)
+    t = t.withColumns({"label": label, "own": F.slice("cells", F.col("at") + 1, upto - F.col("at"))})
+    t = t.withColumn("b", F.struct(F.col("label").alias("start"), F.transform("own", lambda c, k: F.concat(F.lit("Row "), (F.col("label") + k).cast("string"), F.lit(": "), c)).alias("lines")))
     return t.select(
         "doc_id", "page_number", "table_index", "block",
         F.concat(F.col("head"), F.lit("\n"), F.array_join("b.lines", "\n")).alias("text"),

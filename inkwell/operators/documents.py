@@ -10,7 +10,7 @@ from inkwell.functions import text as T
 from inkwell.functions.classify import DOMAIN_LEXICON, classify
 
 #: Messages.
-LOW_CONFIDENCE = "Average extraction confidence is low (%.0f%%). Review extracted text carefully."
+LOW_CONFIDENCE = "Average extraction confidence is low (%d%%). Review extracted text carefully."
 UNKNOWN_TYPE = "Could not determine document type. Classification keywords may be absent."
 NO_TEXT = "No usable text could be extracted from this document."
 FALLBACK_USED = "Used multimodal LLM fallback because OCR was empty, low-confidence, or too short"
@@ -94,7 +94,7 @@ def document_warnings(config: Config = DEFAULT) -> Column:
     """In order: low confidence, unknown type, page warnings, no text."""
     one = lambda when, code, message: F.when(when, F.array(F.struct(F.lit(code).alias("code"), message.alias("message"), F.lit(None).cast("int").alias("page")))).otherwise(F.array().cast("array<struct<code:string,message:string,page:int>>"))
     return F.concat(
-        one(F.col("avg_confidence") < config.low_confidence, "LOW_OVERALL_CONFIDENCE", F.format_string(LOW_CONFIDENCE, F.col("avg_confidence") * 100)),
+        one(F.col("avg_confidence") < config.low_confidence, "LOW_OVERALL_CONFIDENCE", F.format_string(LOW_CONFIDENCE, F.bround(F.col("avg_confidence") * 100).cast("int"))),
         one(F.col("doc_type") == "unknown", "UNKNOWN_DOC_TYPE", F.lit(UNKNOWN_TYPE)),
         F.col("page_warnings"),
         one(T.is_blank(F.col("full_text")), "NO_TEXT_EXTRACTED", F.lit(NO_TEXT)),

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from inkwell.plans import chunks, cleaning, learning, retrieval
+
+QUERIES = cleaning.QUERIES | retrieval.QUERIES | chunks.QUERIES | learning.QUERIES
+ORACLE = cleaning.ORACLE | retrieval.ORACLE | chunks.ORACLE | learning.ORACLE
