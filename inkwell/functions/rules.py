@@ -7,8 +7,9 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from inkwell.schemas import DIFF
+_DIFF = ArrayType(StructType([StructField(c, StringType()) for c in ("operation", "before", "after")]))
 
 
 def rule_key(c: Column) -> Column:
@@ -26,7 +27,7 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(a=a, b=b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -38,6 +39,6 @@ def block_diff(before: str | None, after: str | None) -> list[dict]:
     return [{"operation": op, "before": "\n\n".join(one[i:j]), "after": "\n\n".join(two[k:m])} for op, i, j, k, m in codes if op != "equal"]
 
 
-@F.pandas_udf(DIFF)
+@F.pandas_udf(_DIFF)
 def structured_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([block_diff(x, y) for x, y in zip(before, after, strict=True)], dtype=object)

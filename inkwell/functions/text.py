@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RULE_LINE = r"(?U)^\s*[_\-=]{4,}\s*$"
@@ -49,7 +50,7 @@ NOISY = "Low alpha ratio (%d%%) — output may contain OCR noise"
 UPPER = "Text is mostly uppercase — may be a stylistic choice or OCR issue"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition, which Spark has no function for; texts already composed pass as they are."""
     return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))

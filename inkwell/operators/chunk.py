@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
@@ -92,7 +93,7 @@ def split_text(text: str, size: int = DEFAULT.chunk_chars, overlap: int = DEFAUL
     return out
 
 
-@F.pandas_udf("array<struct<text:string,start:int>>")
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("start", IntegerType())])))
 def text_windows(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"text": w, "start": s} for w, s in split_text(t or "")] for t in texts], dtype=object)
 

