@@ -76,9 +76,9 @@ def noisy(step):
 
 
 def clean_warnings(spark, sf):
-    """Warnings of cleaned documents and of their upper-case heads, as texts."""
+    """Warnings of documents, of their upper-case form and of one with few letters, as texts."""
     docs = parquet(spark, sf, "documents")
-    both = docs.select("doc_id", F.lit("whole").alias("part"), "text").union(docs.select("doc_id", F.lit("upper"), F.upper(F.substring("text", 1, 300)))).union(docs.select("doc_id", F.lit("signs"), F.regexp_replace(F.substring("text", 1, 60), "[a-z]", "#")))
+    both = docs.select("doc_id", F.lit("whole").alias("part"), "text").union(docs.select("doc_id", F.lit("upper"), F.upper("text"))).union(docs.select("doc_id", F.lit("signs"), F.regexp_replace("text", "[a-z]", "#")))
     return both.select("doc_id", "part", F.array_join(T.clean_warnings(F.col("text"), F.col("text")), ";").alias("warnings"))
 
 
@@ -217,7 +217,7 @@ ORACLE = {
     "clean_abbrev": f"WITH {NOISY} SELECT doc_id, {d_abbreviations('text')} AS cleaned FROM noisy",
     "clean_full": f"WITH {NOISY} SELECT doc_id, {d_clean('text')} AS cleaned FROM noisy",
     "clean_warnings": f"""
-        WITH parts AS (SELECT doc_id, 'whole' AS part, text FROM documents UNION ALL SELECT doc_id, 'upper', upper(substring(text, 1, 300)) FROM documents UNION ALL SELECT doc_id, 'signs', regexp_replace(substring(text, 1, 60), '[a-z]', '#', 'g') FROM documents)
+        WITH parts AS (SELECT doc_id, 'whole' AS part, text FROM documents UNION ALL SELECT doc_id, 'upper', upper(text) FROM documents UNION ALL SELECT doc_id, 'signs', regexp_replace(text, '[a-z]', '#', 'g') FROM documents)
         SELECT doc_id, part, CASE WHEN NOT regexp_matches(text, '\\S') THEN '{T.BLANK}' ELSE concat_ws(';', CASE WHEN length(text) < 50 THEN '{T.SHORT}' END, CASE WHEN {_ratio} < 0.4 THEN printf('{T.NOISY.replace('%d', '%.0f')}', {_ratio} * 100) END, CASE WHEN {_upper} > 0.85 AND length(text) > 100 THEN '{T.UPPER}' END) END AS warnings FROM parts""",
     "text_confidence": f"""SELECT doc_id, {d_confidence('text')} AS confidence, length({d_strip('text')}) < 100 AS scanned, round({_ratio}, 6) AS alpha, round({_upper}, 6) AS upper, round({d_ratio('text', ' ')}, 6) AS space, len(regexp_extract_all(text, '\\S+')) AS words FROM documents""",
     "low_confidence_pages": f"WITH {D_PAGES} SELECT doc_id, coalesce(string_agg(CASE WHEN confidence < 0.6 THEN page_number END, ',' ORDER BY page_number), '') AS pages, CAST(sum(length(cleaned_text)) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM pages_ GROUP BY doc_id",

@@ -61,8 +61,8 @@ def _observations(spark, sf):
 
 
 def rule_fold_exact(spark, sf):
-    """Confidence and support of each key from its first four observations."""
-    return L.fold_exact(_observations(spark, sf), most=4)
+    """Confidence and support of each key from all its observations."""
+    return L.fold_exact(_observations(spark, sf))
 
 
 def _feedback(spark, sf):
@@ -79,6 +79,7 @@ def rule_fold(spark, sf):
 
 
 def _rules(spark, sf):
+    """Rules as they stand after two observations of each, before confidence reaches its bound."""
     r = L.fold_exact(_observations(spark, sf), most=2)
     return r.select(
         F.concat_ws(":", "user_id", "key").alias("rule_id"), "user_id", F.concat(F.lit("Prefer "), "key").alias("description"), F.expr(CATEGORY.replace("event_type", "key")).alias("category"),
@@ -210,7 +211,7 @@ ORACLE = {
     "rule_jaccard": f"""WITH k AS (SELECT p_partkey, p_brand, list_distinct(string_split({_D_KEY.format(x="p_name || ' ' || p_type")}, ' ')) AS w FROM part),
         p AS (SELECT p_partkey, w, lead(w) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS o FROM k)
         SELECT p_partkey, round(len(list_intersect(w, o)) / len(list_distinct(list_concat(w, o))), 6) AS overlap FROM p WHERE o IS NOT NULL""",
-    "rule_fold_exact": f"WITH {_d_fold(4)} SELECT user_id, key, confidence, support FROM fold",
+    "rule_fold_exact": f"WITH {_d_fold(None)} SELECT user_id, key, confidence, support FROM fold",
     "rule_fold": _D_WHOLE,
     "stream_rule_fold": _D_WHOLE,
     "rule_decay_prune": _d_decay(),
