@@ -26,6 +26,7 @@ MOST_HASHES = 320
 #: Members of a lead in a block; two blocks are compared by one task.
 BLOCK = 256
 BROADCAST_ROWS = 100_000
+LABELS_PER_FILE = 500_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -193,12 +194,13 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder; their number grows with the logarithm of the longest path.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("_set")).agg(F.least(F.col("_set"), F.min("b")).alias("label")), "labels")
+    files = max(1, -(-both.count() // LABELS_PER_FILE))  # labels are few bytes: not a file for each shuffle partition
+    labels = materialise(both.groupBy(F.col("a").alias("_set")).agg(F.least(F.col("_set"), F.min("b")).alias("label")).coalesce(files), "labels")
     while True:
         near = both.join(labels.select(F.col("_set").alias("b"), F.col("label").alias("theirs")), "b").groupBy(F.col("a").alias("_set")).agg(F.min("theirs").alias("near"))
         step = labels.join(near, "_set").select("_set", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("_set").alias("label"), F.col("label").alias("root"))
-        step = materialise(step.join(jump, "label").select("_set", "old", F.least("label", "root").alias("label")), "labels")
+        step = materialise(step.join(jump, "label").select("_set", "old", F.least("label", "root").alias("label")).coalesce(files), "labels")
         if not step.where("label <> old").limit(1).count():
             return step.select("_set", "label")
         labels = step.select("_set", "label")
