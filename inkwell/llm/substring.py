@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, sized, text_blocks
+from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, text_blocks
 
 #: Bytes of a chunk: the least, the mean of what follows, the most.
 LEAST, MEAN, MOST = 8, 32, 256
@@ -23,7 +23,6 @@ MIN_WORDS = 50
 CONTEXT = 192
 #: Shorter runs cannot grow to a passage of 50 words of usual length.
 LEAST_RUN = 64
-BROADCAST_ROWS = 100_000
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -198,7 +197,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
     leads = placed.select("_key", F.lit(1).cast("long").alias("kind"), none.alias("run"), "s", "e", F.col("_digest").alias("d1"), F.col("_digest").alias("d2"), none.alias("p1"), none.alias("p2"))
     jobs = runs.union(leads).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct(*runs.columns[1:])).alias("_jobs"))
     jobs = materialise(jobs, "jobs")
-    texts = rows.join(sized(jobs, jobs.count(), BROADCAST_ROWS), F.col("_key") == F.col("_k")).drop("_k")
+    texts = rows.join(jobs, F.col("_key") == F.col("_k")).drop("_k")  # a row's places have no bound, so no broadcast
     run, schema = _contexts(id_type)
     found = materialise(texts.mapInArrow(run, schema), "contexts")
     others = found.where("kind = 1").select("_key", "_id", "d1", "d2", "before", "after").dropDuplicates(["_key", "d1"])
