@@ -17,12 +17,11 @@ from pyspark.sql.window import Window
 from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, text_blocks
 
 #: Bytes of a chunk: the least, the mean of what follows, the most.
-LEAST, MEAN, MOST = 8, 32, 256
+LEAST, MEAN, MOST = 8, 24, 256
 MIN_WORDS = 50
-#: Bytes on either side of a run that are compared; a boundary inside a passage is nearer its edge.
-CONTEXT = 192
-#: Shorter runs cannot grow to a passage of 50 words of usual length.
-LEAST_RUN = 64
+#: Bytes on either side of a run that are compared: over the 32 of the hash and MOST, so that a boundary
+#: inside a passage is nearer its edge unless several chunks are cut at MOST.
+CONTEXT = 320
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -188,7 +187,6 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
 
     end = lambda pick: pick(F.struct("_digest", "_partner"), F.col("_start"))
     runs = hits.groupBy("_key", "_run").agg(F.min("_start").alias("s"), F.max("_end").alias("e"), end(F.min_by).alias("x"), end(F.max_by).alias("y"))
-    runs = runs.where(F.col("e") - F.col("s") >= LEAST_RUN)
     runs = runs.select("_key", F.lit(0).cast("long").alias("kind"), F.col("_run").alias("run"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("x._digest").alias("d1"), F.col("y._digest").alias("d2"), F.col("x._partner").alias("p1"), F.col("y._partner").alias("p2"))
     runs = materialise(runs, "runs")
     asked = runs.select(F.col("p1").alias("k"), F.col("d1").alias("d")).union(runs.select("p2", "d2")).distinct()

@@ -85,3 +85,27 @@ def test_copies_and_repeated_rows(spark):
     assert all((r.span_start, r.span_end, r.n_words) == (0, len(text.encode()), 200) for r in out)
     assert repeated_passages(frame.where("doc_id = 3")).count() == 0
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def smooth(rng, size):
+    """Words of ``size`` bytes or few more in which the hash sets no boundary, whatever stands before."""
+    from inkwell.llm.substring import MEAN
+
+    out = ""
+    while len(out) < size:
+        more = out + words(rng, 1) + " "
+        if len(more) == len(more.encode()) and (gear_hashes(np.frombuffer(more.encode(), np.uint8))[32:] >= 2**32 // MEAN).all():
+            out = more
+    return out
+
+
+def test_passages_far_from_their_first_boundary_and_of_short_words(spark):
+    rng = random.Random(4)
+    head = smooth(rng, 270)
+    passage = head + words(rng, 52 - len(head.split()) + 20)
+    numbers = " ".join(str(rng.randint(1, 99)) for _ in range(110))
+    docs = {i: f"{words(rng, 40 + 7 * i)} {passage} {words(rng, 30)}" for i in (1, 2)} | {i: f"{words(rng, 40 + 7 * i)} {numbers} {words(rng, 30)}" for i in (3, 4)}
+    out = repeated_passages(spark.createDataFrame([(i, t, "x", 0) for i, t in docs.items()], SCHEMA)).collect()
+    found = {r.doc_id: docs[r.doc_id].encode()[r.span_start : r.span_end].decode() for r in out}
+    assert set(found) == set(docs)
+    assert all(passage in found[i] for i in (1, 2)) and all(numbers in found[i] for i in (3, 4))
