@@ -2,8 +2,8 @@
 
 A gear rolling hash over the last 32 bytes sets chunk boundaries, so they depend on what stands there
 and not on the offset: after an insertion the same chunks come back. Pairs of neighbouring chunks are
-deduplicated by digest across documents. Runs of repeated pairs are then extended byte by byte,
-against other documents with the same end pair, to the whole repeated passage.
+deduplicated by digest across documents. Runs of repeated pairs are then extended word by word, by
+digests of what follows an end pair in all documents that have it, to the whole repeated passage.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, te
 #: Bytes of a chunk: the least, the mean of what follows, the most.
 LEAST, MEAN, MOST = 8, 24, 256
 MIN_WORDS = 50
-#: Bytes on either side of a run that are compared: over the 32 of the hash and MOST, so that a boundary
-#: inside a passage is nearer its edge unless several chunks are cut at MOST.
-CONTEXT = 320
+#: Bytes beyond a run that are compared first, over the 32 of the hash and MOST; where all of them agree
+#: with another document, GROWTH times as many are compared, and so on.
+CONTEXT, GROWTH = 320, 8
+#: Words between the prefixes that are compared first.
+STEP = 8
+#: Places of a text in a batch of contexts, at most.
+FLUSH_PLACES = 4096
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -86,77 +90,127 @@ def _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (key, place, digest)], names=["_key", "_at", "_digest"])
 
 
-def _contexts(id_type: str):
-    """For each place asked for in a text: the bytes before it, backwards, and after it; for its own
-    runs also their words and their first and last bytes."""
-    kept = ("kind", "run", "s", "e", "d1", "d2", "p1", "p2")
+def _contexts(id_type: str, reach: int, step: int):
+    """For each place asked for in a text: digests of what leads from it to every ``step``-th end of a
+    word within ``reach`` bytes, outwards, with their lengths and the number of all such ends; the words
+    before it, whether it cuts one, the bytes inwards to a space, and whether the text goes on beyond."""
+    names = ["_key", "_id", "side", "d", "at", "nth", "cut", "back", "more", "size", "ends", "far"]
+
+    def places(data: np.ndarray, d: np.ndarray, side: np.ndarray, at: np.ndarray):
+        size = len(data)
+        space = _SPACE[data]
+        edge = np.diff(np.concatenate([[False], ~space, [False]]).astype(np.int8))
+        starts, stops, spaces = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.flatnonzero(space)
+        up, down = powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_TABLE[data] * up[:size], out=sums[1:])
+        after = side == 1
+        first = np.where(after, np.searchsorted(stops, at, "right"), np.searchsorted(starts, at) - 1)
+        total = np.where(after, np.searchsorted(stops, at + reach, "right") - first, first + 1 - np.searchsorted(starts, at - reach))
+        n = total // step
+        own = np.repeat(np.arange(len(at)), n)
+        k = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step + step - 1
+        i = np.where(after[own], first[own] + k, first[own] - k)
+        ends = np.where(after[own], stops[i], starts[i])
+        low, high = np.minimum(ends, at[own]), np.maximum(ends, at[own])
+        far = high - low
+        digest = mix64((sums[high] - sums[low]) * down[low] + far.astype(np.uint64)) ^ mix64(d.view(np.uint64) * np.uint64(2) + side.astype(np.uint64))[own]
+        before, next_ = np.concatenate([[-1], spaces]), np.concatenate([spaces, [size]])
+        k = np.searchsorted(spaces, at)
+        back = np.where(after, at - 1 - before[k], next_[k] - at)
+        wide = np.concatenate([[True], space, [True]])
+        cut = ~wide[at] & ~wide[at + 1]
+        more = np.where(after, at + reach < size, at > reach)
+        return np.searchsorted(starts, at), cut, back, more, total, n, mix64(digest).view(np.int64), far.astype(np.int32)
 
     def run(batches):
         for batch in batches:
-            texts = column_of(batch, "_text").cast(pa.binary())
+            texts, jobs, keys = column_of(batch, "_text").cast(pa.binary()), column_of(batch, "_jobs"), column_of(batch, "_key").to_numpy()
             for i in range(batch.num_rows):
-                data = texts[i].as_py() or b""
-                space = _SPACE[np.frombuffer(data, np.uint8)]
-                begins = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
-                rows = column_of(batch, "_jobs")[i].as_py()
-                take = pa.array([i] * len(rows), pa.int64())
-                out: dict[str, list] = {c: [] for c in ("words", "before", "after", "head", "tail")}
-                for r in rows:
-                    a, b, own = r["s"], r["e"], r["kind"] == 0
-                    cut = own and a > 0 and not space[a] and not space[a - 1]
-                    out["words"].append(int(begins[b] - begins[a]) + int(cut) if own else 0)
-                    out["before"].append(data[max(0, a - CONTEXT) : a][::-1])
-                    out["after"].append(data[b : b + CONTEXT])
-                    out["head"].append(data[a : min(b, a + CONTEXT)] if own else b"")
-                    out["tail"].append(data[max(a, b - CONTEXT) : b][::-1] if own else b"")
-                yield pa.RecordBatch.from_arrays(
-                    [column_of(batch, "_key").take(take), column_of(batch, "_id").take(take), *(pa.array([r[c] for r in rows], pa.int64()) for c in kept), pa.array(out["words"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("before", "after", "head", "tail"))],
-                    names=["_key", "_id", *kept, *out],
-                )
-
-    return run, f"_key long, _id {id_type}, {', '.join(f'{c} long' for c in kept)}, words long, before binary, after binary, head binary, tail binary"
-
-
-def shared_length(one: bytes, two: bytes) -> int:
-    """Bytes that two contexts share from the run outwards, cut back to a whole word of the first."""
-    n = min(len(one), len(two))
-    a, b = np.frombuffer(one, np.uint8, n), np.frombuffer(two, np.uint8, n)
-    differ = np.flatnonzero(a != b)
-    n = int(differ[0]) if len(differ) else n
-    whole = n == len(one) and n < CONTEXT or n == 0
-    if not whole and not (n < len(one) and _SPACE[one[n]]):
-        while n and not _SPACE[one[n - 1]]:
-            n -= 1
-    return n
-
-
-def _extend(id_type: str, least: int):
-    """Whole passages: each run as far as it and its partner agree, if that makes enough words."""
+                data = np.frombuffer(texts[i].as_py() or b"", np.uint8)
+                job = jobs[i].values
+                for lo in range(0, len(job), FLUSH_PLACES):
+                    d, side, at = (job.field(c).to_numpy()[lo : lo + FLUSH_PLACES] for c in ("d", "side", "at"))
+                    nth, cut, back, more, total, n, ends, far = places(data, d, side, at)
+                    offs = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offs, pa.array(v)) for v in (ends, far)]
+                    ids = column_of(batch, "_id").take(pa.array(np.full(len(at), i)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[i])), ids, pa.array(side), pa.array(d), pa.array(at), *(pa.array(v) for v in (nth, cut, back, more, total)), *lists], names=names)
+
+    return run, f"_key long, _id {id_type}, side long, d long, at long, nth long, cut boolean, back long, more boolean, size long, ends array<long>, far array<int>"
+
+
+PLACE = ["_key", "side", "at"]
+
+
+def _common(rows: DataFrame, n: str, partner: str) -> DataFrame:
+    """For each place the most words of ``rows`` (place, n, h) that another document has, and which."""
+    shared = rows.groupBy("h").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b")
+    rows = rows.join(shared, "h").withColumn("p", F.when(F.col("_key") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    return rows.groupBy(*PLACE).agg(F.max("n").alias(n), F.max_by("p", "n").alias(partner))
 
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("keep", "start", "end", "words")}
-            for i, r in enumerate(batch.select(["s", "e", "words", "before", "after", "head", "tail", "other_before", "other_after"]).to_pylist()):
-                n = {}
-                words = r["words"]
-                for side, inner in (("before", r["head"]), ("after", r["tail"])):
-                    own = r[side]
-                    n[side] = shared_length(own, r[f"other_{side}"] or b"")
-                    words += len(own[: n[side]].split())
-                    if own and not own[:1].isspace() and not inner[:1].isspace():  # a word that the run cuts
-                        words -= 1
-                        if not n[side]:
-                            n[side] = -next((k for k in range(len(inner)) if _SPACE[inner[k]]), 0)
-                if words >= least:
-                    for c, v in zip(out, (i, r["s"] - n["before"], r["e"] + n["after"], words), strict=True):
-                        out[c].append(v)
-            keep = pa.array(out["keep"], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(column_of(batch, c).take(keep) for c in ("_key", "_id", "run")), *(pa.array(out[c], pa.int64()) for c in ("start", "end", "words")), column_of(batch, "other_id").take(keep)],
-                names=["_key", "_id", "_run", "span_start", "span_end", "n_words", "other_id"],
-            )
-
-    return run, f"_key long, _id {id_type}, _run long, span_start long, span_end long, n_words long, other_id {id_type}"
+
+def _agreed(found: DataFrame) -> DataFrame:
+    """How far each place agrees with the document that agrees farthest: words w, bytes far, partner.
+
+    Prefixes of every STEP-th word are looked up first. A place then gives all its prefixes up to where
+    it is alone, so whichever document agrees with another has given that prefix too.
+    """
+    at = lambda n: F.element_at("ends", n.cast("int")).alias("h")
+    size = F.size("ends")
+    rows = found.where(size >= STEP).select(*PLACE, "ends", F.explode(F.sequence(F.lit(STEP), size, F.lit(STEP))).alias("n")).select(*PLACE, "n", at(F.col("n")))
+    coarse = _common(rows, "_coarse", "_p")
+    found = materialise(found.join(coarse, PLACE, "left"), "reached")
+    least = F.coalesce("_coarse", F.lit(0))
+    rows = found.where(size > 0).select(*PLACE, "ends", F.explode(F.sequence(F.lit(1), F.least(size, least + STEP - 1))).alias("n")).where(F.col("n") % STEP != 0).select(*PLACE, "n", at(F.col("n")))
+    out = found.join(_common(rows, "_fine", "_q"), PLACE, "left").withColumn("w", F.greatest(least, F.coalesce("_fine", F.lit(0))))
+    out = out.withColumn("partner", F.when(F.col("w") > least, F.col("_q")).otherwise(F.col("_p"))).withColumn("far", F.when(F.col("w") > 0, F.element_at("far", F.col("w"))).otherwise(F.when(F.col("cut"), -F.col("back")).otherwise(0)).cast("long"))
+    out = out.select(*PLACE, "_id", "d", "nth", "cut", F.col("w").cast("long").alias("w"), "far", "partner", (F.col("more") & (F.col("w") == size)).alias("open"))
+    return out.dropDuplicates(PLACE)  # repeated rows are one document
+
+
+def _found(rows: DataFrame, places: DataFrame, id_type: str, reach: int, step: int = 1) -> DataFrame:
+    jobs = places.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("side", "d", "at")).alias("_jobs"))
+    texts = rows.join(jobs, F.col("_key") == F.col("_k")).drop("_k")  # a row's places have no bound, so no broadcast
+    run, schema = _contexts(id_type, reach, step)
+    return materialise(texts.mapInArrow(run, schema), "contexts")
+
+
+def _places(runs: DataFrame, hits: DataFrame) -> DataFrame:
+    """All places of the pairs that end runs: starts of first pairs, ends of last ones."""
+    out = None
+    for side, d, at in ((0, "d1", "_start"), (1, "d2", "_end")):
+        asked = runs.select(F.col(d).alias("_digest")).distinct()
+        own = hits.join(asked, "_digest").select("_key", F.lit(side).cast("long").alias("side"), F.col("_digest").alias("d"), F.col(at).cast("long").alias("at"))
+        out = own if out is None else out.union(own)
+    return materialise(out, "places")
+
+
+def _hopeful(rows: DataFrame, runs: DataFrame, hits: DataFrame, id_type: str, min_words: int) -> DataFrame:
+    """The runs that can reach ``min_words``: at either end, STEP - 1 words more at most than the last
+    STEP-th that another document shares. Where a context ends before that, nothing is ruled out."""
+    found = _found(rows, _places(runs, hits), id_type, CONTEXT, STEP)
+    steps = found.select(*PLACE, F.posexplode("ends").alias("n", "h")).withColumn("n", F.col("n") + 1)
+    sure = F.coalesce(F.col("_n"), F.lit(0)) * STEP + STEP - 1
+    most = F.when(sure <= F.col("size"), sure).otherwise(F.when(F.col("more"), F.lit(min_words)).otherwise(F.col("size")))
+    # a place with no shared step may still share up to STEP - 1 words; the bound is never too small
+    bound = found.join(_common(steps, "_n", "_p"), PLACE, "left").select(*PLACE, "nth", F.greatest(most, F.lit(0)).alias("most")).dropDuplicates(PLACE)
+    edge = lambda side, at: bound.where(F.col("side") == side).select("_key", F.col("at").alias(at), F.col("nth").alias(f"nth{side}"), F.col("most").alias(f"most{side}"))
+    both = runs.join(edge(0, "s"), ["_key", "s"]).join(edge(1, "e"), ["_key", "e"])
+    return materialise(both.where(F.col("nth1") - F.col("nth0") + F.col("most0") + F.col("most1") >= min_words).select(*runs.columns), "runs")
+
+
+def _ends(rows: DataFrame, places: DataFrame, id_type: str) -> DataFrame:
+    """The places with how far they agree; contexts grow until none agrees to its end and goes on."""
+    reach, left, out = CONTEXT, places, None
+    while True:
+        new = materialise(_agreed(_found(rows, left, id_type, reach)), "ends")
+        again = new.where("open").select("side", "d").distinct()
+        out = new if out is None else out.join(new.select(*PLACE), PLACE, "left_anti").unionByName(new)
+        if not again.limit(1).count():
+            return out
+        left = materialise(places.join(again, ["side", "d"], "left_semi"), "places")
+        reach *= GROWTH
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,8 +221,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
     """Passages, and for their runs the stretches that a leading document has (later) or not.
 
-    Of the documents with a pair, the one of the smallest key leads. Runs are extended against the
-    leader of their end pairs; the leader's own against the document of the largest key.
+    Of the documents with a pair, the one of the smallest key leads. Each end of a run is extended as
+    far as any other document agrees that has its end pair, at whichever place.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
@@ -187,31 +241,27 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple
 
     end = lambda pick: pick(F.struct("_digest", "_partner"), F.col("_start"))
     runs = hits.groupBy("_key", "_run").agg(F.min("_start").alias("s"), F.max("_end").alias("e"), end(F.min_by).alias("x"), end(F.max_by).alias("y"))
-    runs = runs.select("_key", F.lit(0).cast("long").alias("kind"), F.col("_run").alias("run"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("x._digest").alias("d1"), F.col("y._digest").alias("d2"), F.col("x._partner").alias("p1"), F.col("y._partner").alias("p2"))
+    runs = runs.select("_key", F.col("_run"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("x._digest").alias("d1"), F.col("y._digest").alias("d2"), F.col("x._partner").alias("p1"))
     runs = materialise(runs, "runs")
-    asked = runs.select(F.col("p1").alias("k"), F.col("d1").alias("d")).union(runs.select("p2", "d2")).distinct()
-    placed = hits.join(asked, (F.col("_key") == F.col("k")) & (F.col("_digest") == F.col("d"))).groupBy("_key", "_digest").agg(F.min("_start").cast("long").alias("s"), F.min("_end").cast("long").alias("e"))
-    none = F.lit(0).cast("long")
-    leads = placed.select("_key", F.lit(1).cast("long").alias("kind"), none.alias("run"), "s", "e", F.col("_digest").alias("d1"), F.col("_digest").alias("d2"), none.alias("p1"), none.alias("p2"))
-    jobs = runs.union(leads).groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct(*runs.columns[1:])).alias("_jobs"))
-    jobs = materialise(jobs, "jobs")
-    texts = rows.join(jobs, F.col("_key") == F.col("_k")).drop("_k")  # a row's places have no bound, so no broadcast
-    run, schema = _contexts(id_type)
-    found = materialise(texts.mapInArrow(run, schema), "contexts")
-    others = found.where("kind = 1").select("_key", "_id", "d1", "d2", "before", "after").dropDuplicates(["_key", "d1"])
-    own = found.where("kind = 0")
-    own = own.join(others.select(F.col("_key").alias("p1"), "d1", F.col("before").alias("other_before"), F.col("_id").alias("other_id")), ["p1", "d1"], "left")
-    own = own.join(others.select(F.col("_key").alias("p2"), "d2", F.col("after").alias("other_after")), ["p2", "d2"], "left")
-    run, schema = _extend(id_type, min_words)
-    return own.mapInArrow(run, schema).distinct(), stretches  # repeated rows are one document
+    runs = _hopeful(rows, runs, hits, id_type, min_words)
+    ends = _ends(rows, _places(runs, hits), id_type)
+    edge = lambda side, at: ends.where(F.col("side") == side).select("_key", F.col("at").alias(at), *(F.col(c).alias(f"{c}{side}") for c in ("_id", "nth", "cut", "w", "far", "partner")))
+    spans = runs.join(edge(0, "s"), ["_key", "s"]).join(edge(1, "e"), ["_key", "e"])
+    # words of the run, a cut one at its start included; a cut word is one with the first beyond the run
+    words = F.col("nth1") - F.col("nth0") + F.col("w0") + F.col("w1") - F.col("cut1").cast("long")
+    spans = spans.select("_key", F.col("_id0").alias("_id"), "_run", (F.col("s") - F.col("far0")).alias("span_start"), (F.col("e") + F.col("far1")).alias("span_end"), words.alias("n_words"), F.coalesce("partner0", "partner1", "p1").alias("_other"))
+    spans = spans.where((F.col("n_words") >= min_words) & (F.col("span_start") < F.col("span_end")))
+    names = ends.groupBy(F.col("_key").alias("_other")).agg(F.first("_id").alias("other_id"))
+    return spans.join(names, "_other", "left").drop("_other"), stretches
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each passage of a document that another document has too: id, span_start, span_end
     (bytes of the UTF-8 text), n_words, other_<id> and kept.
 
-    A passage has ``min_words`` words at least, each whole. It is found by chunk digests, and its edges
-    by comparing bytes with another document that has its first or last chunks. ``kept`` says that
+    A passage has ``min_words`` words at least, each whole. It is found by chunk digests, and each of
+    its edges by digests of the words beyond, against all other documents that have its first or last
+    two chunks; ``other_<id>`` is one that agrees farthest. ``kept`` says that
     no chunk of it is led by another document, so ``drop_repeats`` leaves it. Rows of one id and text
     are one document; a passage repeated only inside it is none. Null and empty texts have no
     passages; ids may be null; empty tables give no rows.

@@ -109,3 +109,21 @@ def test_passages_far_from_their_first_boundary_and_of_short_words(spark):
     found = {r.doc_id: docs[r.doc_id].encode()[r.span_start : r.span_end].decode() for r in out}
     assert set(found) == set(docs)
     assert all(passage in found[i] for i in (1, 2)) and all(numbers in found[i] for i in (3, 4))
+
+
+def test_ends_are_extended_against_all_documents(spark):
+    """Many documents share only the first pair of a passage, so most likely lead it; and a passage whose
+    first boundary is beyond the first contexts."""
+    rng = random.Random(8)
+    line = words(rng, 12)
+    passage = f"{smooth(rng, 200)}{line} {words(rng, 25)}"
+    long = smooth(rng, 900) + words(rng, 20)
+    rows = [(i, f"{words(rng, 20 + i)} {line} {words(rng, 20)}") for i in range(40)]
+    rows += [(100 + i, f"{words(rng, 30 + i)} {passage} {words(rng, 9)} {line} {words(rng, 9)}") for i in range(2)]
+    rows += [(200 + i, f"{words(rng, 30 + 9 * i)} {long} {words(rng, 30)}") for i in range(2)]
+    out = repeated_passages(spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)).collect()
+    docs = dict(rows)
+    found = {r.doc_id: docs[r.doc_id].encode()[r.span_start : r.span_end].decode() for r in out}
+    assert set(found) == {100, 101, 200, 201}
+    assert all(passage in found[i] for i in (100, 101)) and all(long in found[i] for i in (200, 201))
+    assert all(r.n_words == len(found[r.doc_id].split()) for r in out)
