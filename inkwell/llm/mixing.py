@@ -15,7 +15,7 @@ WEIGHTS = (5, 2, 1)
 #: No source and no document is repeated more often.
 MOST_REPEATS = 3
 SEED = 20240611
-#: Blocks that a shard's quotas share out; they set the size of a block.
+#: Blocks that a shard's quotas of a source share out; they set the size of the source's blocks.
 BLOCKS_PER_SHARD = 4096
 ROWS_PER_SHARD = 50_000
 LEAST_SHARDS = 16
@@ -64,14 +64,27 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
         out[j] -= 1
 
 
+def quotas_in_words(words: list[int], goal: int, block: int, most: int = MOST_REPEATS) -> list[int]:
+    """Words of each shard that together make ``goal``: seats of whole blocks, none above ``most`` times
+    the shard's words; what that cuts, and the last part of a block, go where most room is."""
+    out = [min(q * block, most * w) for q, w in zip(sainte_lague(list(map(float, words)), goal // block), words, strict=True)]
+    rest = goal - sum(out)
+    for i in sorted(range(len(words)), key=lambda i: (out[i] - most * words[i], i)):
+        step = max(-out[i], min(rest, most * words[i] - out[i]))
+        out[i] += step
+        rest -= step
+    return out
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, least_shards: int = LEAST_SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
     """What a mixture takes of each row: id, size, source_size, target, taken, and the parts taken.
 
     Size is the number of words between white space; null has none. Sources by code point, null
     last, get ``weights`` in turn; ``capped_targets`` gives their words. Rows are dealt by seeded
     hash into shards and ordered there by it, so each source is, in each shard, a seeded stream of
-    words cut into blocks of equal length. Apportionment by highest quotients gives every source its
-    number of blocks and, within the source, every shard its quota. A shard takes its quota as whole
+    words cut into blocks of equal length, which is bounded by the source's own target. Apportionment by
+    highest quotients gives every source its number of words and, within the source, every shard its
+    quota of blocks; the quotas of a source add up to its words. A shard takes its quota as whole
     passes over the stream and a run of blocks from a seeded start: ``passes`` of the row, and its
     words ``[cut_from, cut_to)`` and ``[0, wrap_to)`` once more.
 
@@ -90,10 +103,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed
     sizes = [r["size"] for r in per_source]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
     shards = max(least_shards, -(-sum(r.n for r in per_source) // ROWS_PER_SHARD))
-    block = max(1, sum(sizes) // (shards * blocks_per_shard))
-    seats = sainte_lague(targets, round(sum(targets) / block))
-    named = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_seats", T.LongType())])
-    plan = spark.createDataFrame([(r._source, r["size"], t, q) for r, t, q in zip(per_source, targets, seats, strict=True)], named)
+    goals = [min(q, most * n) for q, n in zip(sainte_lague(targets, round(sum(targets))), sizes, strict=True)]
+    blocks = [max(1, g // (shards * blocks_per_shard)) for g in goals]
+    named = T.StructType([T.StructField("_s", slim.schema["_source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_goal", T.LongType()), T.StructField("_block", T.LongType())])
+    plan = spark.createDataFrame([(r._source, r["size"], t, g, b) for r, t, g, b in zip(per_source, targets, goals, blocks, strict=True)], named)
 
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_order")), F.lit(shards)).cast("int")
     dealt = slim.groupBy("_source", shard.alias("_shard")).agg(F.sum("_size").alias("_words"))
@@ -101,13 +114,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed
 
     def quotas(_, frame):
         frame = frame.sort_values("_shard", kind="stable")
-        frame["_quota"] = sainte_lague([float(x) for x in frame["_words"]], int(frame["_seats"].iloc[0]))
-        return frame[["_source", "_shard", "_words", "source_size", "target", "_quota"]]
+        frame["_take"] = quotas_in_words([int(x) for x in frame["_words"]], int(frame["_goal"].iloc[0]), int(frame["_block"].iloc[0]), most)
+        return frame[["_source", "_shard", "_words", "source_size", "target", "_block", "_take"]]
 
     kind = slim.schema["_source"].dataType.simpleString()
-    quota = dealt.groupBy("_source").applyInPandas(quotas, f"_source {kind}, _shard int, _words long, source_size long, target double, _quota long")
-    quota = quota.withColumn("_take", F.least(F.col("_quota") * block, F.col("_words") * most))
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_source"), F.col("_shard")), F.greatest(F.lit(1), F.ceil(F.col("_words") / block))) * block
+    quota = dealt.groupBy("_source").applyInPandas(quotas, f"_source {kind}, _shard int, _words long, source_size long, target double, _block long, _take long")
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_source"), F.col("_shard")), F.greatest(F.lit(1), F.ceil(F.col("_words") / F.col("_block")))) * F.col("_block")
     quota = quota.select(
         F.col("_source").alias("_s"), F.col("_shard").alias("_h"), "_words", "source_size", "target",
         F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0).cast("long").alias("passes"),

@@ -107,3 +107,16 @@ def test_mix_edges_and_its_texts(spark):
     originals = {t for _, t, _ in rows if t}
     assert sum(r.text in originals for r in texts.collect()) > 0.8 * texts.count()
     assert mix_sources(docs(spark, [])).count() == 0 and taken_texts(docs(spark, [])).count() == 0
+
+
+def test_small_sources_among_many_shards_reach_their_targets(spark):
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(i, text(10), "a") for i in range(40)] + [(100, text(30), "b")] + [(200 + i, text(7 + i), "c") for i in range(5)] + [(1000 + i, text(100), "d") for i in range(500)]
+    out = mix_sources(docs(spark, rows), least_shards=240, blocks_per_shard=1).join(docs(spark, rows).select("doc_id", "source"), "doc_id").collect()
+    assert len(out) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in out)
+    targets = {r.source: r.target for r in out}
+    assert (targets["a"], targets["b"]) == (1200, 90)
+    for s, t in targets.items():
+        assert abs(sum(r.taken for r in out if r.source == s) - t) <= 1
+    again = mix_sources(docs(spark, rows).repartition(5), least_shards=240, blocks_per_shard=1).collect()
+    assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in out}
