@@ -92,9 +92,9 @@ def _signatures(id_type: str, gram: int, bands: int, rows: int):
                     keys.append(_set_key(grams) if len(grams) else None)
                     sizes.append(len(grams))
                     hashes.append(band_hashes(grams, bands, rows).view(np.int64) if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([column_of(batch, "_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["_id", "_set", "_n", "_bands"])
+            yield pa.RecordBatch.from_arrays([column_of(batch, "_id"), column_of(batch, "_row"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["_id", "_row", "_set", "_n", "_bands"])
 
-    return run, f"_id {id_type}, _set long, _n long, _bands array<long>"
+    return run, f"_id {id_type}, _row long, _set long, _n long, _bands array<long>"
 
 
 def _full_sets(gram: int):
@@ -104,7 +104,7 @@ def _full_sets(gram: int):
             keys, sets = [], []
             for lo, _, buf, offs in text_blocks(column_of(batch, "_text")):
                 for r, grams in enumerate(gram_sets(buf, offs, gram)):
-                    if len(grams) and _set_key(grams) == wanted[lo + r]:  # else another text of this id
+                    if len(grams) and _set_key(grams) == wanted[lo + r]:  # else a row of an equal key
                         keys.append(wanted[lo + r])
                         sets.append(grams.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["_set", "grams"])
@@ -206,30 +206,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("_set", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
-    """One row per input row: id, class_id, n_links, n_copies.
+def _row_key(docs: DataFrame):
+    """A key for each row by all its columns that have a hash: stable over scans, the same for equal rows."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
-    Two rows are linked when the Jaccard index of their word ``gram``-gram sets is at least
-    ``threshold``; copies (equal sets) are linked too. ``n_links`` counts the other rows a row is
-    linked with, ``n_copies`` the rows with its set, itself included. ``class_id`` is the smallest id
-    that links lead to. Pairs at the threshold meet with a chance of ``recall``, more alike ones with
-    a higher one; every pair that meets is verified on full sets (of 64-bit n-gram hashes). Rows
-    without words (null, empty) are linked with nothing and form classes of their own. Ids may be
-    null or repeat; empty tables give no rows.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram: int, recall: float) -> DataFrame:
+    """A row for each row of ``docs``: its id, key, class (null without words), class_id, links, copies."""
     bands, rows = choose_bands(threshold, recall)
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _row_key(docs).alias("_row"))
     run, schema = _signatures(id_type, gram, bands, rows)
     signs = materialise(source.mapInArrow(run, schema), "signatures")
-    reps = materialise(signs.where("_n > 0").groupBy("_set").agg(F.count("*").alias("copies"), F.min("_id").alias("_least"), F.first("_bands").alias("_bands")), "reps")
+    reps = materialise(signs.where("_n > 0").groupBy("_set").agg(F.count("*").alias("copies"), F.min("_id").alias("_least"), F.min("_row").alias("_wanted"), F.first("_bands").alias("_bands")), "reps")
     buckets = reps.select("_set", F.posexplode("_bands").alias("_band", "_hash"))
     leads = buckets.groupBy("_band", "_hash").agg(F.min("_set").alias("lead"), F.max("_set").alias("last")).where("lead <> last").drop("last")
     pairs = materialise(buckets.join(leads, ["_band", "_hash"]).where("lead <> _set").select("lead", F.col("_set").alias("member")).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("lead").alias("_set")).union(pairs.select("member")).distinct().join(reps.select("_set", F.col("_least").alias("_wanted")), "_set")
+    wanted = pairs.select(F.col("lead").alias("_set")).union(pairs.select("member")).distinct().join(reps.select("_set", "_wanted"), "_set")
     wanted = materialise(wanted, "wanted")
-    texts = source.join(sized(wanted, wanted.count(), BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_set", "_text")
+    texts = source.join(sized(wanted, wanted.count(), BROADCAST_ROWS), F.col("_row") == F.col("_wanted")).select("_set", "_text")
     sets = materialise(texts.mapInArrow(_full_sets(gram), "_set long, grams array<long>").dropDuplicates(["_set"]), "sets")
     side = lambda who: sets.select(F.col("_set").alias(who), F.col("grams").alias(f"{who}_grams"))
     run, schema = _compare(threshold)
@@ -251,21 +247,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = star.select(F.col("lead").alias("a"), F.col("member").alias("b")).union(inner.where("_set <> other").select("_set", "other"))
     labels = materialise(components(edges).join(reps.select("_set", "_least"), "_set").join(links, "_set", "left"), "classes")
     names = labels.groupBy("label").agg(F.min("_least").alias("class_id"))
-    named = labels.join(names, "label").select("_set", "class_id", "links")
+    named = labels.join(names, "label").select("_set", "label", "class_id", "links")
     return (
-        signs.select("_id", "_set")
+        signs.select("_id", "_row", "_set")
         .join(reps.select("_set", "_least", "copies"), "_set", "left")
         .join(named, "_set", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            F.coalesce("class_id", "_least", "_id").alias("class_id"),
-            (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
-            F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        )
+        .select("_id", "_row", F.coalesce("label", "_set").alias("_class"), F.coalesce("class_id", "_least", "_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
+    """One row per input row: id, class_id, n_links, n_copies.
+
+    Two rows are linked when the Jaccard index of their word ``gram``-gram sets is at least
+    ``threshold``; copies (equal sets) are linked too. ``n_links`` counts the other rows a row is
+    linked with, ``n_copies`` the rows with its set, itself included. ``class_id`` is the smallest id
+    that links lead to. Pairs at the threshold meet with a chance of ``recall``, more alike ones with
+    a higher one; every pair that meets is verified on full sets (of 64-bit n-gram hashes). Rows
+    without words (null, empty) are linked with nothing and form classes of their own. Ids may be
+    null or repeat; empty tables give no rows.
+    """
+    return _classes(docs, id_col, text_col, threshold, gram, recall).select(
+        F.col("_id").alias(id_col),
+        "class_id",
+        (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.col("copies").cast("long").alias("n_copies"),
     )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class, one for each id, with their columns."""
-    kept = near_duplicates(docs, id_col, **options).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
+    """One row of ``docs`` for each class, with its columns: that of the smallest id, null last, and of
+    equal ids that of the smallest key. Rows without words are classes of their own, so all stay."""
+    rows = materialise(_classes(docs, id_col, text_col, threshold, gram, recall).select("_id", "_row", "_class"), "members")
+    first = rows.where("_class is not null").groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))).alias("w"))
+    kept = first.select(F.col("w.i").alias("_i"), F.col("w.r").alias("_r"), F.lit(False).alias("_all"))
+    kept = kept.union(rows.where("_class is null").select("_id", "_row", F.lit(True)).distinct())
+    out = docs.withColumn("_row", _row_key(docs)).join(kept, (F.col("_row") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_i")))
+    alike = F.when(F.col("_all"), F.monotonically_increasing_id())  # of equal rows of a class one stays
+    return out.withColumn("_each", alike).dropDuplicates([id_col, "_row", "_each"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,3 +93,16 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     check(spark, [(1, None)])
     check(spark, [(1, "alone in here")])
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(60))
+    lone = [text() for _ in range(20)]
+    near, unique, twice = text(), text(), text()
+    rows = [(None, t) for t in lone] + [(3, near), (7, f"{near} end"), (7, unique), (9, twice), (9, twice), (None, f"{twice} more")]
+    rows += [(None, None), (None, ""), (5, "!!"), (5, "??")]
+    frame = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)
+    for f in (frame, frame.repartition(7)):
+        got = sorted([(r.doc_id, r.text) for r in keep_one_of_each(f).collect()], key=str)
+        assert got == sorted([*((None, t) for t in lone), (3, near), (7, unique), (9, twice), (None, None), (None, ""), (5, "!!"), (5, "??")], key=str)
