@@ -149,13 +149,33 @@ def spelled(table: dict, words: list[bytes]) -> np.ndarray:
     return out + table["ends"]
 
 
+def _expected_one(table: dict, word: bytes, z: int, out: np.ndarray) -> None:
+    """Add the expected uses of pieces over the segmentations of a single long word."""
+    logs, ids, longest, size = table["logs"][z].tolist(), table["by_piece"], table["longest"], len(word)
+    edges = lambda j: [(i, p) for i in range(max(0, j - longest), j) if (p := ids.get(word[i:j])) is not None and logs[p] > -math.inf]
+    a = [0.0]
+    for j in range(1, size + 1):
+        terms = [a[i] + logs[p] for i, p in edges(j)]
+        top = max(terms)
+        a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    b = [-math.inf] * size + [0.0]
+    for j in range(size, 0, -1):
+        for i, p in edges(j):
+            t = logs[p] + b[j]
+            out[p] += math.exp(a[i] + t - a[size])
+            top = max(b[i], t)
+            if top > -math.inf:
+                b[i] = top + math.log(math.exp(b[i] - top) + math.exp(t - top))
+
+
 def expected_pieces(table: dict, words: list[bytes], z: int) -> np.ndarray:
     """Expected uses of each piece over the segmentations of the words in a class, each word once."""
     logs = table["logs"][z : z + 1]
     out = np.zeros(logs.shape[1] - 1)
-    for size, _, x in _by_length(words):
+    for size, at, x in _by_length(words):
         if x is None:
-            continue  # words over the length are too few and odd to weigh pieces by
+            _expected_one(table, b" " + words[at[0]], z, out)
+            continue
         edges = _edges(table, x)
         n = len(x)
         a = _forward(logs, edges, n, size)[:, 0]

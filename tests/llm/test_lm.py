@@ -87,3 +87,15 @@ def test_beats_the_base_on_held_out_texts(spark):
     rows = check(spark, [(r.doc_id, r.text) for r in docs.collect()])
     held = [r for r in rows if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
+
+
+def test_long_words_train_their_pieces():
+    words = [b"ab" * 45 + b"bab", b"ba" * 40]
+    weights = np.array([WEIGHTS, WEIGHTS])
+    got = expected_pieces(lattice_table(PIECES, weights, np.array([0.5, 0.2])), words, 1)
+    total = lambda w: sum(_forward_one(lattice_table(PIECES, np.array([w, w]), np.array([0.5, 0.2])), b" " + x, 1) for x in words)
+    for p in range(len(PIECES)):  # expected uses are the slope of the log sum by the log weight
+        up, down = WEIGHTS.copy(), WEIGHTS.copy()
+        up[p], down[p] = up[p] * math.exp(1e-5), down[p] * math.exp(-1e-5)
+        assert abs(got[p] - (total(up) - total(down)) / 2e-5) < 1e-3
+    assert got.sum() > 40
