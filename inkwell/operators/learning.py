@@ -172,11 +172,13 @@ def rules_prompt(ranked: DataFrame, users: DataFrame) -> DataFrame:
 
 def best_matches(candidates: DataFrame, rules: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """For candidates (user_id, candidate_id, category, key), the best of the user's rules of the
-    category, or none: equal keys by join, similar ones only for the rest."""
+    category, or none: equal keys by join, similar ones only for the rest. A candidate that has an
+    insert_seq meets only the rules before it."""
 
     def run(frame: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         own = mine.sort_values("insert_seq").to_dict("records")
-        found = [best_match(own, c, k, config) for c, k in zip(frame["category"], frame["key"], strict=True)]
+        seqs = frame["insert_seq"] if "insert_seq" in frame else [None] * len(frame)
+        found = [best_match([r for r in own if q is None or r["insert_seq"] < q], c, k, config) for c, k, q in zip(frame["category"], frame["key"], seqs, strict=True)]
         return pd.DataFrame({"candidate_id": frame["candidate_id"], "rule_id": [r and r["rule_id"] for r in found]})
 
     keys = ["user_id", "category"]

@@ -48,11 +48,11 @@ def structured_diff(spark, sf):
 
 
 def rule_match_best(spark, sf):
-    """Parts as candidates against earlier parts of their brand as rules; category is the type."""
+    """Every part as a candidate against all earlier parts of its brand as rules; category is the type."""
     p = parquet(spark, sf, "part").withColumn("key", U.rule_key(F.concat_ws(" ", "p_name", "p_type")))
     rows = p.select(F.col("p_brand").alias("user_id"), F.col("p_type").alias("category"), "key", "p_partkey")
-    rules = rows.where("p_partkey % 3 = 0").select("user_id", "category", F.col("key").alias("normalized_key"), F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_partkey").alias("insert_seq"))
-    candidates = rows.where("p_partkey % 3 = 1").select("user_id", "category", "key", F.col("p_partkey").cast("string").alias("candidate_id"))
+    rules = rows.select("user_id", "category", F.col("key").alias("normalized_key"), F.col("p_partkey").cast("string").alias("rule_id"), F.col("p_partkey").alias("insert_seq"))
+    candidates = rows.select("user_id", "category", "key", F.col("p_partkey").cast("string").alias("candidate_id"), F.col("p_partkey").alias("insert_seq"))
     return L.best_matches(candidates, rules)
 
 

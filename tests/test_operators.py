@@ -162,3 +162,17 @@ def test_keyed_reads(spark):
     ids = spark.createDataFrame([("s", [3, 9, 1])], "s string, ids array<int>")
     rows = spark.createDataFrame([(1, "one"), (3, "three")], "k int, x string")
     assert [r.x for r in in_order_of(ids, rows, "ids", "k").orderBy("pos").collect()] == ["three", "one"]
+
+
+def test_rule_match_best_takes_every_part(spark, sf_dir):
+    from inkwell.operators.learning import best_match, normal_key
+    from inkwell.plans.learning import rule_match_best
+
+    got = {int(r.candidate_id): r.rule_id for r in rule_match_best(spark, sf_dir).collect()}
+    want, rules = {}, {}
+    for p in spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").collect():
+        key, own = normal_key(f"{p.p_name} {p.p_type}"), rules.setdefault(p.p_brand, [])
+        best = best_match(own, p.p_type, key)
+        want[p.p_partkey] = best and best["rule_id"]
+        own.append({"category": p.p_type, "normalized_key": key, "rule_id": str(p.p_partkey)})
+    assert got == want
