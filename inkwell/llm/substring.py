@@ -1,9 +1,17 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes sets chunk boundaries, so they depend on what stands there
-and not on the offset: after an insertion the same chunks come back. Pairs of neighbouring chunks are
-deduplicated by digest across documents. Runs of repeated pairs are then extended word by word, by
-digests of what follows an end pair in all documents that have it, to the whole repeated passage.
+A gear rolling hash over the last ``GEAR_WORDS`` words has a value at each word; a chunk begins where
+the value is the least of some window of words (local minima), so boundaries depend on what stands
+there and not on the offset, and after an insertion the same chunks come back. Pairs of neighbouring
+chunks are deduplicated by digest across texts. The windows of ``min_words`` words in and around runs
+of repeated pairs are then looked up by digest themselves, so what is reported is exact.
+
+Why no window is missed: a gear value depends on GEAR_WORDS words, and every stretch of w values has
+a boundary that depends on them alone. A window of M words has M - g + 1 whole values; between its
+first and its last boundary of that kind all boundaries are the same wherever the window stands, and
+with 3 w <= M - g + 1 there are three at least, which is a pair of chunks. So a window that two texts
+share has a pair that both have, all pairs between its first and its last boundary are repeated, and
+it begins g + w - 2 words before a run of repeated pairs at most and ends w words after it at most.
 """
 
 from __future__ import annotations
@@ -16,303 +24,261 @@ from pyspark.sql.window import Window
 
 from inkwell.llm.common import _TABLE, column_of, materialise, mix64, powers, text_blocks
 
-#: Bytes of a chunk: the least, the mean of what follows, the most.
-LEAST, MEAN, MOST = 8, 24, 256
 MIN_WORDS = 50
-#: Bytes beyond a run that are compared first, over the 32 of the hash and MOST; where all of them agree
-#: with another document, GROWTH times as many are compared, and so on.
-CONTEXT, GROWTH = 320, 8
-#: Words between the prefixes that are compared first.
-STEP = 8
-#: Places of a text in a batch of contexts, at most.
-FLUSH_PLACES = 4096
-_GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
+#: Words that a gear value depends on.
+GEAR_WORDS = 5
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+
+
+def chunk_window(min_words: int = MIN_WORDS) -> tuple[int, int]:
+    """Words of a gear value, and of the window whose least value begins a chunk."""
+    if min_words < 3:
+        raise ValueError("a passage has three words at least")
+    gear = min(GEAR_WORDS, min_words - 2)
+    return gear, min(127, (min_words - gear + 1) // 3)
+
+
+def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the words between white space, and the number of each row's first."""
+    inside = np.zeros(len(buf) + 2, np.bool_)
+    inside[1:-1] = ~_SPACE[buf]
+    before, after = inside[:-2].copy(), inside[2:].copy()
+    joints = offs[1:-1]
+    joints = joints[(joints > 0) & (joints < len(buf))]
+    before[joints] = False
+    after[joints - 1] = False
+    starts, ends = np.flatnonzero(inside[1:-1] & ~before), np.flatnonzero(inside[1:-1] & ~after) + 1
+    return starts, ends, np.searchsorted(starts, offs)
+
+
+def hashes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    up, down = powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[: len(buf)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def gear_hashes(words: np.ndarray, gear: int = GEAR_WORDS) -> np.ndarray:
+    """The gear hash, h = h * 2**s + word modulo 2**64, at each word; with gear * s >= 64 it depends on
+    the last ``gear`` words. The upper half counts."""
+    shift = np.uint64(-(-64 // gear))
+    h = words.copy()
+    for _ in range(gear - 1):
+        h[1:] = words[1:] + (h[:-1] << shift)
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def boundaries(h: np.ndarray, first: np.ndarray, gear: int, window: int) -> np.ndarray:
+    """Where chunks begin: the last least value of any ``window`` values in a row's words."""
+    if len(h) < window:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1].argmin(axis=1)
+    at = np.arange(len(least))
+    row = np.searchsorted(first, at, "right") - 1
+    whole = (at - first[row] >= gear - 1) & (at + window <= first[row + 1])
+    return np.unique((at + window - 1 - least)[whole])
+
+
+def prefix_sums(words: np.ndarray):
+    """A function of (from, to) that gives digests of runs of words."""
+    up, down = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return lambda a, b: (sums[b] - sums[a]) * down[a]
+
+
+def chunk_pairs(words: np.ndarray, first: np.ndarray, gear: int, window: int):
+    """First word, middle, end and digest of all pairs of neighbouring chunks of a block's rows."""
+    cut = boundaries(gear_hashes(words, gear), first, gear, window)
+    row = np.searchsorted(first, cut, "right") - 1
+    at = np.flatnonzero(row[:-2] == row[2:]) if len(cut) > 2 else np.zeros(0, np.int64)
+    a, b, c = cut[at], cut[at + 1], cut[at + 2]
+    digest = prefix_sums(words)
+    return a, b, c, mix64(digest(a, c)) ^ mix64(digest(a, b) + (c - a).astype(np.uint64)), row[at]
+
+
+def _chunked(id_type: str, min_words: int):
+    """A row for each document: its key, words and their bytes, and digests and places of its pairs; a
+    place is the first word and in a byte each the two lengths."""
+    gear, window = chunk_window(min_words)
 
-
-def gear_hashes(buf: np.ndarray) -> np.ndarray:
-    """The gear hash, h = 2 h + table[byte] modulo 2**32, at each byte, in five doublings."""
-    h = _GEAR[buf]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] += h[:-k] << np.uint32(k)
-    return h
-
-
-def cuts(h: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
-    """Ends of the chunks of one text from its gear hashes; the last end is the text's."""
-    size = len(h)
-    found = np.flatnonzero(h[: max(0, size - 1)] < np.uint32(2**32 // mean)) + 1
-    follow = np.searchsorted(found, found + least).tolist()
-    at = found.tolist()
-    i = int(np.searchsorted(found, least))
-    out, last = [], 0
-    while True:
-        stop = at[i] if i < len(at) else size
-        while stop - last > most:
-            last += most
-            out.append(last)
-            i = int(np.searchsorted(found, last + least))
-            stop = at[i] if i < len(at) else size
-        if i >= len(at):
-            break
-        out.append(stop)
-        last = stop
-        i = follow[i]
-    return [*out, size] if size else []
-
-
-def chunk_pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of all pairs of neighbouring chunks of a text; a place is the start, and in
-    ten bits each the two lengths."""
-    ends = np.array(cuts(gear_hashes(data)), np.int64)
-    if len(ends) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], ends[:-1]])
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    digest = lambda a, b: (sums[b] - sums[a]) * down[a]
-    pair = mix64(digest(starts[:-1], ends[1:])) ^ mix64(digest(starts[:-1], ends[:-1]) + (ends[1:] - starts[:-1]).astype(np.uint64))
-    return starts[:-1] << 20 | (ends - starts)[:-1] << 10 | (ends - starts)[1:], pair
-
-
-def _pairs(batches):
-    for batch in batches:
-        keys = column_of(batch, "_key").to_numpy()
-        for lo, hi, buf, offs in text_blocks(column_of(batch, "_text")):
-            key, place, digest = [], [], []
-            for r in range(hi - lo):
-                at, d = chunk_pairs(buf[offs[r] : offs[r + 1]])
-                key.append(np.full(len(at), keys[lo + r]))
-                place.append(at)
-                digest.append(d.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (key, place, digest)], names=["_key", "_at", "_digest"])
-
-
-def _contexts(id_type: str, reach: int, step: int):
-    """For each place asked for in a text: digests of what leads from it to every ``step``-th end of a
-    word within ``reach`` bytes, outwards, with their lengths and the number of all such ends; the words
-    before it, whether it cuts one, the bytes inwards to a space, and whether the text goes on beyond."""
-    names = ["_key", "_id", "side", "d", "at", "nth", "cut", "back", "more", "size", "ends", "far"]
-
-    def places(data: np.ndarray, d: np.ndarray, side: np.ndarray, at: np.ndarray):
-        size = len(data)
-        space = _SPACE[data]
-        edge = np.diff(np.concatenate([[False], ~space, [False]]).astype(np.int8))
-        starts, stops, spaces = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.flatnonzero(space)
-        up, down = powers(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[:size], out=sums[1:])
-        after = side == 1
-        first = np.where(after, np.searchsorted(stops, at, "right"), np.searchsorted(starts, at) - 1)
-        total = np.where(after, np.searchsorted(stops, at + reach, "right") - first, first + 1 - np.searchsorted(starts, at - reach))
-        n = total // step
-        own = np.repeat(np.arange(len(at)), n)
-        k = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step + step - 1
-        i = np.where(after[own], first[own] + k, first[own] - k)
-        ends = np.where(after[own], stops[i], starts[i])
-        low, high = np.minimum(ends, at[own]), np.maximum(ends, at[own])
-        far = high - low
-        digest = mix64((sums[high] - sums[low]) * down[low] + far.astype(np.uint64)) ^ mix64(d.view(np.uint64) * np.uint64(2) + side.astype(np.uint64))[own]
-        before, next_ = np.concatenate([[-1], spaces]), np.concatenate([spaces, [size]])
-        k = np.searchsorted(spaces, at)
-        back = np.where(after, at - 1 - before[k], next_[k] - at)
-        wide = np.concatenate([[True], space, [True]])
-        cut = ~wide[at] & ~wide[at + 1]
-        more = np.where(after, at + reach < size, at > reach)
-        return np.searchsorted(starts, at), cut, back, more, total, n, mix64(digest).view(np.int64), far.astype(np.int32)
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in text_blocks(column_of(batch, "_text")):
+                starts, ends, first = words_of(buf, offs)
+                a, b, c, digest, row = chunk_pairs(hashes_of(buf, starts, ends), first, gear, window)
+                place = (a - first[row]) << 16 | (b - a) << 8 | (c - b)
+                cuts = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
+                some = np.diff(first) > 0
+                edge = lambda v, at: np.where(some, v[np.clip(at, 0, max(0, len(v) - 1))] - offs[:-1], 0) if len(v) else np.zeros(hi - lo, np.int64)  # noqa: E731, B023
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*(column_of(part, x) for x in ("_key", "_more", "_id")), pa.array(np.diff(first).astype(np.int64)), pa.array(edge(starts, first[:-1])), pa.array(edge(ends, first[1:] - 1)), pa.ListArray.from_arrays(cuts, pa.array(digest.view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(place))],
+                    names=["_key", "_more", "_id", "n", "begin", "end", "digests", "places"],
+                )
+
+    return run, f"_key long, _more long, _id {id_type}, n long, begin long, end long, digests array<long>, places array<long>"
+
+
+def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(regions):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _windows(min_words: int):
+    """For each region of a text its windows: two digests, the first byte and the byte after the last."""
 
     def run(batches):
         for batch in batches:
-            texts, jobs, keys = column_of(batch, "_text").cast(pa.binary()), column_of(batch, "_jobs"), column_of(batch, "_key").to_numpy()
+            keys, texts, regions = column_of(batch, "_key").to_numpy(), column_of(batch, "_text"), column_of(batch, "_regions")
             for i in range(batch.num_rows):
-                data = np.frombuffer(texts[i].as_py() or b"", np.uint8)
-                job = jobs[i].values
-                for lo in range(0, len(job), FLUSH_PLACES):
-                    d, side, at = (job.field(c).to_numpy()[lo : lo + FLUSH_PLACES] for c in ("d", "side", "at"))
-                    nth, cut, back, more, total, n, ends, far = places(data, d, side, at)
-                    offs = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(offs, pa.array(v)) for v in (ends, far)]
-                    ids = column_of(batch, "_id").take(pa.array(np.full(len(at), i)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[i])), ids, pa.array(side), pa.array(d), pa.array(at), *(pa.array(v) for v in (nth, cut, back, more, total)), *lists], names=names)
-
-    return run, f"_key long, _id {id_type}, side long, d long, at long, nth long, cut boolean, back long, more boolean, size long, ends array<long>, far array<int>"
-
-
-PLACE = ["_key", "side", "at"]
-
+                rows = []
+                for _, _, buf, offs in text_blocks(texts.slice(i, 1)):
+                    starts, ends, _ = words_of(buf, offs)
+                    words = hashes_of(buf, starts, ends)
+                    one, two = prefix_sums(words), prefix_sums(mix64(words ^ _OTHER))
+                    for lo, hi in merged([(max(0, r["lo"]), min(len(words), r["hi"])) for r in regions[i].as_py()]):
+                        a = np.arange(lo, hi - min_words + 1)
+                        if len(a):
+                            b = a + min_words
+                            rows.append((lo, mix64(one(a, b)).view(np.int64), (mix64(two(a, b)) >> np.uint64(33)).astype(np.int32), starts[a], ends[b - 1]))
+                lists = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), keys[i])), pa.array([r[0] for r in rows], pa.int64()), *lists], names=["_key", "lo", "d", "x", "begins", "ends"])
+
+    return run, "_key long, lo long, d array<long>, x array<int>, begins array<long>, ends array<long>"
 
-def _common(rows: DataFrame, n: str, partner: str) -> DataFrame:
-    """For each place the most words of ``rows`` (place, n, h) that another document has, and which."""
-    shared = rows.groupBy("h").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b")
-    rows = rows.join(shared, "h").withColumn("p", F.when(F.col("_key") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-    return rows.groupBy(*PLACE).agg(F.max("n").alias(n), F.max_by("p", "n").alias(partner))
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with a key of their text, and a second hash that shows whether two texts share a key; texts
+    whose key another text has too get one of their own."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    key, more = F.xxhash64(F.lit(1), "_text"), F.xxhash64(F.lit(2), "_text")
+    return rows.select(key.alias("_key"), more.alias("_more"), "_id", "_text")
 
-def _agreed(found: DataFrame) -> DataFrame:
-    """How far each place agrees with the document that agrees farthest: words w, bytes far, partner.
-
-    Prefixes of every STEP-th word are looked up first. A place then gives all its prefixes up to where
-    it is alone, so whichever document agrees with another has given that prefix too.
-    """
-    at = lambda n: F.element_at("ends", n.cast("int")).alias("h")
-    size = F.size("ends")
-    rows = found.where(size >= STEP).select(*PLACE, "ends", F.explode(F.sequence(F.lit(STEP), size, F.lit(STEP))).alias("n")).select(*PLACE, "n", at(F.col("n")))
-    coarse = _common(rows, "_coarse", "_p")
-    found = materialise(found.join(coarse, PLACE, "left"), "reached")
-    least = F.coalesce("_coarse", F.lit(0))
-    rows = found.where(size > 0).select(*PLACE, "ends", F.explode(F.sequence(F.lit(1), F.least(size, least + STEP - 1))).alias("n")).where(F.col("n") % STEP != 0).select(*PLACE, "n", at(F.col("n")))
-    out = found.join(_common(rows, "_fine", "_q"), PLACE, "left").withColumn("w", F.greatest(least, F.coalesce("_fine", F.lit(0))))
-    out = out.withColumn("partner", F.when(F.col("w") > least, F.col("_q")).otherwise(F.col("_p"))).withColumn("far", F.when(F.col("w") > 0, F.element_at("far", F.col("w"))).otherwise(F.when(F.col("cut"), -F.col("back")).otherwise(0)).cast("long"))
-    out = out.select(*PLACE, "_id", "d", "nth", "cut", F.col("w").cast("long").alias("w"), "far", "partner", (F.col("more") & (F.col("w") == size)).alias("open"))
-    return out.dropDuplicates(PLACE)  # repeated rows are one document
-
-
-def _found(rows: DataFrame, places: DataFrame, id_type: str, reach: int, step: int = 1) -> DataFrame:
-    jobs = places.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("side", "d", "at")).alias("_jobs"))
-    texts = rows.join(jobs, F.col("_key") == F.col("_k")).drop("_k")  # a row's places have no bound, so no broadcast
-    run, schema = _contexts(id_type, reach, step)
-    return materialise(texts.mapInArrow(run, schema), "contexts")
-
-
-def _places(runs: DataFrame, hits: DataFrame) -> DataFrame:
-    """All places of the pairs that end runs: starts of first pairs, ends of last ones."""
-    out = None
-    for side, d, at in ((0, "d1", "_start"), (1, "d2", "_end")):
-        asked = runs.select(F.col(d).alias("_digest")).distinct()
-        own = hits.join(asked, "_digest").select("_key", F.lit(side).cast("long").alias("side"), F.col("_digest").alias("d"), F.col(at).cast("long").alias("at"))
-        out = own if out is None else out.union(own)
-    return materialise(out, "places")
-
-
-def _hopeful(rows: DataFrame, runs: DataFrame, hits: DataFrame, id_type: str, min_words: int) -> DataFrame:
-    """The runs that can reach ``min_words``: at either end, STEP - 1 words more at most than the last
-    STEP-th that another document shares. Where a context ends before that, nothing is ruled out."""
-    found = _found(rows, _places(runs, hits), id_type, CONTEXT, STEP)
-    steps = found.select(*PLACE, F.posexplode("ends").alias("n", "h")).withColumn("n", F.col("n") + 1)
-    sure = F.coalesce(F.col("_n"), F.lit(0)) * STEP + STEP - 1
-    most = F.when(sure <= F.col("size"), sure).otherwise(F.when(F.col("more"), F.lit(min_words)).otherwise(F.col("size")))
-    # a place with no shared step may still share up to STEP - 1 words; the bound is never too small
-    bound = found.join(_common(steps, "_n", "_p"), PLACE, "left").select(*PLACE, "nth", F.greatest(most, F.lit(0)).alias("most")).dropDuplicates(PLACE)
-    edge = lambda side, at: bound.where(F.col("side") == side).select("_key", F.col("at").alias(at), F.col("nth").alias(f"nth{side}"), F.col("most").alias(f"most{side}"))
-    both = runs.join(edge(0, "s"), ["_key", "s"]).join(edge(1, "e"), ["_key", "e"])
-    return materialise(both.where(F.col("nth1") - F.col("nth0") + F.col("most0") + F.col("most1") >= min_words).select(*runs.columns), "runs")
-
-
-def _ends(rows: DataFrame, places: DataFrame, id_type: str) -> DataFrame:
-    """The places with how far they agree; contexts grow until none agrees to its end and goes on."""
-    reach, left, out = CONTEXT, places, None
-    while True:
-        new = materialise(_agreed(_found(rows, left, id_type, reach)), "ends")
-        again = new.where("open").select("side", "d").distinct()
-        out = new if out is None else out.join(new.select(*PLACE), PLACE, "left_anti").unionByName(new)
-        if not again.limit(1).count():
-            return out
-        left = materialise(places.join(again, ["side", "d"], "left_semi"), "places")
-        reach *= GROWTH
 
+def _apart(rows: DataFrame, clashing: list[int]) -> DataFrame:
+    return rows.withColumn("_key", F.when(F.col("_key").isin(clashing), F.xxhash64(F.lit(3), "_key", "_more")).otherwise(F.col("_key"))) if clashing else rows
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A key for each id and text: stable over scans, and the same for repeated rows."""
-    return docs.select(F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
+def _texts(rows: DataFrame, id_type: str, min_words: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """The chunked rows; a row for each text with its documents' least and greatest id and the row that
+    stands for it; and the keys that had to be parted. Their number is n * n / 2**65 for n texts."""
+    run, schema = _chunked(id_type, min_words)
+    chunked = materialise(rows.mapInArrow(run, schema).withColumn("_rid", F.monotonically_increasing_id()), "chunked")
+    texts = chunked.groupBy("_key", "_more").agg(F.min("_rid").alias("_first"), F.count("*").alias("rows"), *[f(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))], *[F.first(c).alias(c) for c in ("n", "begin", "end")])
+    texts = materialise(texts, "texts")
+    clashing = [r[0] for r in texts.groupBy("_key").agg(F.count("*").alias("k")).where("k > 1").select("_key").collect()]
+    parted = lambda df: _apart(df, clashing).drop("_more")
+    return parted(chunked), parted(texts), clashing
 
-def _spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Passages, and for their runs the stretches that a leading document has (later) or not.
 
-    Of the documents with a pair, the one of the smallest key leads. Each end of a run is extended as
-    far as any other document agrees that has its end pair, at whichever place.
-    """
+def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Rows (key, id), texts, the repeated windows of texts (key, pos, begin, end, the least key that has
+    it, another), and the keys that were parted."""
+    gear, window = chunk_window(min_words)
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _keyed(docs, id_col, text_col)
-    pairs = materialise(rows.select("_key", "_text").mapInArrow(_pairs, "_key long, _at long, _digest long"), "pairs")
-    repeated = pairs.groupBy("_digest").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b")
-    hits = pairs.join(repeated, "_digest").repartition("_key").dropDuplicates(["_key", "_at"])
-    hits = hits.withColumn("_later", F.col("_key") != F.col("a")).withColumn("_partner", F.when(F.col("_later"), F.col("a")).otherwise(F.col("b"))).drop("a", "b")
-    hits = hits.withColumn("_start", F.shiftright("_at", 20)).withColumn("_middle", F.col("_start") + F.shiftright("_at", 10).bitwiseAND(F.lit(1023))).withColumn("_end", F.col("_middle") + F.col("_at").bitwiseAND(F.lit(1023)))
-    in_text = Window.partitionBy("_key").orderBy("_start")
-    apart = F.coalesce(F.lag("_middle").over(in_text) != F.col("_start"), F.lit(True))
-    turns = apart | (F.lag("_later").over(in_text) != F.col("_later"))
-    hits = hits.withColumn("_apart", apart.cast("long")).withColumn("_turn", turns.cast("long"))
-    hits = hits.withColumn("_run", F.sum("_apart").over(in_text)).withColumn("_sub", F.sum("_turn").over(in_text))
-    hits = materialise(hits.select("_key", "_digest", "_start", "_end", "_later", "_partner", "_run", "_sub"), "hits")
-    stretches = hits.groupBy("_key", "_run", "_later", "_sub").agg(F.min("_start").alias("s"), F.max("_end").alias("e"))
-
-    end = lambda pick: pick(F.struct("_digest", "_partner"), F.col("_start"))
-    runs = hits.groupBy("_key", "_run").agg(F.min("_start").alias("s"), F.max("_end").alias("e"), end(F.min_by).alias("x"), end(F.max_by).alias("y"))
-    runs = runs.select("_key", F.col("_run"), F.col("s").cast("long"), F.col("e").cast("long"), F.col("x._digest").alias("d1"), F.col("y._digest").alias("d2"), F.col("x._partner").alias("p1"))
-    runs = materialise(runs, "runs")
-    runs = _hopeful(rows, runs, hits, id_type, min_words)
-    ends = _ends(rows, _places(runs, hits), id_type)
-    edge = lambda side, at: ends.where(F.col("side") == side).select("_key", F.col("at").alias(at), *(F.col(c).alias(f"{c}{side}") for c in ("_id", "nth", "cut", "w", "far", "partner")))
-    spans = runs.join(edge(0, "s"), ["_key", "s"]).join(edge(1, "e"), ["_key", "e"])
-    # words of the run, a cut one at its start included; a cut word is one with the first beyond the run
-    words = F.col("nth1") - F.col("nth0") + F.col("w0") + F.col("w1") - F.col("cut1").cast("long")
-    spans = spans.select("_key", F.col("_id0").alias("_id"), "_run", (F.col("s") - F.col("far0")).alias("span_start"), (F.col("e") + F.col("far1")).alias("span_end"), words.alias("n_words"), F.coalesce("partner0", "partner1", "p1").alias("_other"))
-    spans = spans.where((F.col("n_words") >= min_words) & (F.col("span_start") < F.col("span_end")))
-    names = ends.groupBy(F.col("_key").alias("_other")).agg(F.first("_id").alias("other_id"))
-    return spans.join(names, "_other", "left").drop("_other"), stretches
+    chunked, texts, clashing = _texts(rows, id_type, min_words)
+    copied = materialise(texts.where("rows > 1").select(F.col("_key").alias("_k"), "_first"), "copied")
+    once = chunked.join(copied, F.col("_key") == F.col("_k"), "left").where("_first is null or _first = _rid")
+    pairs = materialise(once.where(F.size("digests") > 0).select("_key", "digests", "places"), "pairs")
+    repeated = pairs.select("_key", F.explode("digests").alias("_d")).groupBy("_d").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b").select("_d")
+    repeated = materialise(repeated, "repeated")
+    hits = pairs.select("_key", F.explode(F.arrays_zip("digests", "places")).alias("p")).select("_key", F.col("p.digests").alias("_d"), F.col("p.places").alias("_at")).join(repeated, "_d")
+    start = F.shiftright("_at", 16)
+    middle = start + F.shiftright("_at", 8).bitwiseAND(F.lit(255))
+    hits = hits.select("_key", start.alias("s"), middle.alias("m"), (middle + F.col("_at").bitwiseAND(F.lit(255))).alias("e"))
+    in_text = Window.partitionBy("_key").orderBy("s")
+    hits = hits.withColumn("_new", F.coalesce((F.lag("m").over(in_text) != F.col("s")).cast("long"), F.lit(1)))
+    runs = hits.withColumn("_run", F.sum("_new").over(in_text)).groupBy("_key", "_run").agg((F.min("s") - (gear + window - 2)).alias("lo"), (F.max("e") + window).alias("hi"))
+    regions = runs.where(F.col("hi") - F.col("lo") >= min_words).groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("_regions"))
+    regions = materialise(regions.join(texts.select("_key", F.col("low.id").alias("_i")), "_key").withColumnRenamed("_key", "_k"), "regions")
+
+    again = _apart(rows, clashing).join(regions, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_key", "_text", "_regions")
+    run, schema = _windows(min_words)
+    windows = materialise(again.mapInArrow(run, schema), "windows")
+    each = windows.select("_key", "lo", F.posexplode(F.arrays_zip("d", "x", "begins", "ends")).alias("_n", "w")).select("_key", (F.col("lo") + F.col("_n")).alias("pos"), F.col("w.d").alias("d"), F.col("w.x").alias("x"), F.col("w.begins").alias("begin"), F.col("w.ends").alias("end"))
+    shared = materialise(each.groupBy("d", "x").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a <> b"), "shared")
+    found = each.join(shared, ["d", "x"]).select("_key", "pos", "begin", "end", (F.col("a") != F.col("_key")).alias("_later"), F.when(F.col("a") == F.col("_key"), F.col("b")).otherwise(F.col("a")).alias("_other"))
+    found = found.repartition("_key").dropDuplicates(["_key", "pos"])  # repeated rows are one document
+    along = Window.partitionBy("_key").orderBy("pos")
+    found = found.withColumn("_new", F.coalesce((F.lag("pos").over(along) + 1 != F.col("pos")).cast("long"), F.lit(1)))
+    found = found.withColumn("_span", F.sum("_new").over(along)).drop("_new")
+    return chunked.select("_key", "_id"), texts, materialise(found, "found"), clashing
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each passage of a document that another document has too: id, span_start, span_end
-    (bytes of the UTF-8 text), n_words, other_<id> and kept.
-
-    A passage has ``min_words`` words at least, each whole. It is found by chunk digests, and each of
-    its edges by digests of the words beyond, against all other documents that have its first or last
-    two chunks; ``other_<id>`` is one that agrees farthest. ``kept`` says that
-    no chunk of it is led by another document, so ``drop_repeats`` leaves it. Rows of one id and text
-    are one document; a passage repeated only inside it is none. Null and empty texts have no
-    passages; ids may be null; empty tables give no rows.
-
-    All chunks are shuffled as digests with map-side combining, so a chunk that every document has
-    is one row a task; joins on digests can be split, and texts are read again only for documents
-    with runs.
+    """A row for each passage of a document that others have too: id, span_start, span_end (bytes of
+    the UTF-8 text), n_words, other_<id> and kept.
+
+    A passage is a stretch of words, as long as possible, all of whose windows of ``min_words`` words
+    occur in other documents, whatever white space stands between the words; so it has ``min_words``
+    at least. Its windows may be those of several documents; ``other_<id>`` is one that has the first.
+    Of texts with a window the one of the least key leads, and of copies of a text the document of
+    the least id (null last); ``kept`` says that no window of the passage is led by another document.
+    A text that several ids have is one passage as a whole. Rows of one id and text are one document;
+    a passage repeated only inside it is none. Null and empty texts have no passages; ids may be null;
+    empty tables give no rows; other columns are not read.
+
+    Chunks and windows are shuffled as digests with map-side combining, so what every text has is
+    one row a task; copies take part once; joins on digests are of written tables, so they can be split.
+    Windows are compared by 95 bits of two hashes.
     """
-    spans, stretches = _spans(docs, id_col, text_col, min_words)
-    later = stretches.where("_later").select("_key", "_run").distinct().withColumn("_cut", F.lit(True))
-    return spans.join(later, ["_key", "_run"], "left").select(F.col("_id").alias(id_col), "span_start", "span_end", "n_words", F.col("other_id").alias(f"other_{id_col}"), F.col("_cut").isNull().alias("kept"))
-
-
-def _left_of(text: bytes, spans: list[dict]) -> bytes:
-    """The text without what other documents lead; the led edges of a passage go with it."""
-    drop = np.zeros(len(text) + 1, np.bool_)
-    for x in spans:
-        edge = [(x["span_start"], x["s"]), (x["e"], x["span_end"])] if x["_later"] else []
-        for a, b in [(x["s"], x["e"]), *[(a, b) for (a, b), at in zip(edge, (x["first"], x["last"]), strict=False) if at]]:
-            if x["_later"]:
-                drop[max(0, a) : max(0, b)] = True
-    for x in spans:
-        if not x["_later"]:
-            drop[x["s"] : x["e"]] = False
-        if x["_later"]:  # a word that a passage only cuts stays
-            drop[x["s"] : max(x["s"], x["span_start"])] = False
-            drop[min(x["e"], x["span_end"]) : x["e"]] = False
-    keep = ~drop[:-1]
-    return np.frombuffer(text, np.uint8)[keep].tobytes()
-
-
-def _cut_texts(text_col: str):
+    rows, texts, found, _ = _repeats(docs, id_col, text_col, min_words)
+    spans = found.groupBy("_key", "_span").agg(F.min("begin").alias("span_start"), F.max("end").alias("span_end"), (F.count("*") + min_words - 1).alias("n_words"), F.min_by("_other", "pos").alias("_other"), (~F.bool_or("_later")).alias("kept"))
+    names = texts.select(F.col("_key").alias("_other"), F.col("low.id").alias("_name"))
+    spans = spans.join(names, "_other").select("_key", "span_start", "span_end", "n_words", F.col("_name").alias("other"), "kept")
+    copied = (F.col("n") >= min_words) & (~F.col("low.id").eqNullSafe(F.col("high.id")))
+    whole = texts.where(copied).select("_key", F.col("begin").alias("span_start"), F.col("end").alias("span_end"), F.col("n").alias("n_words"), F.lit(None).cast(texts.schema["low"].dataType["id"].dataType).alias("other"), F.lit(None).cast("boolean").alias("kept"), "low", "high")
+    alone = spans.join(whole.select("_key"), "_key", "left_anti")
+    passages = materialise(alone.unionByName(whole, allowMissingColumns=True).withColumnRenamed("_key", "_k"), "spans")
+    out = rows.distinct().join(passages, F.col("_key") == F.col("_k"))
+    first = F.col("low").isNotNull() & F.col("_id").eqNullSafe(F.col("low.id"))
+    other = F.when(F.col("low").isNull(), F.col("other")).when(first, F.col("high.id")).otherwise(F.col("low.id"))
+    led = found.groupBy(F.col("_key").alias("_k2")).agg(F.bool_or("_later").alias("_led"))
+    out = out.join(led, F.col("_key") == F.col("_k2"), "left")
+    kept = F.when(F.col("low").isNull(), F.col("kept")).otherwise(first & ~F.coalesce("_led", F.lit(False)))
+    return out.select(F.col("_id").alias(id_col), "span_start", "span_end", "n_words", other.alias(f"other_{id_col}"), kept.alias("kept"))
+
+
+def _cut_texts(names: list[str], text_at: int):
     def run(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(column_of(batch, text_col).cast(pa.binary()).to_pylist(), column_of(batch, "_cut").to_pylist(), strict=True):
-                out.append(_left_of(text, spans) if spans else text)
-            renewed = pa.array([None if t is None else t.decode("utf-8", "replace") for t in out], pa.string())
-            names = [c for c in batch.schema.names if c != "_cut"]
-            yield pa.RecordBatch.from_arrays([renewed if c == text_col else column_of(batch, c) for c in names], names=names)
+            for text, cuts in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                parts, at = [], 0
+                for a, b in merged([(c["a"], c["b"]) for c in cuts or ()]):
+                    parts.append(text[at:a])
+                    at = b
+                out.append(None if text is None else b"".join([*parts, text[at:]]).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == text_at else batch.column(k) for k in range(len(names))], names=names)
 
     return run
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut out of all documents but those that lead their chunks, so
-    that each stays somewhere. The columns are those of ``docs``; other rows are as they were."""
-    spans, stretches = _spans(docs, id_col, text_col, min_words)
-    at = Window.partitionBy("_key", "_run")
-    marked = stretches.withColumn("first", F.col("s") == F.min("s").over(at)).withColumn("last", F.col("e") == F.max("e").over(at)).drop("_sub")
-    cut = spans.select("_key", "_run", "span_start", "span_end").join(marked, ["_key", "_run"])
-    cut = cut.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("span_start", "span_end", "s", "e", "_later", "first", "last")).alias("_cut"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)))
-    return keyed.join(cut, F.col("_key") == F.col("_k"), "left").drop("_key", "_k").mapInArrow(_cut_texts(text_col), docs.schema)
+    """``docs`` without the windows that another document leads: their words go, with the white space
+    between them. Whatever goes is in a document of a smaller key, so it stays somewhere; of copies
+    the document of the least id stays. The columns are those of ``docs``; other rows are as they were.
+    """
+    _, texts, found, clashing = _repeats(docs, id_col, text_col, min_words)
+    later = found.where("_later").groupBy("_key").agg(F.collect_list(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))).alias("part"))
+    copied = texts.where((F.col("n") >= min_words) & (~F.col("low.id").eqNullSafe(F.col("high.id")))).select("_key", F.col("low.id").alias("stays"), F.array(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))).alias("whole"))
+    cuts = materialise(later.join(copied, "_key", "full").select(F.struct("_key", "part", "stays", "whole").alias("_x")), "cuts")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # the names of docs may be any
+    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    text = F.coalesce(f"c{text_at}", F.lit(""))
+    key = F.xxhash64(F.lit(1), text)
+    if clashing:
+        key = F.when(key.isin(clashing), F.xxhash64(F.lit(3), key, F.xxhash64(F.lit(2), text))).otherwise(key)
+    here = plain.withColumn("k", key).join(cuts, F.col("k") == F.col("_x._key"), "left")
+    cut = F.when(F.col("_x.whole").isNotNull() & ~F.col(f"c{id_at}").eqNullSafe(F.col("_x.stays")), F.col("_x.whole")).otherwise(F.col("_x.part"))
+    return here.select(*plain.columns, cut.alias("cut")).mapInArrow(_cut_texts(docs.columns, text_at), docs.schema)
