@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 import numpy as np
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.readers import shared_dir
+
 #: The white space of the contracts: `[\x20\x09-\x0D]`, which is also what ``bytes.split`` takes.
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACES = r"[^\x20\x09-\x0D]+"
@@ -19,26 +21,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/inkwell-shared"
-    return base.rstrip("/")
+#: Bytes of a batch that goes to a Python worker while a table is written.
+BATCH_BYTES = "16m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if now:
+        files.delete(target, True)
+    else:
+        files.deleteOnExit(target)
+
+
+_SCOPES: list[list[str]] = []
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors.
 
-    The table is deleted when the driver's JVM ends.
+    The table goes when its ``scratch`` ends, or ``discard`` is called, or the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    _delete(spark, path, now=False)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to, now=True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is materialised inside goes at the end, but for tables taken out of the list it gives."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path, now=True)
 
 
 def sized(small: DataFrame, rows: int, bound: int) -> DataFrame:

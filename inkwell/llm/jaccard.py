@@ -4,8 +4,12 @@ Documents are sets of word n-grams. Equal sets are one class of copies with one
 Representatives that agree in all rows of a band share a bucket; each bucket's smallest member leads
 it, and every other member is compared with its leads on full sets. Members of one lead are then
 compared with each other, in blocks, by what their sets differ from the lead's; a pair that shares
-several leads counts at the smallest. So every pair that shares a bucket is verified once, and what
-is shuffled grows with documents and bands, not with pairs.
+several leads counts at the smallest. So every pair that shares a bucket is verified once.
+
+Members that are all like their lead are in its class without being compared with each other, so
+classes cost a row for each member and, for the few that are unlike their lead, one for each block
+of the others. Only to count links is every pair of a lead's members compared: M members then are
+shuffled M / BLOCK times each, as products of 0/1 matrices, never as rows for pairs.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import column_of, materialise, mix64, sized, text_blocks, word_hashes, word_spans
+from inkwell.llm.common import column_of, discard, materialise, mix64, sized, text_blocks, word_hashes, word_spans
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Hash functions at most; the more, the fewer unlike documents meet in a bucket.
 MOST_HASHES = 320
-#: Members of a lead in a block; two blocks are compared by one task.
-BLOCK = 256
+#: Members of a lead in a block, and n-grams by which these differ from the lead, both on average;
+#: two blocks are compared at once.
+BLOCK, BLOCK_ITEMS = 1024, 1 << 18
 BROADCAST_ROWS = 100_000
 LABELS_PER_FILE = 500_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -131,48 +136,75 @@ def _compare(threshold: float):
     return run, "lead long, member long, alike boolean, n_lead long, gone long, differ array<long>"
 
 
-def _common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices in slices."""
-    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (one, two)]
-    items = [np.concatenate([*x, np.zeros(0, np.int64)]) for x in (one, two)]
-    shared = np.intersect1d(*items)
-    out = np.zeros((len(one), len(two)), np.float32)
-    for k in range(0, len(shared), 8192):
-        part = shared[k : k + 8192]
+def _common(one, two) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices in slices; a list
+    is its size, and for each item its set's number and itself."""
+    shared = np.intersect1d(one[2], two[2])
+    out = np.zeros((one[0], two[0]), np.float32)
+    for k in range(0, len(shared), 4096):
+        part = shared[k : k + 4096]
         dense = []
-        for r, v, x in zip(rows, items, (one, two), strict=True):
+        for n, r, v in (one, two):
             at = np.minimum(np.searchsorted(part, v), len(part) - 1)
             hit = part[at] == v
-            m = np.zeros((len(x), len(part)), np.float32)
+            m = np.zeros((n, len(part)), np.float32)
             m[r[hit], at[hit]] = 1
             dense.append(m)
         out += dense[0] @ dense[1].T
     return out
 
 
-def _links(threshold: float):
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), column.flatten().to_numpy()
+
+
+def _part(offs: np.ndarray, items: np.ndarray, rows: np.ndarray):
+    """The chosen sets of a list column, for ``_common``."""
+    n = offs[rows + 1] - offs[rows]
+    own = np.repeat(np.arange(len(rows)), n)
+    return len(rows), own, items[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + offs[rows][own]]
+
+
+def _counted(member: np.ndarray, leads, lead: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which linked pairs count here: the lead is the smallest that both have, and neither leads the other."""
+    offs, values = _lists(leads)
+    sets = [values[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
+    names, kind = np.unique(np.array([v.tobytes() for v in sets], object), return_inverse=True)
+    kinds = [set(np.frombuffer(v, np.int64).tolist()) for v in names]
+    codes, at = np.unique(kind[a] * len(kinds) + kind[b], return_inverse=True)
+    least = np.array([min(kinds[c // len(kinds)] & kinds[c % len(kinds)]) == lead for c in codes.tolist()], bool)[at]
+    order = np.argsort(member)
+    place = np.minimum(np.searchsorted(member[order], values), len(member) - 1)
+    hit = member[order][place] == values
+    led = np.repeat(np.arange(len(sets)), np.diff(offs))[hit] * len(member) + order[place[hit]]
+    return least & ~np.isin(a * len(member) + b, led) & ~np.isin(b * len(member) + a, led)
+
+
+def _links(threshold: float, count_links: bool):
     """For the members of a lead in two blocks: links to each, and a common label of linked ones."""
 
     def run(table: pa.Table) -> pa.Table:
         lead = table["lead"][0].as_py()
         block = table["_block"].to_numpy()
         low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
-        member, copies = table["member"].to_numpy(), table["copies"].to_numpy()
-        sets = [np.array(v, np.int64) for v in table["differ"].to_pylist()]
-        leads = [frozenset(v) for v in table["leads"].to_pylist()]
+        member = table["member"].to_numpy()
+        offs, items = _lists(table["differ"])
         gone, n_lead = table["gone"].to_numpy(), table["n_lead"][0].as_py()
-        own = n_lead - 2 * gone + np.array([len(v) for v in sets])
+        own = n_lead - 2 * gone + np.diff(offs)
         i, j = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        both = n_lead - gone[i][:, None] - gone[j][None] + _common([sets[x] for x in i], [sets[x] for x in j])
+        both = n_lead - gone[i][:, None] - gone[j][None] + _common(_part(offs, items, i), _part(offs, items, j))
         alike = both >= threshold * (own[i][:, None] + own[j][None] - both) - 1e-6
         if low == high:
             alike = np.triu(alike, 1)
         count, label = np.zeros(len(member), np.int64), np.arange(len(member))
         a, b = np.nonzero(alike)
         a, b = i[a], j[b]
-        fresh = np.array([min(leads[x] & leads[y]) == lead and member[x] not in leads[y] and member[y] not in leads[x] for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
-        np.add.at(count, a[fresh], copies[b[fresh]])
-        np.add.at(count, b[fresh], copies[a[fresh]])
+        if count_links and len(a):
+            copies, fresh = table["copies"].to_numpy(), _counted(member, table["leads"], lead, a, b)
+            np.add.at(count, a[fresh], copies[b[fresh]])
+            np.add.at(count, b[fresh], copies[a[fresh]])
         while True:
             least = label.copy()
             np.minimum.at(least, a, label[b])
@@ -196,14 +228,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     files = max(1, -(-both.count() // LABELS_PER_FILE))  # labels are few bytes: not a file for each shuffle partition
     labels = materialise(both.groupBy(F.col("a").alias("_set")).agg(F.least(F.col("_set"), F.min("b")).alias("label")).coalesce(files), "labels")
+    written = labels
     while True:
         near = both.join(labels.select(F.col("_set").alias("b"), F.col("label").alias("theirs")), "b").groupBy(F.col("a").alias("_set")).agg(F.min("theirs").alias("near"))
         step = labels.join(near, "_set").select("_set", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("_set").alias("label"), F.col("label").alias("root"))
-        step = materialise(step.join(jump, "label").select("_set", "old", F.least("label", "root").alias("label")).coalesce(files), "labels")
-        if not step.where("label <> old").limit(1).count():
-            return step.select("_set", "label")
-        labels = step.select("_set", "label")
+        after = materialise(step.join(jump, "label").select("_set", "old", F.least("label", "root").alias("label")).coalesce(files), "labels")
+        discard(written)
+        if not after.where("label <> old").limit(1).count():
+            discard(both)
+            return after.select("_set", "label")
+        labels, written = after.select("_set", "label"), after
 
 
 def _row_key(docs: DataFrame):
@@ -211,7 +246,7 @@ def _row_key(docs: DataFrame):
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram: int, recall: float) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram: int, recall: float, count_links: bool) -> DataFrame:
     """A row for each row of ``docs``: its id, key, class (null without words), class_id, links, copies."""
     bands, rows = choose_bands(threshold, recall)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -221,6 +256,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram
     reps = materialise(signs.where("_n > 0").groupBy("_set").agg(F.count("*").alias("copies"), F.min("_id").alias("_least"), F.min("_row").alias("_wanted"), F.first("_bands").alias("_bands")), "reps")
     buckets = reps.select("_set", F.posexplode("_bands").alias("_band", "_hash"))
     leads = buckets.groupBy("_band", "_hash").agg(F.min("_set").alias("lead"), F.max("_set").alias("last")).where("lead <> last").drop("last")
+    leads = materialise(leads, "leads")  # a written side: the join can split a bucket that many share
     pairs = materialise(buckets.join(leads, ["_band", "_hash"]).where("lead <> _set").select("lead", F.col("_set").alias("member")).distinct(), "pairs")
 
     wanted = pairs.select(F.col("lead").alias("_set")).union(pairs.select("member")).distinct().join(reps.select("_set", "_wanted"), "_set")
@@ -232,18 +268,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram
     compared = materialise(pairs.join(side("member"), "member").join(side("lead"), "lead").mapInArrow(run, schema), "compared")
 
     copies = lambda who, name: reps.select(F.col("_set").alias(who), F.col("copies").alias(name))
-    star = compared.where("alike").select("lead", "member").join(copies("member", "mc"), "member").join(copies("lead", "lc"), "lead")
-    crowd = compared.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
-    own_leads = pairs.groupBy("member").agg(F.collect_list("lead").alias("leads"))
-    inside = compared.join(crowd, "lead").join(own_leads, "member").join(copies("member", "copies"), "member")
-    inside = inside.withColumn("_block", F.pmod(F.xxhash64("member"), F.col("_blocks")).cast("int"))
-    inside = inside.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    star = compared.where("alike").select("lead", "member")
+    share = lambda what: F.greatest(F.ceil(F.count(F.when(what, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(what, F.size("differ"))), F.lit(0)) / BLOCK_ITEMS)).cast("int")
+    crowd = compared.groupBy("lead").agg(share(~F.col("alike")).alias("_far"), share(F.col("alike")).alias("_near"), F.count("*").alias("k")).where("k > 1").drop("k")
+    crowd = materialise(crowd if count_links else crowd.where("_far > 0"), "crowd")
+    inside = compared.join(crowd, "lead")
+    if count_links:
+        own_leads = materialise(pairs.groupBy("member").agg(F.sort_array(F.collect_list("lead")).alias("leads")), "own")
+        inside = inside.join(own_leads, "member").join(copies("member", "copies"), "member")
+    else:
+        inside = inside.withColumn("leads", F.lit(None).cast("array<long>")).withColumn("copies", F.lit(None).cast("long"))
+    hashed = F.xxhash64("member")  # blocks of members unlike their lead come first
+    inside = inside.withColumn("_block", F.when(F.col("alike"), F.col("_far") + F.pmod(hashed, F.greatest(F.lit(1), "_near"))).otherwise(F.pmod(hashed, F.greatest(F.lit(1), "_far"))).cast("int"))
+    last = F.col("_far") + F.col("_near") - 1 if count_links else F.when(F.col("alike"), F.col("_far") - 1).otherwise(F.col("_far") + F.col("_near") - 1)
+    inside = inside.withColumn("_with", F.explode(F.sequence(F.lit(0), last)))
     inside = inside.select("lead", "member", "copies", "leads", "n_lead", "gone", "differ", "_block", F.least("_block", "_with").alias("_low"), F.greatest("_block", "_with").alias("_high"))
-    run, schema = _links(threshold)
+    run, schema = _links(threshold, count_links)
     inner = materialise(inside.groupBy("lead", "_low", "_high").applyInArrow(run, schema), "inner")
 
-    links = star.select(F.col("lead").alias("_set"), F.col("mc").alias("links")).union(star.select("member", "lc")).union(inner.select("_set", "links"))
-    links = links.groupBy("_set").agg(F.sum("links").alias("links"))
+    if count_links:
+        linked = star.join(copies("member", "mc"), "member").join(copies("lead", "lc"), "lead")
+        links = linked.select(F.col("lead").alias("_set"), F.col("mc").alias("links")).union(linked.select("member", "lc")).union(inner.select("_set", "links"))
+        links = links.groupBy("_set").agg(F.sum("links").alias("links"))
+    else:
+        links = reps.select("_set", F.lit(None).cast("long").alias("links")).limit(0)
     edges = star.select(F.col("lead").alias("a"), F.col("member").alias("b")).union(inner.where("_set <> other").select("_set", "other"))
     labels = materialise(components(edges).join(reps.select("_set", "_least"), "_set").join(links, "_set", "left"), "classes")
     names = labels.groupBy("label").agg(F.min("_least").alias("class_id"))
@@ -256,7 +304,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, gram
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """One row per input row: id, class_id, n_links, n_copies.
 
     Two rows are linked when the Jaccard index of their word ``gram``-gram sets is at least
@@ -265,23 +313,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links lead to. Pairs at the threshold meet with a chance of ``recall``, more alike ones with
     a higher one; every pair that meets is verified on full sets (of 64-bit n-gram hashes). Rows
     without words (null, empty) are linked with nothing and form classes of their own. Ids may be
-    null or repeat; empty tables give no rows.
+    null or repeat; empty tables give no rows. Without ``count_links`` n_links is null and classes are
+    the same; members of a class are then not compared with each other, which is for large clusters.
     """
-    return _classes(docs, id_col, text_col, threshold, gram, recall).select(
+    return _classes(docs, id_col, text_col, threshold, gram, recall, count_links).select(
         F.col("_id").alias(id_col),
         "class_id",
-        (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
+        (F.col("links") + F.col("copies") - 1 if count_links else F.lit(None)).cast("long").alias("n_links"),
         F.col("copies").cast("long").alias("n_copies"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL) -> DataFrame:
     """One row of ``docs`` for each class, with its columns: that of the smallest id, null last, and of
-    equal ids that of the smallest key. Rows without words are classes of their own, so all stay."""
-    rows = materialise(_classes(docs, id_col, text_col, threshold, gram, recall).select("_id", "_row", "_class"), "members")
+    equal ids that of the smallest key. Rows without words are classes of their own, so all stay. Texts
+    are shuffled once, by row key; two rows that share that 64-bit key could both stay, none is lost."""
+    rows = materialise(_classes(docs, id_col, text_col, threshold, gram, recall, False).select("_id", "_row", "_class"), "members")
     first = rows.where("_class is not null").groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))).alias("w"))
     kept = first.select(F.col("w.i").alias("_i"), F.col("w.r").alias("_r"), F.lit(False).alias("_all"))
     kept = kept.union(rows.where("_class is null").select("_id", "_row", F.lit(True)).distinct())
-    out = docs.withColumn("_row", _row_key(docs)).join(kept, (F.col("_row") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_i")))
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # the names of docs may be any
+    key = f"c{docs.columns.index(id_col)}"
+    out = plain.withColumn("_row", _row_key(docs.toDF(*plain.columns))).join(kept.select("_r", "_all").distinct(), F.col("_row") == F.col("_r"))
     alike = F.when(F.col("_all"), F.monotonically_increasing_id())  # of equal rows of a class one stays
-    return out.withColumn("_each", alike).dropDuplicates([id_col, "_row", "_each"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.withColumn("_each", alike).dropDuplicates(["_row", key, "_each"])
+    return out.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True)])

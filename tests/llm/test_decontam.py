@@ -40,7 +40,8 @@ def test_against_brute_force(spark):
             assert r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)
             assert sum(e - b for b, e in zip(r.spans[::2], r.spans[1::2])) == r.n_hit
         assert clean.columns == ["doc_id", "text", "n_hit", "items"]
-        assert sorted(r.doc_id for r in clean.collect()) == [2, 4, 5, 8]
+        by_hand = sorted(i for i, _ in CASES if not (want[i][1] and 20 * want[i][1] >= want[i][0]))  # letters with and without accents differ; © is part of a word
+        assert sorted(r.doc_id for r in clean.collect()) == by_hand == [2, 4, 5, 6, 8, 10]
 
 
 def test_empty_tables(spark):

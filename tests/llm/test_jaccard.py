@@ -18,7 +18,8 @@ def test_bands_reach_the_recall():
 def test_common_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 40)) for _ in range(30)]
-    got = _common(sets[:12], sets[12:])
+    listed = lambda x: (len(x), np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x))
+    got = _common(listed(sets[:12]), listed(sets[12:]))
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[12 + j])) for i in range(12) for j in range(18))
 
 

@@ -29,6 +29,7 @@ def test_chunks_cover_every_byte_of_every_text():
 
 def test_gradients_are_those_of_the_loss():
     net = {k: v.astype(np.float64) for k, v in first_weights(3).items()}
+    net["shift"] = net["shift"] + 0.013  # at 0 the responses of padding stand on the kink, where no slope is
     buf, offs = block(["Some Words, and more " * 90, "!!! ### " * 30, "kurz"])
     x, owner = chunks_of(buf, offs)
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
@@ -52,11 +53,11 @@ def test_gradients_are_those_of_the_loss():
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     some = docs.join(labels.select("doc_id"), "doc_id")
-    rows = quality_scores(some, labels, epochs=4, rows=1200).join(labels, "doc_id").collect()
+    rows = quality_scores(some, labels).join(labels, "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     held = [r for r in rows if r.held_out]
     good, bad = [r.predicted for r in held if r.quality == 1], [r.predicted for r in held if r.quality == 0]
-    assert np.mean(good) > 0.95 and np.mean(bad) < 0.2
+    assert np.mean(good) > 0.97 and np.mean(bad) < 0.15
 
 
 def test_edges(spark):

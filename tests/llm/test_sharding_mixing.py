@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,14 +18,32 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y") for i, t, s in rows], SCHEMA)
 
 
+def plain_differencing(sizes, n):
+    """The last spread when the two tuples of largest spread are joined, largest with smallest, again and again."""
+    left = [sorted([s] + [0] * (n - 1), reverse=True) for s in sizes]
+    order = list(range(len(left)))  # ties go to the earlier
+    while len(left) > 1:
+        a = max(range(len(left)), key=lambda i: (left[i][0] - left[i][-1], -order[i]))
+        one, at = left.pop(a), order.pop(a)
+        b = max(range(len(left)), key=lambda i: (left[i][0] - left[i][-1], -order[i]))
+        two, other = left.pop(b), order.pop(b)
+        joined = sorted((x + y for x, y in zip(one, reversed(two))), reverse=True)
+        left.append([x - joined[-1] for x in joined])
+        order.append(min(at, other))
+    return left[0][0] - left[0][-1]
+
+
 def test_karmarkar_karp_beats_the_classic_example():
     ways = karmarkar_karp([8, 7, 6, 5, 4], 2)
     sums = [sum(s for s, w in zip([8, 7, 6, 5, 4], ways) if w == k) for k in (0, 1)]
     assert sorted(sums) == [14, 16]  # the known result of differencing
     assert karmarkar_karp([], 3) == [] and karmarkar_karp([5], 3) in ([0], [1], [2])
-    ways = karmarkar_karp(list(range(1, 400)), 16)
-    sums = [sum(s for s, w in zip(range(1, 400), ways) if w == k) for k in range(16)]
-    assert max(sums) - min(sums) <= 2
+    for sizes, n in ((list(range(1, 400)), 16), ([random.Random(k).randint(1, 10**6) for k in range(300)], 7), ([5] * 9, 4)):
+        sums = Counter()
+        for s, w in zip(sizes, karmarkar_karp(sizes, n)):
+            sums[w] += s
+        spread = max(sums[k] for k in range(n)) - min(sums[k] for k in range(n))
+        assert spread == plain_differencing(sizes, n) and sum(sums.values()) == sum(sizes)
 
 
 def test_shards_of_whole_table(spark, sf_dir):
