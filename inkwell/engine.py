@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from inkwell import schemas as S
 from inkwell.config import DEFAULT, Config
-from inkwell.functions.rules import structured_diff
+from inkwell.functions.rules import block_diff, structured_diff
 from inkwell.operators import chunk, documents, draft, learning, retrieve
-from inkwell.sources.readers import Store
+from inkwell.sources.readers import Store, latest
 
 INDEX = "chunk_id string, doc_id string, text string, page_start int, page_end int, filename string, doc_type string, vector array<float>, session_id string"
 
@@ -92,7 +92,8 @@ class Engine:
         self.store.append("draft_runs", self.spark.createDataFrame([run], S.DRAFT_RUNS))
         return {"draft_id": draft_id, "retrieval_query": row["query"], "draft": row["draft"], "evidence": items, "applied_rules": rules}
 
-    def submit_feedback(self, draft_id: str, edited: str, notes: str | None = None, at: dt.datetime | None = None) -> str:
+    def submit_feedback(self, draft_id: str, edited: str, notes: str | None = None, at: dt.datetime | None = None, process: bool = True) -> str:
+        """Store an edited draft; its job is taken up at once, or with ``process`` off by the next ``process_feedback``."""
         run = self.store.load("draft_runs", S.DRAFT_RUNS).where(F.col("draft_id") == draft_id).first()
         if run is None:
             raise KeyError("Draft not found")
@@ -100,35 +101,82 @@ class Engine:
         feedback = hashlib.sha256(f"{draft_id}:{edited}:{at.isoformat()}".encode()).hexdigest()[:32]
         row = (feedback, draft_id, run.user_id, run.draft_type, run.draft, edited, notes, run.retrieval_query, "pending", None, None, None, at, None)
         self.store.append("feedback", self.spark.createDataFrame([row], S.FEEDBACK))
+        if process:
+            self.process_feedback(feedback)
         return feedback
 
-    def _feedback(self) -> DataFrame:
+    def _feedback(self, user_id: str | None = None, feedback_id: str | None = None) -> DataFrame:
+        """Feedback with its diff, what its draft had applied, and the candidates that the extractor reads."""
         rows = self.store.load("feedback", S.FEEDBACK)
-        runs = self.store.load("draft_runs", S.DRAFT_RUNS).select("draft_id", "applied_rule_ids")
+        runs = self.store.load("draft_runs", S.DRAFT_RUNS)
+        if user_id is not None:
+            rows, runs = rows.where(F.col("user_id") == user_id), runs.where(F.col("user_id") == user_id)
+        if feedback_id is not None:
+            rows = rows.where(F.col("feedback_id") == feedback_id)
+        runs = runs.select("draft_id", "applied_rule_ids")
         return self.rule_extractor.extract(rows.withColumn("structured_diff", structured_diff("original_draft", "edited_draft")).join(runs, "draft_id"))
 
-    def _rules(self) -> DataFrame:
-        """Rules from all feedback, with the last status that a user set."""
-        rules = learning.fold_batch(self._feedback().select("user_id", "feedback_id", "draft_type", "submitted_at", "candidates", "applied_rule_ids"), self.config)
-        set_to = self.store.load("rule_controls", "rule_id string, status string, at timestamp").groupBy("rule_id").agg(F.max_by("status", "at").alias("set_to"))
-        rules = rules.join(set_to, "rule_id", "left").where("set_to is null or set_to <> 'deleted'")
-        return rules.withColumn("status", F.coalesce("set_to", "status")).drop("set_to")
+    def process_feedback(self, only: str | None = None) -> int:
+        """Take up the feedback jobs that wait: what the extractor reads from each is written to
+        ``jobs`` with its state, ``completed`` or ``failed`` with a message; returns how many were taken up."""
+        jobs = self.store.load("jobs", S.JOBS)
+        rows = self.store.load("feedback", S.FEEDBACK)
+        rows = rows if only is None else rows.where(F.col("feedback_id") == only)
+        waiting = rows.join(jobs.where("status <> 'processing'"), "feedback_id", "left_anti").select("feedback_id", "user_id").collect()
+        for feedback_id, user in waiting:
+            self._job(feedback_id, user, "processing")
+            try:
+                read = self._feedback(user, feedback_id).select("candidates").first()
+                if read is None:
+                    raise KeyError("Draft run not found for feedback")
+                self._job(feedback_id, user, "completed", read.candidates)
+            except Exception as why:  # the job's own state says what went wrong, whatever the extractor raised
+                self._job(feedback_id, user, "failed", error=str(why).strip("'"))
+        return len(waiting)
+
+    def _job(self, feedback_id: str, user: str, status: str, candidates=None, error: str | None = None) -> None:
+        row = (feedback_id, user, status, candidates, error, dt.datetime.now(dt.timezone.utc))
+        self.store.append("jobs", self.spark.createDataFrame([row], S.JOBS))
+
+    def _rules(self, user_id: str) -> DataFrame:
+        """The user's rules from all their completed feedback and control events, in order of time."""
+        done = self.store.load("jobs", S.JOBS).where((F.col("user_id") == user_id) & (F.col("status") == "completed"))
+        rows = self.store.load("feedback", S.FEEDBACK).where(F.col("user_id") == user_id)
+        runs = self.store.load("draft_runs", S.DRAFT_RUNS).where(F.col("user_id") == user_id).select("draft_id", "applied_rule_ids")
+        rows = rows.join(done.select("feedback_id", "candidates"), "feedback_id").join(runs, "draft_id")
+        rows = rows.select("user_id", "feedback_id", "draft_type", "submitted_at", "candidates", "applied_rule_ids")
+        events = self.store.load("rule_controls", S.RULE_CONTROLS).where(F.col("user_id") == user_id)
+        return learning.fold_batch(learning.with_controls(rows, events), self.config)
 
     def feedback_status(self, feedback_id: str) -> dict:
-        row = self._feedback().where(F.col("feedback_id") == feedback_id).first()
+        """State of a feedback's job, its diff and the rules that its draft type's drafts would follow now."""
+        row = self.store.load("feedback", S.FEEDBACK).where(F.col("feedback_id") == feedback_id).first()
         if row is None:
             raise KeyError("Feedback not found")
-        return {"feedback_id": feedback_id, "draft_id": row.draft_id, "status": "completed", "structured_diff": [d.asDict() for d in row.structured_diff], "active_rules": [r.asDict() for r in self.rules(row.user_id, row.draft_type, active=True).collect()]}
+        job = latest(self.store.load("jobs", S.JOBS).where(F.col("feedback_id") == feedback_id), "feedback_id", "at").first()
+        diff = block_diff(row.original_draft, row.edited_draft)
+        return {
+            "feedback_id": feedback_id, "draft_id": row.draft_id, "status": job.status if job else "pending", "error_message": job.error_message if job else None,
+            "structured_diff": diff, "active_rules": [r.asDict() for r in self.rules(row.user_id, row.draft_type, active=True).collect()],
+        }
 
     def rules(self, user_id: str, draft_type: str | None = None, include_disabled: bool = True, active: bool = False) -> DataFrame:
-        own = self._rules().where(F.col("user_id") == user_id)
+        own = self._rules(user_id)
         ranked = learning.active_rules(own, draft_type, self.config) if active else learning.list_rules(own, draft_type, include_disabled)
         return learning.public(ranked).orderBy("rank")
 
-    def set_rule_status(self, user_id: str, rule_id: str, status: str, at: dt.datetime | None = None) -> None:
-        if not self._rules().where((F.col("user_id") == user_id) & (F.col("rule_id") == rule_id)).count():
+    def control_rule(self, user_id: str, rule_id: str, action: str, at: dt.datetime | None = None) -> None:
+        """Enable, disable or delete a rule of the user; feedback that comes later may make it anew."""
+        if action not in ("enable", "disable", "delete"):
+            raise ValueError(f"Unknown action: {action}")
+        if not self._rules(user_id).where(F.col("rule_id") == rule_id).count():
             raise KeyError("Rule not found")
-        self.store.append("rule_controls", self.spark.createDataFrame([(rule_id, status, at or dt.datetime.now(dt.timezone.utc))], "rule_id string, status string, at timestamp"))
+        at = at or dt.datetime.now(dt.timezone.utc)
+        event = hashlib.sha256(f"{rule_id}:{action}:{at.isoformat()}".encode()).hexdigest()[:32]
+        self.store.append("rule_controls", self.spark.createDataFrame([(user_id, rule_id, action, at, event)], S.RULE_CONTROLS))
+
+    def set_rule_status(self, user_id: str, rule_id: str, status: str, at: dt.datetime | None = None) -> None:
+        self.control_rule(user_id, rule_id, {"active": "enable", "disabled": "disable"}[status], at)
 
-    def delete_rule(self, user_id: str, rule_id: str) -> None:
-        self.set_rule_status(user_id, rule_id, "deleted")
+    def delete_rule(self, user_id: str, rule_id: str, at: dt.datetime | None = None) -> None:
+        self.control_rule(user_id, rule_id, "delete", at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pandas as pd
@@ -92,16 +93,33 @@ def as_frame(rules: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rules, columns=names)
 
 
+def in_time(frame: pd.DataFrame) -> list[dict]:
+    """Feedback and events by time; what users set comes after feedback of the same time, ties go by id."""
+    late = frame["action"].notna() if "action" in frame else False
+    return frame.assign(_late=late).sort_values(["submitted_at", "_late", "feedback_id"], kind="stable").drop(columns="_late").to_dict("records")
+
+
+def with_controls(feedback: DataFrame, controls: DataFrame) -> DataFrame:
+    """Feedback and control events (user_id, rule_id, action, submitted_at, event_id) as one table for the
+    fold: an event has an action, enable, disable or delete, instead of candidates."""
+    events = controls.select("user_id", F.col("event_id").alias("feedback_id"), "submitted_at", "action", "rule_id")
+    return feedback.unionByName(events, allowMissingColumns=True)
+
+
 def fold_batch(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Rules of all users after all feedback, a group each user, in order of time and id.
 
-    ``feedback`` has user_id, feedback_id, draft_type, submitted_at, candidates, applied_rule_ids. The
-    fold is sequential by its meaning; users are independent, so they run in parallel.
+    ``feedback`` has user_id, feedback_id, draft_type, submitted_at, candidates, applied_rule_ids, and
+    where ``with_controls`` added them, action and rule_id. The fold is sequential by its meaning; users
+    are independent, so they run in parallel.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rules: list[dict] = []
-        for row in frame.sort_values(["submitted_at", "feedback_id"], kind="stable").to_dict("records"):
+        for row in in_time(frame):
+            if row.get("action"):
+                control(rules, row)
+                continue
             for name in ("candidates", "applied_rule_ids"):
                 row[name] = [] if row.get(name) is None else list(row[name])
             for c in row["candidates"]:
@@ -112,20 +130,20 @@ def fold_batch(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return feedback.groupBy("user_id").applyInPandas(run, RULES)
 
 
-def fold_exact(observations: DataFrame, config: Config = DEFAULT, most: int | None = None) -> DataFrame:
+def fold_exact(observations: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """The confidence recurrence where only equal keys match: user_id, key, confidence, support.
 
-    ``observations`` has user_id, key, seq, confidence; a native fold over each key's ordered array, of
-    its first ``most`` observations if given.
+    ``observations`` has user_id, key, seq, confidence (0 to 1). Each one adds ``reinforce`` and nothing
+    takes it away, so once 1 / reinforce of them have passed the bound of 1 is reached: only that many of
+    the last ones are gathered for a key, whatever it has, and the others are counted.
     """
-    seen = F.array_sort(F.collect_list(F.struct("seq", "confidence")))
-    rows = observations
-    if most:
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "key").orderBy("seq"))).where(F.col("_n") <= most)
-    rows = rows.groupBy("user_id", "key").agg(seen.alias("s"))
+    last = math.ceil(1 / config.reinforce) + 1
+    recent = observations.withColumn("_n", F.row_number().over(Window.partitionBy("user_id", "key").orderBy(F.desc("seq")))).where(F.col("_n") <= last)
+    recent = recent.groupBy("user_id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "confidence"))).alias("s"))
+    counts = observations.groupBy("user_id", "key").agg(F.count("*").alias("support"))
     later = F.slice("s", 2, F.greatest(F.size("s"), F.lit(1)))
     value = F.aggregate(later, F.element_at("s", 1)["confidence"], lambda a, x: F.least(F.lit(1.0), F.greatest(a, x["confidence"]) + config.reinforce))
-    return rows.select("user_id", "key", F.round(value, 6).alias("confidence"), F.size("s").cast("long").alias("support"))
+    return recent.join(counts, ["user_id", "key"]).select("user_id", "key", F.round(value, 6).alias("confidence"), "support")
 
 
 def decay_rules(applied: DataFrame, config: Config = DEFAULT) -> DataFrame:

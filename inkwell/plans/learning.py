@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.config import DEFAULT
 from inkwell.functions import rules as U
 from inkwell.operators import learning as L
 from inkwell.operators import retrieve as R
-from inkwell.sources.readers import in_order_of, parquet
+from inkwell.schemas import CANDIDATE
+from inkwell.sources.readers import in_order_of, parquet, shared_dir
 from inkwell.streaming import rules as S
 
 CONFIDENCE = "round(value - floor(value), 2)"
@@ -65,22 +68,58 @@ def rule_fold_exact(spark, sf):
     return L.fold_exact(_observations(spark, sf))
 
 
-def _feedback(spark, sf):
+def _candidate(description, confidence):
+    """One candidate of a feedback, which suits its draft type."""
+    return F.struct(description.alias("description"), F.lit("other").alias("category"), F.lit(None).cast("string").alias("example_before"), F.lit(None).cast("string").alias("example_after"), F.array().cast("array<string>").alias("applicable_draft_types"), F.expr(confidence).alias("confidence"))
+
+
+def _feedback(events):
     """Every event as a feedback with one candidate."""
-    e = parquet(spark, sf, "events")
-    candidate = F.struct(F.concat(F.lit("Rule "), "event_type").alias("description"), F.lit("other").alias("category"), F.lit(None).cast("string").alias("example_before"), F.lit(None).cast("string").alias("example_after"), F.array().cast("array<string>").alias("applicable_draft_types"), F.expr(CONFIDENCE).alias("confidence"))
-    return e.select(F.col("user_id").cast("string").alias("user_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("feedback_id"), F.lit("internal_memo").alias("draft_type"), F.col("ts").cast("timestamp").alias("submitted_at"), F.array(candidate).alias("candidates"), F.array().cast("array<string>").alias("applied_rule_ids"))
+    made = _candidate(F.concat(F.lit("Rule "), "event_type"), CONFIDENCE)
+    return events.select(F.col("user_id").cast("string").alias("user_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("feedback_id"), F.lit("internal_memo").alias("draft_type"), F.col("ts").cast("timestamp").alias("submitted_at"), F.array(made).alias("candidates"), F.array().cast("array<string>").alias("applied_rule_ids"))
 
 
 def rule_fold(spark, sf):
     """The whole fold of all events, a rule for each kind that the user's events have."""
-    out = L.fold_batch(_feedback(spark, sf))
+    out = L.fold_batch(_feedback(parquet(spark, sf, "events")))
     return out.select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"))
 
 
+#: What an event is by its hour and day: an observation with a candidate, with the rule applied too, only
+#: the rule applied, or what the user does with the rule.
+ROLE = "CASE hour(ts) % 8 WHEN 0 THEN 'disable' WHEN 1 THEN 'enable' WHEN 2 THEN CASE WHEN day(ts) % 4 = 0 THEN 'delete' ELSE 'apply' END WHEN 3 THEN 'apply' WHEN 4 THEN 'both' ELSE 'observe' END"
+LOW = "round((value - floor(value)) * 0.3, 2)"
+
+
+def rule_fold_controls(spark, sf):
+    """The whole fold with like keys, applied rules, and rules that users disable, enable and delete.
+
+    All events of a user and kind are about the rule that the first observation made; once that is
+    pruned or deleted, a later observation makes a new one, which the events do not mean.
+    """
+    e = parquet(spark, sf, "events").withColumns({"role": F.expr(ROLE), "feedback_id": F.lpad(F.col("event_id").cast("string"), 12, "0"), "user": F.col("user_id").cast("string"), "submitted_at": F.col("ts").cast("timestamp")})
+    seen = F.col("role").isin("observe", "both")
+    born = e.where(seen).groupBy("user", "event_type").agg(F.min_by("feedback_id", F.struct("ts", "feedback_id")).alias("first"))
+    e = e.join(born, ["user", "event_type"], "left").withColumn("rule", F.sha2(F.concat_ws(":", "user", "first", F.lit("0")), 256).substr(1, 32))
+    described = F.concat(F.lit("Rule "), "event_type", F.when(F.dayofmonth("ts") % 2 == 1, " now").otherwise(""))
+    none = F.array().cast("array<string>")
+    made = F.array(_candidate(described, LOW))
+    feedback = e.where(seen | (F.col("role") == "apply")).select(
+        F.col("user").alias("user_id"), "feedback_id", F.lit("internal_memo").alias("draft_type"), "submitted_at",
+        F.when(seen, made).otherwise(F.array().cast(f"array<{CANDIDATE}>")).alias("candidates"), F.when(F.col("role").isin("apply", "both"), F.array("rule")).otherwise(none).alias("applied_rule_ids"),
+    )
+    controls = e.where(F.col("role").isin("disable", "enable", "delete")).select(F.col("user").alias("user_id"), F.col("rule").alias("rule_id"), F.col("role").alias("action"), "submitted_at", F.col("feedback_id").alias("event_id"))
+    out = L.fold_batch(L.with_controls(feedback, controls))
+    return out.select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"), F.col("decay_count").cast("long").alias("decays"), "status")
+
+
+#: For rules whose confidence is to differ after all observations: a low start and small steps.
+SLOW = replace(DEFAULT, reinforce=0.02)
+
+
 def _rules(spark, sf):
-    """Rules as they stand after two observations of each, before confidence reaches its bound."""
-    r = L.fold_exact(_observations(spark, sf), most=2)
+    """Rules after all observations of each, from a low start in small steps."""
+    r = L.fold_exact(_observations(spark, sf).withColumn("confidence", F.round(F.col("confidence") * 0.4, 3)), SLOW)
     return r.select(
         F.concat_ws(":", "user_id", "key").alias("rule_id"), "user_id", F.concat(F.lit("Prefer "), "key").alias("description"), F.expr(CATEGORY.replace("event_type", "key")).alias("category"),
         F.when(F.col("key") == "click", F.array(F.lit("internal_memo"))).when(F.col("key") == "view", F.array(F.lit("case_fact_summary"))).otherwise(F.array().cast("array<string>")).alias("applicable_draft_types"),
@@ -120,18 +159,18 @@ def draft_feedback_join(spark, sf):
 
 
 def applied_vs_reinforced(spark, sf):
-    """Applied rules of each user split by whether later events named them again."""
+    """Kinds that a user's events of even days applied, split by whether those of odd days name them again."""
     e = parquet(spark, sf, "events")
-    applied = e.where("event_id % 2 = 0").select("user_id", "event_type").distinct()
-    again = e.where("event_id % 5 = 1").select("user_id", "event_type").distinct()
+    applied = e.where("day(ts) % 2 = 0").select("user_id", "event_type").distinct()
+    again = e.where("day(ts) % 2 = 1").select("user_id", "event_type").distinct()
     semi = applied.join(again, ["user_id", "event_type"], "left_semi").withColumn("reinforced", F.lit(True))
     anti = applied.join(again, ["user_id", "event_type"], "left_anti").withColumn("reinforced", F.lit(False))
     return semi.unionByName(anti)
 
 
 def feedback_rules(spark, sf):
-    """Rules in the order in which a feedback lists their ids; deleted ones drop out."""
-    rules = _rules(spark, sf).where("user_id % 3 <> 0").select("rule_id", "confidence")
+    """Rules in the order in which a feedback lists their ids; those that are not in force drop out."""
+    rules = _rules(spark, sf).where("status = 'active'").select("rule_id", "confidence")
     users = parquet(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "user_id", "event_type")), lambda a, b: F.when(a < b, 1).when(a > b, -1).otherwise(0)).alias("ids"))
     return in_order_of(users, rules, "ids", "rule_id").select("user_id", F.col("pos").cast("long").alias("pos"), "rule_id", "confidence")
 
@@ -145,17 +184,7 @@ def _stream(spark, sf, table):
 
 
 def _shared(spark, label):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/inkwell-shared"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def _feedback_of(events):
-    candidate = F.struct(F.concat(F.lit("Rule "), "event_type").alias("description"), F.lit("other").alias("category"), F.expr(CONFIDENCE).alias("confidence"))
-    return events.select(F.col("user_id").cast("string").alias("user_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("feedback_id"), F.lit("internal_memo").alias("draft_type"), F.col("ts").cast("timestamp").alias("submitted_at"), F.array(candidate).alias("candidates"), F.array().cast("array<string>").alias("applied_rule_ids"))
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stream_rule_fold(spark, sf):
@@ -165,7 +194,7 @@ def stream_rule_fold(spark, sf):
     def keep(rows, batch):
         rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{at}/out")
 
-    folded = S.fold_stream(_feedback_of(_stream(spark, sf, "events")))
+    folded = S.fold_stream(_feedback(_stream(spark, sf, "events")))
     folded.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     last = spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max_by("rules", "batch").alias("rules"))
     return S.rules_of(last).select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"))
@@ -182,21 +211,20 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{at}/postings").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_decay_prune, active_rules, list_rules, rules_prompt, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_ingest)}
+QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_fold_controls, rule_decay_prune, active_rules, list_rules, rules_prompt, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_ingest)}
 
 _D_KEY = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def _d_fold(most: int | None, name: str = "fold") -> str:
-    take = "list_value(list(c ORDER BY event_id))[1]" if most is None else f"list_value(list(c ORDER BY event_id)[1:{most}])[1]"
-    return f"""{name}_l AS (SELECT user_id, event_type AS key, {take} AS l FROM (SELECT *, {CONFIDENCE} AS c FROM events) GROUP BY ALL),
-        {name} AS (SELECT user_id, key, round(list_reduce(l, lambda a, x: least(1.0, greatest(a, x) + 0.1)), 6) AS confidence, len(l) AS support FROM {name}_l)"""
+def _d_fold(c: str = CONFIDENCE, step: float = 0.1) -> str:
+    return f"""fold_l AS (SELECT user_id, event_type AS key, list_value(list(c ORDER BY event_id))[1] AS l FROM (SELECT *, {c} AS c FROM events) GROUP BY ALL),
+        fold AS (SELECT user_id, key, round(list_reduce(l, lambda a, x: least(1.0, greatest(a, x) + {step})), 6) AS confidence, len(l) AS support FROM fold_l)"""
 
 
-_D_RULES = f"""{_d_fold(2)}, rules AS (SELECT user_id || ':' || key AS rule_id, user_id, 'Prefer ' || key AS description, {CATEGORY.replace('event_type', 'key')} AS category, CASE WHEN key = 'click' THEN ['internal_memo'] WHEN key = 'view' THEN ['case_fact_summary'] ELSE [] END AS types,
+_D_RULES = f"""{_d_fold(f'round({CONFIDENCE} * 0.4, 3)', 0.02)}, rules AS (SELECT user_id || ':' || key AS rule_id, user_id, 'Prefer ' || key AS description, {CATEGORY.replace('event_type', 'key')} AS category, CASE WHEN key = 'click' THEN ['internal_memo'] WHEN key = 'view' THEN ['case_fact_summary'] ELSE [] END AS types,
         confidence, support, CASE WHEN user_id % 7 = 0 THEN 'disabled' ELSE 'active' END AS status FROM fold)"""
 _D_ACTIVE = f"""{_D_RULES}, act AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, support DESC, description) AS rank FROM rules WHERE status = 'active' AND confidence >= 0.5 AND (len(types) = 0 OR list_contains(types, 'internal_memo')))"""
-_D_WHOLE = f"WITH {_d_fold(None)} SELECT CAST(user_id AS VARCHAR) AS user_id, 'rule ' || key AS key, confidence, support FROM fold"
+_D_WHOLE = f"WITH {_d_fold()} SELECT CAST(user_id AS VARCHAR) AS user_id, 'rule ' || key AS key, confidence, support FROM fold"
 
 
 def _d_decay() -> str:
@@ -206,12 +234,32 @@ def _d_decay() -> str:
     return f"WITH {_D_RULES}, {', '.join(steps)} SELECT rule_id, c AS confidence, CAST(s AS BIGINT) AS support_count, CAST(d AS BIGINT) AS decay_count, pruned FROM d3"
 
 
+_D_CONTROLS = f"""
+    WITH RECURSIVE e AS (
+        SELECT user_id, event_type, {ROLE} AS role, {LOW} AS c, 'rule ' || event_type || CASE WHEN day(ts) % 2 = 1 THEN ' now' ELSE '' END AS name,
+               row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, {ROLE} IN ('disable', 'enable', 'delete'), event_id) AS n FROM events),
+    r AS (
+        SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS n, false AS ever, false AS there, false AS meant, CAST(0 AS DOUBLE) AS conf, CAST(0 AS BIGINT) AS sup, CAST(0 AS BIGINT) AS decays, 'active' AS status, '' AS key FROM e
+        UNION ALL
+        SELECT user_id, event_type, n, ever, there AND NOT (hit AND conf < 0.2 AND decays >= 2) AND NOT (named AND role = 'delete'), meant, conf, sup, decays,
+               CASE WHEN named AND role = 'disable' THEN 'disabled' WHEN named AND role = 'enable' THEN 'active' ELSE status END, key
+        FROM (SELECT * REPLACE (CASE WHEN hit THEN CASE WHEN seen THEN least(1.0, conf + 0.1) ELSE greatest(0.0, conf - 0.05) END ELSE conf END AS conf,
+                                CASE WHEN hit AND seen THEN sup + 1 ELSE sup END AS sup, CASE WHEN hit THEN CASE WHEN seen THEN greatest(0, decays - 1) ELSE decays + 1 END ELSE decays END AS decays)
+              FROM (SELECT *, there AND meant AS named, there AND meant AND status = 'active' AND role IN ('apply', 'both') AS hit
+                    FROM (SELECT r.user_id, r.event_type, e.n, role, seen, ever OR seen AS ever, there OR seen AS there, CASE WHEN seen AND NOT there THEN NOT ever ELSE meant END AS meant,
+                                 CASE WHEN seen AND there THEN least(1.0, greatest(conf, c) + 0.1) WHEN seen THEN c ELSE conf END AS conf, CASE WHEN seen AND there THEN sup + 1 WHEN seen THEN 1 ELSE sup END AS sup,
+                                 CASE WHEN seen AND NOT there THEN 0 ELSE decays END AS decays, CASE WHEN seen AND NOT there THEN 'active' ELSE status END AS status, CASE WHEN seen THEN name ELSE key END AS key
+                          FROM r JOIN (SELECT *, role IN ('observe', 'both') AS seen FROM e) e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1))))
+    SELECT CAST(user_id AS VARCHAR) AS user_id, key, round(conf, 6) AS confidence, sup AS support, decays, status
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY n DESC) AS last FROM r) WHERE last = 1 AND there"""
+
 ORACLE = {
+    "rule_fold_controls": _D_CONTROLS,
     "rule_key": f"SELECT p_partkey, {_D_KEY.format(x='''('  Use: ' || p_name || '--' || p_brand || '! é ÄB ' || p_type)''')} AS key FROM part",
     "rule_jaccard": f"""WITH k AS (SELECT p_partkey, p_brand, list_distinct(string_split({_D_KEY.format(x="p_name || ' ' || p_type")}, ' ')) AS w FROM part),
         p AS (SELECT p_partkey, w, lead(w) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS o FROM k)
         SELECT p_partkey, round(len(list_intersect(w, o)) / len(list_distinct(list_concat(w, o))), 6) AS overlap FROM p WHERE o IS NOT NULL""",
-    "rule_fold_exact": f"WITH {_d_fold(None)} SELECT user_id, key, confidence, support FROM fold",
+    "rule_fold_exact": f"WITH {_d_fold()} SELECT user_id, key, confidence, support FROM fold",
     "rule_fold": _D_WHOLE,
     "stream_rule_fold": _D_WHOLE,
     "rule_decay_prune": _d_decay(),
@@ -220,8 +268,8 @@ ORACLE = {
     "rules_prompt": f"WITH {_D_ACTIVE}, t AS (SELECT user_id, string_agg(rank || '. [' || category || '] ' || description, chr(10) ORDER BY rank) AS p FROM act GROUP BY user_id) SELECT user_id, coalesce(p, 'None') AS prompt FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN t USING (user_id)",
     "draft_feedback_join": """WITH d AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 4 <> 0)
         SELECT c.conv_id AS draft_id, CASE WHEN d.conv_id IS NULL THEN 'failed' ELSE 'completed' END AS status, count(*) AS n, CASE WHEN d.conv_id IS NULL THEN 'Draft not found' ELSE '' END AS error FROM conversations c LEFT JOIN d ON d.conv_id = c.conv_id WHERE role = 'user' GROUP BY ALL""",
-    "applied_vs_reinforced": "SELECT user_id, event_type, EXISTS (SELECT 1 FROM events b WHERE b.event_id % 5 = 1 AND b.user_id = a.user_id AND b.event_type = a.event_type) AS reinforced FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0) a",
+    "applied_vs_reinforced": "SELECT user_id, event_type, EXISTS (SELECT 1 FROM events b WHERE day(b.ts) % 2 = 1 AND b.user_id = a.user_id AND b.event_type = a.event_type) AS reinforced FROM (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) % 2 = 0) a",
     "feedback_rules": f"""WITH {_D_RULES}, e AS (SELECT DISTINCT user_id, user_id || ':' || event_type AS rule_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rule_id DESC) - 1 AS pos FROM e)
-        SELECT n.user_id, pos, rule_id, confidence FROM n JOIN (SELECT rule_id, confidence FROM rules WHERE user_id % 3 <> 0) USING (rule_id)""",
+        SELECT n.user_id, pos, rule_id, confidence FROM n JOIN (SELECT rule_id, confidence FROM rules WHERE status = 'active') USING (rule_id)""",
     "stream_ingest": "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM documents) SELECT doc_id, count(DISTINCT w) AS n_terms, count(*) AS n_tokens FROM t GROUP BY doc_id",
 }

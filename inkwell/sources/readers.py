@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
 import zipfile
 from xml.etree import ElementTree
 
@@ -22,6 +23,17 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all
+    runs in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/inkwell-shared"
+    return base.rstrip("/")
+
+
 def files(spark: SparkSession, path: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Files of a folder by the allow-list of extensions: those to read, and the rejected ones."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

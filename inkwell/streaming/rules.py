@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.config import DEFAULT, Config
-from inkwell.operators.learning import as_frame, control, fold_feedback
+from inkwell.operators.learning import as_frame, control, fold_feedback, in_time
 from inkwell.schemas import RULES
 
 
@@ -30,7 +30,7 @@ def fold_stream(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rules = json.loads(state.get[0]) if state.exists else []
         frame = pd.concat(list(frames))
-        for row in frame.sort_values(["submitted_at", "feedback_id"], kind="stable").to_dict("records"):
+        for row in in_time(frame):
             row["submitted_at"] = _plain(row["submitted_at"])
             if row.get("action"):
                 rules = control(rules, row)
