@@ -69,6 +69,57 @@ def check(spark, rows, **options):
 ROWS = [(i, f"Common words here {i % 7} und so weiter n{i}") for i in range(50)] + [(60, None), (61, ""), (62, "x" * 3000 + " Ünïcode ünïcode\x0bZ"), (None, "common"), (63, "common"), (63, "common"), (64, "only held " * 5)]
 
 
+def brute_score(rows, whole_words, rounds=2):
+    """log10 probabilities by enumerated segmentations, in one class."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    train = [tokens(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t)
+    pieces, first = load_pieces()
+    prior = dict(zip(pieces, first))
+
+    def ways(word):
+        if not word:
+            yield ()
+        for k in range(1, len(word) + 1):
+            if word[:k] in prior:
+                for rest in ways(word[k:]):
+                    yield (word[:k], *rest)
+
+    weight, end = {p: v * 0.75 for p, v in prior.items()}, 0.25
+    for _ in range(rounds):
+        uses, n = Counter({p: 10 * v for p, v in prior.items()}), 0
+        for w in counts:
+            if w:
+                n += 1
+                found = [(math.prod(weight[p] for p in s), s) for s in ways(b" " + w)]
+                whole = sum(p for p, _ in found)
+                for p, s in found:
+                    for piece in s:
+                        uses[piece] += p / whole
+        total = uses.total() + n + 1
+        weight, end = {p: v / total for p, v in uses.items()}, (n + 1) / total
+    spell = lambda w: end * sum(math.prod(weight[p] for p in s) for s in ways(b" " + w))
+    n, once = counts.total(), sum(c == 1 for c in counts.values())
+    known = 1 - (once + 1) / (n + 2)
+
+    def chance(w):
+        if not whole_words:
+            share = (len(train) + 1) / (n + 2)
+            return share if not w else (1 - share) * spell(w)
+        c = counts[w] + (not w)
+        return known * (0.97 * c / (n + 1) + 0.03 * c / (n + 1)) + ((1 - known) * spell(w) if w else 0)
+
+    return [sum(math.log10(chance(w)) for w in tokens(t)) for _, t in rows]
+
+
+def test_score_against_enumerated_segmentations(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat on", "a cat", None, "", "zzz qx the", "é cat", "the the the", "new dog", "on a mat", "sat zq"])]
+    for whole_words in (True, False):
+        got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), classes=1, whole_words=whole_words).collect()}
+        for (i, _), want in zip(rows, brute_score(rows, whole_words)):
+            assert abs(got[i] - want) < 1e-6, (i, whole_words)
+
+
 def test_scores_do_not_depend_on_the_head(spark):
     whole = check(spark, ROWS)
     for head in (0, 5):
