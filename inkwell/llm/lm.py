@@ -40,6 +40,8 @@ EM_ROUNDS = 2
 #: Most frequent words, whose scores every task gets; all other words are joined.
 HEAD_WORDS = 200_000
 FLUSH_WORDS = 300_000
+#: Words whose lattices are worked on together.
+TOGETHER_WORDS = 40_000
 #: Latent classes, the rounds that find them, and the share of their word weights that is everyone's.
 CLASSES, CLASS_ROUNDS, SHARED = 6, 8, 0.03
 #: Bins of bytes for the profile of a text: letters without case, bytes of longer characters, digits.
@@ -82,15 +84,17 @@ def _hash(piece: bytes) -> int:
 
 
 def lattice_table(pieces: list[bytes], weights: np.ndarray, ends: np.ndarray) -> dict:
-    """Pieces in order of their hashes, a sieve for quick misses, and log weights of each class (a row;
-    the last column is no piece); plain data."""
+    """Pieces by their hashes, and log weights of each class (a row; the last column is no piece); plain
+    data. ``slots`` has the piece of each part of the hash range, -1 for none and -2 for several."""
     hashes = np.array([_hash(p) for p in pieces], np.uint64)
     order = np.argsort(hashes)
-    sieve = np.zeros(1 << 20, np.bool_)
-    sieve[(mix64(hashes) >> np.uint64(44)).astype(np.int64)] = True
+    at = (mix64(hashes) >> np.uint64(44)).astype(np.int64)
+    slots = np.full(1 << 20, -1, np.int32)
+    slots[at] = np.arange(len(at))
+    slots[at[np.bincount(at, minlength=1 << 20)[at] > 1]] = -2
     with np.errstate(divide="ignore"):
         logs = np.log(np.hstack([weights, np.zeros((len(weights), 1))]))
-    return {"hashes": hashes[order], "ids": order, "sieve": sieve, "logs": logs, "ends": np.log(ends), "longest": max(map(len, pieces)), "by_piece": {p: i for i, p in enumerate(pieces)}}
+    return {"hashes": hashes, "order": order, "slots": slots, "logs": logs, "ends": np.log(ends), "longest": max(map(len, pieces)), "by_piece": {p: i for i, p in enumerate(pieces)}}
 
 
 def _edges(table: dict, x: np.ndarray) -> list[tuple[np.ndarray, list[bool]]]:
@@ -98,15 +102,17 @@ def _edges(table: dict, x: np.ndarray) -> list[tuple[np.ndarray, list[bool]]]:
     place, and whether any word has a piece there."""
     n, size = x.shape
     h = np.zeros((n, size), np.uint64)
+    hashes, order = table["hashes"], table["order"]
     out = []
     for k in range(1, min(size, table["longest"]) + 1):
         h = h[:, : size - k + 1] * _B + x[:, k - 1 :] + np.uint64(1)
-        ids = np.full(h.shape, -1, np.int64)
-        r, c = np.nonzero(table["sieve"][(mix64(h) >> np.uint64(44)).astype(np.int64)])
-        own = h[r, c]
-        at = np.minimum(np.searchsorted(table["hashes"], own), len(table["hashes"]) - 1)
-        hit = table["hashes"][at] == own
-        ids[r[hit], c[hit]] = table["ids"][at[hit]]
+        ids = table["slots"][(mix64(h) >> np.uint64(44)).astype(np.int64)]
+        some = np.flatnonzero(ids != -1)
+        own, at = h.reshape(-1)[some], ids.reshape(-1)[some]
+        several = np.flatnonzero(at == -2)
+        at[several] = order[np.minimum(np.searchsorted(hashes, own[several], sorter=order), len(order) - 1)]
+        at[hashes[at] != own] = -1
+        ids.reshape(-1)[some] = at
         out.append((ids, (ids >= 0).any(axis=0).tolist()))
     return out
 
@@ -178,27 +184,36 @@ def _expected_one(table: dict, word: bytes, z: int, out: np.ndarray) -> None:
                 b[i] = top + math.log(math.exp(b[i] - top) + math.exp(t - top))
 
 
-def expected_pieces(table: dict, words: list[bytes], z: int) -> np.ndarray:
-    """Expected uses of each piece over the segmentations of the words in a class, each word once."""
-    logs = table["logs"][z : z + 1]
-    out = np.zeros(logs.shape[1] - 1)
+def expected_pieces(table: dict, words: list[bytes], own: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, by class, over the segmentations of the words, each once in its own class."""
+    logs = table["logs"]
+    out = np.zeros(logs.size)
+    uses: list[np.ndarray] = []
+    shares: list[np.ndarray] = []
     for size, at, x in _by_length(words):
         if x is None:
-            _expected_one(table, b" " + words[at[0]], z, out)
+            z = int(own[at[0]])
+            _expected_one(table, b" " + words[at[0]], z, out[z * logs.shape[1] :])
             continue
-        edges = _edges(table, x)
-        n = len(x)
-        a = _forward(logs, edges, n, size)[:, 0]
-        b = np.full((size + 1, n), -np.inf)
-        b[size] = 0
+        n, z, edges = len(x), own[at], _edges(table, x)
+        weight = [np.where(ids >= 0, logs[z[:, None], ids], -np.inf) for ids, _ in edges]
+        a, b = (np.full((size + 1, n), -np.inf) for _ in range(2))
+        a[0] = b[size] = 0
+        for j in range(1, size + 1):
+            for k in range(1, min(j, len(edges)) + 1):
+                if edges[k - 1][1][j - k]:
+                    np.logaddexp(a[j], a[j - k] + weight[k - 1][:, j - k], out=a[j])
         for i in range(size - 1, -1, -1):
             for k in range(1, min(size - i, len(edges)) + 1):
                 if edges[k - 1][1][i]:
-                    np.logaddexp(b[i], logs[0, edges[k - 1][0][:, i]] + b[i + k], out=b[i])
+                    np.logaddexp(b[i], weight[k - 1][:, i] + b[i + k], out=b[i])
         for k, (ids, _) in enumerate(edges, 1):
             r, c = np.nonzero(ids >= 0)
-            out += np.bincount(ids[r, c], np.exp(a[c, r] + logs[0, ids[r, c]] + b[c + k, r] - a[size, r]), minlength=len(out))
-    return out
+            uses.append(z[r] * logs.shape[1] + ids[r, c])
+            shares.append(np.exp(a[c, r] + weight[k - 1][r, c] + b[c + k, r] - a[size, r]))
+    if uses:
+        out += np.bincount(np.concatenate(uses), np.concatenate(shares), minlength=out.size)
+    return out.reshape(logs.shape)[:, :-1]
 
 
 def _profiles(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -312,15 +327,25 @@ def _expect(shared, classes: int):
 
     def run(batches):
         table = shared.value
-        size = table["logs"].shape[1]
-        total = np.zeros((classes, size))  # the last column counts words
+        total = np.zeros((classes, table["logs"].shape[1]))  # the last column counts words
+        words: list[bytes] = []
+        kinds: list[np.ndarray] = []
+
+        def add():
+            own = np.concatenate([*kinds, np.zeros(0, np.int64)])
+            total[:, :-1] += expected_pieces(table, words, own)
+            total[:, -1] += np.bincount(own, minlength=classes)
+            words.clear()
+            kinds.clear()
+
         for batch in batches:
-            words = column_of(batch, "word").to_pylist()
+            rows = column_of(batch, "word").to_pylist()
             own = np.array([column_of(batch, f"n{z}").to_numpy() for z in range(classes)]).argmax(axis=0)
-            for z in range(classes):
-                mine = [words[i] for i in np.flatnonzero(own == z) if words[i]]
-                total[z, :-1] += expected_pieces(table, mine, z)
-                total[z, -1] += len(mine)
+            kinds.append(own[[bool(w) for w in rows]])
+            words += [w for w in rows if w]
+            if len(words) >= TOGETHER_WORDS:
+                add()
+        add()
         flat = total.reshape(-1)
         used = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(flat[used], pa.float64())], names=["piece", "n"])
@@ -372,28 +397,31 @@ def _score_words(shared, totals: dict, classes: int):
 
 
 def _score_texts(head, classes: int):
-    """A row for each text with what its head words give, and one for each other word in it."""
+    """A row for each text: what its head words give, and its other words with their counts."""
 
     def run(batches):
         index, scores = head.value
         scores = np.vstack([scores, np.zeros((1, classes + 1))])  # the last row is that of other words
         other = len(scores) - 1
         for batch in batches:
-            rids, sums, known, tokens, words, rows = [], [], [], [], [], []
-            for i, (rid, text) in enumerate(zip(column_of(batch, "_rid").to_pylist(), column_of(batch, "_text").cast(pa.binary()).to_pylist(), strict=True)):
+            sums, known, tokens, words, times, ends = [], [], [], [], [], [0]
+            for text in column_of(batch, "_text").cast(pa.binary()).to_pylist():
                 own = [*_tokens(text), b""]
                 at = np.fromiter(map(index.get, own, repeat(other)), np.int64, len(own))
-                met, times = np.unique(at, return_counts=True)  # one order of summing, so that runs agree
-                more = Counter(own[k] for k in np.flatnonzero(at == other))
-                n = len(more)
-                rows += [i] + [None] * n
-                rids += [rid] * (n + 1)
-                sums += [times @ scores[met]] + [None] * n
-                known += [int((at != other).sum())] + [0] * n
-                tokens += [len(own), *more.values()]
-                words += [None, *more]
-            rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), column_of(batch, "_id").take(rows), column_of(batch, "_held").take(rows), pa.array(sums, pa.list_(pa.float64())), pa.array(known, pa.int64()), pa.array(tokens, pa.int64()), pa.array(words, pa.binary())], names=["_rid", "_id", "_held", "sums", "known", "tokens", "word"])
+                met, n = np.unique(at, return_counts=True)  # one order of summing, so that runs agree
+                sums.append(n @ scores[met])
+                missed = np.flatnonzero(at == other).tolist()
+                more = Counter([own[k] for k in missed])
+                known.append(len(own) - len(missed))
+                tokens.append(len(own))
+                words += more
+                times += more.values()
+                ends.append(len(words))
+            offs = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(column_of(batch, c) for c in ("_rid", "_id", "_held")), pa.array(sums, pa.list_(pa.float64())), pa.array(known, pa.int64()), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offs, pa.array(times, pa.int64()))],
+                names=["_rid", "_id", "_held", "sums", "known", "tokens", "words", "times"],
+            )
 
     return run
 
@@ -464,8 +492,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = context.broadcast(({w: i for i, w in enumerate(top["word"].to_pylist())}, matrix))
 
     numbered = rows.withColumn("_rid", F.monotonically_increasing_id())
-    parts = materialise(numbered.mapInArrow(_score_texts(head, classes), f"_rid long, _id {id_type}, _held boolean, sums array<double>, known long, tokens long, word binary"), "texts")
-    others = parts.where("word is not null").select("_rid", "tokens", "word")
+    parts = materialise(numbered.mapInArrow(_score_texts(head, classes), f"_rid long, _id {id_type}, _held boolean, sums array<double>, known long, tokens long, words array<binary>, times array<long>"), "texts")
+    others = parts.select("_rid", F.explode(F.arrays_zip("times", "words")).alias("w")).select("_rid", F.col("w.times").alias("tokens"), F.col("w.words").alias("word"))
     met = others.join(scored.where(~inside), "word", "left")
     seen = met.where("n is not null").select("_rid", "tokens", "n", "base", "model")
     new = met.where("n is null").select("_rid", "tokens", "word", "n", *[F.lit(0).cast("long").alias(c) for c in names])
@@ -476,7 +504,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[F.sum(F.col("tokens") * F.col("model")[z]).alias(f"more{z}") for z in range(classes)],
     )
     by_z = [F.col("sums")[z + 1] + F.coalesce(f"more{z}", F.lit(0.0)) + F.lit(float(shares[z])) for z in range(classes)]
-    out = parts.where("word is null").join(more, "_rid", "left").withColumns({f"z{z}": t for z, t in enumerate(by_z)})
+    out = parts.drop("words", "times").join(more, "_rid", "left").withColumns({f"z{z}": t for z, t in enumerate(by_z)})
     best = F.array_max(F.array(*[f"z{z}" for z in range(classes)]))
     rest = sum((F.pow(F.lit(10.0), F.col(f"z{z}") - F.col("best")) for z in range(1, classes)), F.pow(F.lit(10.0), F.col("z0") - F.col("best")))
     return out.withColumn("best", best).select(

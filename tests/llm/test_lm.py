@@ -39,7 +39,7 @@ def test_lattice_is_the_sum_over_segmentations(words):
         for p, s in ways:
             for piece in s:
                 expected[piece] += p / total
-    assert np.allclose(expected_pieces(table, words, 1), [expected[p] for p in PIECES])
+    assert np.allclose(expected_pieces(table, words, np.ones(len(words), np.int64))[1], [expected[p] for p in PIECES])
 
 
 def test_vocabulary_covers_every_byte():
@@ -143,7 +143,7 @@ def test_beats_the_base_on_held_out_texts(spark):
 def test_long_words_train_their_pieces():
     words = [b"ab" * 45 + b"bab", b"ba" * 40]
     weights = np.array([WEIGHTS, WEIGHTS])
-    got = expected_pieces(lattice_table(PIECES, weights, np.array([0.5, 0.2])), words, 1)
+    got = expected_pieces(lattice_table(PIECES, weights, np.array([0.5, 0.2])), words, np.ones(2, np.int64))[1]
     total = lambda w: sum(_forward_one(lattice_table(PIECES, np.array([w, w]), np.array([0.5, 0.2])), b" " + x, 1) for x in words)
     for p in range(len(PIECES)):  # expected uses are the slope of the log sum by the log weight
         up, down = WEIGHTS.copy(), WEIGHTS.copy()
