@@ -239,12 +239,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copied = (F.col("n") >= min_words) & (~F.col("low.id").eqNullSafe(F.col("high.id")))
     whole = texts.where(copied).select("_key", F.col("begin").alias("span_start"), F.col("end").alias("span_end"), F.col("n").alias("n_words"), F.lit(None).cast(texts.schema["low"].dataType["id"].dataType).alias("other"), F.lit(None).cast("boolean").alias("kept"), "low", "high")
     alone = spans.join(whole.select("_key"), "_key", "left_anti")
-    passages = materialise(alone.unionByName(whole, allowMissingColumns=True).withColumnRenamed("_key", "_k"), "spans")
+    led = found.groupBy("_key").agg(F.bool_or("_later").alias("_led"))
+    passages = alone.unionByName(whole, allowMissingColumns=True).join(led, "_key", "left")
+    passages = materialise(passages.withColumnRenamed("_key", "_k"), "spans")  # a written side: copies of one text can be split
     out = rows.distinct().join(passages, F.col("_key") == F.col("_k"))
     first = F.col("low").isNotNull() & F.col("_id").eqNullSafe(F.col("low.id"))
     other = F.when(F.col("low").isNull(), F.col("other")).when(first, F.col("high.id")).otherwise(F.col("low.id"))
-    led = found.groupBy(F.col("_key").alias("_k2")).agg(F.bool_or("_later").alias("_led"))
-    out = out.join(led, F.col("_key") == F.col("_k2"), "left")
     kept = F.when(F.col("low").isNull(), F.col("kept")).otherwise(first & ~F.coalesce("_led", F.lit(False)))
     return out.select(F.col("_id").alias(id_col), "span_start", "span_end", "n_words", other.alias(f"other_{id_col}"), kept.alias("kept"))
 
