@@ -124,7 +124,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_rid", "_sha")).alias("first")
     groups = prints.groupBy("_fp", "_len").agg(first, F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("_fp", "_len", F.col("first._id").alias("lead_id"), F.col("first._sha").alias("lead_sha"), "n")
+    groups = materialise(groups.select("_fp", "_len", F.col("first._id").alias("lead_id"), F.col("first._sha").alias("lead_sha"), "n"), "groups")  # a written side: the join can split a large group
     members = materialise(
         prints.join(groups, ["_fp", "_len"])
         .select("_id", "_fp", "_len", "_sha", (F.col("_id").eqNullSafe(F.col("lead_id")) & (F.col("_sha") == F.col("lead_sha"))).alias("_lead"), F.ceil(F.col("n") / PER_LEAD).alias("_salts"))
@@ -148,7 +148,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = (F.col("_fp") == F.col("x_fp")) & (F.col("_len") == F.col("x_len")) & (F.col("_sha") == F.col("x_sha")) & F.col("_id").eqNullSafe(F.col("x_id"))
     marked = prints.join(unequal, same, "left").select("_rid", "_id", "_fp", "_len", "_sha", F.when(F.col("unequal"), F.col("_sha")).otherwise("").alias("_sub"))
     kept = marked.groupBy("_fp", "_len", "_sub").agg(first, F.count("*").alias("n")).where("n > 1")
-    kept = kept.select("_fp", "_len", "_sub", F.struct("first._id", "first._rid", "n").alias("g"))
+    kept = materialise(kept.select("_fp", "_len", "_sub", F.struct("first._id", "first._rid", "n").alias("g")), "kept")
     return marked.join(kept, ["_fp", "_len", "_sub"], "left").select(
         F.col("_id").alias(id_col),
         F.when(F.col("g").isNull(), F.col("_id")).otherwise(F.col("g._id")).alias("keep_id"),
