@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import column_of, sized
-from inkwell.llm.license_data import LICENCES, SPELLINGS
+from inkwell.llm.license_data import FIRST_WORDS, LICENCES, LONG_LICENCES, SPELLINGS
 
 BROADCAST_ROWS = 50_000
-#: A copyright line goes as a whole: it begins so and names a year or a mark.
+#: A copyright statement before a licence's first words goes up to these.
+STATEMENT = r"(?:copyright\b|©|\(c\)).{0,200}?[0-9]{4}.{0,200}?\b(" + "|".join(FIRST_WORDS) + r")\b"
+_STATEMENT = re.compile(STATEMENT)
+#: Any other copyright line goes as a whole: it begins so and names a year or a mark.
 _COPYRIGHT = re.compile(r"^[^\w©]*(?:copyright\b|©|\(c\)).*(?:©|\(c\)|\d{4}|copyright).*$|^all rights reserved\.?$")
 _NO_WORD = re.compile(r"[^\w\n]+|_+")
 _SPELLED = re.compile(r"\b(" + "|".join(re.escape(a) for a, _ in sorted(SPELLINGS, key=lambda x: -len(x[0]))) + r")\b")
@@ -31,11 +34,12 @@ def _spell(text: str) -> str:
 
 
 def canonical_lines(text: str) -> list[str]:
-    """Each line in lower case, copyright lines empty, runs of anything but letters and digits as
-    one space."""
+    """Each line in lower case, copyright lines empty, copyright statements on a licence's own line
+    gone, runs of anything but letters and digits as one space."""
     text = text.lower()
     if "copyright" in text or "©" in text or "(c)" in text or "rights" in text:
-        text = "\n".join("" if _COPYRIGHT.match(x.strip()) else x for x in text.split("\n"))
+        lines = (_STATEMENT.sub(r"\1", x, count=1) for x in text.split("\n"))
+        text = "\n".join("" if _COPYRIGHT.match(x.strip()) else x for x in lines)
     return [" ".join(x.split()) for x in _NO_WORD.sub(" ", text).split("\n")]
 
 
@@ -48,10 +52,16 @@ def digest(text: str) -> str:
     return hashlib.sha256(canonical(text).encode()).hexdigest()
 
 
-def known_licences(spark, texts=LICENCES) -> DataFrame:
-    """license, digest of each known text, distinct."""
-    rows = sorted({(name, digest(text)) for name, text in texts})
-    return spark.createDataFrame(rows, "license string, digest string")
+def built_in() -> list[tuple[str, int, str]]:
+    """Name, canonical length and digest of the built-in texts, also as they are on a single line, and of
+    the long licences, whose digests are all that is kept."""
+    texts = {(name, canonical(t)) for name, text in LICENCES for t in (text, " ".join(text.split()))}
+    return sorted({(name, len(t), hashlib.sha256(t.encode()).hexdigest()) for name, t in texts} | set(LONG_LICENCES))
+
+
+def known_licences(spark) -> DataFrame:
+    """license and digest of each known text, distinct."""
+    return spark.createDataFrame([(name, d) for name, _, d in built_in()], "license string, digest string")
 
 
 def _digests(id_type: str, sizes: frozenset):
@@ -89,7 +99,7 @@ def license_scan(docs: DataFrame, licences: DataFrame | None = None, id_col: str
     spark = docs.sparkSession
     if licences is None:
         known = known_licences(spark)
-        sizes = frozenset(len(canonical(t)) for _, t in LICENCES)
+        sizes = frozenset(n for _, n, _ in built_in())
     else:
         def prepare(batches):
             for batch in batches:
@@ -112,13 +122,15 @@ def oracle() -> str:
             x = f"trim(regexp_replace({x}, '\\b{a}\\b', '{b}', 'g'))"
         return x
 
-    values = ", ".join(sorted({f"('{name}', '{digest(text)}')" for name, text in LICENCES}))
+    values = ", ".join(f"('{name}', '{d}')" for name, _, d in built_in())
+    said = STATEMENT.replace("'", "''")
     mark = "'^[^a-z0-9_©]*(?:copyright\\b|©|\\(c\\)).*(?:©|\\(c\\)|[0-9]{4}|copyright).*$|^all rights reserved\\.?$'"
     return f"""
         WITH known(license, digest) AS (VALUES {values}),
         parts AS (SELECT doc_id, string_split(lower(text), chr(10)) AS p FROM documents),
         lines AS (SELECT doc_id, len(p) AS n, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS t FROM parts),
-        clean AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(trim(t), {mark}) THEN '' ELSE t END AS t FROM lines),
+        said AS (SELECT doc_id, n, line, regexp_replace(t, '{said}', '\\1') AS t FROM lines),
+        clean AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(trim(t), {mark}) THEN '' ELSE t END AS t FROM said),
         units AS (SELECT doc_id, 'line' AS scope, line, {plain("t")} AS u FROM clean WHERE n > 1
                   UNION ALL
                   SELECT doc_id, 'document', 0, {plain("string_agg(t, ' ' ORDER BY line)")} FROM clean GROUP BY doc_id)
