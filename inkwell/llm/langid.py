@@ -16,6 +16,8 @@ from inkwell.llm.common import _LOWER, column_of, fold_of, text_blocks
 FEATURES = 1 << 13
 #: Training rows of a language at most (about; chosen by hash over all rows that may train).
 ROWS_PER_LANGUAGE = 700
+#: Training rows in all, and languages, at most: the driver holds a row of features for each.
+TRAIN_ROWS, LANGUAGES = 4000, 400
 #: Longer texts train nothing (they are scored like all others).
 TRAIN_BYTES = 1 << 16
 
@@ -100,7 +102,7 @@ class LanguageModel:
         self.langs = langs
         self.families = sorted({family_of(v) for v in langs})
         self.members = [[i for i, v in enumerate(langs) if family_of(v) == f] for f in self.families]
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-7)
+        scale = 1 / np.sqrt((x.mean(axis=0) if len(x) else np.zeros(x.shape[1])) + 1e-7)
         norm = float(np.sqrt(((x * scale) ** 2).sum(axis=1).mean())) if len(x) else 1.0
         scale = (scale / max(norm, 1e-9)).astype(np.float32)
         z = np.hstack([x * scale, np.ones((len(x), 1), np.float32)])
@@ -155,14 +157,17 @@ class LanguageModel:
         return [self.langs[i] for i in lang], score
 
 
-def train_languages(docs: DataFrame, may_train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, features: int = FEATURES) -> LanguageModel:
-    """Fit on a bounded sample: by hash, about ``rows_per_language`` rows of each language, of texts
-    with a letter and up to ``TRAIN_BYTES`` bytes. Counts of the languages cover all rows."""
+def train_languages(docs: DataFrame, may_train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, features: int = FEATURES, train_rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> LanguageModel:
+    """Fit on a bounded sample: by hash, about ``rows_per_language`` rows of each language, ``train_rows``
+    in all, of texts with a letter and up to ``TRAIN_BYTES`` bytes. Counts of the languages cover all
+    rows; the ``languages`` most frequent ones are learned."""
     rows = docs.where(may_train & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES) & F.col(text_col).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
     langs = sorted(sizes)
+    rows_per_language = min(rows_per_language, train_rows // max(1, len(langs)))
     if not langs:
         return LanguageModel([], np.zeros((0, features), np.float32), np.zeros(0, int))
+    rows = rows.where(F.col(lang_col).isin(langs))
     share = F.create_map(*[F.lit(x) for v in langs for x in (v, min(1.0, rows_per_language / sizes[v]))])[F.col(lang_col)]
     sample = rows.where(F.pmod(F.xxhash64(F.lit(9), id_col, text_col), F.lit(1_000_000)) < share * 1_000_000)
     got = sample.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).mapInArrow(_train_rows(features), "_lang string, index array<int>, count array<int>").toArrow()

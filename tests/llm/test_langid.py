@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import zlib
 
-from inkwell.llm.langid import family_of, identify_languages
+import numpy as np
+
+from inkwell.llm.common import fold_of
+from inkwell.llm.langid import family_of, identify_languages, train_languages, trigram_features
 
 SCHEMA = "doc_id long, text string, lang string, held_out string, score int"
 
@@ -41,3 +44,36 @@ def test_edges(spark):
 
 def test_families():
     assert family_of("en") == family_of("de") != family_of("fr") == family_of("es") and family_of("xx") == "only xx"
+
+
+def plain_features(text, features=1 << 13):
+    """Features of the letter trigrams of a text, byte by byte."""
+    data = [b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in text.encode()]
+    out = []
+    for k, b in enumerate(data):
+        if b:
+            code = (data[k - 1] if k else 0) << 16 | b << 8 | (data[k + 1] if k + 1 < len(data) else 0)
+            code = (code * 0x9E3779B1) % 2**32 ^ (code >> 7)
+            out.append((code * 0x85EBCA6B) % 2**32 >> (32 - 13))
+    return out
+
+
+def test_margins_and_votes_recomputed_plainly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train_languages(docs, fold_of("doc_id", 3) != 1)
+    texts = [r.text for r in docs.limit(60).collect()] + ["Ünï 12 cödé", "a"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    margins = model.margins(*trigram_features(buf, offs))
+    names, scores = model.predict(margins)
+    for t, m, name in zip(texts, margins, names):
+        code = plain_features(t)
+        want = [sum(float(model.weights[c, k]) for c in code) / len(code) + float(model.bias[k]) for k in range(model.weights.shape[1])]
+        assert np.allclose(m, want, atol=1e-4)
+        family = max(range(len(model.families)), key=lambda f: want[f])
+        own = model.members[family]
+        wins = {i: sum((want[len(model.families) + k] > 0) == (a == i) for k, (a, b) in enumerate(model.pairs) if i in (a, b)) for i in own}
+        assert wins[model.langs.index(name)] == max(wins.values())
+    assert all(0 <= s <= 1 for s in scores)
+    few = train_languages(docs, fold_of("doc_id", 3) != 1, languages=2, train_rows=20)
+    assert len(few.langs) == 2
