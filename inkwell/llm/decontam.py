@@ -178,6 +178,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     matched one after another, so what is broadcast has that bound. Columns of ``docs`` that begin
     with ``_c_`` are not allowed.
     """
+    if any(c.startswith("_c_") for c in docs.columns):
+        raise ValueError("columns of docs must not begin with _c_")
     spark = docs.sparkSession
     bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text_col).alias("words")).where("words is not null")
     blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_bytes))
@@ -219,8 +221,10 @@ def decontamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    marked = mark_contamination(docs, items, **options)
-    return marked.where(~is_contaminated(marked)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text_col = options.pop("text_col", "text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # the names of docs may be any
+    marked = mark_contamination(plain, items, text_col=plain.columns[docs.columns.index(text_col)], **options)
+    return marked.where(~is_contaminated(marked)).select(*[F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True)])
 
 
 def report_by_hand(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:

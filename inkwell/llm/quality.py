@@ -179,7 +179,9 @@ def _score(shared, text_col: str):
 
 
 def with_quality(docs: DataFrame, net: dict, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and _q_score; null reads as empty. No row is shuffled."""
+    """The columns of ``docs`` and _q_score, which they must not have; null reads as empty. No row is shuffled."""
+    if "_q_score" in docs.columns:
+        raise ValueError("docs has a column _q_score already")
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = docs.select("*", F.lit(0.0).alias("_q_score")).schema
     return docs.mapInArrow(_score(shared, text_col), schema)
@@ -200,4 +202,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns."""
     net = train_quality(docs, labels, fold_of("_id", folds) != held_fold, id_col, text_col, label_col, **options)
-    return with_quality(docs, net, text_col).where(F.col("_q_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # the names of docs may be any
+    kept = with_quality(plain, net, plain.columns[docs.columns.index(text_col)]).where(F.col("_q_score") >= threshold)
+    return kept.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True)])

@@ -59,8 +59,9 @@ def karmarkar_karp(sizes: list[int], ways: int) -> list[int]:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", units_per_shard: int = UNITS_PER_SHARD, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
+def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", units_per_shard: int = UNITS_PER_SHARD, rows_per_bucket: int = ROWS_PER_BUCKET, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, and the columns of
+    ``carry``, which are read and shuffled once, when rows are dealt.
 
     Size is the text's UTF-8 bytes plus 1; null has none and is no copy of the empty text. Rows of equal text
     form a group that stays in one shard. Groups of at least a ``units_per_shard``-th of a shard are
@@ -78,8 +79,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("_crc"),
         F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).alias("_group"),
         text.isNull().alias("_null"),
+        *[F.col(f"`{c}`").alias(f"_carry{k}") for k, c in enumerate(carry)],
     ).withColumn("_group", F.when(F.col("_null"), F.lit(b"")).otherwise(F.col("_group"))).drop("_null")
-    rows = materialise(rows, "sizes")
+    carried = [f"_carry{k}" for k in range(len(carry))]
+    whole = rows
+    rows = materialise(rows.drop(*carried), "sizes")
+    whole = whole if carry else rows
     total, count = rows.agg(F.sum("_size"), F.count("*")).first()
     cut = max(1, (total or 0) // bundles)
     bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
@@ -98,10 +103,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     packed_map = spark.createDataFrame(packed, T.StructType([T.StructField("_bundle", T.IntegerType()), T.StructField("_packed", T.IntegerType())]))
     buckets = max(1, -(-count // (shards * rows_per_bucket)))
     dealt = (
-        rows.withColumn("_bundle", bundle)
+        whole.withColumn("_bundle", bundle)
         .join(F.broadcast(big_map), "_group", "left")
         .join(F.broadcast(packed_map), "_bundle", "left")
-        .select("_id", "_size", "_crc", "_group", F.coalesce("_big", "_packed").alias("_shard"), F.pmod(F.xxhash64("_id", "_group"), F.lit(buckets)).alias("_bucket"))
+        .select("_id", "_size", "_crc", "_group", F.coalesce("_big", "_packed").alias("_shard"), F.pmod(F.xxhash64("_id", "_group"), F.lit(buckets)).alias("_bucket"), *carried)
     )
     counts = dealt.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,4 +120,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.col("_shard").alias("shard"),
         (F.col("_start") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(f"_carry{k}").alias(c) for k, c in enumerate(carry)],
     )

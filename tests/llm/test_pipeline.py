@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -48,12 +49,32 @@ def test_stages_against_their_definitions(spark, sf_dir):
         assert abs(taken.get(s, 0) - t) <= 0.01 * t + 20
 
     out = stages["sharding"](spark, mixed, sf_dir).collect()
-    assert len(out) == mixed.count()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in mixed.collect())
     for k in range(16):
         own = [r.slot for r in out if r.shard == k]
         assert sorted(own) == list(range(len(own)))
 
 
+def test_rows_that_share_an_id_or_have_none_stay(spark, tmp_path):
+    """Through the whole run: only copies go. Null and repeated ids name different texts."""
+    rng = random.Random(4)
+    text = lambda n=120: " ".join(f"w{rng.randrange(5000)}" for _ in range(n)) + "."
+    near, same = text(), text()
+    rows = [(None, text()) for _ in range(12)] + [(7, text()) for _ in range(5)] + [(8, near), (None, f"{near} end"), (9, same), (9, same), (10, same)]
+    frames = {
+        "documents": spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA),
+        "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"),  # nothing to learn: all scores are 0.5 and all stay
+        "benchmark": spark.createDataFrame([], "item_id long, text string"),
+    }
+    for t, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = {t for _, t in rows} - {f"{near} end"}
+    assert len(whole) == 19
+    assert sorted(r.text for r in out if r.text in whole) == sorted(whole) and len(out) == 19
+    assert sum(r.doc_id is None for r in out) == 12 and sum(r.doc_id == 7 for r in out) == 5
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "some words", None, "s", 10)]])
 def test_edges(spark, tmp_path, rows):
     for t, frame in {"documents": spark.createDataFrame(rows, SCHEMA), "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}.items():
