@@ -6,7 +6,7 @@ as the next one's ``docs``.
 
 from __future__ import annotations
 
-from inkwell.llm.common import materialise, read
+from inkwell.llm.common import discard, materialise, read, scratch
 from inkwell.llm.decontam import drop_contaminated
 from inkwell.llm.jaccard import keep_one_of_each
 from inkwell.llm.mixing import taken_texts
@@ -35,8 +35,8 @@ def mixing(spark, docs, sf_dir):
 
 
 def sharding(spark, docs, sf_dir):
-    """A shard of near equal bytes and a slot for each text of the mixture."""
-    return shard_by_bytes(docs)
+    """A shard of near equal bytes and a slot for each text of the mixture, with the text."""
+    return shard_by_bytes(docs, carry=("text", "lang", "source"))
 
 
 STAGES = [
@@ -52,10 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages' result over ``documents``, each stage's written to the shared folder."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"stage{k}")
-    return docs
+    """The stages' result over ``documents``. Each stage is written to the shared folder; what a stage has
+    written on its way goes when it is done, and its result when the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as written:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+            written.remove(docs.written_to)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,6 +33,9 @@ class Config:
     prune_confidence: float = 0.2
     prune_decays: int = 2
     embedding_size: int = 64
+    narrow_image: int = 1000
+    widened_image: int = 1500
+    vision_edge: int = 1800
 
 
 DEFAULT = Config()

@@ -7,11 +7,13 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell import schemas as S
 from inkwell.config import DEFAULT, Config
 from inkwell.functions.rules import block_diff, structured_diff
-from inkwell.operators import chunk, documents, draft, learning, retrieve
+from inkwell.operators import chunk, documents, draft, ingest, learning, retrieve
+from inkwell.sources import readers
 from inkwell.sources.readers import Store, latest
 
 INDEX = "chunk_id string, doc_id string, text string, page_start int, page_end int, filename string, doc_type string, vector array<float>, session_id string"
@@ -48,16 +50,64 @@ class Engine:
         docs = documents.process(cleaned, self.config)
         names = pages.groupBy("doc_id").agg(F.first("filename").alias("filename"))
         docs = docs.join(names, "doc_id").withColumn("extraction_method", F.lit("native_text"))
-        bounds = chunk.page_bounds(cleaned)
-        text = chunk.text_chunks(docs, bounds)
+        self._add(session_id, docs, cleaned, tables)
+        return docs
+
+    def ingest_files(self, session_id: str, path: str, extractor=None, engine=None, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The files of a folder to pages, entities, documents, chunks and the session's index; gives a
+        row for each document, with its counts, and the rejected files.
+
+        Pages, documents, entities and chunks are each written once and read from there. ``extractor``
+        reads PDF files and ``engine`` images; ``answers`` has what a vision model read from weak pages.
+        """
+        self.session_user(session_id)
+        found, rejected = readers.files(self.spark, path, self.config)
+        batch = hashlib.sha256(f"{session_id}:{path}:{dt.datetime.now(dt.timezone.utc).isoformat()}".encode()).hexdigest()[:32]
+        written = lambda table, rows, schema: self._written(table, rows, schema, batch)
+        pages = written("pages", ingest.finished_pages(ingest.raw_pages(found, extractor, engine), answers, self.config), S.PAGES)
+        docs = written("documents", ingest.document_rows(pages, found.drop("content"), self.config), S.DOCUMENTS)
+        entities = written("entities", ingest.entity_rows(pages), S.ENTITIES)
+        tables = pages.where("has_tables").select("doc_id", "page_number", F.posexplode("tables").alias("table_index", "rows"))
+        return ingest.upload_rows(docs, self._add(session_id, docs, pages, tables, batch), entities), rejected
+
+    def _written(self, table: str, rows: DataFrame, schema: str, batch: str) -> DataFrame:
+        """Append rows of an upload to a table and read them from there, so that nothing is done twice."""
+        names = [f.name for f in self.spark.createDataFrame([], schema).schema]
+        self.store.append(table, rows.select(*names, F.lit(batch).alias("batch")), "batch")
+        return self.store.load(table, f"{schema}, batch string").where(F.col("batch") == batch).drop("batch")
+
+    def _add(self, session_id: str, docs: DataFrame, pages: DataFrame, tables: DataFrame | None, batch: str | None = None) -> DataFrame:
+        """Chunks of documents to the store and, with their vectors, to the session's index; documents to
+        the session, in order of their names after those that it has."""
+        bounds = chunk.page_bounds(pages)
+        batch = batch or hashlib.sha256(f"{session_id}:{dt.datetime.now(dt.timezone.utc).isoformat()}".encode()).hexdigest()[:32]
+        text = self._written("text_chunks", chunk.text_chunks(docs, bounds), S.TEXT_CHUNKS, batch)
         counts = text.groupBy("doc_id").agg(F.count("*").alias("n"))
         none = self.spark.createDataFrame([], "doc_id string, page_number int, table_index int, rows array<array<string>>")
-        both = chunk.all_chunks(text, chunk.table_chunks(tables if tables is not None else none, bounds, counts, self.config))
-        flat = chunk.flatten(both, docs, session_id).withColumn("vector", self.embedder.embed(F.col("text")))
+        chunks = self._written("chunks", chunk.all_chunks(text, chunk.table_chunks(tables if tables is not None else none, bounds, counts, self.config)), S.CHUNKS, batch)
+        flat = chunk.flatten(chunks, docs, session_id).withColumn("vector", self.embedder.embed(F.col("text")))
         self.store.append("chunk_index", flat.select(*[c.split()[0] for c in INDEX.split(", ")]), "session_id")
-        listed = docs.select(F.lit(session_id).alias("session_id"), "doc_id", F.monotonically_increasing_id().alias("pos"))
-        self.store.append("session_documents", listed)
-        return docs
+        before = self.store.load("session_documents", S.SESSION_DOCUMENTS).where(F.col("session_id") == session_id).count()
+        order = Window.partitionBy("session_id").orderBy("filename", "doc_id")
+        listed = docs.select(F.lit(session_id).alias("session_id"), "doc_id", "filename").withColumn("pos", (F.row_number().over(order) - 1 + before).cast("long"))
+        self.store.append("session_documents", listed.select("session_id", "doc_id", "pos"))
+        return chunks
+
+    def document(self, doc_id: str) -> dict:
+        row = self.documents([doc_id]).first()
+        if row is None:
+            raise KeyError("Document not found")
+        return row.asDict(recursive=True)
+
+    def documents(self, doc_ids: list[str]) -> DataFrame:
+        """Stored documents of a list of ids, in its order, the last version of each; unknown ones drop out."""
+        asked = self.spark.createDataFrame([(list(doc_ids),)], "ids array<string>")
+        stored = latest(self.store.load("documents", f"{S.DOCUMENTS}, batch string").where(F.col("doc_id").isin(list(doc_ids))), "doc_id", "processed_at")
+        return readers.in_order_of(asked, stored.drop("batch"), "ids", "doc_id").orderBy("pos").drop("pos")
+
+    def session_documents(self, session_id: str) -> list[str]:
+        rows = self.store.load("session_documents", S.SESSION_DOCUMENTS).where(F.col("session_id") == session_id)
+        return [r.doc_id for r in rows.orderBy("pos").collect()]
 
     def _index(self, session_id: str) -> DataFrame:
         return self.store.load("chunk_index", INDEX).where(F.col("session_id") == session_id)

@@ -29,8 +29,9 @@ LANGUAGE_LEXICON = [
 
 
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Occurrences of all keywords between word boundaries; overlapping ones count each."""
-    parts = [F.regexp_count(text, F.lit(r"(?U)\b" + re.sub(r"([^\w\s])", r"\\\1", k) + r"\b")) for k in keywords]
+    """Occurrences of all keywords between word boundaries; overlapping ones count each. Only texts that
+    have a keyword at all are matched with its pattern."""
+    parts = [F.when(F.contains(text, F.lit(k)), F.regexp_count(text, F.lit(r"(?U)\b" + re.sub(r"([^\w\s])", r"\\\1", k) + r"\b"))).otherwise(0) for k in keywords]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -38,12 +39,12 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 
 
 def classify(df: DataFrame, text_col: str = "text", lexicon=DOMAIN_LEXICON, unknown: str = "unknown", type_col: str = "doc_type", confidence_col: str = "doc_type_confidence") -> DataFrame:
-    """Adds the best type and its confidence; no shuffle, one pass over the text a keyword."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    scores = F.array(*[F.struct((keyword_hits(low, words) * F.lit(weight)).cast("double").alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")) for k, (name, weight, words) in enumerate(lexicon)])
+    """Adds the best type and its confidence; no shuffle; a plain search of the text a keyword, and a pattern for those it has."""
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    scores = F.array(*[F.struct((keyword_hits(F.col("_low"), words) * F.lit(weight)).cast("double").alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")) for k, (name, weight, words) in enumerate(lexicon)])
     df = df.withColumn("_scores", scores)
     best = F.array_max("_scores")
     total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x["score"])
     none = is_blank(F.col(text_col)) | (best["score"] == 0)
     share = F.round(F.least(best["score"] / F.greatest(total, F.lit(1.0)) * 1.5, F.lit(1.0)), 3)
-    return df.withColumns({type_col: F.when(none, unknown).otherwise(best["type"]), confidence_col: F.when(none, 0.0).otherwise(share)}).drop("_scores")
+    return df.withColumns({type_col: F.when(none, unknown).otherwise(best["type"]), confidence_col: F.when(none, 0.0).otherwise(share)}).drop("_scores", "_low")

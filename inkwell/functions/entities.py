@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,15 +43,33 @@ PATTERNS = {
         r"\d{1,5}\s+\w[\w\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Place|Pl|Way|Circle|Cir)(?:\.)?(?:\s+(?:Suite|Ste|Apt|Unit|#)\s*[\w\d]+)?(?:,\s*[\w\s]+,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?)?",
     ],
 }
+#: For each pattern, in the same order, what a text must have one of for it to match; none: any text.
+NEEDS = {
+    "date": [("/", "-"), ("/", "-"), (",",), (), ()],
+    "amount": [("$",), ("usd",), ("dollar",)],
+    "case_number": [("case",), ("docket",), ("-",), ()],
+    "party": [("between",), ("plaintiff", "petitioner"), ("defendant", "respondent"), ("landlord", "lessor"), ("tenant", "lessee"), ("grantor", "grantee")],
+    "address": [()],
+}
 #: Types whose patterns have a group that is the value.
 GROUPED = {"date", "case_number", "party"}
 
 
-def found(text: Column, kind: str) -> Column:
-    """Values of a type, pattern by pattern, stripped, without empty ones."""
-    group = 1 if kind in GROUPED else 0
-    parts = [F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){p}"), F.lit(group)), strip) for p in PATTERNS[kind]]
-    return F.filter(F.concat(*parts), lambda v: v != "")
+def plain_case(text: Column) -> Column:
+    """Lower case as patterns that ignore case see it: four letters equal ASCII ones for them."""
+    return F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
+
+
+def found(text: Column, kind: str, low: Column) -> Column:
+    """Values of a type, pattern by pattern, stripped, without empty ones; ``low`` is ``plain_case`` of the
+    text, which a plain search of spares most patterns."""
+    group, none = 1 if kind in GROUPED else 0, F.array().cast("array<string>")
+
+    def one(pattern: str, needs: tuple[str, ...]) -> Column:
+        values = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(group)), strip)
+        return F.when(reduce(or_, [F.contains(low, F.lit(x)) for x in needs]), values).otherwise(none) if needs else values
+
+    return F.filter(F.concat(*[one(p, n) for p, n in zip(PATTERNS[kind], NEEDS[kind], strict=True)]), lambda v: v != "")
 
 
 def amount_normal(value: Column) -> Column:
@@ -60,8 +81,9 @@ def amount_normal(value: Column) -> Column:
 def extract(pages: DataFrame, kinds=tuple(PATTERNS), doc_col: str = "doc_id", page_col: str = "page_number", text_col: str = "cleaned_text", confidence_col: str | None = "confidence") -> DataFrame:
     """Entity mentions of the pages: doc, page, type, order of type and place, value, normalized,
     key, confidence; parties and addresses that are too short or generic are left out."""
-    kinds_of = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("kind"), found(F.col("_text"), name).alias("values")) for k, name in enumerate(kinds)])
+    kinds_of = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("kind"), found(F.col("_text"), name, F.col("_low")).alias("values")) for k, name in enumerate(kinds)])
     rows = pages.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page"), (F.col(confidence_col) if confidence_col else F.lit(1.0)).alias("confidence"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_low", plain_case(F.col("_text")))
     rows = rows.select("doc_id", "page", "confidence", F.explode(kinds_of).alias("k")).select("doc_id", "page", "confidence", F.col("k.kind").alias("entity_type"), F.col("k.ord").alias("kind_ord"), F.posexplode("k.values").alias("pos", "value"))
     kind, value = F.col("entity_type"), F.col("value")
     normal = F.when(kind == "amount", amount_normal(value)).when(kind.isin("date", "address"), value)

@@ -39,6 +39,11 @@ def block_diff(before: str | None, after: str | None) -> list[dict]:
     return [{"operation": op, "before": "\n\n".join(one[i:j]), "after": "\n\n".join(two[k:m])} for op, i, j, k, m in codes if op != "equal"]
 
 
+def diff_json(diff: Column) -> Column:
+    """A block diff as the JSON that a rule-reading model is given; characters stay as they are."""
+    return F.to_json(F.coalesce(diff, F.array().cast(_DIFF)), {"pretty": "true"})
+
+
 @F.pandas_udf(_DIFF)
 def structured_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([block_diff(x, y) for x, y in zip(before, after, strict=True)], dtype=object)

@@ -16,23 +16,24 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RULE_LINE = r"(?U)^\s*[_\-=]{4,}\s*$"
 CONTROL_START = r"^[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
-#: OCR corrections in order, then spacing at punctuation, then abbreviations.
+#: OCR corrections in order, then spacing at punctuation, then abbreviations. Each has, in
+#: front, what a text must have for it to match; without that it is not tried.
 OCR_FIXES = [
-    (r"(?U)\bl\b", "I"),
-    (r"(?U)\b0\b", "O"),
-    (r"rn", "m"),
-    (r"\|", "I"),
-    (r"(?<=[a-z])-\n(?=[a-z])", ""),
-    (r"(?<!\n)\n(?!\n)", " "),
-    (r"\n{3,}", "\n\n"),
-    (r"[ \t]{2,}", " "),
-    (r"([a-z])- ([A-Z])", "$1-$2"),
+    ("l", r"(?U)\bl\b", "I"),
+    ("0", r"(?U)\b0\b", "O"),
+    ("rn", r"rn", "m"),
+    ("|", r"\|", "I"),
+    ("-\n", r"(?<=[a-z])-\n(?=[a-z])", ""),
+    ("\n", r"(?<!\n)\n(?!\n)", " "),
+    ("\n\n\n", r"\n{3,}", "\n\n"),
+    ("", r"[ \t]{2,}", " "),
+    ("- ", r"([a-z])- ([A-Z])", "$1-$2"),
 ]
 SPACING = [
-    (r"(?U)\s+([.,;:!?)\]])", "$1"),
-    (r"(?U)([.,;:!?)\]])\s+", "$1 "),
-    (r"(?U)\(\s+", "("),
-    (r"(?U)\s+\)", ")"),
+    ("", r"(?U)\s+([.,;:!?)\]])", "$1"),
+    ("", r"(?U)([.,;:!?)\]])\s+", "$1 "),
+    ("(", r"(?U)\(\s+", "("),
+    (")", r"(?U)\s+\)", ")"),
 ]
 ABBREVIATIONS = [
     (r"(?iu)v \.", "v."),
@@ -51,9 +52,15 @@ UPPER = "Text is mostly uppercase — may be a stylistic choice or OCR issue"
 
 
 @F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition, which Spark has no function for; texts already composed pass as they are."""
-    return texts.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+def _composed(texts: pd.Series) -> pd.Series:
+    """The composed form of texts that are not in it; null for the others."""
+    return texts.map(lambda t: None if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition, which Spark has no function for. Only texts with other than ASCII characters
+    go to Python, and only those that it changes come back."""
+    return F.coalesce(_composed(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
 def replace_all(c: Column, steps) -> Column:
@@ -62,6 +69,20 @@ def replace_all(c: Column, steps) -> Column:
     return c
 
 
+def where_has(c: Column, part: str, change) -> Column:
+    """``change`` of the texts that have ``part``, found by plain search; the others as they are. A lambda
+    names the text, so that the expression does not grow with each use."""
+    if not part:
+        return change(c)
+    return F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(part)), change(x)).otherwise(x))[0]
+
+
+def replace_where(c: Column, steps) -> Column:
+    for part, pattern, to in steps:
+        c = where_has(c, part, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
+    return c
+
+
 def lookalikes(c: Column) -> Column:
     """Curly quotes, dashes, ellipsis, no-break space; soft hyphens go."""
     c = F.translate(c, "\u2018\u2019\u201c\u201d\u2013\u00a0\u00ad", "''\"\"- ")
@@ -75,15 +96,15 @@ def without_noise_lines(c: Column) -> Column:
 
 
 def ocr_fixed(c: Column) -> Column:
-    return replace_all(c, OCR_FIXES)
+    return replace_where(c, OCR_FIXES)
 
 
 def spaced(c: Column) -> Column:
-    return replace_all(c, SPACING)
+    return replace_where(c, SPACING)
 
 
 def abbreviations(c: Column) -> Column:
-    return replace_all(c, ABBREVIATIONS)
+    return where_has(c, " .", lambda x: replace_all(x, ABBREVIATIONS))
 
 
 def strip(c: Column) -> Column:

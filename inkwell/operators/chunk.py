@@ -28,10 +28,20 @@ def bounds_array(bounds: DataFrame) -> DataFrame:
 
 
 def char_to_page(at: Column, bounds: Column) -> Column:
-    """The page of a character: before all the first, in a gap or after all the last, without any 1."""
-    inside = F.filter(bounds, lambda b: (b["char_start"] <= at) & (at <= b["char_end"]))
-    first, last = F.element_at(bounds, 1), F.element_at(bounds, -1)
-    return F.when(F.coalesce(F.size(bounds), F.lit(0)) <= 0, 1).when(at < first["char_start"], first["page_number"]).when(F.size(inside) > 0, F.try_element_at(inside, F.lit(1))["page_number"]).otherwise(last["page_number"])
+    """The page of a character: before all the first, in a gap or after all the last, without any 1.
+
+    ``bounds`` is sorted and does not overlap.
+    """
+    def halve(s, _):
+        middle = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        right = F.element_at(bounds, F.greatest(middle, F.lit(1)))["char_start"] <= at
+        return F.struct(F.when(right, middle).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.greatest(s["lo"], middle - 1)).alias("hi"))
+
+    size = F.coalesce(F.size(bounds), F.lit(0))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(1)))).cast("int") + 1)
+    begun = F.aggregate(steps, F.struct(F.lit(1).alias("lo"), size.alias("hi")), halve)["lo"]  # by binary search
+    first, last, own = F.element_at(bounds, 1), F.element_at(bounds, -1), F.element_at(bounds, begun)
+    return F.when(size <= 0, 1).when(at < first["char_start"], first["page_number"]).when(at <= own["char_end"], own["page_number"]).otherwise(last["page_number"])
 
 
 def _pieces(text: str, separators) -> tuple[list[str], tuple]:

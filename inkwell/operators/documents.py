@@ -26,10 +26,11 @@ def clean_pages(pages: DataFrame, composed: bool = False) -> DataFrame:
     return out.withColumns({"warnings": T.clean_warnings(raw, F.col("cleaned_text")), "word_count": T.word_count(F.col("cleaned_text")), "confidence": F.coalesce(own, T.text_confidence(F.col("cleaned_text")))})
 
 
-def flag_short_pages(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """A further warning on pages with next to no text."""
+def flag_short_pages(pages: DataFrame, config: Config = DEFAULT, which: Column | None = None) -> DataFrame:
+    """A further warning on pages (those ``which`` says) with next to no text."""
     note = F.format_string(LITTLE_TEXT, F.col("page_number"), F.col("word_count"))
     short = F.length(T.strip(F.col("cleaned_text"))) < config.least_page_chars
+    short = short if which is None else short & which
     return pages.withColumn("warnings", F.when(short, F.array_append("warnings", note)).otherwise(F.col("warnings")))
 
 

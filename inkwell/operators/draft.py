@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a draft of each type is to look for.
+from inkwell.functions.rules import diff_json
+
+#: What a draft of each type is to look for; words for the stand-in writers.
 GUIDANCE = {
-    "title_review_summary": "Focus on ownership, deed history, grantor/grantee, liens, easements, mortgages, encumbrances, property description, and missing title documents.",
-    "case_fact_summary": "Focus on parties, timeline, factual events, case numbers, allegations, procedural posture, and inconsistencies across documents.",
-    "notice_related_summary": "Focus on notice type, issuing party, recipient, dates, deadlines, default/cure language, service details, and obligations triggered.",
-    "document_checklist": "Focus on what document types are present, what appears missing, duplicates, low-confidence scans, and documents requiring manual review.",
-    "internal_memo": "Focus on key facts, important risks, unresolved questions, missing evidence, and a concise internal first-pass memo structure.",
+    "title_review_summary": "Who owns the property and through which deeds, who conveyed it to whom, what burdens it (mortgage, lien, easement, encumbrance), how it is described, and which title papers are not there.",
+    "case_fact_summary": "Who is involved, what happened when, case numbers, what is claimed, where the proceedings stand, and where documents disagree.",
+    "notice_related_summary": "What kind of notice it is, from whom to whom, its dates and deadlines, what default it names and how to cure it, how it was served, and what must be done.",
+    "document_checklist": "Which kinds of documents are there, which seem missing or doubled, which scans are weak, and what a person should look at.",
+    "internal_memo": "The main facts, the serious risks, open questions, evidence that is lacking, and a short structure for a first memo.",
 }
 
 
@@ -54,6 +56,14 @@ def draft_prompt(requests: DataFrame) -> DataFrame:
     return requests.withColumn("draft_prompt", text)
 
 
+def rules_request(feedback: DataFrame) -> DataFrame:
+    """What a model that reads rules from an edit would be given; needs draft_type, retrieval_query,
+    operator_notes, original_draft, edited_draft, structured_diff."""
+    part = lambda title, c: F.concat(F.lit(f"{title}:\n"), F.coalesce(c, F.lit("None")))
+    text = F.concat_ws("\n\n", part("Draft type", F.col("draft_type")), part("Query", F.col("retrieval_query")), part("Notes", F.col("operator_notes")), part("Draft", F.col("original_draft")), part("Edited draft", F.col("edited_draft")), part("Changes", diff_json(F.col("structured_diff"))))
+    return feedback.withColumn("rules_request", text)
+
+
 class RuleExtractor:
     """Stand-in for the model that reads rules from an edit: one candidate a changed block."""
 

@@ -8,6 +8,15 @@ from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
 
+#: Rows that are sent to every task, at most.
+FEW = 200_000
+QUERY_BLOCK = 10_000
+
+
+def sized(small: DataFrame, bound: int = FEW) -> DataFrame:
+    """To be sent to every task if it is counted to have ``bound`` rows at most; else Spark joins by shuffle."""
+    return F.broadcast(small) if small.limit(bound + 1).count() <= bound else small
+
 
 def tokens(c: Column) -> Column:
     """Runs between white space, case kept, repeats kept."""
@@ -30,21 +39,33 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log1p((n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = DEFAULT) -> DataFrame:
-    """(query_id, id, score) for every document with a query term; ``queries`` has query_id, query.
+def matches(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, doc_len, tf, df, n_docs, avg_len) for each query term that a document has;
+    ``queries`` has query_id and query.
 
-    Only documents' occurrences of query terms are shuffled: the distinct terms filter them first.
+    Documents are read once for matches and once for their number and mean length. Only occurrences of
+    query terms are shuffled: their distinct terms filter them where they lie, and frequent terms meet
+    their queries without a shuffle, as long as queries have no more than ``FEW`` terms.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    few = F.broadcast if asked.limit(FEW + 1).count() <= FEW else lambda rows: rows
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     words = words.select("id", F.size("w").cast("double").alias("doc_len"), F.explode("w").alias("term"))
-    hits = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    hits = words.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text_col)
+    return hits.join(few(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # one row
+
+
+def bm25(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(query_id, id, score) from ``matches``."""
     k1, b = config.bm25_k1, config.bm25_b
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("doc_len") / F.col("avg_len")))
-    rows = hits.join(df, "term").crossJoin(F.broadcast(stats)).join(asked, "term")  # stats is one row
-    return rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = DEFAULT) -> DataFrame:
+    """(query_id, id, score) for every document with a query term."""
+    return bm25(matches(docs, queries, id_col, text_col), config)
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -62,11 +83,22 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scope: str | None = None) -> DataFrame:
     """(query_id, id, score) of exact search; ``queries`` has query_id, query_vector and the scope.
 
-    Queries are few: they are broadcast, and vectors are read once where they lie.
+    Vectors are read where they lie. Queries are sent to every task in blocks of ``QUERY_BLOCK`` at
+    most, a scan of the vectors for each block; with a scope that has more, both sides are joined on it.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *([scope] if scope else []))
-    joined = rows.join(F.broadcast(queries), scope) if scope else rows.crossJoin(F.broadcast(queries))
-    return joined.select("query_id", *([scope] if scope else []), "id", F.round(cosine(F.col("v"), F.col("query_vector")), 6).alias("score"))
+    score = lambda joined: joined.select("query_id", *([scope] if scope else []), "id", F.round(cosine(F.col("v"), F.col("query_vector")), 6).alias("score"))
+    if scope:
+        return score(rows.join(sized(queries, QUERY_BLOCK), scope))
+    blocks = -(-queries.limit(QUERY_BLOCK + 1).count() // QUERY_BLOCK)
+    if blocks > 1:
+        blocks = -(-queries.count() // (QUERY_BLOCK // 2))
+    out = None
+    for k in range(max(1, blocks)):
+        some = queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        part = score(rows.crossJoin(F.broadcast(some)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, config: Config = DEFAULT) -> DataFrame:

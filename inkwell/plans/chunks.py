@@ -60,23 +60,25 @@ def table_chunks_full(spark, sf):
 
 
 def sheet_pages(spark, sf):
-    """A sheet for each order; empty cells and rows fall out of its text."""
+    """A sheet for each order; empty cells and rows fall out of its text, and a sheet of only such ones is
+    a page of its title."""
     items = readers.parquet(spark, sf, "lineitem")
     rows = items.select(F.col("l_orderkey").alias("doc_id"), F.lit("Lines").alias("sheet"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("row_no"), F.array(F.col("l_partkey").cast("string"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("l_returnflag"))), F.when(F.col("l_partkey") % 5 != 0, F.col("l_linestatus"))).alias("cells"))
     rows = rows.withColumn("cells", F.when(F.col("row_no.l_linenumber") == 3, F.array(F.lit(" "), F.lit(None).cast("string"))).otherwise(F.col("cells")))
-    return readers.sheet_pages(rows).select("doc_id", "raw_text", F.size(F.element_at("tables", 1)).cast("long").alias("n_rows"), "confidence")
+    return readers.sheet_pages(rows).select("doc_id", "raw_text", F.size(F.flatten("tables")).cast("long").alias("n_rows"), "confidence", F.array_join("warnings", ";").alias("warnings"))
 
 
 def chunk_flatten(spark, sf):
-    """Index rows of the table chunks."""
+    """Index rows of text chunks (every second order has one) and of the table chunks after them."""
     t = order_tables(spark, sf)
-    bounds = spark.createDataFrame([], "doc_id long, page_number int, char_start int")
-    counts = spark.createDataFrame([], "doc_id long, n long")
-    tables = C.table_chunks(t, bounds, counts)
-    none = tables.limit(0)
+    legal = inputs.legal_docs(spark, sf).where("doc_id % 2 = 0")
+    text = legal.select("doc_id", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    text = text.withColumn("chunk_id", C.chunk_id("text"))
+    bounds = t.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("page_number"), (F.col("doc_id") % 7).alias("char_start"))
+    tables = C.table_chunks(t, bounds, text.groupBy("doc_id").agg(F.count("*").alias("n")))
     docs = t.select("doc_id", F.concat(F.lit("order-"), "doc_id").alias("filename"), F.lit("xlsx").alias("file_type"), F.lit("unknown").alias("doc_type"))
-    flat = C.flatten(C.all_chunks(none, tables), docs, "s1")
-    return _long(flat.select("doc_id", "filename", "file_type", "session_id", "chunk_index", "char_start", "char_end", "page_start", "page_end", "chunk_chunk_kind", "chunk_table_row_count", "chunk_char_count", "chunk_word_count"))
+    flat = C.flatten(C.all_chunks(text, tables), docs, "s1")
+    return _long(flat.select("chunk_id", "doc_id", "filename", "file_type", "session_id", "chunk_index", "char_start", "char_end", "page_start", "page_end", "chunk_chunk_kind", "chunk_table_row_count", "chunk_char_count", "chunk_word_count"))
 
 
 def session_documents(spark, sf):
@@ -101,6 +103,21 @@ _D_BLOCKS = """cells AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITI
                      l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT) AS cells FROM lineitem),
     blocks AS (SELECT *, (k - 1) // 12 AS block, CASE WHEN k <= 12 THEN 1 ELSE ((k - 1) // 12) * 12 + 2 END AS start, (k - 1) % 12 AS off FROM cells),
     done AS (SELECT doc_id, block, start, count(*) AS n, 'Table block on page 1' || chr(10) || 'Table 1' || chr(10) || 'Columns: line | part | qty' || chr(10) || string_agg('Row ' || (start + off) || ': ' || cells, chr(10) ORDER BY k) AS text FROM blocks GROUP BY doc_id, block, start)"""
+_R12 = "repeat(CAST({} AS VARCHAR), 12)"
+_HEAD = f"'Table block on page 1' || chr(10) || 'Table 1' || chr(10) || 'Columns: ' || {' || chr(32) || chr(124) || chr(32) || '.join(_R12.format(repr(c)) for c in ('line', 'part', 'qty'))}"
+_D_FULL = f"""
+    WITH RECURSIVE items AS (
+        SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS i,
+               {_R12.format('l_linenumber')} || ' | ' || {_R12.format('l_partkey')} || ' | ' || {_R12.format('CAST(l_quantity AS INT)')} AS cells FROM lineitem),
+    f AS (
+        SELECT doc_id, i, cells, CAST(0 AS BIGINT) AS block, CAST(1 AS BIGINT) AS label, CAST(1 AS BIGINT) AS n, length({_HEAD}) + 8 + length(cells) AS len FROM items WHERE i = 0
+        UNION ALL
+        SELECT doc_id, i, cells, CASE WHEN opens THEN block + 1 ELSE block END, CASE WHEN opens THEN i + 2 ELSE label END, CASE WHEN opens THEN 1 ELSE n + 1 END,
+               CASE WHEN opens THEN length({_HEAD}) + 7 + length(CAST(i + 2 AS VARCHAR)) + length(cells) ELSE grown END
+        FROM (SELECT *, n + 1 > 12 OR grown > 2000 AS opens
+              FROM (SELECT x.doc_id, x.i, x.cells, block, label, n, len + 7 + length(CAST(label + n AS VARCHAR)) + length(x.cells) AS grown FROM f JOIN items x ON x.doc_id = f.doc_id AND x.i = f.i + 1)))
+    SELECT doc_id, block, {_HEAD} || chr(10) || string_agg('Row ' || (label + n - 1) || ': ' || cells, chr(10) ORDER BY i) AS text, label AS table_row_start, label + count(*) - 1 AS table_row_end, count(*) AS table_row_count, CAST(3 AS BIGINT) AS table_column_count
+    FROM f GROUP BY doc_id, block, label"""
 ORACLE = {
     "page_bounds": f"WITH {_D_BOUNDS} SELECT * FROM bounds",
     "char_to_page": f"""WITH {_D_BOUNDS}, ends AS (SELECT doc_id, max(char_end) AS last_end, max(page_number) AS last_page, min(page_number) AS first_page, min(char_start) AS first_start FROM bounds GROUP BY doc_id),
@@ -108,9 +125,15 @@ ORACLE = {
         SELECT p.doc_id, p.at, CASE WHEN p.at < p.first_start THEN p.first_page ELSE coalesce(b.page_number, p.last_page) END AS page_number
         FROM probes p LEFT JOIN bounds b ON b.doc_id = p.doc_id AND p.at BETWEEN b.char_start AND b.char_end""",
     "table_chunks_rows": f"WITH {_D_BLOCKS} SELECT doc_id, block, text, start AS table_row_start, start + n - 1 AS table_row_end, n AS table_row_count, CAST(3 AS BIGINT) AS table_column_count FROM done",
-    "sheet_pages": """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_extendedprice, concat_ws(' | ', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END, CASE WHEN l_partkey % 5 <> 0 THEN l_linestatus END) AS line FROM lineitem WHERE l_linenumber <> 3)
-        SELECT doc_id, 'Sheet: Lines' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) AS raw_text, count(*) AS n_rows, CAST(1.0 AS DOUBLE) AS confidence FROM c GROUP BY doc_id""",
-    "chunk_flatten": f"""WITH {_D_BLOCKS} SELECT doc_id, 'order-' || doc_id AS filename, 'xlsx' AS file_type, 's1' AS session_id, block AS chunk_index, 0::BIGINT AS char_start, length(text) AS char_end, 1::BIGINT AS page_start, 1::BIGINT AS page_end, 'table' AS chunk_chunk_kind, n AS chunk_table_row_count, length(text) AS chunk_char_count, len(regexp_extract_all(text, '\\S+')) AS chunk_word_count FROM done""",
+    "sheet_pages": """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_extendedprice, concat_ws(' | ', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END, CASE WHEN l_partkey % 5 <> 0 THEN l_linestatus END) AS line, l_linenumber <> 3 AS kept FROM lineitem)
+        SELECT doc_id, 'Sheet: Lines' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) FILTER (kept), '') AS raw_text, count(*) FILTER (kept) AS n_rows, CAST(1.0 AS DOUBLE) AS confidence,
+               CASE WHEN bool_or(kept) THEN '' ELSE 'Sheet ''Lines'' is empty' END AS warnings FROM c GROUP BY doc_id""",
+    "table_chunks_full": _D_FULL,
+    "chunk_flatten": f"""WITH {_D_BLOCKS}, legal AS (SELECT * FROM ({inputs.LEGAL}) WHERE doc_id % 2 = 0),
+        parts AS (SELECT doc_id, 'text' AS kind, CAST(0 AS BIGINT) AS chunk_index, text, CAST(0 AS BIGINT) AS char_start, CAST(NULL AS BIGINT) AS n FROM legal WHERE doc_id IN (SELECT doc_id FROM done)
+                 UNION ALL SELECT doc_id, 'table', block + (1 - doc_id % 2), text, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE 0 END, n FROM done)
+        SELECT sha256(doc_id || ':' || kind || ':' || chunk_index) AS chunk_id, doc_id, 'order-' || doc_id AS filename, 'xlsx' AS file_type, 's1' AS session_id, chunk_index, char_start, char_start + length(text) AS char_end, 1::BIGINT AS page_start, 1::BIGINT AS page_end,
+               kind AS chunk_chunk_kind, n AS chunk_table_row_count, length(text) AS chunk_char_count, len(regexp_extract_all(text, '\\S+')) AS chunk_word_count FROM parts""",
     "session_documents": "SELECT o_custkey AS session_id, string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS document_ids, count(*) AS n FROM orders GROUP BY o_custkey",
     "get_many": """WITH l AS (SELECT o_orderkey, [o_orderkey % 700, 1000000000, (o_orderkey * 7) % 1500] AS ids FROM orders), x AS (SELECT o_orderkey, unnest(range(0, 3)) AS pos, unnest(ids) AS doc_id FROM l)
         SELECT o_orderkey, pos, doc_id, source FROM x JOIN documents USING (doc_id)""",

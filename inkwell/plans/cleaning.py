@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from inkwell.functions import classify as C
 from inkwell.functions import entities as E
 from inkwell.functions import text as T
+from inkwell.operators import chunk
 from inkwell.operators import documents as D
+from inkwell.operators import ingest as I
 from inkwell.plans import inputs
 from inkwell.sources.readers import html_text, parquet
 
@@ -183,7 +185,65 @@ def pages_text(spark, sf):
     return parquet(spark, sf, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
+def ingest_pages(spark, sf):
+    """Documents as raw pages of PDF files of fifty pages, cleaned, with all warnings of a page."""
+    p = inputs.source_pages(spark, sf).select("doc_id", "page_number", "row_id", F.col("cleaned_text").alias("raw_text"), F.concat("doc_id", F.lit(".PDF")).alias("filename"), F.when(F.col("row_id") % 9 == 0, F.array(F.lit("noted"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    out = I.finished_pages(p)
+    return out.select(F.col("row_id").alias("doc_id"), "confidence", F.col("word_count").cast("long").alias("words"), F.array_join("warnings", ";").alias("warnings"))
+
+
+def file_methods(spark, sf):
+    """How each file of fifty pages was read: pages of too little text were recognised."""
+    p = inputs.source_pages(spark, sf)
+    p = p.withColumns({"extraction_method": F.when(T.is_scanned(F.col("cleaned_text")), "ocr_scan").otherwise("native_text"), "filename": F.concat("doc_id", F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".png"))})
+    return I.file_methods(p)
+
+
+def upload_rows(spark, sf):
+    """What an upload answers for each order's text as a file of one page."""
+    docs = inputs.legal_docs(spark, sf)
+    name = F.concat(F.lit("order-"), "doc_id", F.lit(".pdf"))
+    found = docs.select("doc_id", name.alias("filename"), F.lit(".pdf").alias("extension"), F.octet_length("text").cast("long").alias("length"))
+    pages = docs.select("doc_id", name.alias("filename"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"), T.text_confidence(F.col("text")).alias("confidence"), F.lit("native_text").alias("extraction_method"), F.array().cast("array<string>").alias("warnings"))
+    rows = I.document_rows(pages, found)
+    out = I.upload_rows(rows, chunk.text_chunks(rows, chunk.page_bounds(pages)), I.entity_rows(pages)).join(rows.select("doc_id", "extraction_method", "file_type", "file_size_bytes"), "doc_id")
+    return out.select("doc_id", "filename", "status", "doc_type", "extraction_method", "file_type", "file_size_bytes", F.col("total_pages").cast("long").alias("total_pages"), "avg_confidence", "quality_score", "chunk_count", "entity_count", F.size("warnings").cast("long").alias("n_warnings"))
+
+
+def word_confidence(spark, sf):
+    """Words of each document as recognised ones, with a made-up confidence; -1 marks no word."""
+    words = parquet(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), F.explode(F.split("text", " ")).alias("text"))
+    return D.word_confidence(words.withColumn("conf", F.when(F.length("text") % 5 == 0, -1.0).otherwise((F.length("text") * 7 % 101).cast("double")))).select("doc_id", "confidence")
+
+
+def char_ratios(spark, sf):
+    t = F.col("text")
+    return parquet(spark, sf, "documents").select("doc_id", F.round(T.alpha_ratio(t), 6).alias("alpha"), F.round(T.upper_ratio(t), 6).alias("upper"), F.round(T.space_ratio(t), 6).alias("space"))
+
+
+def scanned_predicate(spark, sf):
+    return parquet(spark, sf, "documents").select("doc_id", T.is_scanned(F.col("text")).alias("scanned"))
+
+
+def doc_usable(spark, sf):
+    return D.process(_pages(spark, sf)).select("doc_id", "is_usable")
+
+
+def row_sum_variance(spark, sf):
+    """The score of a turned image, with a label's vectors as its rows of pixels."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return parquet(spark, sf, "embeddings").groupBy("label").agg(F.round(F.var_pop(total), 6).alias("score"))
+
+
 QUERIES = {
+    "ingest_pages": ingest_pages,
+    "file_methods": file_methods,
+    "upload_rows": upload_rows,
+    "word_confidence": word_confidence,
+    "char_ratios": char_ratios,
+    "scanned_predicate": scanned_predicate,
+    "doc_usable": doc_usable,
+    "row_sum_variance": row_sum_variance,
     "clean_unicode": noisy(lambda c: T.lookalikes(T.nfc(c))),
     "clean_noise_lines": noisy(T.without_noise_lines),
     "clean_ocr": noisy(T.ocr_fixed),
@@ -209,7 +269,35 @@ QUERIES = {
 
 _ratio = d_ratio("text", "\\pL")
 _upper = f"length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) / greatest({d_letters('text')}, 1)"
+
+
+def _d_warnings(raw, cleaned):
+    """Array of the cleaner's warnings."""
+    alpha, upper = d_ratio(cleaned, chr(92) + "pL"), f"length(regexp_replace({cleaned}, '[^\\p{{Lu}}]+', '', 'g')) / greatest({d_letters(cleaned)}, 1)"
+    return f"""CASE WHEN NOT regexp_matches({raw}, '\\S') THEN ['{T.BLANK}'] ELSE list_filter([CASE WHEN length({cleaned}) < 50 THEN '{T.SHORT}' END, CASE WHEN {alpha} < 0.4 THEN printf('{T.NOISY.replace('%d', '%.0f')}', {alpha} * 100) END, CASE WHEN {upper} > 0.85 AND length({cleaned}) > 100 THEN '{T.UPPER}' END], lambda x: x IS NOT NULL) END"""
+
+
+_D_UPLOAD = f"""
+    WITH kind AS ({d_classify(inputs.LEGAL, C.DOMAIN_LEXICON)}),
+    ent AS ({_d_entities(tuple(E.PATTERNS))} SELECT doc_id, count(*) AS n FROM done GROUP BY doc_id),
+    d AS (SELECT doc_id, text, {d_confidence('text')} AS conf FROM ({inputs.LEGAL})),
+    w AS (SELECT d.*, doc_type, CASE WHEN conf < 0.6 THEN 1 ELSE 0 END + CASE WHEN doc_type = 'unknown' THEN 1 ELSE 0 END AS n_warnings FROM d JOIN kind USING (doc_id))
+    SELECT doc_id, 'order-' || doc_id || '.pdf' AS filename, 'processed' AS status, doc_type, 'native_text' AS extraction_method, 'pdf' AS file_type, CAST(strlen(text) AS BIGINT) AS file_size_bytes, CAST(1 AS BIGINT) AS total_pages, conf AS avg_confidence,
+           round(least(greatest(conf * 0.5 + CASE WHEN length({d_strip('text')}) >= 30 THEN 0.3 ELSE 0.0 END + (0.2 - least(n_warnings * 0.05, 0.2)), 0.0), 1.0), 3) AS quality_score,
+           CAST(1 AS BIGINT) AS chunk_count, coalesce(n, 0) AS entity_count, CAST(n_warnings AS BIGINT) AS n_warnings
+    FROM w LEFT JOIN ent USING (doc_id)"""
 ORACLE = {
+    "ingest_pages": f"""WITH p AS (SELECT doc_id, text, row_number() OVER (PARTITION BY floor(doc_id / 50) ORDER BY doc_id) AS page, {d_clean('text')} AS own FROM documents),
+        n AS (SELECT *, {_d_warnings('text', 'own')} AS found, len(regexp_extract_all(own, '\\S+')) AS words FROM p)
+        SELECT doc_id, {d_confidence('own')} AS confidence, words, array_to_string(found || CASE WHEN doc_id % 9 = 0 THEN ['noted'] ELSE [] END || CASE WHEN length({d_strip('own')}) < 30 THEN [printf('{D.LITTLE_TEXT}', page, words)] ELSE [] END, ';') AS warnings FROM n""",
+    "file_methods": f"""WITH p AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS f, doc_id, length({d_strip('text')}) < 100 AS scanned FROM documents)
+        SELECT f AS doc_id, CASE WHEN f % 2 = 1 THEN CASE WHEN arg_min(scanned, doc_id) THEN 'ocr_scan' ELSE 'native_text' END WHEN bool_and(scanned) THEN 'ocr_scan' WHEN NOT bool_or(scanned) THEN 'native_text' ELSE 'hybrid' END AS extraction_method FROM p GROUP BY f""",
+    "upload_rows": _D_UPLOAD,
+    "word_confidence": "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents), c AS (SELECT doc_id, t, CASE WHEN length(t) % 5 = 0 THEN -1.0 ELSE CAST(length(t) * 7 % 101 AS DOUBLE) END AS conf FROM w) SELECT doc_id, coalesce(round(avg(conf) FILTER (conf >= 0 AND regexp_matches(t, '\\S')) / 100, 3), 0.0) AS confidence FROM c GROUP BY doc_id",
+    "char_ratios": f"SELECT doc_id, round({_ratio}, 6) AS alpha, round({_upper}, 6) AS upper, round({d_ratio('text', ' ')}, 6) AS space FROM documents",
+    "scanned_predicate": f"SELECT doc_id, length({d_strip('text')}) < 100 AS scanned FROM documents",
+    "doc_usable": f"WITH {D_PAGES} SELECT doc_id, avg_confidence >= 0.2 AS is_usable FROM agg",
+    "row_sum_variance": "SELECT label, round(var_pop(list_sum(embedding::DOUBLE[])), 6) AS score FROM embeddings GROUP BY label",
     "clean_unicode": f"WITH {NOISY} SELECT doc_id, {d_lookalikes('text')} AS cleaned FROM noisy",
     "clean_noise_lines": f"WITH {NOISY} SELECT doc_id, {d_lines('text')} AS cleaned FROM noisy",
     "clean_ocr": f"WITH {NOISY} SELECT doc_id, {d_ocr('text').replace('chr(1)', 'chr(2)')} AS cleaned FROM noisy",

@@ -25,8 +25,8 @@ SELECT doc_id, '=====\n' || replace(replace(replace(replace(replace(text,
 FROM documents
 """
 
-#: The pages of one document are the documents of a source.
-PAGES = "SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, text AS cleaned_text, doc_id AS row_id FROM documents"
+#: The pages of one document are fifty documents at most, so a document is bounded at any scale.
+PAGES = "SELECT CAST(floor(doc_id / 50) AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY floor(doc_id / 50) ORDER BY doc_id) AS INT) AS page_number, text AS cleaned_text, doc_id AS row_id FROM documents"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 

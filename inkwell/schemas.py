@@ -27,3 +27,4 @@ FEEDBACK = f"feedback_id string, draft_id string, user_id string, draft_type str
 RULES = "rule_id string, user_id string, description string, category string, example_before string, example_after string, applicable_draft_types array<string>, confidence double, support_count int, decay_count int, normalized_key string, status string, last_updated timestamp, insert_seq bigint"
 JOBS = f"feedback_id string, user_id string, status string, candidates array<{CANDIDATE}>, error_message string, at timestamp"
 RULE_CONTROLS = "user_id string, rule_id string, action string, submitted_at timestamp, event_id string"
+TEXT_CHUNKS = "chunk_id string, doc_id string, text string, page_start int, page_end int, char_start int, char_end int, chunk_index int"

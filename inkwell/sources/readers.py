@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import posixpath
 import re
 import tempfile
 import zipfile
@@ -35,12 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def files(spark: SparkSession, path: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Files of a folder by the allow-list of extensions: those to read, and the rejected ones."""
+    """Files of a folder by the allow-list of extensions and the largest size: those to read, and the
+    rejected ones with the reason."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     found = found.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "extension": F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), "doc_id": F.sha2(F.col("path"), 256)})
-    allowed = F.col("extension").isin(*config.extensions)
-    rejected = found.where(~allowed).select("doc_id", "filename", "extension", F.concat(F.lit("Unsupported file type: "), "extension").alias("error"))
-    return found.where(allowed), rejected
+    allowed, fits = F.col("extension").isin(*config.extensions), F.col("length") <= config.max_file_mb * 1024 * 1024
+    why = F.when(~allowed, F.concat(F.lit("Unsupported file type: "), "extension")).otherwise(F.format_string("File is larger than %d MB", F.lit(config.max_file_mb)))
+    return found.where(allowed & fits), found.where(~(allowed & fits)).select("doc_id", "filename", "extension", why.alias("error"))
 
 
 def cell_text(c):
@@ -48,56 +51,108 @@ def cell_text(c):
     return F.trim(F.coalesce(c.cast("string"), F.lit("")))
 
 
-def sheet_pages(rows: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+#: Fixed value: the warning on a sheet without text.
+EMPTY_SHEET = "Sheet '%s' is empty"
+
+
+def sheet_pages(rows: DataFrame, doc_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages from sheet rows (doc, sheet, row_no, cells): all-empty rows go; the text is the title and
-    a line for each row; confidence is 1 with text and 0 without."""
-    cells = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
-    rows = rows.withColumn("cells", cells).where(F.exists("cells", lambda c: c != ""))
+    a line for each row. A sheet without rows (null cells) is a page of its title, with a warning."""
+    cells = F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    rows = rows.withColumn("cells", cells).withColumn("_full", F.exists("cells", lambda c: c != ""))
     line = F.array_join(F.filter("cells", lambda c: c != ""), " | ")
-    one = F.array_sort(F.collect_list(F.struct("row_no", line.alias("line"), "cells")))
-    pages = rows.groupBy(doc_col, "sheet").agg(one.alias("r"))
-    text = F.concat(F.lit("Sheet: "), F.col("sheet"), F.lit("\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"))
-    return pages.select(doc_col, "sheet", text.alias("raw_text"), F.array(F.transform("r", lambda x: x["cells"])).alias("tables"), F.lit(True).alias("has_tables"), F.lit(1.0).alias("confidence"), F.lit("native_text").alias("extraction_method"))
+    one = F.array_sort(F.collect_list(F.when(F.col("_full"), F.struct("row_no", line.alias("line"), "cells"))))
+    pages = rows.groupBy(doc_col, *keep, "sheet").agg(one.alias("r"))
+    title = F.concat(F.lit("Sheet: "), F.col("sheet"))
+    some = F.size("r") > 0
+    text = F.when(some, F.concat(title, F.lit("\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"))).otherwise(title)
+    tables = F.when(some, F.array(F.transform("r", lambda x: x["cells"]))).otherwise(F.array().cast("array<array<array<string>>>"))
+    notes = F.when(some, F.array().cast("array<string>")).otherwise(F.array(F.format_string(EMPTY_SHEET, "sheet")))
+    return pages.select(doc_col, *keep, "sheet", text.alias("raw_text"), tables.alias("tables"), some.alias("has_tables"), F.lit(1.0).alias("confidence"), F.lit("native_text").alias("extraction_method"), notes.alias("warnings"))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
+_OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Number formats of the standard that are dates or times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _date_styles(book: zipfile.ZipFile) -> list[bool]:
+    """For each cell style whether its number format is a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'\[[^\]]*\]|"[^"]*"|\\.', "", f.get("formatCode", "")) for f in root.iterfind("m:numFmts/m:numFmt", _NS)}
+    kinds = [int(x.get("numFmtId", "0")) for x in root.iterfind("m:cellXfs/m:xf", _NS)]
+    return [k in _DATE_FORMATS or bool(re.search("[dmyhs]", own.get(k, ""), re.I)) for k in kinds]
+
+
+def _number(text: str, date: bool, first_day: dt.datetime) -> str:
+    """A number cell as text: dates from their serial, whole numbers without a fraction."""
+    value = float(text)
+    if date:
+        if 0 <= value < 1:
+            return str((first_day + dt.timedelta(seconds=round(value * 86400))).time())
+        return str(first_day + dt.timedelta(days=int(value), seconds=round(value % 1 * 86400)))
+    return str(int(value)) if value.is_integer() and not re.search("[.eE]", text) else str(value)
+
+
 def read_workbook(content: bytes) -> list[tuple[int, str, list[list[str]]]]:
-    """Sheets of an XLSX file in order: number, title, rows of cell texts; standard library only."""
+    """Sheets of an XLSX file in order: number, title, rows of cell texts; standard library only.
+
+    The parts of sheets are those that the workbook's relationships name. Booleans read True or False,
+    cells of a date format as date and time.
+    """
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-    titles = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", _NS)]
+    text_of = lambda node: "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+    shared = [text_of(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    options = root.find("m:workbookPr", _NS)
+    mac = options is not None and options.get("date1904", "0") in ("1", "true")
+    first_day = dt.datetime(1904, 1, 1) if mac else dt.datetime(1899, 12, 30)
+    dates = _date_styles(book)
+    parts = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            parts[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+
+    def cell(c) -> str:
+        kind, value = c.get("t"), c.find("m:v", _NS)
+        if kind == "inlineStr":
+            return text_of(c)
+        text = "" if value is None else value.text or ""
+        if not text:
+            return ""
+        if kind == "s":
+            return shared[int(text)]
+        if kind == "b":
+            return "True" if text == "1" else "False"
+        style = int(c.get("s", "0"))
+        return _number(text, style < len(dates) and dates[style], first_day) if kind in (None, "n") else text
+
     out = []
-    for k, title in enumerate(titles, 1):
-        path = f"xl/worksheets/sheet{k}.xml"
-        if path not in names:
-            continue
+    for k, sheet in enumerate(root.find("m:sheets", _NS), 1):
+        path = parts.get(sheet.get(_OFFICE), f"xl/worksheets/sheet{k}.xml")
         rows = []
-        for row in ElementTree.fromstring(book.read(path)).iter(f"{{{_NS['m']}}}row"):
+        for row in ElementTree.fromstring(book.read(path)).iter(f"{{{_NS['m']}}}row") if path in names else ():
             cells: dict[int, str] = {}
             for c in row.findall("m:c", _NS):
                 at = 0
-                for ch in re.match("[A-Z]*", c.get("r", "A"))[0]:
+                for ch in re.match("[A-Z]*", c.get("r", ""))[0]:
                     at = at * 26 + ord(ch) - 64
-                value = c.find("m:v", _NS)
-                text = "" if value is None else value.text or ""
-                if c.get("t") == "s" and text:
-                    text = shared[int(text)]
-                elif c.get("t") == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                cells[at or len(cells) + 1] = text.strip()
+                cells[at or max(cells, default=0) + 1] = cell(c).strip()
             rows.append([cells.get(i, "") for i in range(1, max(cells, default=0) + 1)])
-        out.append((k, title, rows))
+        out.append((k, sheet.get("name"), rows))
     return out
 
 
 def workbook_rows(found: DataFrame) -> DataFrame:
-    """(doc_id, filename, page_number, sheet, row_no, cells) of XLSX files; unreadable ones give none."""
+    """(doc_id, filename, page_number, sheet, row_no, cells) of XLSX files; a sheet without rows gives one
+    of null cells, an unreadable file none."""
 
     def run(batches):
         for frame in batches:
@@ -105,9 +160,9 @@ def workbook_rows(found: DataFrame) -> DataFrame:
             for r in frame.itertuples():
                 try:
                     sheets = read_workbook(bytes(r.content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
                     continue
-                out += [(r.doc_id, r.filename, k, title, n, cells) for k, title, rows in sheets for n, cells in enumerate(rows, 1)]
+                out += [(r.doc_id, r.filename, k, title, n, cells) for k, title, rows in sheets for n, cells in enumerate(rows or [None], 1)]
             yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "sheet", "row_no", "cells"])
 
     return found.where("extension = '.xlsx'").select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, sheet string, row_no int, cells array<string>")
@@ -125,17 +180,29 @@ def image_pages(found: DataFrame, engine: OcrEngine | None = None) -> DataFrame:
     return found.where(~F.col("extension").isin(".xlsx", ".pdf")).select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string")
 
 
-def pdf_pages(found: DataFrame, extractor) -> DataFrame:
-    """Pages of PDF files; ``extractor(content)`` gives (native text, tables) for each page. Pages of too
-    little native text are left to text recognition. No PDF library is bundled."""
+def pdf_pages(found: DataFrame, extractor, engine: OcrEngine | None = None) -> DataFrame:
+    """Pages of PDF files; ``extractor(content)`` gives (native text, tables, image bytes or None) for
+    each page. A page of too little native text is read by the text recognition from its image. No PDF
+    library is bundled."""
+    reader = engine or OcrEngine()
 
     def run(batches):
         for frame in batches:
-            out = [(r.doc_id, r.filename, n, text, tables) for r in frame.itertuples() for n, (text, tables) in enumerate(extractor(bytes(r.content)), 1)]
-            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "raw_text", "tables"])
+            out = []
+            for r in frame.itertuples():
+                for n, (text, tables, image) in enumerate(extractor(bytes(r.content)), 1):
+                    out.append((r.doc_id, r.filename, n, text, tables, image))
+            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "raw_text", "tables", "image"])
+
+    def recognise(batches):
+        for frame in batches:
+            got = [reader.read(bytes(x)) if s and x is not None else (("", 0.0) if s else (t, None)) for s, x, t in zip(frame["scanned"], frame["image"], frame["raw_text"], strict=True)]
+            yield frame.assign(raw_text=[t for t, _ in got], confidence=[c for _, c in got]).drop(columns="image")
 
-    pages = found.where("extension = '.pdf'").select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, raw_text string, tables array<array<array<string>>>")
-    return pages.withColumn("extraction_method", F.when(X.is_scanned(F.col("raw_text")), "ocr_scan").otherwise("native_text"))
+    kind = "doc_id string, filename string, page_number int, raw_text string, tables array<array<array<string>>>"
+    pages = found.where("extension = '.pdf'").select("doc_id", "filename", "content").mapInPandas(run, f"{kind}, image binary")
+    pages = pages.withColumn("scanned", X.is_scanned(F.col("raw_text"))).mapInPandas(recognise, f"{kind}, scanned boolean, confidence double")
+    return pages.withColumn("extraction_method", F.when(F.col("scanned"), "ocr_scan").otherwise("native_text")).drop("scanned")
 
 
 def html_text(html):
