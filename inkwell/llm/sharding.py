@@ -14,7 +14,7 @@ from inkwell.llm.common import materialise
 #: Units of work a shard on the driver, at most twice; smaller groups travel in bundles.
 UNITS_PER_SHARD = 512
 #: Rows that one numbering task takes.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 8_000
 
 
 def karmarkar_karp(sizes: list[int], ways: int) -> list[int]:
