@@ -21,11 +21,10 @@ word counts: log10 a token on sf0.1 is -6.3 in one class and -5.5 in one a langu
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +38,8 @@ LONGEST_TOGETHER = 64
 EM_ROUNDS = 2
 #: Most frequent words, whose scores every task gets; all other words are joined.
 HEAD_WORDS = 200_000
-FLUSH_WORDS = 300_000
+#: Occurrences of words that a task counts at once.
+FLUSH_WORDS = 3_000_000
 #: Words whose lattices are worked on together.
 TOGETHER_WORDS = 40_000
 #: Latent classes, the rounds that find them, and the share of their word weights that is everyone's.
@@ -290,34 +290,49 @@ def find_classes(profiles: DataFrame, classes: int, rounds: int = CLASS_ROUNDS)
     return centres
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and how many each text has; nulls have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[full.to_numpy(zero_copy_only=False)]
+    return words.filter(full), np.bincount(row, minlength=len(texts))
 
 
 def _count(shared):
     """Words of the task's texts with their counts by class; an empty word is the end of a text."""
 
-    def pack(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]), pa.int32()), pa.array([w for c in counts for w in c], pa.binary()), pa.array([n for c in counts for n in c.values()], pa.int64())],
-            names=["z", "word", "n"],
-        )
+    def pack(held, ends):
+        z, words, counts = [], [], []
+        for k, parts in enumerate(held):
+            if parts:
+                found = pc.value_counts(pa.concat_arrays(parts))
+                words.append(found.field("values").cast(pa.binary()))
+                counts.append(found.field("counts"))
+                z.append(np.full(len(found), k, np.int32))
+        own = np.flatnonzero(ends)
+        words.append(pa.array([b""] * len(own), pa.binary()))
+        counts.append(pa.array(ends[own], pa.int64()))
+        z.append(own.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)), pa.concat_arrays(words), pa.concat_arrays(counts)], names=["z", "word", "n"])
 
     def run(batches):
         centres = shared.value
-        counts: list[Counter] = [Counter() for _ in centres]
+        held: list[list[pa.Array]] = [[] for _ in centres]
+        ends, many = np.zeros(len(centres), np.int64), 0
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
             for lo, hi, buf, offs in text_blocks(batch.column(0)):
                 own = (_profiles(buf, offs) @ centres.T).argmax(axis=1)
-                for z, text in zip(own.tolist(), texts[lo:hi].to_pylist(), strict=True):
-                    counts[z].update(_tokens(text))
-                    counts[z][b""] += 1
-                if sum(map(len, counts)) > FLUSH_WORDS:
-                    yield pack(counts)
-                    for c in counts:
-                        c.clear()
-        yield pack(counts)
+                words, n = _tokens(batch.column(0).slice(lo, hi - lo))
+                kind = np.repeat(own, n)
+                for z in np.unique(own).tolist():
+                    held[z].append(words.filter(pa.array(kind == z)))
+                ends += np.bincount(own, minlength=len(ends))
+                many += len(words)
+                if many > FLUSH_WORDS:
+                    yield pack(held, ends)
+                    held, ends, many = [[] for _ in centres], np.zeros(len(centres), np.int64), 0
+        yield pack(held, ends)
 
     return run
 
@@ -397,31 +412,36 @@ def _score_words(shared, totals: dict, classes: int):
 
 
 def _score_texts(head, classes: int):
-    """A row for each text: what its head words give, and its other words with their counts."""
+    """A row for each text: what its head words give, and its other words, as often as it has them."""
 
     def run(batches):
         index, scores = head.value
         scores = np.vstack([scores, np.zeros((1, classes + 1))])  # the last row is that of other words
         other = len(scores) - 1
+        end = pc.index_in(pa.scalar(""), index).as_py()
         for batch in batches:
-            sums, known, tokens, words, times, ends = [], [], [], [], [], [0]
-            for text in column_of(batch, "_text").cast(pa.binary()).to_pylist():
-                own = [*_tokens(text), b""]
-                at = np.fromiter(map(index.get, own, repeat(other)), np.int64, len(own))
-                met, n = np.unique(at, return_counts=True)  # one order of summing, so that runs agree
-                sums.append(n @ scores[met])
-                missed = np.flatnonzero(at == other).tolist()
-                more = Counter([own[k] for k in missed])
-                known.append(len(own) - len(missed))
-                tokens.append(len(own))
-                words += more
-                times += more.values()
-                ends.append(len(words))
-            offs = pa.array(ends, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*(column_of(batch, c) for c in ("_rid", "_id", "_held")), pa.array(sums, pa.list_(pa.float64())), pa.array(known, pa.int64()), pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(offs, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offs, pa.array(times, pa.int64()))],
-                names=["_rid", "_id", "_held", "sums", "known", "tokens", "words", "times"],
-            )
+            texts = column_of(batch, "_text")
+            words, n = _tokens(texts)
+            at = pc.index_in(words, index).fill_null(other).to_numpy()
+            first = np.concatenate([[0], np.cumsum(n)])
+            sums = np.tile(scores[other if end is None else end], (len(n), 1))
+            lo = 0
+            while lo < len(n):  # some texts at a time
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + TOGETHER_WORDS, "right")) - 1)
+                full = lo + np.flatnonzero(n[lo:hi])
+                if len(full):
+                    sums[full] += np.add.reduceat(scores[at[first[lo] : first[hi]]], first[full] - first[lo], axis=0)
+                lo = hi
+            missed = at == other
+            upto = np.concatenate([[0], np.cumsum(missed)])
+            known = n - (upto[first[1:]] - upto[first[:-1]]) + (end is not None)
+            offs = pa.array(upto[first].astype(np.int32))
+            rest = words.filter(pa.array(missed)).cast(pa.binary())
+            if end is None:  # an end that is no head word is one of the others
+                rest = pa.array([w for k in range(len(n)) for w in [*rest[offs[k].as_py() : offs[k + 1].as_py()].to_pylist(), b""]], pa.binary())
+                offs = pa.array((upto[first] + np.arange(len(first))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (classes + 1)), pa.array(sums.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("_rid", "_id", "_held")), lists, pa.array(known), pa.array(n + 1), pa.ListArray.from_arrays(offs, rest)], names=["_rid", "_id", "_held", "sums", "known", "tokens", "words"])
 
     return run
 
@@ -489,22 +509,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = scored.where(inside).select("word", "base", "model").toArrow()
     top = top.sort_by("word") if top.num_rows else top
     matrix = np.hstack([top["base"].to_numpy()[:, None], top["model"].combine_chunks().flatten().to_numpy().reshape(-1, classes)]) if top.num_rows else np.zeros((0, classes + 1))
-    head = context.broadcast(({w: i for i, w in enumerate(top["word"].to_pylist())}, matrix))
+    head = context.broadcast((pa.array(top["word"].to_pylist(), pa.binary()).cast(pa.string()), matrix))
 
     numbered = rows.withColumn("_rid", F.monotonically_increasing_id())
-    parts = materialise(numbered.mapInArrow(_score_texts(head, classes), f"_rid long, _id {id_type}, _held boolean, sums array<double>, known long, tokens long, words array<binary>, times array<long>"), "texts")
-    others = parts.select("_rid", F.explode(F.arrays_zip("times", "words")).alias("w")).select("_rid", F.col("w.times").alias("tokens"), F.col("w.words").alias("word"))
+    parts = materialise(numbered.mapInArrow(_score_texts(head, classes), f"_rid long, _id {id_type}, _held boolean, sums array<double>, known long, tokens long, words array<binary>"), "texts")
+    others = parts.select("_rid", F.explode("words").alias("word"))
     met = others.join(scored.where(~inside), "word", "left")
-    seen = met.where("n is not null").select("_rid", "tokens", "n", "base", "model")
-    new = met.where("n is null").select("_rid", "tokens", "word", "n", *[F.lit(0).cast("long").alias(c) for c in names])
-    new = new.mapInArrow(_score_words(table, totals, classes), f"_rid long, tokens long, {columns}, base double, model array<double>")
-    more = seen.unionByName(new.select("_rid", "tokens", "n", "base", "model")).groupBy("_rid").agg(
-        F.sum(F.col("tokens") * F.col("base")).alias("more"),
-        F.sum(F.when(F.col("n") > 0, F.col("tokens")).otherwise(0)).alias("known_more"),
-        *[F.sum(F.col("tokens") * F.col("model")[z]).alias(f"more{z}") for z in range(classes)],
+    seen = met.where("n is not null").select("_rid", "n", "base", "model")
+    new = met.where("n is null").select("_rid", "word", "n", *[F.lit(0).cast("long").alias(c) for c in names])
+    new = new.mapInArrow(_score_words(table, totals, classes), f"_rid long, {columns}, base double, model array<double>")
+    more = seen.unionByName(new.select("_rid", "n", "base", "model")).groupBy("_rid").agg(
+        F.sum("base").alias("more"),
+        F.sum((F.coalesce("n", F.lit(0)) > 0).cast("long")).alias("known_more"),
+        *[F.sum(F.col("model")[z]).alias(f"more{z}") for z in range(classes)],
     )
     by_z = [F.col("sums")[z + 1] + F.coalesce(f"more{z}", F.lit(0.0)) + F.lit(float(shares[z])) for z in range(classes)]
-    out = parts.drop("words", "times").join(more, "_rid", "left").withColumns({f"z{z}": t for z, t in enumerate(by_z)})
+    out = parts.drop("words").join(more, "_rid", "left").withColumns({f"z{z}": t for z, t in enumerate(by_z)})
     best = F.array_max(F.array(*[f"z{z}" for z in range(classes)]))
     rest = sum((F.pow(F.lit(10.0), F.col(f"z{z}") - F.col("best")) for z in range(1, classes)), F.pow(F.lit(10.0), F.col("z0") - F.col("best")))
     return out.withColumn("best", best).select(
