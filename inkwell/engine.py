@@ -46,11 +46,12 @@ class Engine:
     def ingest(self, session_id: str, pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
         """Pages (doc_id, filename, page_number, raw_text) to documents and to the session's index."""
         self.session_user(session_id)
-        cleaned = documents.clean_pages(pages)
-        docs = documents.process(cleaned, self.config)
-        names = pages.groupBy("doc_id").agg(F.first("filename").alias("filename"))
-        docs = docs.join(names, "doc_id").withColumn("extraction_method", F.lit("native_text"))
-        self._add(session_id, docs, cleaned, tables)
+        batch = self._batch(session_id)
+        pages = self._written("pages", ingest.finished_pages(ingest.with_defaults(pages), None, self.config), S.PAGES, batch, "filename string")
+        named = pages.groupBy("doc_id").agg(F.first("filename").alias("filename"))
+        found = named.select("doc_id", "filename", F.lower(F.regexp_extract("filename", r"(\.[^./]+)$", 1)).alias("extension"), F.lit(None).cast("long").alias("length"))
+        docs = self._written("documents", ingest.document_rows(pages, found, self.config), S.DOCUMENTS, batch)
+        self._add(session_id, docs, pages, tables, batch)
         return docs
 
     def ingest_files(self, session_id: str, path: str, extractor=None, engine=None, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,25 +63,28 @@ class Engine:
         """
         self.session_user(session_id)
         found, rejected = readers.files(self.spark, path, self.config)
-        batch = hashlib.sha256(f"{session_id}:{path}:{dt.datetime.now(dt.timezone.utc).isoformat()}".encode()).hexdigest()[:32]
-        written = lambda table, rows, schema: self._written(table, rows, schema, batch)
-        pages = written("pages", ingest.finished_pages(ingest.raw_pages(found, extractor, engine), answers, self.config), S.PAGES)
+        batch = self._batch(f"{session_id}:{path}")
+        written = lambda table, rows, schema, more="": self._written(table, rows, schema, batch, more)
+        pages = written("pages", ingest.finished_pages(ingest.raw_pages(found, extractor, engine), answers, self.config), S.PAGES, "filename string")
         docs = written("documents", ingest.document_rows(pages, found.drop("content"), self.config), S.DOCUMENTS)
         entities = written("entities", ingest.entity_rows(pages), S.ENTITIES)
         tables = pages.where("has_tables").select("doc_id", "page_number", F.posexplode("tables").alias("table_index", "rows"))
         return ingest.upload_rows(docs, self._add(session_id, docs, pages, tables, batch), entities), rejected
 
-    def _written(self, table: str, rows: DataFrame, schema: str, batch: str) -> DataFrame:
+    def _batch(self, of: str) -> str:
+        return hashlib.sha256(f"{of}:{dt.datetime.now(dt.timezone.utc).isoformat()}".encode()).hexdigest()[:32]
+
+    def _written(self, table: str, rows: DataFrame, schema: str, batch: str, more: str = "") -> DataFrame:
         """Append rows of an upload to a table and read them from there, so that nothing is done twice."""
+        schema = f"{schema}, {more}" if more else schema
         names = [f.name for f in self.spark.createDataFrame([], schema).schema]
         self.store.append(table, rows.select(*names, F.lit(batch).alias("batch")), "batch")
         return self.store.load(table, f"{schema}, batch string").where(F.col("batch") == batch).drop("batch")
 
-    def _add(self, session_id: str, docs: DataFrame, pages: DataFrame, tables: DataFrame | None, batch: str | None = None) -> DataFrame:
+    def _add(self, session_id: str, docs: DataFrame, pages: DataFrame, tables: DataFrame | None, batch: str) -> DataFrame:
         """Chunks of documents to the store and, with their vectors, to the session's index; documents to
         the session, in order of their names after those that it has."""
         bounds = chunk.page_bounds(pages)
-        batch = batch or hashlib.sha256(f"{session_id}:{dt.datetime.now(dt.timezone.utc).isoformat()}".encode()).hexdigest()[:32]
         text = self._written("text_chunks", chunk.text_chunks(docs, bounds), S.TEXT_CHUNKS, batch)
         counts = text.groupBy("doc_id").agg(F.count("*").alias("n"))
         none = self.spark.createDataFrame([], "doc_id string, page_number int, table_index int, rows array<array<string>>")
@@ -184,6 +188,10 @@ class Engine:
                 self._job(feedback_id, user, "failed", error=str(why).strip("'"))
         return len(waiting)
 
+    def compact(self) -> None:
+        """Keep the last state of each job only; for times when no job is taken up."""
+        self.store.compact("jobs", S.JOBS, "feedback_id", "at")
+
     def _job(self, feedback_id: str, user: str, status: str, candidates=None, error: str | None = None) -> None:
         row = (feedback_id, user, status, candidates, error, dt.datetime.now(dt.timezone.utc))
         self.store.append("jobs", self.spark.createDataFrame([row], S.JOBS))

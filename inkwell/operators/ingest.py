@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,17 @@ def raw_pages(found: DataFrame, extractor=None, engine: OcrEngine | None = None)
     parts = [readers.sheet_pages(rows, keep=("filename", "page_number")), readers.image_pages(found, engine)]
     if extractor is not None:
         parts.append(readers.pdf_pages(found, extractor, engine))
-    out = None
-    for part in parts:
-        for name, kind in (("tables", _TABLES), ("warnings", "array<string>")):
-            own = F.col(name) if name in part.columns else F.lit(None)
-            part = part.withColumn(name, F.coalesce(own.cast(kind), F.array().cast(kind)))
-        part = part.withColumn("has_tables", F.size("tables") > 0).select(*COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, [with_defaults(part) for part in parts])
+
+
+def with_defaults(pages: DataFrame) -> DataFrame:
+    """Pages (doc_id, filename, page_number, raw_text and any others of ``COLUMNS``) with all of these."""
+    missing = {"confidence": F.lit(None).cast("double"), "extraction_method": F.lit("native_text")}
+    for name, kind in (("tables", _TABLES), ("warnings", "array<string>")):
+        own = F.col(name) if name in pages.columns else F.lit(None)
+        missing[name] = F.coalesce(own.cast(kind), F.array().cast(kind))
+    pages = pages.withColumns({c: e for c, e in missing.items() if c not in pages.columns or c in ("tables", "warnings")})
+    return pages.withColumn("has_tables", F.size("tables") > 0).select(*COLUMNS)
 
 
 def finished_pages(pages: DataFrame, answers: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:

@@ -111,23 +111,37 @@ def fold_batch(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     ``feedback`` has user_id, feedback_id, draft_type, submitted_at, candidates, applied_rule_ids, and
     where ``with_controls`` added them, action and rule_id. The fold is sequential by its meaning; users
-    are independent, so they run in parallel.
+    are independent, so they run in parallel. A user's feedback is sorted by Spark and passes a task in
+    batches, which holds the user's rules only, however much feedback there is.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rules: list[dict] = []
-        for row in in_time(frame):
-            if row.get("action"):
-                control(rules, row)
-                continue
-            for name in ("candidates", "applied_rule_ids"):
-                row[name] = [] if row.get(name) is None else list(row[name])
-            for c in row["candidates"]:
-                c["applicable_draft_types"] = [] if c.get("applicable_draft_types") is None else list(c["applicable_draft_types"])
-            fold_feedback(rules, row, config)
-        return as_frame(rules)
-
-    return feedback.groupBy("user_id").applyInPandas(run, RULES)
+    def run(frames):
+        user, rules = object(), []
+        for frame in frames:
+            done: list[dict] = []
+            for row in frame.to_dict("records"):
+                if row["user_id"] != user:
+                    done += rules
+                    user, rules = row["user_id"], []
+                fold_row(rules, row, config)
+            yield as_frame(done)
+        yield as_frame(rules)
+
+    late = F.col("action").isNotNull() if "action" in feedback.columns else F.lit(False)
+    rows = feedback.repartition("user_id").sortWithinPartitions("user_id", "submitted_at", late, "feedback_id")
+    return rows.mapInPandas(run, RULES)
+
+
+def fold_row(rules: list[dict], row: dict, config: Config = DEFAULT) -> None:
+    """One feedback or event into a user's rules."""
+    if row.get("action"):
+        control(rules, row)
+        return
+    for name in ("candidates", "applied_rule_ids"):
+        row[name] = [] if row.get(name) is None else list(row[name])
+    for c in row["candidates"]:
+        c["applicable_draft_types"] = [] if c.get("applicable_draft_types") is None else list(c["applicable_draft_types"])
+    fold_feedback(rules, row, config)
 
 
 def fold_exact(observations: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -181,6 +195,12 @@ def public(rules: DataFrame) -> DataFrame:
     return rules.drop("user_id", "decay_count", "normalized_key", "insert_seq")
 
 
+def union_of_types(rules: DataFrame, by: tuple[str, ...], types_col: str = "applicable_draft_types") -> DataFrame:
+    """All draft types that rows of a key suit, each once and sorted: a closed set, so a row stays small."""
+    each = rules.select(*by, F.explode_outer(types_col).alias("_t"))
+    return each.groupBy(*by).agg(F.array_sort(F.collect_set("_t")).alias(types_col))
+
+
 def rules_prompt(ranked: DataFrame, users: DataFrame) -> DataFrame:
     """A numbered text of each user's rules; ``None`` for users without any."""
     line = F.struct("rank", F.format_string("%d. [%s] %s", "rank", "category", "description").alias("line"))

@@ -13,7 +13,7 @@ from inkwell.functions import rules as U
 from inkwell.operators import learning as L
 from inkwell.operators import retrieve as R
 from inkwell.schemas import CANDIDATE
-from inkwell.sources.readers import in_order_of, parquet, shared_dir
+from inkwell.sources.readers import in_order_of, latest, parquet, shared_dir
 from inkwell.streaming import rules as S
 
 CONFIDENCE = "round(value - floor(value), 2)"
@@ -149,6 +149,30 @@ def rules_prompt(spark, sf):
     return L.rules_prompt(L.active_rules(_rules(spark, sf), "internal_memo"), parquet(spark, sf, "events").select("user_id"))
 
 
+def rule_public(spark, sf):
+    """Rules as users see them."""
+    rules = L.public(_rules(spark, sf))
+    return rules.select(*[F.array_join(c, ",").alias(c) if c == "applicable_draft_types" else F.col(c) for c in rules.columns])
+
+
+def session_rules(spark, sf):
+    """For each session (customer), how many rules of its user are in force, and the first of them."""
+    sessions = parquet(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), (F.col("c_custkey") % 211).alias("user_id"))
+    own = sessions.join(L.active_rules(_rules(spark, sf), "internal_memo"), "user_id", "left")
+    return own.groupBy("session_id").agg(F.count("rule_id").alias("n_rules"), F.coalesce(F.min_by("rule_id", "rank"), F.lit("")).alias("first_rule"))
+
+
+def draft_types_union(spark, sf):
+    """The draft types of all rules of a user."""
+    return L.union_of_types(_rules(spark, sf), ("user_id",)).select("user_id", F.array_join("applicable_draft_types", ",").alias("types"))
+
+
+def latest_rows(spark, sf):
+    """The last event of each user, unless it deletes the row."""
+    log = parquet(spark, sf, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("gone"))
+    return latest(log, "user_id", "event_id", "gone")
+
+
 def draft_feedback_join(spark, sf):
     """Feedback (user turns) with its draft (the conversation's first assistant turn), or failed."""
     c = parquet(spark, sf, "conversations")
@@ -211,7 +235,7 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{at}/postings").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_fold_controls, rule_decay_prune, active_rules, list_rules, rules_prompt, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_ingest)}
+QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_fold_controls, rule_decay_prune, active_rules, list_rules, rules_prompt, rule_public, session_rules, draft_types_union, latest_rows, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_ingest)}
 
 _D_KEY = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -255,6 +279,10 @@ _D_CONTROLS = f"""
 
 ORACLE = {
     "rule_fold_controls": _D_CONTROLS,
+    "rule_public": f"WITH {_D_RULES} SELECT rule_id, description, category, array_to_string(types, ',') AS applicable_draft_types, confidence, support AS support_count, status FROM rules",
+    "session_rules": f"WITH {_D_ACTIVE} SELECT c_custkey AS session_id, count(rule_id) AS n_rules, coalesce(arg_min(rule_id, rank), '') AS first_rule FROM customer LEFT JOIN act ON user_id = c_custkey % 211 GROUP BY c_custkey",
+    "draft_types_union": f"WITH {_D_RULES} SELECT user_id, array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') AS types FROM rules GROUP BY user_id",
+    "latest_rows": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'",
     "rule_key": f"SELECT p_partkey, {_D_KEY.format(x='''('  Use: ' || p_name || '--' || p_brand || '! é ÄB ' || p_type)''')} AS key FROM part",
     "rule_jaccard": f"""WITH k AS (SELECT p_partkey, p_brand, list_distinct(string_split({_D_KEY.format(x="p_name || ' ' || p_type")}, ' ')) AS w FROM part),
         p AS (SELECT p_partkey, w, lead(w) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS o FROM k)

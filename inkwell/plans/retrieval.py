@@ -36,6 +36,14 @@ def bm25_postings(spark, sf):
     return R.postings(_docs(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
+def corpus_append(spark, sf):
+    """Terms of a corpus to which documents of the source ``src0`` were uploaded again; nothing is replaced."""
+    docs = parquet(spark, sf, "documents")
+    again = docs.where("source = 'src0'").select(F.concat(F.lit("again-"), "doc_id").alias("doc_id"), "text")
+    both = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(again)
+    return R.postings(both).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def bm25_multi_query_topk(spark, sf):
     """Ten best documents of each benchmark text as a query."""
     return R.top_k(R.bm25_scores(_docs(spark, sf), _asked(spark, sf)), 10).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
@@ -94,7 +102,7 @@ def evidence_block(spark, sf):
     return R.evidence_block(_reranked(spark, sf).withColumn("doc_id", F.col("id")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, bm25_multi_query_topk, dense_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, corpus_append, bm25_multi_query_topk, dense_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
 
 
 def _d_bm25(name: str, queries: str, b: float = 0.75) -> str:
@@ -123,6 +131,9 @@ ORACLE = {
     "bm25_topk": f"WITH {_WORDS}, {_d_bm25('one', f'''SELECT 0 AS query_id, '{FLAGSHIP}' AS query''')} SELECT doc_id, score, rank FROM one",
     "bm25_corpus_stats": f"WITH {_WORDS} SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "bm25_postings": f"WITH {_WORDS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM tf GROUP BY term",
+    "corpus_append": """WITH l AS (SELECT doc_id || '' AS doc_id, text FROM documents UNION ALL SELECT 'again-' || doc_id, text FROM documents WHERE source = 'src0'),
+        w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS term FROM l)
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term""",
     "bm25_multi_query_topk": f"WITH {_WORDS}, {_d_bm25('one', _ASKED)} SELECT query_id, doc_id, score, rank FROM one",
     "dense_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",

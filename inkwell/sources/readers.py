@@ -230,6 +230,17 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def compact(self, table: str, schema: str | T.StructType, key: str, version: str, deleted: str | None = None) -> None:
+        """Rewrite a table with the last version of each key only. The new rows are written whole beside the
+        old ones before they take their place."""
+        path = f"{self.folder}/{table}"
+        latest(self.load(table, schema), key, version, deleted).write.mode("overwrite").parquet(f"{path}.new")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        files = old.getFileSystem(conf)
+        files.delete(old, True)
+        files.rename(new, old)
+
     def drop_partition(self, table: str, column: str, value: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/{column}={value}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

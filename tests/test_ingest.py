@@ -11,6 +11,7 @@ from inkwell.engine import Engine
 from inkwell.functions.rules import block_diff, diff_json
 from inkwell.operators import draft, learning
 from inkwell.operators.draft import OcrEngine
+from inkwell.schemas import JOBS
 from inkwell.sources.readers import as_json, files, observed, read_workbook
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -135,6 +136,10 @@ def test_jobs_have_states_and_deleted_rules_come_back(spark, tmp_path):
     bad = engine.submit_feedback(out["draft_id"], edit + "\n\nMore.", at=hours(5))
     state = engine.feedback_status(bad)
     assert state["status"] == "failed" and "no model" in state["error_message"] and engine.rules("u").count() == 1
+    jobs = lambda: engine.store.load("jobs", JOBS)
+    assert jobs().count() == 6
+    engine.compact()
+    assert sorted(r.status for r in jobs().collect()) == ["completed", "completed", "failed"] and engine.rules("u").count() == 1
     with pytest.raises(KeyError):
         engine.feedback_status("none")
     with pytest.raises(ValueError):
