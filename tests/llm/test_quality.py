@@ -78,3 +78,28 @@ def test_training_is_repeatable():
     texts, y = [b"good words " * 9, b"### $$$ " * 9] * 12, np.array([1, 0] * 12)
     one, two = train(texts, y, 1), train(texts, y, 1)
     assert all((one[k] == two[k]).all() for k in one)
+
+
+def plain_probability(net, text):
+    """The network by loops over chunks, places and filters."""
+    data = text.encode()
+    chunks = [data[k : k + CHUNK] for k in range(0, max(1, len(data) - CHUNK + STEP if len(data) > CHUNK else 1), STEP)]
+    hidden = []
+    for chunk in chunks:
+        row = chunk + bytes(CHUNK - len(chunk))
+        vectors = [net["bytes"][b].astype(float) for b in row]
+        best = np.full(net["filters"].shape[1], -np.inf)
+        for at in range(0, CHUNK - 8 + 1, 2):
+            best = np.maximum(best, np.concatenate(vectors[at : at + 8]) @ net["filters"].astype(float))
+        features = [*np.maximum(0, best + net["shift"]), sum(b != 0 for b in row) / CHUNK]
+        hidden.append(np.maximum(0, np.array(features) @ net["hidden"].astype(float) + net["hidden_shift"]))
+    both = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)])
+    return 1 / (1 + np.exp(-(both @ net["out"].astype(float) + net["out_shift"][0])))
+
+
+def test_probabilities_recomputed_plainly():
+    rng = np.random.default_rng(4)
+    net = train([b"good words " * 30, b"### $$$ " * 40] * 12, np.array([1, 0] * 12), 1)
+    texts = ["", "a", "x y z " * 100, "Größe " * 128, "mixed ### words " * 300, "".join(chr(c) for c in rng.integers(32, 500, 3000))]
+    for t, p in zip(texts, predict(net, *block(texts))):
+        assert abs(p - plain_probability(net, t)) < 1e-4

@@ -140,3 +140,27 @@ def test_small_sources_among_many_shards_reach_their_targets(spark):
         assert abs(sum(r.taken for r in out if r.source == s) - t) <= 1
     again = mix_sources(docs(spark, rows).repartition(5), least_shards=240, blocks_per_shard=1).collect()
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in out}
+
+
+def test_assignment_is_that_of_differencing_on_the_units(spark, sf_dir):
+    """Shards of units, found again from the table, have the spread that plain differencing of them gives."""
+    shards, units = 16, 8
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = shard_by_bytes(source, shards, units_per_shard=units, carry=("text", "source"))
+    assert out.columns[-2:] == ["text", "source"]
+    rows = out.withColumn("h", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).withColumn("bundle", F.pmod(F.xxhash64("h"), F.lit(shards * units))).collect()
+    sizes, of_unit, total = Counter(), {}, sum(r.size for r in rows)
+    groups = Counter()
+    for r in rows:
+        groups[r.text] += r.size
+    cut = max(1, total // (shards * units))
+    for r in rows:
+        unit = ("group", r.text) if groups[r.text] >= cut else ("bundle", r.bundle)
+        sizes[unit] += r.size
+        assert of_unit.setdefault(unit, r.shard) == r.shard
+    filled = Counter()
+    for unit, n in sizes.items():
+        filled[of_unit[unit]] += n
+    assert max(filled[k] for k in range(shards)) - min(filled[k] for k in range(shards)) == plain_differencing(sorted(sizes.values(), reverse=True), shards)
+    kept = {r.doc_id: r.text for r in source.collect()}
+    assert all(kept[r.doc_id] == r.text for r in rows)
