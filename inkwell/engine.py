@@ -54,18 +54,22 @@ class Engine:
         self._add(session_id, docs, pages, tables, batch)
         return docs
 
-    def ingest_files(self, session_id: str, path: str, extractor=None, engine=None, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def ingest_files(self, session_id: str, path: str, extractor=None, engine=None, answers: DataFrame | None = None, vision=None) -> tuple[DataFrame, DataFrame]:
         """The files of a folder to pages, entities, documents, chunks and the session's index; gives a
         row for each document, with its counts, and the rejected files.
 
         Pages, documents, entities and chunks are each written once and read from there. ``extractor``
-        reads PDF files and ``engine`` images; ``answers`` has what a vision model read from weak pages.
+        reads PDF files and ``engine`` images; ``vision`` reads weak pages again, or ``answers`` has what it
+        read from them.
         """
         self.session_user(session_id)
         found, rejected = readers.files(self.spark, path, self.config)
         batch = self._batch(f"{session_id}:{path}")
         written = lambda table, rows, schema, more="": self._written(table, rows, schema, batch, more)
-        pages = written("pages", ingest.finished_pages(ingest.raw_pages(found, extractor, engine), answers, self.config), S.PAGES, "filename string")
+        raw = written("raw_pages", ingest.raw_pages(found, extractor, engine), S.RAW_PAGES)
+        if vision is not None:
+            answers = written("vision_answers", ingest.vision_answers(found, raw, vision, extractor, self.config), S.ANSWERS)
+        pages = written("pages", ingest.finished_pages(raw, answers, self.config), S.PAGES, "filename string")
         docs = written("documents", ingest.document_rows(pages, found.drop("content"), self.config), S.DOCUMENTS)
         entities = written("entities", ingest.entity_rows(pages), S.ENTITIES)
         tables = pages.where("has_tables").select("doc_id", "page_number", F.posexplode("tables").alias("table_index", "rows"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.config import DEFAULT, Config
 from inkwell.functions import entities
+from inkwell.functions import text as T
 from inkwell.operators import documents
 from inkwell.operators.draft import OcrEngine
 from inkwell.sources import readers
@@ -37,6 +39,39 @@ def with_defaults(pages: DataFrame) -> DataFrame:
     return pages.withColumn("has_tables", F.size("tables") > 0).select(*COLUMNS)
 
 
+#: Warnings on answers of the vision model.
+NO_ANSWER = "Multimodal fallback returned no usable text"
+FAILED = "Multimodal fallback failed: %s"
+
+
+def vision_answers(found: DataFrame, pages: DataFrame, vision: OcrEngine, extractor=None, config: Config = DEFAULT) -> DataFrame:
+    """What a vision model reads from the weak ones of recognised pages, for ``merge_fallback``: doc_id,
+    page_number, raw_text, confidence, warnings. A call that fails gives no text and a warning."""
+    weak = documents.clean_pages(pages.drop("warnings")).where(F.col("extraction_method").isin("ocr_scan", "ocr_image") & documents.needs_ocr_fallback(F.col("confidence"), F.col("cleaned_text"), config))
+    asked = weak.groupBy("doc_id").agg(F.collect_set("page_number").alias("numbers")).join(found.select("doc_id", "extension", "content"), "doc_id")
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for r in frame.itertuples():
+                images = [image for _, _, image in extractor(bytes(r.content))] if r.extension == ".pdf" else [bytes(r.content)]
+                for n in sorted(r.numbers):
+                    text, failed = "", None
+                    try:
+                        text = vision.read(images[n - 1])[0].strip() if images[n - 1] is not None else ""
+                    except Exception as why:  # whatever the model's client raises is the page's warning
+                        failed = str(why)
+                    out.append((r.doc_id, n, text, failed))
+            yield pd.DataFrame(out, columns=["doc_id", "page_number", "raw_text", "failed"])
+
+    read = asked.mapInPandas(run, "doc_id string, page_number int, raw_text string, failed string")
+    cleaned = T.clean(F.col("raw_text"))
+    read = read.withColumn("_clean", cleaned)
+    notes = F.concat(T.clean_warnings(F.col("raw_text"), F.col("_clean")), F.when(F.col("_clean") == "", F.array(F.lit(NO_ANSWER))).otherwise(F.array().cast("array<string>")))
+    notes = F.when(F.col("failed").isNotNull(), F.array(F.format_string(FAILED, "failed"))).otherwise(notes)
+    return read.select("doc_id", "page_number", "raw_text", T.text_confidence(F.col("_clean")).alias("confidence"), notes.alias("warnings"))
+
+
 def finished_pages(pages: DataFrame, answers: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """Cleaned pages with all their warnings: the cleaner's, then the source's, then that of the vision
     fallback's ``answers``, and that a page has next to no text (pages of PDF files)."""

@@ -1,13 +1,16 @@
 """Preparing page images for text recognition, as functions on arrays of pixels (rows, columns, channels).
 
-Decoding and encoding need an image library, which is not bundled; recognition engines and vision
-models are interfaces. Pixels between others are found linearly, so results differ by little from those
+Decoding needs an image library, which is not bundled; recognition engines and vision models are
+interfaces. Pixels between others are found linearly, so results differ by little from those
 of a library with other kernels.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import struct
+import zlib
 
 import numpy as np
 
@@ -128,3 +131,16 @@ def prepare_for_vision(image: np.ndarray, config: Config = DEFAULT) -> np.ndarra
     height, width = image.shape[:2]
     scale = config.vision_edge / max(height, width)
     return image if scale >= 1 else resize(image, max(1, int(width * scale)), max(1, int(height * scale)))
+
+
+def png(image: np.ndarray) -> bytes:
+    """The image as a PNG file, gray or in colours."""
+    height, width = image.shape[:2]
+    lines = np.hstack([np.zeros((height, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(height, -1)])
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+
+
+def data_url(image: np.ndarray) -> str:
+    return "data:image/png;base64," + base64.b64encode(png(image)).decode()

@@ -28,3 +28,5 @@ RULES = "rule_id string, user_id string, description string, category string, ex
 JOBS = f"feedback_id string, user_id string, status string, candidates array<{CANDIDATE}>, error_message string, at timestamp"
 RULE_CONTROLS = "user_id string, rule_id string, action string, submitted_at timestamp, event_id string"
 TEXT_CHUNKS = "chunk_id string, doc_id string, text string, page_start int, page_end int, char_start int, char_end int, chunk_index int"
+RAW_PAGES = "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string, has_tables boolean, tables array<array<array<string>>>, warnings array<string>"
+ANSWERS = "doc_id string, page_number int, raw_text string, confidence double, warnings array<string>"

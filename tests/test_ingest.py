@@ -11,7 +11,7 @@ from inkwell.engine import Engine
 from inkwell.functions.rules import block_diff, diff_json
 from inkwell.operators import draft, learning
 from inkwell.operators.draft import OcrEngine
-from inkwell.schemas import JOBS
+from inkwell.schemas import JOBS, PAGES
 from inkwell.sources.readers import as_json, files, observed, read_workbook
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -108,6 +108,26 @@ def test_vision_answers_replace_weak_pages(spark, tmp_path):
     assert row.doc_type == "legal_notice" and "seen" in row.warnings and engine.document(doc)["extraction_method"] == "multimodal_llm"
 
 
+class Vision(OcrEngine):
+    def read(self, content):
+        if content == b"broken":
+            raise RuntimeError("no answer")
+        return (f" {NOTICE} " if content == b"faint" else ""), 0.0
+
+
+def test_a_vision_model_reads_weak_pages_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(f"{NOTICE}\fIMAGEfaint\fIMAGEbroken\fIMAGEblank".encode())
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    session = engine.create_session("u", AT)
+    rows, _ = engine.ingest_files(session, f"file://{tmp_path}/in", extractor, vision=Vision())
+    warnings = rows.first().warnings
+    assert "Multimodal fallback failed: no answer" in warnings and "Multimodal fallback returned no usable text" in warnings
+    pages = {r.page_number: r for r in engine.store.load("pages", PAGES).collect()}
+    assert [pages[k].extraction_method for k in (1, 2, 3, 4)] == ["native_text", "multimodal_llm", "ocr_scan", "ocr_scan"]
+    assert pages[2].raw_text == NOTICE and pages[2].confidence > 0.6 and any("Used multimodal" in w for w in pages[2].warnings)
+
+
 class Fails(draft.RuleExtractor):
     def extract(self, feedback):
         return super().extract(feedback).withColumn("candidates", F.raise_error(F.lit("no model")).cast("array<struct<description:string,category:string,example_before:string,example_after:string,applicable_draft_types:array<string>,confidence:double>>"))

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
+
 import numpy as np
 
 from inkwell.operators import pixels as P
@@ -48,3 +52,21 @@ def test_deskew_finds_the_turn():
 def test_prepare_runs_whole():
     out = P.prepare(np.repeat(lines(300, 60)[:, :, None], 3, axis=2))
     assert out.ndim == 2 and out.dtype == np.uint8 and out.shape[1] >= 1500
+
+
+def test_png_holds_the_pixels():
+    rng = np.random.default_rng(2)
+    for image in (rng.integers(0, 256, (5, 7), dtype=np.uint8), rng.integers(0, 256, (4, 3, 3), dtype=np.uint8)):
+        url = P.data_url(image)
+        data = base64.b64decode(url.removeprefix("data:image/png;base64,"))
+        assert data[:8] == b"\x89PNG\r\n\x1a\n"
+        at, parts = 8, {}
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 4], "big")
+            kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+            parts[kind] = body
+            at += 12 + n
+        assert parts[b"IHDR"][:8] == struct.pack(">II", image.shape[1], image.shape[0])
+        lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(image.shape[0], -1)
+        assert (lines[:, 0] == 0).all() and (lines[:, 1:].reshape(image.shape) == image).all()
