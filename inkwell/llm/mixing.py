@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import NOT_SPACES, materialise
+from inkwell.llm.common import NOT_SPACES, materialise, sized
 
 WEIGHTS = (5, 2, 1)
 #: No source and no document is repeated more often.
@@ -19,6 +19,7 @@ SEED = 20240611
 BLOCKS_PER_SHARD = 4096
 ROWS_PER_SHARD = 50_000
 LEAST_SHARDS = 16
+BROADCAST_ROWS = 100_000
 
 
 def capped_targets(sizes: list[int], weights: list[int], most: int = MOST_REPEATS) -> list[float]:
@@ -110,7 +111,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed
 
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_order")), F.lit(shards)).cast("int")
     dealt = slim.groupBy("_source", shard.alias("_shard")).agg(F.sum("_size").alias("_words"))
-    dealt = dealt.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    dealt = dealt.join(sized(plan, len(per_source), BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
 
     def quotas(_, frame):
         frame = frame.sort_values("_shard", kind="stable")
