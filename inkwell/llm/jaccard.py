@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.llm.common import column_of, discard, materialise, mix64, sized, text_blocks, word_hashes, word_spans
 
@@ -335,6 +336,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # the names of docs may be any
     key = f"c{docs.columns.index(id_col)}"
     out = plain.withColumn("_row", _row_key(docs.toDF(*plain.columns))).join(kept.select("_r", "_all").distinct(), F.col("_row") == F.col("_r"))
-    alike = F.when(F.col("_all"), F.monotonically_increasing_id())  # of equal rows of a class one stays
-    out = out.withColumn("_each", alike).dropDuplicates(["_row", key, "_each"])
+    nth = F.row_number().over(Window.partitionBy("_row", key).orderBy(key))  # of equal rows of a class one stays, whichever
+    out = out.withColumn("_nth", nth).where(F.col("_all") | (F.col("_nth") == 1))
     return out.select(*[F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True)])
