@@ -39,9 +39,9 @@ EM_ROUNDS = 2
 #: Most frequent words, whose scores every task gets; all other words are joined.
 HEAD_WORDS = 200_000
 #: Occurrences of words that a task counts at once.
-FLUSH_WORDS = 3_000_000
-#: Words whose lattices are worked on together.
-TOGETHER_WORDS = 40_000
+FLUSH_WORDS = 1_000_000
+#: Words whose lattices are worked on together, and bytes of texts that are scored together.
+TOGETHER_WORDS, TOGETHER_BYTES = 40_000, 1 << 22
 #: Latent classes, the rounds that find them, and the share of their word weights that is everyone's.
 CLASSES, CLASS_ROUNDS, SHARED = 6, 8, 0.03
 #: Bins of bytes for the profile of a text: letters without case, bytes of longer characters, digits.
@@ -419,29 +419,31 @@ def _score_texts(head, classes: int):
         scores = np.vstack([scores, np.zeros((1, classes + 1))])  # the last row is that of other words
         other = len(scores) - 1
         end = pc.index_in(pa.scalar(""), index).as_py()
-        for batch in batches:
-            texts = column_of(batch, "_text")
-            words, n = _tokens(texts)
-            at = pc.index_in(words, index).fill_null(other).to_numpy()
-            first = np.concatenate([[0], np.cumsum(n)])
-            sums = np.tile(scores[other if end is None else end], (len(n), 1))
-            lo = 0
-            while lo < len(n):  # some texts at a time
-                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + TOGETHER_WORDS, "right")) - 1)
-                full = lo + np.flatnonzero(n[lo:hi])
-                if len(full):
-                    sums[full] += np.add.reduceat(scores[at[first[lo] : first[hi]]], first[full] - first[lo], axis=0)
-                lo = hi
-            missed = at == other
-            upto = np.concatenate([[0], np.cumsum(missed)])
-            known = n - (upto[first[1:]] - upto[first[:-1]]) + (end is not None)
-            offs = pa.array(upto[first].astype(np.int32))
-            rest = words.filter(pa.array(missed)).cast(pa.binary())
-            if end is None:  # an end that is no head word is one of the others
-                rest = pa.array([w for k in range(len(n)) for w in [*rest[offs[k].as_py() : offs[k + 1].as_py()].to_pylist(), b""]], pa.binary())
-                offs = pa.array((upto[first] + np.arange(len(first))).astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (classes + 1)), pa.array(sums.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("_rid", "_id", "_held")), lists, pa.array(known), pa.array(n + 1), pa.ListArray.from_arrays(offs, rest)], names=["_rid", "_id", "_held", "sums", "known", "tokens", "words"])
+        for whole in batches:
+            for start, stop, _, _ in text_blocks(column_of(whole, "_text"), TOGETHER_BYTES):
+                batch = whole.slice(start, stop - start)
+                words, n = _tokens(column_of(batch, "_text"))
+                at = pc.index_in(words, index).fill_null(other).to_numpy()
+                first = np.concatenate([[0], np.cumsum(n)])
+                sums = np.tile(scores[other if end is None else end], (len(n), 1))
+                lo = 0
+                while lo < len(n):  # some texts at a time
+                    hi = max(lo + 1, int(np.searchsorted(first, first[lo] + TOGETHER_WORDS, "right")) - 1)
+                    full = lo + np.flatnonzero(n[lo:hi])
+                    if len(full):
+                        sums[full] += np.add.reduceat(scores[at[first[lo] : first[hi]]], first[full] - first[lo], axis=0)
+                    lo = hi
+                missed = at == other
+                upto = np.concatenate([[0], np.cumsum(missed)])
+                known = n - (upto[first[1:]] - upto[first[:-1]]) + (end is not None)
+                ends = upto[first]
+                rest = words.filter(pa.array(missed)).cast(pa.binary())
+                if end is None:  # an end that is no head word is one of the others
+                    rest = pa.array([w for k in range(len(n)) for w in [*rest[ends[k] : ends[k + 1]].to_pylist(), b""]], pa.binary())
+                    ends = ends + np.arange(len(ends))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (classes + 1)), pa.array(sums.reshape(-1)))
+                others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rest)
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("_rid", "_id", "_held")), lists, pa.array(known), pa.array(n + 1), others], names=["_rid", "_id", "_held", "sums", "known", "tokens", "words"])
 
     return run
 
