@@ -135,11 +135,12 @@ def table_blocks(tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
     table's rows finds them. The first block counts rows from 1, later ones from the row's place in
     the table, header included.
     """
-    t = tables.withColumn("rows", normalize_table(F.col("rows"))).where(F.size("rows") > 0)
+    # A generator of one row keeps what it makes from being made again wherever it is used.
+    t = tables.select(*[c for c in tables.columns if c != "rows"], F.explode(F.array(normalize_table(F.col("rows")))).alias("rows")).where(F.size("rows") > 0)
     t = t.withColumns({"head": F.concat_ws("\n", F.format_string("Table block on page %d", "page_number"), F.format_string("Table %d", F.col("table_index") + 1), F.concat(F.lit("Columns: "), F.array_join(F.element_at("rows", 1), " | "))), "n_columns": F.size(F.element_at("rows", 1))})
     alone = F.size("rows") == 1
     body = F.when(alone, F.col("rows")).otherwise(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))))
-    t = t.withColumn("cells", F.transform(body, lambda r: F.array_join(r, " | ")))
+    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", F.explode(F.array(F.transform(body, lambda r: F.array_join(r, " | ")))).alias("cells"))
     # The fold keeps where blocks begin, and of the open one its label, rows and characters.
     state = "struct<begins:array<int>,label:int,n:int,len:int>"
     initial = F.expr(f"CAST(NULL AS {state})")
