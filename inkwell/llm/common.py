@@ -21,11 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of a batch that goes to a Python worker while a table is written.
-BATCH_BYTES = "16m"
+#: Bytes of a batch of rows that goes to a Python worker, where the session does not say.
+BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers be small, whatever the length of texts; a session's own bound stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def _delete(spark: SparkSession, path: str, now: bool) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -45,12 +51,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, BATCH_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    bound_batches(spark)
+    df.write.parquet(path)
     _delete(spark, path, now=False)
     for scope in _SCOPES[-1:]:
         scope.append(path)
@@ -87,7 +89,7 @@ def fold_of(column: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(name.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def text_blocks(column: pa.Array, limit: int = 1 << 20):
+def text_blocks(column: pa.Array, limit: int = 1 << 18):
     """Yield (first row, last row + 1, bytes, offsets) for runs of rows of about ``limit`` bytes.
 
     Nulls read as empty texts. A longer text makes a block of its own.

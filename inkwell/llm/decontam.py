@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import column_of, mix64, text_blocks, word_hashes, word_spans
+from inkwell.llm.common import bound_batches, column_of, mix64, text_blocks, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of item texts that are matched, and broadcast, at once; more items go in further passes.
@@ -181,6 +181,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     if any(c.startswith("_c_") for c in docs.columns):
         raise ValueError("columns of docs must not begin with _c_")
     spark = docs.sparkSession
+    bound_batches(spark)
     bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text_col).alias("words")).where("words is not null")
     blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // block_bytes))
     empty = lambda kind: F.array().cast(f"array<{kind}>")

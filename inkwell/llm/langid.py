@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _LOWER, column_of, fold_of, text_blocks
+from inkwell.llm.common import _LOWER, bound_batches, column_of, fold_of, text_blocks
 
 FEATURES = 1 << 13
 #: Training rows of a language at most (about; chosen by hash over all rows that may train).
@@ -203,6 +203,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts without a letter get ``und`` with score 0, and so do all rows if nothing can train. Ids may
     be null or repeat; empty tables give no rows. No row is shuffled; the model has a fixed size.
     """
+    bound_batches(docs.sparkSession)
     model = train_languages(docs, fold_of(id_col, folds) != held_fold, id_col, text_col, lang_col, features=features, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__)
     rows = docs.select(F.col(id_col).alias("_id"), (fold_of(id_col, folds) == held_fold).alias("_held"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_has"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import column_of, sized
+from inkwell.llm.common import bound_batches, column_of, sized
 from inkwell.llm.license_data import FIRST_WORDS, LICENCES, LONG_LICENCES, SPELLINGS
 
 BROADCAST_ROWS = 50_000
@@ -97,6 +97,7 @@ def license_scan(docs: DataFrame, licences: DataFrame | None = None, id_col: str
     digests are joined; a licence in a large share of all texts is one row of the known side.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     if licences is None:
         known = known_licences(spark)
         sizes = frozenset(n for _, n, _ in built_in())

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import column_of, fold_of, text_blocks
+from inkwell.llm.common import bound_batches, column_of, fold_of, text_blocks
 
 CHUNK, STEP = 768, 640  # bytes; neighbours share 128
 WIDTH, STRIDE = 8, 2
@@ -182,6 +182,7 @@ def with_quality(docs: DataFrame, net: dict, text_col: str = "text") -> DataFram
     """The columns of ``docs`` and _q_score, which they must not have; null reads as empty. No row is shuffled."""
     if "_q_score" in docs.columns:
         raise ValueError("docs has a column _q_score already")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = docs.select("*", F.lit(0.0).alias("_q_score")).schema
     return docs.mapInArrow(_score(shared, text_col), schema)
