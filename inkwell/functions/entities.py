@@ -93,7 +93,9 @@ def extract(pages: DataFrame, kinds=tuple(PATTERNS), doc_col: str = "doc_id", pa
 
 
 def first_of_each(mentions: DataFrame) -> DataFrame:
-    """One mention of each key of a document: the first by page, type, pattern and place."""
+    """One mention of each key of a document: the first by page, type, pattern and place. Mentions are
+    shuffled once, by document, for both windows."""
+    mentions = mentions.repartition("doc_id")
     order = Window.partitionBy("doc_id", "entity_type", "key").orderBy("page", "kind_ord", "pos")
     numbered = Window.partitionBy("doc_id").orderBy("page", "kind_ord", "pos")
     kept = mentions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
