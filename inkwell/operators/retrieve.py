@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
-from inkwell.functions.text import WHITE
 
 #: Rows that are sent to every task, at most.
 FEW = 200_000
@@ -21,7 +20,7 @@ def sized(small: DataFrame, bound: int = FEW) -> DataFrame:
 
 def tokens(c: Column) -> Column:
     """Runs between white space, case kept, repeats kept."""
-    return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"{WHITE}+"), "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), "")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
