@@ -27,7 +27,7 @@ def char_to_page(spark, sf):
 
 def text_chunks(spark, sf):
     """Windows of every document."""
-    docs = readers.parquet(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"))
+    docs = inputs.documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"))
     out = C.text_chunks(docs.withColumn("full_text", F.col("cleaned_text")), C.page_bounds(docs))
     return out.select("doc_id", "chunk_index", "text", "char_start", "char_end", "page_start", "page_end")
 

@@ -127,7 +127,7 @@ def classify_docs(spark, sf):
 
 
 def classify_language(spark, sf):
-    docs = parquet(spark, sf, "documents").select("doc_id", "text")
+    docs = inputs.documents(spark, sf)
     return C.classify(docs, lexicon=C.LANGUAGE_LEXICON).select("doc_id", "doc_type", "doc_type_confidence")
 
 

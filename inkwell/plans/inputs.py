@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell.sources.readers import parquet, spread
+
 LEGAL = """
 SELECT o_orderkey AS doc_id,
   CASE o_orderkey % 5
@@ -40,11 +42,16 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def legal_docs(spark, sf_dir):
-    return sql(spark, sf_dir, LEGAL)
+    return spread(sql(spark, sf_dir, LEGAL), parquet(spark, sf_dir, "orders"))
 
 
 def noisy_docs(spark, sf_dir):
-    return sql(spark, sf_dir, NOISY)
+    return spread(sql(spark, sf_dir, NOISY), parquet(spark, sf_dir, "documents"))
+
+
+def documents(spark, sf_dir):
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(docs, docs)
 
 
 def source_pages(spark, sf_dir):

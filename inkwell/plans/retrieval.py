@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.operators import retrieve as R
+from inkwell.plans import inputs
 from inkwell.sources.readers import parquet
 
 FLAGSHIP = "the and with that reon"
 
 
 def _docs(spark, sf):
-    return parquet(spark, sf, "documents").select("doc_id", "text")
+    return inputs.documents(spark, sf)
 
 
 def _asked(spark, sf):

@@ -25,6 +25,13 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` made from a table, dealt over all cores if the table is so small that it is read in fewer
+    parts than there are cores; larger inputs stay as they lie. For costly work on each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table.rdd.getNumPartitions() < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all
     runs in one process, a temporary one."""
