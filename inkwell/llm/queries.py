@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from inkwell.llm import cohort
 from inkwell.llm import license as licenses
 from inkwell.llm.common import read
 from inkwell.llm.decontam import decontamination_report
@@ -56,6 +59,11 @@ def op10_lm_scoring(spark, sf_dir):
     return score_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_cohort_retention(spark, sf_dir):
+    clicks = cohort.delayed(read(spark, sf_dir, "clicks"))
+    return cohort.cohort_retention(clicks, read(spark, sf_dir, "clients"), dt.datetime(2024, 2, 15))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -67,6 +75,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_cohort_retention": op11_cohort_retention,
 }
 
 #: Words of a text as the contract of op1 takes them; RE2 reads the class by code point.
@@ -98,4 +107,5 @@ ORACLE = {
                sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
     "op7_license_scan": licenses.oracle(),
+    "op11_cohort_retention": cohort.oracle(),
 }
