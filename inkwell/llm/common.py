@@ -44,15 +44,16 @@ def _delete(spark: SparkSession, path: str, now: bool) -> None:
 _SCOPES: list[list[str]] = []
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+def materialise(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors. ``options`` are
+    the writer's.
 
     The table goes when its ``scratch`` ends, or ``discard`` is called, or the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
     bound_batches(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _delete(spark, path, now=False)
     for scope in _SCOPES[-1:]:
         scope.append(path)
