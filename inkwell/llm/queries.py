@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from inkwell.llm import cohort
+from pyspark.sql import functions as F
+
+from inkwell.llm import cohort, negatives
 from inkwell.llm import license as licenses
 from inkwell.llm.common import read
 from inkwell.llm.decontam import decontamination_report
@@ -16,6 +18,7 @@ from inkwell.llm.mixing import mix_sources
 from inkwell.llm.quality import quality_scores
 from inkwell.llm.sharding import shard_by_bytes
 from inkwell.llm.substring import repeated_passages
+from inkwell.llm.suffix import remove_repeats
 
 
 def op1_decontamination(spark, sf_dir):
@@ -64,6 +67,14 @@ def op11_cohort_retention(spark, sf_dir):
     return cohort.cohort_retention(clicks, read(spark, sf_dir, "clients"), dt.datetime(2024, 2, 15))
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(negatives.relabelled(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -76,6 +87,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_cohort_retention": op11_cohort_retention,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Words of a text as the contract of op1 takes them; RE2 reads the class by code point.
@@ -108,4 +121,5 @@ ORACLE = {
         FROM n WINDOW w AS (PARTITION BY t)""",
     "op7_license_scan": licenses.oracle(),
     "op11_cohort_retention": cohort.oracle(),
+    "op13_hard_negatives": negatives.ORACLE,
 }
