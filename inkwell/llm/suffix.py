@@ -237,23 +237,30 @@ def _regions(length: int, passes: int, buckets: int, region: int):
     return run, "owner long, block long, n long, body binary, place array<long>, at array<int>, text array<int>, ord array<long>, back array<tinyint>, ahead array<tinyint>"
 
 
-def _keys(batch: pa.RecordBatch, i: int, length: int):
-    """The keys of a region's suffixes, one for each cover string in them; which string and offset each is of."""
+def _keys(batch: pa.RecordBatch, i: int, length: int, passes: int):
+    """The keys of a region's suffixes, one for each cover string in them; which string and offset each is
+    of. A function of the pass, which is that of the string's rank, so a pass makes its own keys only."""
     period = cover(length)[0]
     wide = length - period + 1
     body = _body(batch, i)
     at, back, ahead = (_numbers(batch, c, i).astype(np.int64) for c in ("at", "back", "ahead"))
     offset = np.arange(period)
-    which, t = np.nonzero((offset <= back[:, None]) & (period - 1 - offset <= ahead[:, None]))
     up, down = powers(len(body) + 1)
     sums = np.zeros(len(body) + 1, np.uint64)
     np.cumsum(_TABLE[body] * up[: len(body)], out=sums[1:])
     string = lambda a, b: (sums[b] - sums[a]) * down[a]
-    rank = mix64(string(at, at + wide))[which]
-    q = at[which]
-    first = q - t
-    head, tail = string(first, q), string(q + wide, first + length)
-    return mix64(rank + mix64(head + t.astype(np.uint64)) + mix64(tail ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(3)), which, t
+    rank = mix64(string(at, at + wide))
+
+    def of(n: int):
+        mine = _passed(rank, n, passes)
+        which, t = np.nonzero((offset <= back[mine, None]) & (period - 1 - offset <= ahead[mine, None]))
+        which = mine[which]
+        q = at[which]
+        first = q - t
+        head, tail = string(first, q), string(q + wide, first + length)
+        return mix64(rank[which] + mix64(head + t.astype(np.uint64)) + mix64(tail ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(3)), which, t
+
+    return of
 
 
 def _suffixes(length: int, n: int, passes: int, buckets: int):
@@ -263,9 +270,8 @@ def _suffixes(length: int, n: int, passes: int, buckets: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, which, _ = _keys(batch, i, length)
-                mine = _passed(keys, n, passes)
-                u, _, least, _ = _groups(keys[mine], _numbers(batch, "ord", i)[which[mine]])
+                keys, which, _ = _keys(batch, i, length, passes)(n)
+                u, _, least, _ = _groups(keys, _numbers(batch, "ord", i)[which])
                 rows = []
                 for b, lo, hi in _slices(u, buckets):
                     names, number = np.unique(least[lo:hi], return_inverse=True)
@@ -295,14 +301,14 @@ def _spans(length: int, passes: int, buckets: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, which, t = _keys(batch, i, length)
-                ords, replies = _numbers(batch, "ord", i)[which], _answers(batch, i)
-                gone = np.zeros(len(keys), np.bool_)
+                of, replies, found = _keys(batch, i, length, passes), _answers(batch, i), []
+                places, texts, ords = (_numbers(batch, c, i) for c in ("place", "text", "ord"))
                 for n in range(passes):
-                    mine = _passed(keys, n, passes)
-                    u, group, least, _ = _groups(keys[mine], ords[mine])
-                    gone[mine] = _replied(u, buckets, replies.get(n, {}))[group] | (ords[mine] > least[group])
-                place, text = _numbers(batch, "place", i)[which[gone]] - t[gone], _numbers(batch, "text", i)[which[gone]]
+                    keys, which, t = of(n)
+                    u, group, least, _ = _groups(keys, ords[which])
+                    gone = _replied(u, buckets, replies.get(n, {}))[group] | (ords[which] > least[group])
+                    found.append((places[which[gone]] - t[gone], texts[which[gone]]))
+                place, text = (np.concatenate(x) for x in zip(*found, strict=True))
                 first, kept = np.unique(place, return_index=True)
                 if len(first):
                     text = text[kept]
@@ -391,8 +397,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are written in blocks of about ``block`` bytes, and a block's distinct strings leave it once, so
     what every document has is one entry for a block. Buckets have about ``bucket`` entries, whatever the
-    input. Cover strings go in ``passes`` passes and suffixes in as many as keep a pass's entries to about
-    the size of the texts' half; a pass's files go when it is done. One long text is one block.
+    input. Cover strings go in ``passes`` passes and suffixes, of whom each pass has those of its ranks, in
+    as many as keep a pass's entries below the size of the texts; a pass's files go when it is done. One
+    long text is one block.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     if not isinstance(kind, T.IntegralType):
@@ -421,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(*ranks)
 
         keys = (regions.agg(F.sum("n")).first()[0] or 0) * period
-        turns = min(64, max(1, -(-20 * keys // max(1, size))))
+        turns = min(64, max(1, -(-12 * keys // max(1, size))))
         buckets = max(LEAST_BUCKETS, keys // turns // bucket)
         lost = []
         for n in range(turns):

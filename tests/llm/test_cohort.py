@@ -50,7 +50,7 @@ def made(seed, n, clients=12):
     for k in range(n):
         client = 7 if rng.random() < 0.33 else rng.choice([None, *range(clients)])
         ts = None if rng.random() < 0.03 else day + dt.timedelta(microseconds=rng.choice([0, 1, 86_399_999_999, 86_400_000_000, rng.randrange(20 * 86_400_000_000)]))
-        arrived = None if rng.random() < 0.05 else (ts or day) + dt.timedelta(hours=rng.choice([0, 1, 300]))
+        arrived = None if rng.random() < 0.05 else (ts or day) + dt.timedelta(hours=rng.choice([0, 1, 400]))
         out.append((k, ts, arrived, client, rng.choice(["signup", "click", "view", None]), rng.choice([None, 0.005, -1.25, 3.0, float("nan"), float("inf"), 12.345]), rng.choice([None, "{}"])))
     out += rng.choices(out, k=n // 4)  # repeated rows
     return [(a, b, c, d, e, f if f is None or f == f else None, g) for a, b, c, d, e, f, g in out]  # NaN is not equal to itself in a set
