@@ -7,14 +7,18 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from inkwell import schemas as S
 from inkwell.config import DEFAULT, Config
-from inkwell.functions.rules import block_diff, structured_diff
-from inkwell.operators import chunk, documents, draft, ingest, learning, retrieve
+from inkwell.functions.rules import block_diff
+from inkwell.operators import chunk, draft, ingest, learning, retrieve
+from inkwell.operators.index import PostingIndex
+from inkwell.operators.rulebook import RuleBook
 from inkwell.sources import readers
 from inkwell.sources.readers import Store, latest
+from inkwell.streaming.jobs import FeedbackJobs
 
 INDEX = "chunk_id string, doc_id string, text string, page_start int, page_end int, filename string, doc_type string, vector array<float>, session_id string"
 
@@ -27,6 +31,8 @@ class Engine:
         self.embedder = embedder or draft.Embedder(config.embedding_size)
         self.query_writer, self.draft_writer = query_writer or draft.QueryWriter(), draft_writer or draft.DraftWriter()
         self.rule_extractor = rule_extractor or draft.RuleExtractor()
+        self.postings = PostingIndex(spark, f"{self.store.folder}/postings", config)
+        self.rulebook = RuleBook(self.store, config)
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version}
@@ -56,7 +62,8 @@ class Engine:
 
     def ingest_files(self, session_id: str, path: str, extractor=None, engine=None, answers: DataFrame | None = None, vision=None) -> tuple[DataFrame, DataFrame]:
         """The files of a folder to pages, entities, documents, chunks and the session's index; gives a
-        row for each document, with its counts, and the rejected files.
+        row for each document, with its counts, and a row with the reason for each file that was not let in
+        or could not be read; so every file has its answer.
 
         Pages, documents, entities and chunks are each written once and read from there. ``extractor``
         reads PDF files and ``engine`` images; ``vision`` reads weak pages again, or ``answers`` has what it
@@ -67,6 +74,7 @@ class Engine:
         batch = self._batch(f"{session_id}:{path}")
         written = lambda table, rows, schema, more="": self._written(table, rows, schema, batch, more)
         raw = written("raw_pages", ingest.raw_pages(found, extractor, engine), S.RAW_PAGES)
+        rejected, raw = rejected.unionByName(ingest.unread(raw, found)), raw.where("error is null").drop("error")
         if vision is not None:
             answers = written("vision_answers", ingest.vision_answers(found, raw, vision, extractor, self.config), S.ANSWERS)
         pages = written("pages", ingest.finished_pages(raw, answers, self.config), S.PAGES, "filename string")
@@ -95,6 +103,7 @@ class Engine:
         chunks = self._written("chunks", chunk.all_chunks(text, chunk.table_chunks(tables if tables is not None else none, bounds, counts, self.config)), S.CHUNKS, batch)
         flat = chunk.flatten(chunks, docs, session_id).withColumn("vector", self.embedder.embed(F.col("text")))
         self.store.append("chunk_index", flat.select(*[c.split()[0] for c in INDEX.split(", ")]), "session_id")
+        self.postings.append(chunks.select("chunk_id", "text"), batch, session_id, "chunk_id")
         before = self.store.load("session_documents", S.SESSION_DOCUMENTS).where(F.col("session_id") == session_id).count()
         order = Window.partitionBy("session_id").orderBy("filename", "doc_id")
         listed = docs.select(F.lit(session_id).alias("session_id"), "doc_id", "filename").withColumn("pos", (F.row_number().over(order) - 1 + before).cast("long"))
@@ -122,14 +131,16 @@ class Engine:
 
     def delete_session(self, session_id: str) -> None:
         self.store.drop_partition("chunk_index", "session_id", session_id)
+        self.postings.drop(session_id)
 
     def search(self, session_id: str, queries: DataFrame) -> DataFrame:
-        """Dense and BM25 lists, fused and reranked; ``queries`` has query_id and query."""
+        """Dense and BM25 lists, fused and reranked; ``queries`` has query_id and query. BM25 reads the
+        session's stored postings, not its texts."""
         index = self._index(session_id)
         texts = index.select(F.col("chunk_id").alias("id"), "text")
         asked = queries.select("query_id", self.embedder.embed(F.col("query")).alias("query_vector"))
         dense = retrieve.top_k(retrieve.dense_scores(index, asked, "chunk_id", "vector"), self.config.retrieve_k)
-        sparse = retrieve.top_k(retrieve.bm25_scores(index, queries, "chunk_id"), self.config.retrieve_k)
+        sparse, _ = self.postings.search(queries, self.config.retrieve_k, session_id)
         best = retrieve.rerank(retrieve.fuse(dense, sparse, self.config), texts, queries, self.config.rerank_n)
         return best.drop("text").join(index.drop("vector", "session_id"), best["id"] == index["chunk_id"])
 
@@ -151,7 +162,8 @@ class Engine:
         return {"draft_id": draft_id, "retrieval_query": row["query"], "draft": row["draft"], "evidence": items, "applied_rules": rules}
 
     def submit_feedback(self, draft_id: str, edited: str, notes: str | None = None, at: dt.datetime | None = None, process: bool = True) -> str:
-        """Store an edited draft; its job is taken up at once, or with ``process`` off by the next ``process_feedback``."""
+        """Store an edited draft; its job is taken up at once, or with ``process`` off by the next
+        ``process_feedback`` or the worker that runs."""
         run = self.store.load("draft_runs", S.DRAFT_RUNS).where(F.col("draft_id") == draft_id).first()
         if run is None:
             raise KeyError("Draft not found")
@@ -160,62 +172,56 @@ class Engine:
         row = (feedback, draft_id, run.user_id, run.draft_type, run.draft, edited, notes, run.retrieval_query, "pending", None, None, None, at, None)
         self.store.append("feedback", self.spark.createDataFrame([row], S.FEEDBACK))
         if process:
-            self.process_feedback(feedback)
+            self.process_feedback()
         return feedback
 
-    def _feedback(self, user_id: str | None = None, feedback_id: str | None = None) -> DataFrame:
-        """Feedback with its diff, what its draft had applied, and the candidates that the extractor reads."""
-        rows = self.store.load("feedback", S.FEEDBACK)
-        runs = self.store.load("draft_runs", S.DRAFT_RUNS)
-        if user_id is not None:
-            rows, runs = rows.where(F.col("user_id") == user_id), runs.where(F.col("user_id") == user_id)
-        if feedback_id is not None:
-            rows = rows.where(F.col("feedback_id") == feedback_id)
-        runs = runs.select("draft_id", "applied_rule_ids")
-        return self.rule_extractor.extract(rows.withColumn("structured_diff", structured_diff("original_draft", "edited_draft")).join(runs, "draft_id"))
-
-    def process_feedback(self, only: str | None = None) -> int:
-        """Take up the feedback jobs that wait: what the extractor reads from each is written to
-        ``jobs`` with its state, ``completed`` or ``failed`` with a message; returns how many were taken up."""
-        jobs = self.store.load("jobs", S.JOBS)
-        rows = self.store.load("feedback", S.FEEDBACK)
-        rows = rows if only is None else rows.where(F.col("feedback_id") == only)
-        waiting = rows.join(jobs.where("status <> 'processing'"), "feedback_id", "left_anti").select("feedback_id", "user_id").collect()
-        for feedback_id, user in waiting:
-            self._job(feedback_id, user, "processing")
-            try:
-                read = self._feedback(user, feedback_id).select("candidates").first()
-                if read is None:
-                    raise KeyError("Draft run not found for feedback")
-                self._job(feedback_id, user, "completed", read.candidates)
-            except Exception as why:  # the job's own state says what went wrong, whatever the extractor raised
-                self._job(feedback_id, user, "failed", error=str(why).strip("'"))
-        return len(waiting)
+    def feedback_worker(self, **trigger) -> tuple[FeedbackJobs, StreamingQuery]:
+        """Take up feedback as a stream: with processingTime="2 seconds", say, in the background until it is
+        stopped, else what waits now. Where it is at is kept in the store, so each feedback is taken once."""
+        jobs = FeedbackJobs(self.store, lambda rows: self.rule_extractor.extract(rows), lambda: self.store.load("draft_runs", S.DRAFT_RUNS))
+        feedback = self.spark.readStream.schema(S.FEEDBACK).parquet(f"{self.store.folder}/feedback")
+        return jobs, jobs.start(feedback, f"{self.store.folder}/checkpoints/feedback", **trigger)
+
+    def process_feedback(self) -> int:
+        """Take up the feedback that waits, and fold what was read from it into the saved rules; returns how
+        many were taken up."""
+        taken = 0
+        if self.store.exists("feedback"):
+            jobs, query = self.feedback_worker()
+            query.awaitTermination()
+            taken = jobs.taken
+        self.rulebook.refresh()
+        return taken
 
     def compact(self) -> None:
-        """Keep the last state of each job only; for times when no job is taken up."""
-        self.store.compact("jobs", S.JOBS, "feedback_id", "at")
-
-    def _job(self, feedback_id: str, user: str, status: str, candidates=None, error: str | None = None) -> None:
-        row = (feedback_id, user, status, candidates, error, dt.datetime.now(dt.timezone.utc))
-        self.store.append("jobs", self.spark.createDataFrame([row], S.JOBS))
+        """Keep the last state of each job only, in one batch; for times when no job is taken up. All
+        batches must be in the saved rules before, so they are refreshed."""
+        self.rulebook.refresh()
+        before = self.store.partitions("jobs", "batch")
+        kept = readers.settled(self._jobs(), "jobs")
+        name = f"kept-{hashlib.sha256(':'.join(before).encode()).hexdigest()[:16]}"
+        version, _ = self.rulebook._folded()
+        listed = self.spark.createDataFrame([("jobs", name)], "source string, batch string").coalesce(1)
+        self.store.replace(f"rule_inputs/version={version + 1}", listed)  # the batch has nothing new to fold
+        self.store.replace(f"jobs/batch={name}/state=done", kept)
+        for batch in before:
+            self.store.drop_partition("jobs", "batch", batch)
+
+    def _jobs(self) -> DataFrame:
+        """The last state of each job."""
+        names = [c.name for c in self.spark.createDataFrame([], S.JOBS).schema]
+        return latest(self.store.load("jobs", S.JOBS).select(*names), "feedback_id", "at")
 
     def _rules(self, user_id: str) -> DataFrame:
-        """The user's rules from all their completed feedback and control events, in order of time."""
-        done = self.store.load("jobs", S.JOBS).where((F.col("user_id") == user_id) & (F.col("status") == "completed"))
-        rows = self.store.load("feedback", S.FEEDBACK).where(F.col("user_id") == user_id)
-        runs = self.store.load("draft_runs", S.DRAFT_RUNS).where(F.col("user_id") == user_id).select("draft_id", "applied_rule_ids")
-        rows = rows.join(done.select("feedback_id", "candidates"), "feedback_id").join(runs, "draft_id")
-        rows = rows.select("user_id", "feedback_id", "draft_type", "submitted_at", "candidates", "applied_rule_ids")
-        events = self.store.load("rule_controls", S.RULE_CONTROLS).where(F.col("user_id") == user_id)
-        return learning.fold_batch(learning.with_controls(rows, events), self.config)
+        """The user's saved rules."""
+        return self.rulebook.rules(user_id)
 
     def feedback_status(self, feedback_id: str) -> dict:
         """State of a feedback's job, its diff and the rules that its draft type's drafts would follow now."""
         row = self.store.load("feedback", S.FEEDBACK).where(F.col("feedback_id") == feedback_id).first()
         if row is None:
             raise KeyError("Feedback not found")
-        job = latest(self.store.load("jobs", S.JOBS).where(F.col("feedback_id") == feedback_id), "feedback_id", "at").first()
+        job = self._jobs().where(F.col("feedback_id") == feedback_id).first()
         diff = block_diff(row.original_draft, row.edited_draft)
         return {
             "feedback_id": feedback_id, "draft_id": row.draft_id, "status": job.status if job else "pending", "error_message": job.error_message if job else None,
@@ -235,7 +241,8 @@ class Engine:
             raise KeyError("Rule not found")
         at = at or dt.datetime.now(dt.timezone.utc)
         event = hashlib.sha256(f"{rule_id}:{action}:{at.isoformat()}".encode()).hexdigest()[:32]
-        self.store.append("rule_controls", self.spark.createDataFrame([(user_id, rule_id, action, at, event)], S.RULE_CONTROLS))
+        self.store.replace(f"rule_controls/batch={event}", self.spark.createDataFrame([(user_id, rule_id, action, at, event)], S.RULE_CONTROLS))
+        self.rulebook.refresh()
 
     def set_rule_status(self, user_id: str, rule_id: str, status: str, at: dt.datetime | None = None) -> None:
         self.control_rule(user_id, rule_id, {"active": "enable", "disabled": "disable"}[status], at)

@@ -21,22 +21,26 @@ _TABLES = "array<array<array<string>>>"
 
 
 def raw_pages(found: DataFrame, extractor=None, engine: OcrEngine | None = None) -> DataFrame:
-    """Pages of workbooks, images and, with an ``extractor``, PDF files; see ``readers`` for each."""
+    """Pages of workbooks, images and, with an ``extractor``, PDF files; see ``readers`` for each. Every file
+    of ``found`` has pages, whose ``error`` is null, or one row that says in it why there are none."""
     rows = readers.workbook_rows(found)
-    parts = [readers.sheet_pages(rows, keep=("filename", "page_number")), readers.image_pages(found, engine)]
-    if extractor is not None:
-        parts.append(readers.pdf_pages(found, extractor, engine))
-    return reduce(DataFrame.unionByName, [with_defaults(part) for part in parts])
+    parts = [readers.sheet_pages(rows, keep=("filename", "page_number", "error")), readers.image_pages(found, engine), readers.pdf_pages(found, extractor, engine)]
+    return reduce(DataFrame.unionByName, [with_defaults(part, "error") for part in parts])
 
 
-def with_defaults(pages: DataFrame) -> DataFrame:
+def unread(raw: DataFrame, found: DataFrame) -> DataFrame:
+    """Files of which ``raw_pages`` says why they have no pages, like those that were not let in."""
+    return raw.where("error is not null").select("doc_id", "filename", "error").join(found.select("doc_id", "extension"), "doc_id").select("doc_id", "filename", "extension", "error")
+
+
+def with_defaults(pages: DataFrame, *more: str) -> DataFrame:
     """Pages (doc_id, filename, page_number, raw_text and any others of ``COLUMNS``) with all of these."""
     missing = {"confidence": F.lit(None).cast("double"), "extraction_method": F.lit("native_text")}
     for name, kind in (("tables", _TABLES), ("warnings", "array<string>")):
         own = F.col(name) if name in pages.columns else F.lit(None)
         missing[name] = F.coalesce(own.cast(kind), F.array().cast(kind))
     pages = pages.withColumns({c: e for c, e in missing.items() if c not in pages.columns or c in ("tables", "warnings")})
-    return pages.withColumn("has_tables", F.size("tables") > 0).select(*COLUMNS)
+    return pages.withColumn("has_tables", F.size("tables") > 0).select(*COLUMNS, *more)
 
 
 #: Warnings on answers of the vision model.

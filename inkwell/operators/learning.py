@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 from inkwell.config import DEFAULT, Config
 from inkwell.functions.rules import ratio
 from inkwell.schemas import RULES
+from inkwell.sources.readers import settled
 
 
 def normal_key(description: str) -> str:
@@ -115,6 +117,15 @@ def fold_batch(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
     batches, which holds the user's rules only, however much feedback there is.
     """
 
+    return _folded(feedback, config)
+
+
+_STATE = f"struct<{', '.join(':'.join(c.split(' ', 1)) for c in RULES.split(', '))}>"
+
+
+def _folded(feedback: DataFrame, config: Config) -> DataFrame:
+    """Rules after feedback; rows that have a ``rule`` come first and are the rules to begin with."""
+
     def run(frames):
         user, rules = object(), []
         for frame in frames:
@@ -123,15 +134,55 @@ def fold_batch(feedback: DataFrame, config: Config = DEFAULT) -> DataFrame:
                 if row["user_id"] != user:
                     done += rules
                     user, rules = row["user_id"], []
-                fold_row(rules, row, config)
+                if row.get("rule") is not None:
+                    rules.append({**row["rule"], "applicable_draft_types": list(row["rule"]["applicable_draft_types"])})
+                else:
+                    fold_row(rules, row, config)
             yield as_frame(done)
         yield as_frame(rules)
 
+    begin = [F.col("rule").isNull(), F.col("rule.insert_seq")] if "rule" in feedback.columns else []
     late = F.col("action").isNotNull() if "action" in feedback.columns else F.lit(False)
-    rows = feedback.repartition("user_id").sortWithinPartitions("user_id", "submitted_at", late, "feedback_id")
+    rows = feedback.repartition("user_id").sortWithinPartitions("user_id", *begin, "submitted_at", late, "feedback_id")
     return rows.mapInPandas(run, RULES)
 
 
+def fold_onward(rules: DataFrame, later: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Rules after more feedback than they were folded from; ``later`` is all of it, in time after what is
+    in ``rules``. Users without later feedback keep their rules."""
+    names = [c.split()[0] for c in RULES.split(", ")]
+    begin = rules.select("user_id", F.struct(*names).cast(_STATE).alias("rule"))
+    return _folded(later.unionByName(begin, allowMissingColumns=True), config)
+
+
+def positions(feedback: DataFrame) -> DataFrame:
+    """How far in time each user's feedback goes: (user_id, upto), where upto is a time, whether it is that
+    of a control event, and an id."""
+    late = F.col("action").isNotNull() if "action" in feedback.columns else F.lit(False)
+    return feedback.groupBy("user_id").agg(F.max(F.struct("submitted_at", late.alias("late"), "feedback_id")).alias("upto"))
+
+
+def fold_increment(rules: DataFrame, upto: DataFrame, new: DataFrame, every: Callable[[], DataFrame], config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Rules and positions after ``new`` feedback, from those before it. Equal to a fold of everything.
+
+    Only new feedback is read, and the rules of the users it is of go on from where they are. A user of
+    whom some new feedback is older than what is folded already is folded from the start: only if there
+    is one, ``every`` is called for all feedback, the new one included. ``new`` and the tables before it
+    are read more than once; pass written ones.
+    """
+    added = positions(new)
+    when = F.struct("submitted_at", (F.col("action").isNotNull() if "action" in new.columns else F.lit(False)).alias("late"), "feedback_id")
+    back = new.join(upto, "user_id").where(when < F.col("upto")).select("user_id").distinct()
+    back = settled(back, "back")
+    onward = new.join(back, "user_id", "left_anti")
+    kept = rules.join(back, "user_id", "left_anti")
+    out = fold_onward(kept, onward, config)
+    if not back.isEmpty():
+        out = out.unionByName(_folded(every().join(back, "user_id", "left_semi"), config))
+    upto = upto.unionByName(added).groupBy("user_id").agg(F.max("upto").alias("upto"))
+    return out, upto
+
+
 def fold_row(rules: list[dict], row: dict, config: Config = DEFAULT) -> None:
     """One feedback or event into a user's rules."""
     if row.get("action"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
+from inkwell.sources.readers import settled
 
 #: Rows that are sent to every task, at most.
 FEW = 200_000
@@ -114,8 +115,13 @@ def term_coverage(query: Column, text: Column) -> Column:
 
 
 def rerank(fused: DataFrame, texts: DataFrame, queries: DataFrame, n: int = DEFAULT.rerank_n) -> DataFrame:
-    """The n best by coverage, then fused score, then id; ``texts`` has id and text."""
-    rows = fused.join(texts.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+    """The n best by coverage, then fused score, then id; ``texts`` has id and text.
+
+    Fused lists are short, so they are written and sent to the texts, which stay where they lie; beyond
+    ``FEW`` rows both are joined by shuffle.
+    """
+    fused = settled(fused, "fused")
+    rows = texts.select("id", "text").join(sized(fused), "id").join(sized(queries.select("query_id", "query")), "query_id")
     rows = rows.withColumn("coverage", F.round(term_coverage(F.col("query"), F.col("text")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("query")

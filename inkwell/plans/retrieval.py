@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import retrieve as R
+from inkwell.operators.index import PostingIndex
 from inkwell.plans import inputs
-from inkwell.sources.readers import parquet
+from inkwell.sources.readers import drop_folder, parquet, shared_dir, spread
 
 FLAGSHIP = "the and with that reon"
 
@@ -50,6 +53,28 @@ def bm25_multi_query_topk(spark, sf):
     return R.top_k(R.bm25_scores(_docs(spark, sf), _asked(spark, sf)), 10).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark, sf):
+    """A stored index of all documents: those of one source first, then the others as a second segment."""
+    folder = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    drop_folder(spark, folder, now=False)
+    index, docs = PostingIndex(spark, folder, id_type="bigint"), parquet(spark, sf, "documents")
+    first = F.coalesce(F.col("source") == "src0", F.lit(False))
+    for name, rows in (("first", docs.where(first)), ("more", docs.where(~first))):
+        index.append(spread(rows.select("doc_id", "text"), docs), name)
+    return index
+
+
+def bm25_index_topk(spark, sf):
+    """Ten best documents of each benchmark text, from a stored index that skips blocks."""
+    hits, _ = _index(spark, sf).search(_asked(spark, sf), 10)
+    return hits.select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+def bm25_index_terms(spark, sf):
+    """Document frequencies from the heads of a stored index' blocks, over its segments."""
+    return _index(spark, sf).terms().select("term", "df")
+
+
 def _vectors(spark, sf):
     return parquet(spark, sf, "embeddings")
 
@@ -103,7 +128,7 @@ def evidence_block(spark, sf):
     return R.evidence_block(_reranked(spark, sf).withColumn("doc_id", F.col("id")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, corpus_append, bm25_multi_query_topk, dense_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, corpus_append, bm25_multi_query_topk, bm25_index_topk, bm25_index_terms, dense_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
 
 
 def _d_bm25(name: str, queries: str, b: float = 0.75) -> str:
@@ -136,6 +161,8 @@ ORACLE = {
         w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS term FROM l)
         SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term""",
     "bm25_multi_query_topk": f"WITH {_WORDS}, {_d_bm25('one', _ASKED)} SELECT query_id, doc_id, score, rank FROM one",
+    "bm25_index_topk": f"WITH {_WORDS}, {_d_bm25('one', _ASKED)} SELECT query_id, doc_id, score, rank FROM one",
+    "bm25_index_terms": f"WITH {_WORDS} SELECT term, count(DISTINCT doc_id) AS df FROM words GROUP BY term",
     "dense_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
     "dense_topk_by_group": f"""WITH q AS (SELECT label, min(vec_id) AS query_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),

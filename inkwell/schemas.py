@@ -25,8 +25,8 @@ CANDIDATE = "struct<description:string,category:string,example_before:string,exa
 DIFF = "array<struct<operation:string,before:string,after:string>>"
 FEEDBACK = f"feedback_id string, draft_id string, user_id string, draft_type string, original_draft string, edited_draft string, operator_notes string, retrieval_query string, status string, structured_diff {DIFF}, extracted_rule_ids array<string>, error_message string, submitted_at timestamp, processed_at timestamp"
 RULES = "rule_id string, user_id string, description string, category string, example_before string, example_after string, applicable_draft_types array<string>, confidence double, support_count int, decay_count int, normalized_key string, status string, last_updated timestamp, insert_seq bigint"
-JOBS = f"feedback_id string, user_id string, status string, candidates array<{CANDIDATE}>, error_message string, at timestamp"
+JOBS = f"feedback_id string, user_id string, status string, candidates array<{CANDIDATE}>, error_message string, at timestamp, draft_type string, submitted_at timestamp, applied_rule_ids array<string>"
 RULE_CONTROLS = "user_id string, rule_id string, action string, submitted_at timestamp, event_id string"
 TEXT_CHUNKS = "chunk_id string, doc_id string, text string, page_start int, page_end int, char_start int, char_end int, chunk_index int"
-RAW_PAGES = "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string, has_tables boolean, tables array<array<array<string>>>, warnings array<string>"
+RAW_PAGES = "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string, has_tables boolean, tables array<array<array<string>>>, warnings array<string>, error string"
 ANSWERS = "doc_id string, page_number int, raw_text string, confidence double, warnings array<string>"

@@ -7,7 +7,9 @@ import io
 import posixpath
 import re
 import tempfile
+import uuid
 import zipfile
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -43,14 +45,44 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def drop_folder(spark: SparkSession, folder: str, now: bool = True) -> None:
+    """Delete a folder, at once or when the driver ends; nothing if it is not there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if now:
+        files.delete(at, True)
+    else:
+        files.deleteOnExit(at)
+
+
+def settled(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written to the shared folder and read from there: what is used twice is done once, and a lost
+    executor takes nothing away. It goes when the driver ends."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/inkwell-{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    drop_folder(spark, folder, now=False)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def files(spark: SparkSession, path: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Files of a folder by the allow-list of extensions and the largest size: those to read, and the
     rejected ones with the reason."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = found.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "extension": F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), "doc_id": F.sha2(F.col("path"), 256)})
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = lambda rows: rows.withColumns({"filename": F.element_at(F.split("path", "/"), -1), "extension": F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), "doc_id": F.sha2(F.col("path"), 256)})
+    found = named(read)
     allowed, fits = F.col("extension").isin(*config.extensions), F.col("length") <= config.max_file_mb * 1024 * 1024
     why = F.when(~allowed, F.concat(F.lit("Unsupported file type: "), "extension")).otherwise(F.format_string("File is larger than %d MB", F.lit(config.max_file_mb)))
-    return found.where(allowed & fits), found.where(~(allowed & fits)).select("doc_id", "filename", "extension", why.alias("error"))
+    rejected = found.where(~(allowed & fits)).select("doc_id", "filename", "extension", why.alias("error"))
+    listed = [re.sub(r"^([\w+.-]+):///", r"\1:/", unquote(name)) for name in read.inputFiles()]
+    if len(listed) != read.count():  # a scan passes files of no bytes over
+        empty = spark.createDataFrame([(name,) for name in listed], "path string").join(read.select("path"), "path", "left_anti")
+        rejected = rejected.unionByName(named(empty).select("doc_id", "filename", "extension", F.lit(EMPTY_FILE).alias("error")))
+    return found.where(allowed & fits), rejected
+
+
+#: Fixed value: the error of a file without bytes.
+EMPTY_FILE = "File is empty"
 
 
 def cell_text(c):
@@ -157,9 +189,20 @@ def read_workbook(content: bytes) -> list[tuple[int, str, list[list[str]]]]:
     return out
 
 
+#: Why a file that was let in gave no pages.
+UNREADABLE = "File cannot be read: %s"
+NO_PAGES = "File has no pages"
+NO_EXTRACTOR = "No extractor for PDF files"
+NOT_RECOGNISED = "Text recognition failed: %s"
+
+
+def _why(error: Exception) -> str:
+    return UNREADABLE % (str(error).strip("'") or type(error).__name__)
+
+
 def workbook_rows(found: DataFrame) -> DataFrame:
-    """(doc_id, filename, page_number, sheet, row_no, cells) of XLSX files; a sheet without rows gives one
-    of null cells, an unreadable file none."""
+    """(doc_id, filename, page_number, sheet, row_no, cells, error) of XLSX files; a sheet without rows gives
+    one of null cells, a file that is unreadable or has no sheets one with the error."""
 
     def run(batches):
         for frame in batches:
@@ -167,48 +210,81 @@ def workbook_rows(found: DataFrame) -> DataFrame:
             for r in frame.itertuples():
                 try:
                     sheets = read_workbook(bytes(r.content))
-                except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError):
+                except Exception as why:  # whatever a broken file makes the parser raise is the file's error
+                    out.append((r.doc_id, r.filename, None, None, None, None, _why(why)))
                     continue
-                out += [(r.doc_id, r.filename, k, title, n, cells) for k, title, rows in sheets for n, cells in enumerate(rows or [None], 1)]
-            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "sheet", "row_no", "cells"])
+                if not sheets:
+                    out.append((r.doc_id, r.filename, None, None, None, None, NO_PAGES))
+                out += [(r.doc_id, r.filename, k, title, n, cells, None) for k, title, rows in sheets for n, cells in enumerate(rows or [None], 1)]
+            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "sheet", "row_no", "cells", "error"]).astype({"page_number": "Int32", "row_no": "Int32"})
 
-    return found.where("extension = '.xlsx'").select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, sheet string, row_no int, cells array<string>")
+    return found.where("extension = '.xlsx'").select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, sheet string, row_no int, cells array<string>, error string")
 
 
 def image_pages(found: DataFrame, engine: OcrEngine | None = None) -> DataFrame:
-    """One page for each image file, as the engine reads it (without one: empty, confidence 0)."""
+    """One page for each image file, as the engine reads it (without one: empty, confidence 0); where the
+    engine fails, a row with the error."""
     reader = engine or OcrEngine()
 
     def run(batches):
         for frame in batches:
-            got = [reader.read(bytes(c)) for c in frame["content"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "filename": frame["filename"], "page_number": 1, "raw_text": [t for t, _ in got], "confidence": [c for _, c in got], "extraction_method": "ocr_image"})
+            out = []
+            for r in frame.itertuples():
+                try:
+                    out.append((r.doc_id, r.filename, 1, *reader.read(bytes(r.content)), "ocr_image", None))
+                except Exception as why:  # as above, of the engine
+                    out.append((r.doc_id, r.filename, None, None, None, "ocr_image", _why(why)))
+            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "raw_text", "confidence", "extraction_method", "error"]).astype({"page_number": "Int32"})
 
-    return found.where(~F.col("extension").isin(".xlsx", ".pdf")).select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string")
+    return found.where(~F.col("extension").isin(".xlsx", ".pdf")).select("doc_id", "filename", "content").mapInPandas(run, "doc_id string, filename string, page_number int, raw_text string, confidence double, extraction_method string, error string")
 
 
-def pdf_pages(found: DataFrame, extractor, engine: OcrEngine | None = None) -> DataFrame:
+def pdf_pages(found: DataFrame, extractor=None, engine: OcrEngine | None = None) -> DataFrame:
     """Pages of PDF files; ``extractor(content)`` gives (native text, tables, image bytes or None) for
-    each page. A page of too little native text is read by the text recognition from its image. No PDF
-    library is bundled."""
+    each page. A page of too little native text is read by the text recognition from its image; if that
+    fails, the page stays empty, with a warning. A file that the extractor fails on, that has no pages, or
+    for which there is no extractor is a row with the error. No PDF library is bundled."""
     reader = engine or OcrEngine()
+    files_ = found.where("extension = '.pdf'").select("doc_id", "filename", "content")
+    if extractor is None:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("page_number", "int"), ("raw_text", "string"), ("confidence", "double"))]
+        return files_.select("doc_id", "filename", *nothing, F.lit("native_text").alias("extraction_method"), F.lit(NO_EXTRACTOR).alias("error"))
 
     def run(batches):
         for frame in batches:
             out = []
             for r in frame.itertuples():
-                for n, (text, tables, image) in enumerate(extractor(bytes(r.content)), 1):
-                    out.append((r.doc_id, r.filename, n, text, tables, image))
-            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "raw_text", "tables", "image"])
+                try:
+                    pages = list(extractor(bytes(r.content)))
+                except Exception as why:  # as above, of the extractor
+                    out.append((r.doc_id, r.filename, None, None, None, None, _why(why)))
+                    continue
+                out += [(r.doc_id, r.filename, n, text, tables, image, None) for n, (text, tables, image) in enumerate(pages, 1)]
+                if not pages:
+                    out.append((r.doc_id, r.filename, None, None, None, None, NO_PAGES))
+            yield pd.DataFrame(out, columns=["doc_id", "filename", "page_number", "raw_text", "tables", "image", "error"]).astype({"page_number": "Int32"})
 
     def recognise(batches):
         for frame in batches:
-            got = [reader.read(bytes(x)) if s and x is not None else (("", 0.0) if s else (t, None)) for s, x, t in zip(frame["scanned"], frame["image"], frame["raw_text"], strict=True)]
-            yield frame.assign(raw_text=[t for t, _ in got], confidence=[c for _, c in got]).drop(columns="image")
+            texts, confidences, warnings = [], [], []
+            for scanned, image, text in zip(frame["scanned"], frame["image"], frame["raw_text"], strict=True):
+                confidence, noted = None, []
+                if scanned:
+                    text, confidence = "", 0.0
+                    try:
+                        if image is not None:
+                            text, confidence = reader.read(bytes(image))
+                    except Exception as why:  # as above, of the engine
+                        noted = [NOT_RECOGNISED % str(why)]
+                texts.append(text)
+                confidences.append(confidence)
+                warnings.append(noted)
+            yield frame.assign(raw_text=texts, confidence=confidences, warnings=warnings, page_number=frame["page_number"].astype("Int32")).drop(columns="image")
 
     kind = "doc_id string, filename string, page_number int, raw_text string, tables array<array<array<string>>>"
-    pages = found.where("extension = '.pdf'").select("doc_id", "filename", "content").mapInPandas(run, f"{kind}, image binary")
-    pages = pages.withColumn("scanned", X.is_scanned(F.col("raw_text"))).mapInPandas(recognise, f"{kind}, scanned boolean, confidence double")
+    pages = files_.mapInPandas(run, f"{kind}, image binary, error string")
+    scanned = F.col("error").isNull() & X.is_scanned(F.col("raw_text"))
+    pages = pages.withColumn("scanned", F.coalesce(scanned, F.col("error").isNull())).mapInPandas(recognise, f"{kind}, error string, scanned boolean, confidence double, warnings array<string>")
     return pages.withColumn("extraction_method", F.when(F.col("scanned"), "ocr_scan").otherwise("native_text")).drop("scanned")
 
 
@@ -228,14 +304,29 @@ class Store:
         out = rows.write.mode("append")
         (out.partitionBy(partition) if partition else out).parquet(f"{self.folder}/{table}")
 
+    def replace(self, part: str, rows: DataFrame) -> None:
+        """Write a part of a table, table/column=value, in place of what it had."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{part}")
+
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def exists(self, path: str) -> bool:
+        files, at = self._at(path)
+        return files.exists(at)
+
+    def partitions(self, table: str, column: str) -> list[str]:
+        """Values that a table has folders for."""
+        files, at = self._at(table)
+        names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{column}="))
+
     def load(self, table: str, schema: str | T.StructType) -> DataFrame:
         """All rows; none if nothing was ever written."""
-        path = f"{self.folder}/{table}"
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not self.exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
 
     def compact(self, table: str, schema: str | T.StructType, key: str, version: str, deleted: str | None = None) -> None:
         """Rewrite a table with the last version of each key only. The new rows are written whole beside the
@@ -249,8 +340,7 @@ class Store:
         files.rename(new, old)
 
     def drop_partition(self, table: str, column: str, value: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/{column}={value}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(self.spark, f"{self.folder}/{table}/{column}={value}")
 
 
 def latest(log: DataFrame, key: str, version: str, deleted: str | None = None) -> DataFrame:

@@ -96,6 +96,37 @@ def test_files_to_documents_and_both_indexes(spark, tmp_path):
     assert len(lines) == 3 and '"filename":"a.pdf"' in lines[0].json
 
 
+class Breaks(OcrEngine):
+    def read(self, content):
+        if content.startswith(b"bad"):
+            raise RuntimeError("engine is off")
+        return content.decode(), 0.9
+
+
+def breaks(content):
+    if content.startswith(b"bad"):
+        raise ValueError("not a PDF")
+    return [] if content == b"empty" else extractor(content)
+
+
+def test_every_file_has_an_answer(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.pdf", NOTICE.encode()), ("b.xlsx", b"PK broken"), ("c.png", b"bad"), ("d.txt", b"x"), ("e.png", NOTICE.encode()), ("f.pdf", b"bad"), ("g.pdf", b"empty"), ("h.pdf", f"{NOTICE}\fIMAGEbad".encode()), ("i x%.xlsx", b"")):
+        (folder / name).write_bytes(data)
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    session = engine.create_session("u", AT)
+    rows, rejected = engine.ingest_files(session, f"file://{folder}", breaks, Breaks())
+    got, why = {r.filename: r for r in rows.collect()}, {r.filename: r.error for r in rejected.collect()}
+    assert set(got) == {"a.pdf", "e.png", "h.pdf"} and set(why) == {"b.xlsx", "c.png", "d.txt", "f.pdf", "g.pdf", "i x%.xlsx"}
+    assert why["f.pdf"] == "File cannot be read: not a PDF" and why["c.png"] == "File cannot be read: engine is off" and why["g.pdf"] == "File has no pages" and "zip" in why["b.xlsx"] and why["i x%.xlsx"] == "File is empty"
+    assert got["h.pdf"].total_pages == 2 and "Text recognition failed: engine is off" in got["h.pdf"].warnings
+    other = engine.create_session("u", AT + dt.timedelta(days=1))
+    rows, rejected = engine.ingest_files(other, f"file://{folder}")  # neither an extractor nor an engine
+    why = {r.filename: r.error for r in rejected.collect()}
+    assert {r.filename for r in rows.collect()} == {"c.png", "e.png"} and why["a.pdf"] == why["h.pdf"] == "No extractor for PDF files" and {"b.xlsx", "d.txt"} < set(why)
+
+
 def test_vision_answers_replace_weak_pages(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "c.png").write_bytes(b"weak scan")
@@ -159,6 +190,7 @@ def test_jobs_have_states_and_deleted_rules_come_back(spark, tmp_path):
     jobs = lambda: engine.store.load("jobs", JOBS)
     assert jobs().count() == 6
     engine.compact()
+    engine.compact()
     assert sorted(r.status for r in jobs().collect()) == ["completed", "completed", "failed"] and engine.rules("u").count() == 1
     with pytest.raises(KeyError):
         engine.feedback_status("none")
