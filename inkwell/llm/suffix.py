@@ -34,12 +34,14 @@ COVERS = ((13, (0, 1, 3, 9)), (7, (0, 1, 3)), (3, (0, 1)), (1, (0,)))
 BLOCK = 1 << 20
 #: Cover strings of a region, and entries of a bucket on average.
 REGION = 1 << 15
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 LEAST_BUCKETS = 64
-#: Passes over the texts for cover strings; each shuffles its part of them only.
-PASSES = 2
+#: Passes over the texts for cover strings; each shuffles its part of them only, in four bytes each.
+PASSES = 1
 _LAST = np.iinfo(np.int64).max
 _SLICE = 1 << 21
+#: Rows of blocks are large, so row groups have few of them.
+_STORED = {"parquet.block.size": 16 << 20, "compression": "zstd"}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -80,9 +82,20 @@ def cover_places(ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return at[order], np.concatenate(texts)[order]
 
 
+def _order(h: np.ndarray) -> np.ndarray:
+    """What sorts 64-bit values: their upper bits are sorted with their places in the lower ones, which is
+    quicker than to sort places; where that is not enough to tell values apart, places are."""
+    mask = np.uint64((1 << max(1, (len(h) - 1).bit_length())) - 1) if len(h) else np.uint64(1)
+    packed = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    packed.sort()
+    order = (packed & mask).astype(np.int64)
+    there = h[order]
+    return order if (there[1:] >= there[:-1]).all() else np.argsort(h)
+
+
 def _groups(h: np.ndarray, of: np.ndarray):
     """Distinct values in order, each one's place among them, and the least and greatest ``of`` of each."""
-    order = np.argsort(h, kind="stable")
+    order = _order(h)
     new = np.ones(len(h), np.bool_)
     new[1:] = h[order][1:] != h[order][:-1]
     group = np.empty(len(h), np.int64)
@@ -161,7 +174,7 @@ def _sample(length: int, n: int, passes: int, buckets: int):
                 at, text = cover_places(_numbers(batch, "ends", i), length)
                 h = _cover_values(_body(batch, i), at, length)
                 mine = _passed(h, n, passes)
-                u = _groups(h[mine], text[mine])[0]
+                u = np.unique(h[mine])
                 tags = (u >> np.uint64(8)).astype(np.uint32)
                 rows = [(b, tags[lo:hi].tobytes()) for b, lo, hi in _slices(u, buckets)]
                 block = column_of(batch, "block")[i].as_py()
@@ -192,7 +205,7 @@ def _ranked(n: int):
     def run(table: pa.Table) -> pa.Table:
         each = [np.frombuffer(x, np.uint32) for x in table.column("tags").to_pylist()]
         tags = np.concatenate(each)
-        order = np.argsort(tags, kind="stable")
+        order = _order(tags.astype(np.uint64) << np.uint64(32))
         same = tags[order][1:] == tags[order][:-1]
         tied = np.zeros(len(tags), np.bool_)
         tied[order[1:]] = same
@@ -230,11 +243,11 @@ def _regions(length: int, passes: int, buckets: int, region: int):
                     columns = [[secrets.randbits(62)], [column_of(batch, "block")[i].as_py()], [len(q)], [body[low:high][kept].tobytes()]]
                     lists = [q, moved[q - low], k, ords[k], back, ahead]
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)), *(pa.array([x.astype(t)], pa.list_(pa.from_numpy_dtype(t))) for x, t in zip(lists, (np.int64, np.int32, np.int32, np.int64, np.int8, np.int8), strict=True))],
+                        [*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)), *(pa.array([x.astype(t)], pa.list_(pa.from_numpy_dtype(t))) for x, t in zip(lists, (np.int32, np.int32, np.int32, np.int64, np.int8, np.int8), strict=True))],
                         names=["owner", "block", "n", "body", "place", "at", "text", "ord", "back", "ahead"],
                     )
 
-    return run, "owner long, block long, n long, body binary, place array<long>, at array<int>, text array<int>, ord array<long>, back array<tinyint>, ahead array<tinyint>"
+    return run, "owner long, block long, n long, body binary, place array<int>, at array<int>, text array<int>, ord array<long>, back array<tinyint>, ahead array<tinyint>"
 
 
 def _keys(batch: pa.RecordBatch, i: int, length: int, passes: int):
@@ -307,7 +320,7 @@ def _spans(length: int, passes: int, buckets: int):
                     keys, which, t = of(n)
                     u, group, least, _ = _groups(keys, ords[which])
                     gone = _replied(u, buckets, replies.get(n, {}))[group] | (ords[which] > least[group])
-                    found.append((places[which[gone]] - t[gone], texts[which[gone]]))
+                    found.append((places[which[gone]].astype(np.int64) - t[gone], texts[which[gone]]))
                 place, text = (np.concatenate(x) for x in zip(*found, strict=True))
                 first, kept = np.unique(place, return_index=True)
                 if len(first):
@@ -414,21 +427,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         copied = materialise(copied, "copied")
         marked = rows.join(copied, ["_k", "_l"], "left").select("_id", "_ord", "_text", "_size", F.coalesce(F.col("_lead") < F.col("_ord"), F.lit(False)).alias("_copy"))
         name = kind.simpleString()
-        blocks = materialise(marked.mapInArrow(_blocks(id_type, length, block), f"block long, size long, ids array<{name}>, ords array<long>, ends array<long>, body binary, copies array<{name}>, sizes array<long>"), "blocks", **{"parquet.block.size": 16 << 20})
+        blocks = materialise(marked.mapInArrow(_blocks(id_type, length, block), f"block long, size long, ids array<{name}>, ords array<long>, ends array<long>, body binary, copies array<{name}>, sizes array<long>"), "blocks", **_STORED)
         discard(copied)
         size = blocks.agg(F.sum("size")).first()[0] or 0
 
-        buckets = max(LEAST_BUCKETS, size * len(members) // period // passes // (2 * bucket))
+        buckets = max(LEAST_BUCKETS, size * len(members) // period // passes // (4 * bucket))
         ranks = []
         for n in range(passes):
             run, schema = _sample(length, n, passes, buckets)
             ranks.append(materialise(blocks.select("block", "ends", "body").mapInArrow(run, schema).groupBy("bucket").applyInArrow(_ranked(n), _REPLY), f"ranks{n}"))
         run, schema = _regions(length, passes, buckets, region)
-        regions = materialise(_answered(blocks.select("block", "ords", "ends", "body"), ranks, "block").mapInArrow(run, schema), "regions", **{"parquet.block.size": 16 << 20})
+        regions = materialise(_answered(blocks.select("block", "ords", "ends", "body"), ranks, "block").mapInArrow(run, schema), "regions", **_STORED)
         discard(*ranks)
 
         keys = (regions.agg(F.sum("n")).first()[0] or 0) * period
-        turns = min(64, max(1, -(-12 * keys // max(1, size))))
+        turns = min(64, max(1, -(-10 * keys // max(1, size))))
         buckets = max(LEAST_BUCKETS, keys // turns // bucket)
         lost = []
         for n in range(turns):
