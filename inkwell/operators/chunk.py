@@ -23,6 +23,37 @@ def page_bounds(pages: DataFrame) -> DataFrame:
     return full.select("doc_id", "page_number", "char_start", (F.col("char_start") + F.col("_len") - 1).alias("char_end"))
 
 
+#: Pages of a range, and characters of a bucket, of documents of any length.
+PAGE_RANGE = 1_000
+CHAR_BUCKET = 4_096
+
+
+def page_bounds_long(pages: DataFrame, span: int = PAGE_RANGE) -> DataFrame:
+    """``page_bounds`` for documents whose pages are too many for one task: the characters of each range of
+    ``span`` page numbers are counted first, combined in each task, and summed over the ranges; then pages
+    are numbered within their range, whose start is known."""
+    full = pages.where(~T.is_blank(F.col("cleaned_text"))).select("doc_id", "page_number", F.length("cleaned_text").cast("long").alias("_len"), F.floor(F.col("page_number") / span).alias("_range"))
+    ranges = full.groupBy("doc_id", "_range").agg(F.sum(F.col("_len") + 2).alias("_chars"))
+    earlier = lambda *by: Window.partitionBy("doc_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("doc_id", "_range", F.coalesce(F.sum("_chars").over(earlier("_range")), F.lit(0)).alias("_from"))
+    inside = full.withColumn("_at", F.coalesce(F.sum(F.col("_len") + 2).over(earlier("_range", "page_number")), F.lit(0)))
+    begin = F.col("_from") + F.col("_at")
+    return inside.join(starts, ["doc_id", "_range"]).select("doc_id", "page_number", begin.alias("char_start"), (begin + F.col("_len") - 1).alias("char_end"))
+
+
+def char_to_page_join(places: DataFrame, bounds: DataFrame, width: int = CHAR_BUCKET) -> DataFrame:
+    """``places`` (doc_id, at and others) with page_number, as ``char_to_page`` has it, for documents whose
+    bounds are too many for one row: a page is in each bucket of ``width`` characters that it reaches into, and
+    a place meets the pages of its bucket only."""
+    bucket = lambda c: F.floor(c / width)
+    cut = bounds.select(F.col("doc_id").alias("_d"), "page_number", "char_start", "char_end", F.explode(F.sequence(bucket(F.col("char_start")), bucket(F.col("char_end")))).alias("_b"))
+    ends = bounds.groupBy(F.col("doc_id").alias("_e")).agg(F.min("char_start").alias("_start"), F.min_by("page_number", "char_start").alias("_first"), F.max_by("page_number", "char_start").alias("_last"))
+    own = (F.col("doc_id") == F.col("_d")) & (bucket(F.col("at")) == F.col("_b")) & F.col("at").between(F.col("char_start"), F.col("char_end"))
+    found = places.join(cut.withColumnRenamed("page_number", "_own"), own, "left").join(ends, F.col("doc_id") == F.col("_e"), "left")
+    page = F.when(F.col("at") < F.col("_start"), F.col("_first")).otherwise(F.coalesce("_own", "_last", F.lit(1)))
+    return found.select(*places.columns, page.alias("page_number"))
+
+
 def bounds_array(bounds: DataFrame) -> DataFrame:
     return bounds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "page_number"))).alias("bounds"))
 

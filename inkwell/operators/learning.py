@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
-from inkwell.functions.rules import ratio
+from inkwell.functions.rules import ratio, sequence_ratio, token_overlap
 from inkwell.schemas import RULES
 from inkwell.sources.readers import settled
 
@@ -259,16 +259,72 @@ def rules_prompt(ranked: DataFrame, users: DataFrame) -> DataFrame:
     return users.select("user_id").distinct().join(text, "user_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("None")))
 
 
-def best_matches(candidates: DataFrame, rules: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """For candidates (user_id, candidate_id, category, key), the best of the user's rules of the
-    category, or none: equal keys by join, similar ones only for the rest. A candidate that has an
-    insert_seq meets only the rules before it."""
+#: Texts that a pair of keys may be found by: W words for their overlap, G pairs of letters for the ratio, and
+#: one of the shorter key's for containment, P, which the longer key has among all of its own, A.
+_WORDS, _GRAMS, _PROBE, _ALL = "w", "g", "p", "a"
+#: Letters of keys, the frequent ones first; the order of pairs of letters may be any, this begins with rare ones.
+_LETTERS = " etaoinsrhldcumfpgwybvkxjqz0123456789"
+
+
+def _signed(rows: DataFrame, key: str, config: Config) -> DataFrame:
+    """Keys with ``signs``, (kind, text) by which any like key can be found; see ``best_matches``."""
+    letters = F.split(key, "")
+    grams = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substr(F.col(key), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # a text order that both sides share: rare pairs of letters first, and long words
+    ranked = lambda texts, rank: F.transform(F.array_sort(F.transform(F.array_distinct(texts), lambda g: F.struct(rank(g).alias("r"), g.alias("g")))), lambda x: x["g"])
+    words = ranked(F.array_remove(F.split(key, r"(?U)\s+"), ""), lambda w: -F.length(w))
+    place = lambda g, n: F.position(F.substr(g, F.lit(n), F.lit(1)), F.lit(_LETTERS))
+    grams = ranked(grams, lambda g: -place(g, 1) - place(g, 2))
+    some = F.size(words) - F.ceil(F.size(words) * config.match_overlap - 1e-9) + 1
+    edits = F.floor(F.length(key) * (2 * (1 - config.match_score) / config.match_score) + 1e-9)
+    probe = F.when(F.length(key) > 1, F.slice(grams, 1, 1)).otherwise(F.array(F.col(key)))
+    of = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    every = F.concat(grams, F.array_distinct(F.array_remove(letters, "")))
+    signs = F.concat(of(_WORDS, F.slice(words, 1, F.greatest(some, F.lit(1)).cast("int"))), of(_GRAMS, F.slice(grams, 1, (2 * edits + 1).cast("int"))), of(_PROBE, probe), of(_ALL, every))
+    return rows.where(F.length(key) > 0).withColumn("signs", signs)
+
 
-    def run(frame: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        own = mine.sort_values("insert_seq").to_dict("records")
-        seqs = frame["insert_seq"] if "insert_seq" in frame else [None] * len(frame)
-        found = [best_match([r for r in own if q is None or r["insert_seq"] < q], c, k, config) for c, k, q in zip(frame["category"], frame["key"], seqs, strict=True)]
-        return pd.DataFrame({"candidate_id": frame["candidate_id"], "rule_id": [r and r["rule_id"] for r in found]})
+def _histogram(key: str) -> Column:
+    """How often a key has each letter."""
+    return F.transform(F.array(*[F.lit(c) for c in _LETTERS]), lambda c: F.length(key) - F.length(F.replace(F.col(key), c, F.lit(""))))
 
-    keys = ["user_id", "category"]
-    return candidates.groupBy(*keys).cogroup(rules.groupBy(*keys)).applyInPandas(run, "candidate_id string, rule_id string")
+
+def best_matches(candidates: DataFrame, rules: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """For candidates (user_id, candidate_id, category, key), the best of the user's rules of the
+    category, or none. A candidate that has an insert_seq meets only the rules before it; keys are
+    normalised and candidate_id tells candidates apart.
+
+    Equal keys are joined. For the other candidates a rule is a match if it shares enough words, contains
+    the key or is contained, or is alike by the ratio of matching blocks, and rules are found by what such
+    a pair must share: of two keys with a word overlap of t the first words, in one order for all, but for
+    (1 - t) of them; of two with a ratio of r, which are 2 (1 - r) / r of a key's length in edits apart at
+    most, the first 2 e + 1 pairs of letters for e edits; and the rarest pair of a contained key. Pairs are
+    joined on these, so a user's rules are no group of one task, and their lengths and letters bound the
+    ratio before it is computed.
+    """
+    group = F.to_json(F.struct("user_id", "category"), {"ignoreNullFields": "false"}).alias("g")
+    seq = F.col("insert_seq").cast("long") if "insert_seq" in candidates.columns else F.lit(None).cast("long")
+    asked = settled(candidates.select(group, F.col("candidate_id"), F.col("key"), seq.alias("q")), "candidates")
+    known = settled(rules.select(group, F.col("normalized_key").alias("own"), "rule_id", F.col("insert_seq").cast("long").alias("s")), "rules")
+    before = F.col("q").isNull() | (F.col("s") < F.col("q"))
+    first = F.min_by("rule_id", "s").alias("rule_id")
+    equal = settled(asked.join(known.withColumnRenamed("own", "key"), ["g", "key"]).where(before).groupBy("candidate_id").agg(first), "equal")
+    rest = settled(asked.join(equal, "candidate_id", "left_anti"), "rest")
+
+    left = _signed(rest, "key", config).select("g", "candidate_id", "key", "q", F.explode("signs").alias("x")).select("g", "candidate_id", "key", "q", "x.*")
+    right = _signed(known, "own", config).select("g", "rule_id", "own", "s", F.explode("signs").alias("x")).select("g", "rule_id", "own", "s", "x.*")
+    meets = {_WORDS: _WORDS, _GRAMS: _GRAMS, _PROBE: _ALL, _ALL: _PROBE}
+    right = right.withColumn("kind", F.create_map(*[F.lit(x) for kv in meets.items() for x in kv])[F.col("kind")])
+    shared = F.aggregate(F.zip_with(_histogram("key"), _histogram("own"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    bound = 2.0 * shared / (F.length("key") + F.length("own"))
+    met = left.join(right, ["g", "kind", "text"]).where(before).select("g", "candidate_id", "key", "rule_id", "own", "s").distinct()
+    met = met.withColumns({"overlap": token_overlap(F.col("own"), F.col("key")), "within": F.contains(F.col("own"), F.col("key")) | F.contains(F.col("key"), F.col("own"))})
+    met = met.where((F.col("overlap") >= config.match_overlap) | F.col("within") | (bound + 1e-9 >= config.match_score))
+    scored = met.withColumn("score", F.greatest(sequence_ratio("own", "key"), "overlap", F.when(F.col("within"), config.match_contained).otherwise(0.0)))
+    scored = scored.where((F.col("score") >= config.match_score) | (F.col("overlap") >= config.match_overlap)).select("candidate_id", "rule_id", "s", "score")
+    # an empty key is in every other
+    least = lambda rows: rows.groupBy("g").agg(F.min_by(F.struct("rule_id", "s"), "s").alias("r")).select("g", "r.*")
+    none = rest.where(F.length("key") == 0).join(least(known), "g").unionByName(rest.where(F.length("key") > 0).join(least(known.where(F.length("own") == 0)), "g"))
+    scored = scored.unionByName(none.where(before).select("candidate_id", "rule_id", "s", F.lit(config.match_contained).alias("score")))
+    best = scored.groupBy("candidate_id").agg(F.min_by("rule_id", F.struct(-F.col("score"), F.col("s"))).alias("rule_id"))
+    return asked.select("candidate_id").join(equal.unionByName(best), "candidate_id", "left")

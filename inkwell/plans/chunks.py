@@ -25,6 +25,23 @@ def char_to_page(spark, sf):
     return probes.select("doc_id", "at", C.char_to_page(F.col("at"), F.col("bounds")).cast("long").alias("page_number"))
 
 
+def _one_long(spark, sf):
+    """All documents as the pages of one."""
+    docs = readers.parquet(spark, sf, "documents")
+    return docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("doc_id").alias("page_number"), F.col("text").alias("cleaned_text"))
+
+
+def page_bounds_long(spark, sf):
+    return C.page_bounds_long(_one_long(spark, sf))
+
+
+def char_to_page_join(spark, sf):
+    """Pages of places at the edges and in the middle of all pages, and between them, in one long document."""
+    b = C.page_bounds_long(_one_long(spark, sf))
+    at = F.array(F.col("char_start") - 1, F.col("char_start"), F.floor((F.col("char_start") + F.col("char_end")) / 2), F.col("char_end"), F.col("char_end") + 1)
+    return C.char_to_page_join(b.select("doc_id", F.explode(at).alias("at")), b)
+
+
 def text_chunks(spark, sf):
     """Windows of every document."""
     docs = inputs.documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"))
@@ -95,10 +112,12 @@ def get_many(spark, sf):
     return readers.in_order_of(lists, docs, "ids", "doc_id").select("o_orderkey", F.col("pos").cast("long").alias("pos"), "doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (page_bounds, char_to_page, text_chunks, table_chunks_rows, table_chunks_full, sheet_pages, chunk_flatten, session_documents, get_many)}
+QUERIES = {f.__name__: f for f in (page_bounds, char_to_page, page_bounds_long, char_to_page_join, text_chunks, table_chunks_rows, table_chunks_full, sheet_pages, chunk_flatten, session_documents, get_many)}
 
 _D_BOUNDS = f"""b AS (SELECT doc_id, page_number, coalesce(sum(length(cleaned_text) + 2) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, length(cleaned_text) AS n FROM ({inputs.PAGES}) WHERE regexp_matches(cleaned_text, '\\S')),
     bounds AS (SELECT doc_id, page_number::BIGINT AS page_number, char_start, char_start + n - 1 AS char_end FROM b)"""
+_D_LONG = """b AS (SELECT CAST(0 AS BIGINT) AS doc_id, doc_id AS page_number, coalesce(sum(length(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
+    bounds AS (SELECT doc_id, page_number, char_start, char_start + n - 1 AS char_end FROM b)"""
 _D_BLOCKS = """cells AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k,
                      l_linenumber || ' | ' || l_partkey || ' | ' || CAST(l_quantity AS INT) AS cells FROM lineitem),
     blocks AS (SELECT *, (k - 1) // 12 AS block, CASE WHEN k <= 12 THEN 1 ELSE ((k - 1) // 12) * 12 + 2 END AS start, (k - 1) % 12 AS off FROM cells),
@@ -124,6 +143,10 @@ ORACLE = {
         probes AS (SELECT *, unnest(range(-5, last_end + 2001, 997)) AS at FROM ends)
         SELECT p.doc_id, p.at, CASE WHEN p.at < p.first_start THEN p.first_page ELSE coalesce(b.page_number, p.last_page) END AS page_number
         FROM probes p LEFT JOIN bounds b ON b.doc_id = p.doc_id AND p.at BETWEEN b.char_start AND b.char_end""",
+    "page_bounds_long": f"WITH {_D_LONG} SELECT * FROM bounds",
+    "char_to_page_join": f"""WITH {_D_LONG}, p AS (SELECT doc_id, unnest([char_start - 1, char_start, (char_start + char_end) // 2, char_end, char_end + 1]) AS at FROM bounds)
+        SELECT p.doc_id, at, CASE WHEN at < 0 THEN (SELECT min(page_number) FROM bounds) ELSE coalesce(b.page_number, (SELECT max(page_number) FROM bounds)) END AS page_number
+        FROM p LEFT JOIN bounds b ON at BETWEEN b.char_start AND b.char_end""",
     "table_chunks_rows": f"WITH {_D_BLOCKS} SELECT doc_id, block, text, start AS table_row_start, start + n - 1 AS table_row_end, n AS table_row_count, CAST(3 AS BIGINT) AS table_column_count FROM done",
     "sheet_pages": """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_extendedprice, concat_ws(' | ', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END, CASE WHEN l_partkey % 5 <> 0 THEN l_linestatus END) AS line, l_linenumber <> 3 AS kept FROM lineitem)
         SELECT doc_id, 'Sheet: Lines' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) FILTER (kept), '') AS raw_text, count(*) FILTER (kept) AS n_rows, CAST(1.0 AS DOUBLE) AS confidence,

@@ -11,10 +11,13 @@ from pyspark.sql.window import Window
 from inkwell.config import DEFAULT
 from inkwell.functions import rules as U
 from inkwell.operators import learning as L
-from inkwell.operators import retrieve as R
-from inkwell.schemas import CANDIDATE
-from inkwell.sources.readers import in_order_of, latest, parquet, shared_dir
+from inkwell.operators.draft import Embedder, RuleExtractor
+from inkwell.operators.index import PostingIndex
+from inkwell.operators.rulebook import RuleBook
+from inkwell.schemas import CANDIDATE, JOBS
+from inkwell.sources.readers import Store, drop_folder, in_order_of, latest, parquet, settled, shared_dir
 from inkwell.streaming import rules as S
+from inkwell.streaming.jobs import NO_DRAFT, FeedbackJobs
 
 CONFIDENCE = "round(value - floor(value), 2)"
 CATEGORY = "CASE WHEN event_type = 'click' THEN 'tone' WHEN event_type = 'view' THEN 'structure' ELSE 'other' END"
@@ -91,8 +94,8 @@ ROLE = "CASE hour(ts) % 8 WHEN 0 THEN 'disable' WHEN 1 THEN 'enable' WHEN 2 THEN
 LOW = "round((value - floor(value)) * 0.3, 2)"
 
 
-def rule_fold_controls(spark, sf):
-    """The whole fold with like keys, applied rules, and rules that users disable, enable and delete.
+def _controlled(spark, sf):
+    """Feedback with like keys and applied rules, and events with which users disable, enable and delete rules.
 
     All events of a user and kind are about the rule that the first observation made; once that is
     pruned or deleted, a later observation makes a new one, which the events do not mean.
@@ -109,8 +112,37 @@ def rule_fold_controls(spark, sf):
         F.when(seen, made).otherwise(F.array().cast(f"array<{CANDIDATE}>")).alias("candidates"), F.when(F.col("role").isin("apply", "both"), F.array("rule")).otherwise(none).alias("applied_rule_ids"),
     )
     controls = e.where(F.col("role").isin("disable", "enable", "delete")).select(F.col("user").alias("user_id"), F.col("rule").alias("rule_id"), F.col("role").alias("action"), "submitted_at", F.col("feedback_id").alias("event_id"))
-    out = L.fold_batch(L.with_controls(feedback, controls))
-    return out.select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"), F.col("decay_count").cast("long").alias("decays"), "status")
+    return feedback, controls
+
+
+def _with_status(rules):
+    return rules.select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"), F.col("decay_count").cast("long").alias("decays"), "status")
+
+
+def rule_fold_controls(spark, sf):
+    """The whole fold with like keys, applied rules, and rules that users disable, enable and delete."""
+    return _with_status(L.fold_batch(L.with_controls(*_controlled(spark, sf))))
+
+
+def _middle(spark, sf):
+    """The time in the middle of the events."""
+    first, last = parquet(spark, sf, "events").agg(F.min("ts"), F.max("ts")).first()
+    return first + (last - first) / 2 if first is not None else None
+
+
+def rules_incremental(spark, sf):
+    """The same fold from saved rules, of jobs and events that came in two batches; of every tenth user all
+    came with the second, and of every tenth other one day of the first, which is folded anew therefore."""
+    store, (feedback, controls) = Store(spark, _shared(spark, "rulebook")), _controlled(spark, sf)
+    drop_folder(spark, store.folder, now=False)
+    user, book = F.col("user_id").cast("long"), RuleBook(store)
+    second = (F.col("submitted_at") >= F.lit(_middle(spark, sf))) | (user % 10 == 0) | ((user % 10 == 1) & (F.dayofmonth("submitted_at") == 3))
+    done = feedback.select("*", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error_message"), F.current_timestamp().alias("at"))
+    for name, part in (("first", ~second), ("second", second)):
+        store.replace(f"jobs/batch={name}/state=done", done.where(part))
+        store.replace(f"rule_controls/batch={name}", controls.where(part))
+        book.refresh()
+    return _with_status(book.rules())
 
 
 #: For rules whose confidence is to differ after all observations: a low start and small steps.
@@ -224,18 +256,68 @@ def stream_rule_fold(spark, sf):
     return S.rules_of(last).select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"))
 
 
+def stream_rule_map(spark, sf):
+    """The same fold with an entry of state for each rule, by a query that stops in the middle of the events
+    and goes on from its checkpoint."""
+    at = _shared(spark, "entries")
+    drop_folder(spark, at, now=False)
+    events, middle = parquet(spark, sf, "events"), _middle(spark, sf)
+    before = spark.conf.get(S.ROCKSDB[0], None)
+    spark.conf.set(*S.ROCKSDB)
+
+    def keep(rows, batch):
+        rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+
+    try:
+        for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+            events.where(part).write.mode("append").parquet(f"{at}/events")
+            folded = S.fold_entries(_feedback(spark.readStream.schema(events.schema).parquet(f"{at}/events")))
+            folded.writeStream.outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(S.ROCKSDB[0])
+        else:
+            spark.conf.set(S.ROCKSDB[0], before)
+    last = spark.read.schema("user_id string, rule_id string, rule string, batch long").parquet(f"{at}/out").groupBy("user_id", "rule_id").agg(F.max_by("rule", "batch").alias("rule"))
+    rules = last.where("rule is not null").select(F.concat(F.lit("["), "rule", F.lit("]")).alias("rules"))
+    return S.rules_of(rules).select("user_id", F.col("normalized_key").alias("key"), F.round("confidence", 6).alias("confidence"), F.col("support_count").cast("long").alias("support"))
+
+
+def stream_feedback_jobs(spark, sf):
+    """User turns as feedback on the conversation's draft, taken up by a stream: by draft, jobs of each
+    status and what was read from them. Edits of every third turn add a block."""
+    store = Store(spark, _shared(spark, "jobs"))
+    drop_folder(spark, store.folder, now=False)
+    turns = _stream(spark, sf, "conversations").where("role = 'user'")
+    edited = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nAlways cite the page."))).otherwise(F.col("text"))
+    feedback = turns.select(F.concat_ws(":", "conv_id", "turn").alias("feedback_id"), F.col("conv_id").cast("string").alias("draft_id"), F.lit("u").alias("user_id"), F.lit("internal_memo").alias("draft_type"), F.lit(None).cast("timestamp").alias("submitted_at"), F.col("text").alias("original_draft"), edited.alias("edited_draft"))
+    first = parquet(spark, sf, "conversations").where("role = 'assistant' and conv_id % 4 <> 0").select(F.col("conv_id").cast("string").alias("draft_id")).distinct()
+    jobs = FeedbackJobs(store, RuleExtractor().extract, lambda: first.withColumn("applied_rule_ids", F.array().cast("array<string>")))
+    for _ in range(2):  # the second finds all taken up
+        jobs.start(feedback, f"{store.folder}/checkpoint").awaitTermination()
+    done = store.load("jobs", f"{JOBS}, batch string, state string").where("state = 'done'")
+    out = done.groupBy(F.split_part("feedback_id", F.lit(":"), F.lit(1)).cast("long").alias("draft_id"), "status")
+    return out.agg(F.count("*").alias("n"), F.coalesce(F.max("error_message"), F.lit("")).alias("error"), F.coalesce(F.sum(F.size("candidates")), F.lit(0)).cast("long").alias("candidates"))
+
+
 def stream_ingest(spark, sf):
-    """Documents ingested from a file stream into the postings table."""
+    """Documents ingested from a file stream into both indexes; a batch that is done again takes its own place."""
     at = _shared(spark, "ingest")
+    drop_folder(spark, at, now=False)
+    index, embedder = PostingIndex(spark, f"{at}/postings", id_type="bigint"), Embedder()
 
-    def write(rows, _):
-        R.postings(rows.select("doc_id", "text")).write.mode("append").parquet(f"{at}/postings")
+    def write(rows, batch):
+        rows = settled(rows.select("doc_id", "text"), "batch")
+        index.append(rows, f"batch-{batch}")
+        rows.select("doc_id", embedder.embed(F.col("text")).alias("vector")).write.mode("overwrite").parquet(f"{at}/vectors/batch={batch}")
 
     S.ingest_stream(_stream(spark, sf, "documents"), write, f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/postings").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    terms = index.blocks().select(F.explode("postings").alias("p")).groupBy(F.col("p.id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("p.tf").alias("n_tokens"))
+    vectors = spark.read.schema("doc_id bigint, vector array<float>, batch long").parquet(f"{at}/vectors").groupBy("doc_id").agg(F.count("*").alias("n_vectors"), F.sum(F.size("vector")).alias("n_slots"))
+    return terms.join(vectors, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_fold_controls, rule_decay_prune, active_rules, list_rules, rules_prompt, rule_public, session_rules, draft_types_union, latest_rows, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_ingest)}
+QUERIES = {f.__name__: f for f in (rule_key, rule_jaccard, rule_sequence_ratio, structured_diff, rule_match_best, rule_fold_exact, rule_fold, rule_fold_controls, rules_incremental, rule_decay_prune, active_rules, list_rules, rules_prompt, rule_public, session_rules, draft_types_union, latest_rows, draft_feedback_join, applied_vs_reinforced, feedback_rules, stream_rule_fold, stream_rule_map, stream_feedback_jobs, stream_ingest)}
 
 _D_KEY = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -290,6 +372,12 @@ ORACLE = {
     "rule_fold_exact": f"WITH {_d_fold()} SELECT user_id, key, confidence, support FROM fold",
     "rule_fold": _D_WHOLE,
     "stream_rule_fold": _D_WHOLE,
+    "stream_rule_map": _D_WHOLE,
+    "rules_incremental": _D_CONTROLS,
+    "stream_feedback_jobs": f"""WITH d AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 4 <> 0)
+        SELECT c.conv_id AS draft_id, CASE WHEN d.conv_id IS NULL THEN 'failed' ELSE 'completed' END AS status, count(*) AS n, CASE WHEN d.conv_id IS NULL THEN '{NO_DRAFT}' ELSE '' END AS error,
+               CAST(sum(CASE WHEN d.conv_id IS NOT NULL AND (c.conv_id + turn) % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS candidates
+        FROM conversations c LEFT JOIN d ON d.conv_id = c.conv_id WHERE role = 'user' GROUP BY ALL""",
     "rule_decay_prune": _d_decay(),
     "active_rules": f"WITH {_D_ACTIVE} SELECT user_id, rule_id, confidence, rank FROM act",
     "list_rules": f"WITH {_D_RULES} SELECT user_id, rule_id, status, row_number() OVER (PARTITION BY user_id ORDER BY status <> 'active', confidence DESC, support DESC, key) AS rank FROM (SELECT *, split_part(rule_id, ':', 2) AS key FROM rules) WHERE len(types) = 0 OR list_contains(types, 'case_fact_summary')",
@@ -299,5 +387,5 @@ ORACLE = {
     "applied_vs_reinforced": "SELECT user_id, event_type, EXISTS (SELECT 1 FROM events b WHERE day(b.ts) % 2 = 1 AND b.user_id = a.user_id AND b.event_type = a.event_type) AS reinforced FROM (SELECT DISTINCT user_id, event_type FROM events WHERE day(ts) % 2 = 0) a",
     "feedback_rules": f"""WITH {_D_RULES}, e AS (SELECT DISTINCT user_id, user_id || ':' || event_type AS rule_id FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rule_id DESC) - 1 AS pos FROM e)
         SELECT n.user_id, pos, rule_id, confidence FROM n JOIN (SELECT rule_id, confidence FROM rules WHERE status = 'active') USING (rule_id)""",
-    "stream_ingest": "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM documents) SELECT doc_id, count(DISTINCT w) AS n_terms, count(*) AS n_tokens FROM t GROUP BY doc_id",
+    "stream_ingest": "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM documents) SELECT doc_id, count(DISTINCT w) AS n_terms, count(*) AS n_tokens, CAST(1 AS BIGINT) AS n_vectors, CAST(64 AS BIGINT) AS n_slots FROM t GROUP BY doc_id",
 }

@@ -97,6 +97,8 @@ EMPTY_SHEET = "Sheet '%s' is empty"
 def sheet_pages(rows: DataFrame, doc_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Pages from sheet rows (doc, sheet, row_no, cells): all-empty rows go; the text is the title and
     a line for each row. A sheet without rows (null cells) is a page of its title, with a warning."""
+    if "error" in rows.columns and "error" not in keep:
+        rows = rows.where("error is null")
     cells = F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: F.trim(F.coalesce(c, F.lit(""))))
     rows = rows.withColumn("cells", cells).withColumn("_full", F.exists("cells", lambda c: c != ""))
     line = F.array_join(F.filter("cells", lambda c: c != ""), " | ")

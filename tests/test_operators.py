@@ -176,3 +176,31 @@ def test_rule_match_best_takes_every_part(spark, sf_dir):
         want[p.p_partkey] = best and best["rule_id"]
         own.append({"category": p.p_type, "normalized_key": key, "rule_id": str(p.p_partkey)})
     assert got == want
+
+
+def test_best_matches_lose_no_pair(spark):
+    """Against the plain search, for short, long, empty, nested, reordered and nearly equal keys and null groups."""
+    import random
+
+    from inkwell.operators.learning import best_match, best_matches
+
+    rng = random.Random(3)
+    words = ["a", "b", "use", "short", "words", "name", "the", "grantor", "first", "2024", "always", "cite", "x1"]
+
+    def key():
+        own = " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 60])))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            at = rng.randrange(len(own) + 1)
+            own = own[:at] + rng.choice(["", "z", "qq"]) + own[at + rng.choice([0, 1]) :]
+        return " ".join(own[rng.choice([0, 0, 1]) :].split())
+
+    rows = [(rng.choice(["u", "v", None]), n, rng.choice(["tone", None]), key()) for n in range(260)]
+    rules = spark.createDataFrame([(u, c, k, str(n), n) for u, n, c, k in rows], "user_id string, category string, normalized_key string, rule_id string, insert_seq long")
+    for own in (True, False):
+        asked = [(u, str(n), c, k, n) for u, n, c, k in rows]
+        frame = spark.createDataFrame(asked, "user_id string, candidate_id string, category string, key string, insert_seq long")
+        got = {r.candidate_id: r.rule_id for r in best_matches(frame if own else frame.drop("insert_seq"), rules).collect()}
+        for u, n, c, k, q in asked:
+            mine = [{"category": d, "normalized_key": x, "rule_id": str(m)} for v, m, d, x in rows if v == u and (not own or m < q)]
+            best = best_match(mine, c, k)
+            assert got[n] == (best and best["rule_id"]), (k, got[n], best)
