@@ -90,7 +90,11 @@ class Engine:
         """Append rows of an upload to a table and read them from there, so that nothing is done twice."""
         schema = f"{schema}, {more}" if more else schema
         names = [f.name for f in self.spark.createDataFrame([], schema).schema]
-        self.store.append(table, rows.select(*names, F.lit(batch).alias("batch")), "batch")
+        rows, append = rows.select(*names, F.lit(batch).alias("batch")), lambda out: self.store.append(table, out, "batch")
+        if table == "documents":
+            readers.Metrics(self.store).written(rows, append, batch, readers.document_measures(), readers.METRICS)
+        else:
+            append(rows)
         return self.store.load(table, f"{schema}, batch string").where(F.col("batch") == batch).drop("batch")
 
     def _add(self, session_id: str, docs: DataFrame, pages: DataFrame, tables: DataFrame | None, batch: str) -> DataFrame:
@@ -110,6 +114,10 @@ class Engine:
         self.store.append("session_documents", listed.select("session_id", "doc_id", "pos"))
         return chunks
 
+    def metrics(self) -> DataFrame:
+        """A row for each upload: documents, pages, means of confidence and quality, and warnings."""
+        return readers.Metrics(self.store).rows()
+
     def document(self, doc_id: str) -> dict:
         row = self.documents([doc_id]).first()
         if row is None:

@@ -145,8 +145,8 @@ ORACLE = {
         FROM probes p LEFT JOIN bounds b ON b.doc_id = p.doc_id AND p.at BETWEEN b.char_start AND b.char_end""",
     "page_bounds_long": f"WITH {_D_LONG} SELECT * FROM bounds",
     "char_to_page_join": f"""WITH {_D_LONG}, p AS (SELECT doc_id, unnest([char_start - 1, char_start, (char_start + char_end) // 2, char_end, char_end + 1]) AS at FROM bounds)
-        SELECT p.doc_id, at, CASE WHEN at < 0 THEN (SELECT min(page_number) FROM bounds) ELSE coalesce(b.page_number, (SELECT max(page_number) FROM bounds)) END AS page_number
-        FROM p LEFT JOIN bounds b ON at BETWEEN b.char_start AND b.char_end""",
+        SELECT p.doc_id, p.at, CASE WHEN p.at < 0 THEN (SELECT min(page_number) FROM bounds) ELSE coalesce(b.page_number, (SELECT max(page_number) FROM bounds)) END AS page_number
+        FROM p LEFT JOIN bounds b ON p.at BETWEEN b.char_start AND b.char_end""",
     "table_chunks_rows": f"WITH {_D_BLOCKS} SELECT doc_id, block, text, start AS table_row_start, start + n - 1 AS table_row_end, n AS table_row_count, CAST(3 AS BIGINT) AS table_column_count FROM done",
     "sheet_pages": """WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_extendedprice, concat_ws(' | ', l_partkey, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END, CASE WHEN l_partkey % 5 <> 0 THEN l_linestatus END) AS line, l_linenumber <> 3 AS kept FROM lineitem)
         SELECT doc_id, 'Sheet: Lines' || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_extendedprice) FILTER (kept), '') AS raw_text, count(*) FILTER (kept) AS n_rows, CAST(1.0 AS DOUBLE) AS confidence,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.functions import classify as C
@@ -11,6 +13,7 @@ from inkwell.operators import chunk
 from inkwell.operators import documents as D
 from inkwell.operators import ingest as I
 from inkwell.plans import inputs
+from inkwell.sources import readers
 from inkwell.sources.readers import html_text, parquet
 
 NOISY = f"noisy AS ({inputs.NOISY})"
@@ -105,6 +108,15 @@ def doc_quality(spark, sf):
     return docs.select("doc_id", "avg_confidence", F.col("total_pages").cast("long").alias("total_pages"), F.size("warnings").cast("long").alias("n_warnings"), "is_usable", "quality_score")
 
 
+def document_metrics(spark, sf):
+    """What is measured of documents while they are written: one row for the upload."""
+    store = readers.Store(spark, f"{readers.shared_dir(spark)}/metrics-{uuid.uuid4().hex}")
+    readers.drop_folder(spark, store.folder, now=False)
+    metrics = readers.Metrics(store)
+    metrics.written(D.process(_pages(spark, sf)), lambda rows: store.append("documents", rows), "upload", readers.document_measures(), readers.METRICS)
+    return metrics.rows().drop("of")
+
+
 def doc_warnings(spark, sf):
     docs = D.process(_pages(spark, sf))
     return docs.select("doc_id", F.explode("warnings").alias("w")).groupBy("doc_id", F.col("w.code").alias("code")).agg(F.count("*").alias("n"), F.sum("w.page").cast("long").alias("pages"))
@@ -255,6 +267,7 @@ QUERIES = {
     "low_confidence_pages": low_confidence_pages,
     "fallback_merge": fallback_merge,
     "doc_quality": doc_quality,
+    "document_metrics": document_metrics,
     "doc_warnings": doc_warnings,
     "classify_docs": classify_docs,
     "classify_language": classify_language,
@@ -317,6 +330,9 @@ ORACLE = {
                CASE WHEN weak AND fc IS NOT NULL THEN CASE WHEN fc = '' THEN 1 ELSE 2 END ELSE 0 END AS n_warnings, CASE WHEN better THEN length(fc) ELSE length(own) END AS n_chars FROM r""",
     "doc_quality": f"""WITH {D_PAGES}, w AS (SELECT *, page_warnings + 1 + CASE WHEN avg_confidence < 0.6 THEN 1 ELSE 0 END AS n_warnings FROM agg)
         SELECT doc_id, avg_confidence, total_pages, n_warnings, avg_confidence >= 0.2 AS is_usable, round(least(greatest(avg_confidence * 0.5 + usable_ratio * 0.3 + (0.2 - least(n_warnings * 0.05, 0.2)), 0.0), 1.0), 3) AS quality_score FROM w""",
+    "document_metrics": f"""WITH {D_PAGES}, w AS (SELECT *, page_warnings + 1 + CASE WHEN avg_confidence < 0.6 THEN 1 ELSE 0 END AS n_warnings FROM agg)
+        SELECT count(*) AS documents, CAST(sum(total_pages) AS BIGINT) AS pages, count(*) FILTER (avg_confidence < 0.2) AS unusable, round(avg(avg_confidence), 6) AS avg_confidence,
+               round(avg(round(least(greatest(avg_confidence * 0.5 + usable_ratio * 0.3 + (0.2 - least(n_warnings * 0.05, 0.2)), 0.0), 1.0), 3)), 6) AS avg_quality, CAST(sum(n_warnings) AS BIGINT) AS warnings FROM w""",
     "doc_warnings": f"""WITH {D_PAGES}
         SELECT doc_id, 'UNKNOWN_DOC_TYPE' AS code, 1 AS n, CAST(NULL AS BIGINT) AS pages FROM agg
         UNION ALL SELECT doc_id, 'LOW_OVERALL_CONFIDENCE', 1, NULL FROM agg WHERE avg_confidence < 0.6

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import retrieve as R
 from inkwell.operators.index import PostingIndex
+from inkwell.operators.vectors import VectorIndex
 from inkwell.plans import inputs
 from inkwell.sources.readers import drop_folder, parquet, shared_dir, spread
 
@@ -85,6 +86,17 @@ def dense_topk(spark, sf):
     return R.top_k(R.dense_scores(_vectors(spark, sf), asked), 10).select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def dense_pruned_topk(spark, sf):
+    """The same from stored cells of vectors, of which only those are scored that may be among the nearest."""
+    folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    drop_folder(spark, folder, now=False)
+    index, vectors = VectorIndex(spark, folder, id_type="bigint"), _vectors(spark, sf)
+    index.build(vectors)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits, _ = index.search(asked, 10)
+    return hits.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def dense_topk_by_group(spark, sf):
     """In each group (label, the session), the nearest to its smallest vector."""
     v = _vectors(spark, sf)
@@ -128,7 +140,7 @@ def evidence_block(spark, sf):
     return R.evidence_block(_reranked(spark, sf).withColumn("doc_id", F.col("id")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, corpus_append, bm25_multi_query_topk, bm25_index_topk, bm25_index_terms, dense_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_corpus_stats, bm25_postings, corpus_append, bm25_multi_query_topk, bm25_index_topk, bm25_index_terms, dense_topk, dense_pruned_topk, dense_topk_by_group, weighted_rrf, rerank_topn, evidence_rows, evidence_block)}
 
 
 def _d_bm25(name: str, queries: str, b: float = 0.75) -> str:
@@ -165,6 +177,8 @@ ORACLE = {
     "bm25_index_terms": f"WITH {_WORDS} SELECT term, count(DISTINCT doc_id) AS df FROM words GROUP BY term",
     "dense_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
+    "dense_pruned_topk": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
     "dense_topk_by_group": f"""WITH q AS (SELECT label, min(vec_id) AS query_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
         s AS (SELECT query_id, label, vec_id, {_COSINE} AS score FROM embeddings v JOIN q USING (label))
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",

@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -363,5 +363,34 @@ def observed(docs: DataFrame, name: str = "doc_metrics") -> DataFrame:
     return docs.observe(name, F.count(F.lit(1)).alias("documents"), F.avg("avg_confidence").alias("avg_confidence"), F.avg("quality_score").alias("avg_quality"))
 
 
+def document_measures() -> list:
+    """What is measured of documents as they are written."""
+    return [
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("total_pages"), F.lit(0)).cast("long").alias("pages"), F.count_if(~F.col("is_usable")).alias("unusable"),
+        F.round(F.avg("avg_confidence"), 6).alias("avg_confidence"), F.round(F.avg("quality_score"), 6).alias("avg_quality"), F.sum(F.size("warnings")).cast("long").alias("warnings"),
+    ]
+
+
+METRICS = "documents bigint, pages bigint, unusable bigint, avg_confidence double, avg_quality double, warnings bigint"
+
+
+class Metrics:
+    """Measures that are taken while rows are written, without a pass over them, and kept in ``metrics``: a part
+    of the table for each thing measured, which is replaced when that is written again."""
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def written(self, rows: DataFrame, write, of: str, measures: list, schema: str) -> None:
+        """Have ``write`` write rows, and then a row of what was seen of them."""
+        seen = Observation()
+        write(rows.observe(seen, *measures))
+        row = tuple(seen.get[c.split()[0]] for c in schema.split(", "))
+        self.store.replace(f"metrics/of={of}", self.store.spark.createDataFrame([row], schema).coalesce(1))
+
+    def rows(self, schema: str = METRICS) -> DataFrame:
+        return self.store.load("metrics", f"{schema}, of string")
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

@@ -94,6 +94,8 @@ def test_files_to_documents_and_both_indexes(spark, tmp_path):
     assert engine.session_documents(session) == [*ids, b.doc_id]
     lines = as_json(observed(engine.documents(ids))).collect()
     assert len(lines) == 3 and '"filename":"a.pdf"' in lines[0].json
+    seen = sorted((r.documents, r.pages) for r in engine.metrics().collect())
+    assert seen == [(1, 3), (3, 7)]  # a row for each upload
 
 
 class Breaks(OcrEngine):
