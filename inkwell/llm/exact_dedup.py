@@ -79,14 +79,14 @@ def _fingerprints(id_type: str, chunk: int, moduli):
                 lens.append(len(data))
                 shas.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [column_of(batch, "_rid"), column_of(batch, "_id"), pa.array(fps, pa.int64()), pa.array(lens, pa.int64()), pa.array(shas, pa.string())],
-                names=["_rid", "_id", "_fp", "_len", "_sha"],
+                [*(column_of(batch, c) for c in ("_rid", "_row", "_id")), pa.array(fps, pa.int64()), pa.array(lens, pa.int64()), pa.array(shas, pa.string())],
+                names=["_rid", "_row", "_id", "_fp", "_len", "_sha"],
             )
 
-    return run, f"_rid long, _id {id_type}, _fp long, _len long, _sha string"
+    return run, f"_rid long, _row long, _id {id_type}, _fp long, _len long, _sha string"
 
 
-def _chunks(id_type: str, chunk: int, moduli):
+def _chunks(chunk: int, moduli):
     """Chunks of the rows that are in a group of equal fingerprints; one document's at a time."""
 
     def run(batches):
@@ -96,15 +96,15 @@ def _chunks(id_type: str, chunk: int, moduli):
                 data = normalise(texts[i].as_py() or b"")
                 row = batch.slice(i, 1)
                 if fingerprint(data, chunk, moduli) != column_of(row, "_fp")[0].as_py() or len(data) != column_of(row, "_len")[0].as_py():
-                    continue  # another text under the same id
+                    continue  # another text of the same key
                 parts = [data[k : k + chunk] for k in range(0, len(data), chunk)] or [b""]
                 take = pa.array([0] * len(parts), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(column_of(row, c).take(take) for c in ("_id", "_fp", "_len", "_sha", "_lead", "_salts")), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())],
-                    names=["_id", "_fp", "_len", "_sha", "_lead", "_salts", "_part", "_bytes"],
+                    [*(column_of(row, c).take(take) for c in ("_row", "_fp", "_len", "_sha", "_lead", "_salts")), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())],
+                    names=["_row", "_fp", "_len", "_sha", "_lead", "_salts", "_part", "_bytes"],
                 )
 
-    return run, f"_id {id_type}, _fp long, _len long, _sha string, _lead boolean, _salts long, _part long, _bytes binary"
+    return run, "_row long, _fp long, _len long, _sha string, _lead boolean, _salts long, _part long, _bytes binary"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, moduli=MODULI) -> DataFrame:
@@ -115,37 +115,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text one is kept. Empty tables give no rows; other columns of ``docs`` are not read.
 
     Only fingerprints, lengths and digests are shuffled for all rows; texts only of rows whose
-    fingerprint repeats, in chunks, with one copy of the lead for every ``PER_LEAD`` members.
+    fingerprint repeats, found again by a key of id and text, then in chunks, with one copy of the lead for
+    every ``PER_LEAD`` members.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.xxhash64("_id", "_text"))
     run, schema = _fingerprints(id_type, chunk, moduli)
-    prints = materialise(source.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", "_id", "_text").mapInArrow(run, schema), "prints")
+    prints = materialise(source.withColumn("_rid", F.monotonically_increasing_id()).select("_rid", "_row", "_id", "_text").mapInArrow(run, schema), "prints")
 
     first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_rid", "_sha")).alias("first")
     groups = prints.groupBy("_fp", "_len").agg(first, F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups.select("_fp", "_len", F.col("first._id").alias("lead_id"), F.col("first._sha").alias("lead_sha"), "n"), "groups")  # a written side: the join can split a large group
     members = materialise(
         prints.join(groups, ["_fp", "_len"])
-        .select("_id", "_fp", "_len", "_sha", (F.col("_id").eqNullSafe(F.col("lead_id")) & (F.col("_sha") == F.col("lead_sha"))).alias("_lead"), F.ceil(F.col("n") / PER_LEAD).alias("_salts"))
+        .select("_row", "_fp", "_len", "_sha", (F.col("_id").eqNullSafe(F.col("lead_id")) & (F.col("_sha") == F.col("lead_sha"))).alias("_lead"), F.ceil(F.col("n") / PER_LEAD).alias("_salts"))
         .distinct(),
         "members",
     )
-    named = members.withColumnRenamed("_id", "_member")
-    run, schema = _chunks(id_type, chunk, moduli)
-    parts = source.join(sized(named, members.count(), BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("_member"))).drop("_member")
-    parts = parts.mapInArrow(run, schema)
+    named = members.withColumnRenamed("_row", "_member")
+    run, schema = _chunks(chunk, moduli)
+    texts = source.join(sized(named, members.count(), BROADCAST_ROWS), F.col("_row") == F.col("_member"))
+    texts = texts.groupBy(*members.columns, F.xxhash64(F.lit(1), "_text").alias("_more")).agg(F.first("_text").alias("_text")).drop("_more")  # rows that repeat id and text are compared once
+    parts = texts.mapInArrow(run, schema)
     leads = parts.where("_lead").select("_fp", "_len", "_part", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("_bytes").alias("lead_bytes"))
-    others = parts.where("not _lead").withColumn("_salt", F.pmod(F.xxhash64("_id", "_sha"), F.col("_salts")))
+    others = parts.where("not _lead").withColumn("_salt", F.pmod(F.xxhash64("_row", "_sha"), F.col("_salts")))
     unequal = (
         others.join(leads, ["_fp", "_len", "_part", "_salt"])
-        .groupBy("_fp", "_len", "_id", "_sha")
+        .groupBy("_fp", "_len", "_row", "_sha")
         .agg(F.bool_and(F.col("_bytes") == F.col("lead_bytes")).alias("equal"))
         .where("not equal")
-        .select(F.col("_fp").alias("x_fp"), F.col("_len").alias("x_len"), F.col("_id").alias("x_id"), F.col("_sha").alias("x_sha"), F.lit(True).alias("unequal"))
+        .select(F.col("_fp").alias("x_fp"), F.col("_len").alias("x_len"), F.col("_row").alias("x_row"), F.col("_sha").alias("x_sha"), F.lit(True).alias("unequal"))
     )
     unequal = materialise(unequal, "unequal")  # texts that only share a fingerprint; as good as always none
-    same = (F.col("_fp") == F.col("x_fp")) & (F.col("_len") == F.col("x_len")) & (F.col("_sha") == F.col("x_sha")) & F.col("_id").eqNullSafe(F.col("x_id"))
+    same = (F.col("_fp") == F.col("x_fp")) & (F.col("_len") == F.col("x_len")) & (F.col("_sha") == F.col("x_sha")) & (F.col("_row") == F.col("x_row"))
     marked = prints.join(unequal, same, "left").select("_rid", "_id", "_fp", "_len", "_sha", F.when(F.col("unequal"), F.col("_sha")).otherwise("").alias("_sub"))
     kept = marked.groupBy("_fp", "_len", "_sub").agg(first, F.count("*").alias("n")).where("n > 1")
     kept = materialise(kept.select("_fp", "_len", "_sub", F.struct("first._id", "first._rid", "n").alias("g")), "kept")

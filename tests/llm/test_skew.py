@@ -44,3 +44,12 @@ def test_copies_of_most_rows_are_split(low, operator):
     out, plan = plan_of(operator(low.createDataFrame(rows, "doc_id long, text string").repartition(16)))
     assert sum(r.kept for r in out if r.doc_id % 20) == 1 and sum(r.doc_id % 20 > 0 for r in out) == 11400
     assert "skew=true" in plan
+
+
+def test_null_ids_and_repeated_rows_meet_no_rows_but_their_own(spark):
+    """4,000 texts that two rows of null id have each, and 3,000 equal rows: joined by id these would be
+    millions of pairs of texts."""
+    rows = [(None, f"text {i} of many words") for i in range(4000) for _ in range(2)] + [(7, "the same row")] * 3000
+    out = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(out) == 11000 and sum(r.kept for r in out) == 4001
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out} == {(None, None, 2), (7, 7, 3000)}
