@@ -108,9 +108,9 @@ class Engine:
         flat = chunk.flatten(chunks, docs, session_id).withColumn("vector", self.embedder.embed(F.col("text")))
         self.store.append("chunk_index", flat.select(*[c.split()[0] for c in INDEX.split(", ")]), "session_id")
         self.postings.append(chunks.select("chunk_id", "text"), batch, session_id, "chunk_id")
-        before = self.store.load("session_documents", S.SESSION_DOCUMENTS).where(F.col("session_id") == session_id).count()
+        begin = int(dt.datetime.now(dt.timezone.utc).timestamp() * 1e6)  # uploads at once do not wait for each other's count
         order = Window.partitionBy("session_id").orderBy("filename", "doc_id")
-        listed = docs.select(F.lit(session_id).alias("session_id"), "doc_id", "filename").withColumn("pos", (F.row_number().over(order) - 1 + before).cast("long"))
+        listed = docs.select(F.lit(session_id).alias("session_id"), "doc_id", "filename").withColumn("pos", (F.row_number().over(order) - 1 + begin).cast("long"))
         self.store.append("session_documents", listed.select("session_id", "doc_id", "pos"))
         return chunks
 
@@ -132,7 +132,7 @@ class Engine:
 
     def session_documents(self, session_id: str) -> list[str]:
         rows = self.store.load("session_documents", S.SESSION_DOCUMENTS).where(F.col("session_id") == session_id)
-        return [r.doc_id for r in rows.orderBy("pos").collect()]
+        return [r.doc_id for r in rows.orderBy("pos", "doc_id").collect()]
 
     def _index(self, session_id: str) -> DataFrame:
         return self.store.load("chunk_index", INDEX).where(F.col("session_id") == session_id)

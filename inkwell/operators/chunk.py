@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,53 +87,60 @@ def _pieces(text: str, separators) -> tuple[list[str], tuple]:
     return [p for p in [first, *(s + o for o in others)] if p], rest
 
 
-def split_text(text: str, size: int = DEFAULT.chunk_chars, overlap: int = DEFAULT.overlap_chars, separators=SEPARATORS) -> list[tuple[str, int]]:
-    """Windows of at most ``size`` characters and their starts, with up to ``overlap`` in common.
+def windows_of(text: str, size: int = DEFAULT.chunk_chars, overlap: int = DEFAULT.overlap_chars, separators=SEPARATORS) -> Iterator[tuple[str, int]]:
+    """Windows of at most ``size`` characters and their starts, with up to ``overlap`` in common, as they are found.
 
     Pieces are joined up to the size; then from the front as many go as leave at most the overlap
     and room for the next. Larger pieces are split by the remaining separators. Windows are stripped.
     """
-    windows: list[str] = []
 
-    def emit(parts):
-        joined = "".join(parts).strip()
-        if joined:
-            windows.append(joined)
-
-    def walk(part: str, seps):
+    def walk(part: str, seps) -> Iterator[str]:
         pieces, rest = _pieces(part, seps)
         held: list[str] = []
         total = 0
-
-        def flush():
-            nonlocal held, total
-            if held:
-                emit(held)
-            held, total = [], 0
-
         for p in pieces:
             if len(p) >= size and rest:
-                flush()
-                walk(p, rest)
+                yield "".join(held)
+                held, total = [], 0
+                yield from walk(p, rest)
                 continue
             if total + len(p) > size and held:
-                emit(held)
+                yield "".join(held)
                 while held and (total > overlap or total + len(p) > size):
                     total -= len(held.pop(0))
             held.append(p)
             total += len(p)
-        flush()
+        yield "".join(held)
+
+    last, length = 0, 0
+    for part in walk(text, tuple(separators)) if text else ():
+        w = part.strip()
+        if w:
+            at = text.find(w, max(0, last + length - overlap))
+            if at < 0:
+                at = text.find(w, last)
+            yield w, at
+            last, length = at, len(w)
 
-    if text:
-        walk(text, tuple(separators))
-    out, last, length = [], 0, 0
-    for w in windows:
-        at = text.find(w, max(0, last + length - overlap))
-        if at < 0:
-            at = text.find(w, last)
-        out.append((w, at))
-        last, length = at, len(w)
-    return out
+
+def split_text(text: str, size: int = DEFAULT.chunk_chars, overlap: int = DEFAULT.overlap_chars, separators=SEPARATORS) -> list[tuple[str, int]]:
+    """All of ``windows_of``."""
+    return list(windows_of(text, size, overlap, separators))
+
+
+@F.udtf(returnType="chunk_index int, text string, start int")
+class TextWindows:
+    """The windows of a text as rows, for a lateral join; a text's windows are never in memory together."""
+
+    def eval(self, text: str):
+        for k, (w, at) in enumerate(windows_of(text or "")):
+            yield k, w, at
+
+
+def text_chunks_lateral(docs: DataFrame, bounds: DataFrame, text_col: str = "full_text") -> DataFrame:
+    """``text_chunks`` for texts of so many windows that an array of them is too large."""
+    rows = docs.select("doc_id", F.col(text_col).alias("_text")).lateralJoin(TextWindows(F.col("_text").outer())).select("doc_id", "chunk_index", F.struct("text", "start").alias("w"))
+    return _placed(rows, bounds)
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("start", IntegerType())])))
@@ -141,7 +150,11 @@ def text_windows(texts: pd.Series) -> pd.Series:
 
 def text_chunks(docs: DataFrame, bounds: DataFrame, text_col: str = "full_text") -> DataFrame:
     """Text chunks with their character and page ranges."""
-    rows = docs.select("doc_id", F.posexplode(text_windows(F.col(text_col))).alias("chunk_index", "w"))
+    return _placed(docs.select("doc_id", F.posexplode(text_windows(F.col(text_col))).alias("chunk_index", "w")), bounds)
+
+
+def _placed(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Windows with their character and page ranges."""
     rows = rows.join(bounds_array(bounds), "doc_id", "left")
     start, end = F.col("w.start"), F.col("w.start") + F.length("w.text")
     rows = rows.select("doc_id", "chunk_index", F.col("w.text").alias("text"), start.alias("char_start"), end.alias("char_end"), char_to_page(start, F.col("bounds")).cast("int").alias("page_start"), char_to_page(F.greatest(start, end - 1), F.col("bounds")).cast("int").alias("page_end"))

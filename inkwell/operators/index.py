@@ -95,7 +95,6 @@ class PostingIndex:
         names = [r.term for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
         if len(names) <= NAMED:
             blocks = blocks.where(F.col("term").isin(names) if names else F.lit(False))
-        few = (lambda rows: sized(rows)) if len(names) > NAMED else F.broadcast
         corpus = self.counts(scope).agg(F.sum("n_docs").alias("n_docs"), (F.sum("words") / F.sum("n_docs")).alias("avg_len")).first()
         if not corpus.n_docs:
             none = queries.select("query_id").where("false")
@@ -106,21 +105,23 @@ class PostingIndex:
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         weighed = settled(asked.join(df, "term").select("query_id", "term", idf(n_docs, F.col("df")).alias("idf")), "weighed")
         most = self._impact(F.col("max_tf"), F.col("min_len"))
-        bounds = heads.join(few(weighed), "term").withColumn("avg_len", avg_len).groupBy("query_id", "range").agg(F.sum(F.col("idf") * most).alias("bound"))
+        bounds = heads.join(sized(weighed), "term").withColumn("avg_len", avg_len).groupBy("query_id", "range").agg(F.sum(F.col("idf") * most).alias("bound"))
+        bounds = settled(bounds, "bounds")
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
-        bounds = settled(bounds.withColumn("nth", F.row_number().over(order)), "bounds")
+        begin = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first)  # a task keeps the best only
+        begin = settled(begin.select("query_id", "range"), "begin")
 
         def scored(ranges: DataFrame) -> DataFrame:
-            found = blocks.join(few(weighed), "term").join(sized(ranges.select("query_id", "range")), ["query_id", "range"])
+            found = blocks.join(sized(weighed), "term").join(sized(ranges.select("query_id", "range")), ["query_id", "range"])
             each = found.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", "p.*").withColumn("avg_len", avg_len)
             return each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * self._impact(F.col("tf"), F.col("len"))), 6).alias("score"))
 
-        best = settled(top_k(scored(bounds.where(F.col("nth") <= first)), k), "best")
+        best = settled(top_k(scored(begin), k), "best")
         least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = bounds.where(F.col("nth") > first).join(sized(least), "query_id", "left")
-        rest = settled(rest.where(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least"))).select("query_id", "range", "nth"), "rest")
+        rest = bounds.join(sized(least), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least")))
+        rest = settled(rest.select("query_id", "range").join(sized(begin), ["query_id", "range"], "left_anti"), "rest")
         hits = top_k(best.drop("rank").unionByName(scored(rest)), k)
-        looked = bounds.where(F.col("nth") <= first).select("query_id", "range").unionByName(rest.select("query_id", "range")).groupBy("query_id").agg(F.count("*").alias("scored"))
+        looked = begin.unionByName(rest).groupBy("query_id").agg(F.count("*").alias("scored"))
         return hits, bounds.groupBy("query_id").agg(F.count("*").alias("ranges")).join(looked, "query_id")
 
 

@@ -49,6 +49,13 @@ def text_chunks(spark, sf):
     return out.select("doc_id", "chunk_index", "text", "char_start", "char_end", "page_start", "page_end")
 
 
+def text_chunks_udtf(spark, sf):
+    """The same windows by a lateral join, a row at a time."""
+    docs = inputs.documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("cleaned_text"))
+    out = C.text_chunks_lateral(docs.withColumn("full_text", F.col("cleaned_text")), C.page_bounds(docs))
+    return out.select("doc_id", "chunk_index", "text", "char_start", "char_end", "page_start", "page_end")
+
+
 CELLS = "array('line', 'part', 'qty')"
 
 
@@ -112,7 +119,7 @@ def get_many(spark, sf):
     return readers.in_order_of(lists, docs, "ids", "doc_id").select("o_orderkey", F.col("pos").cast("long").alias("pos"), "doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (page_bounds, char_to_page, page_bounds_long, char_to_page_join, text_chunks, table_chunks_rows, table_chunks_full, sheet_pages, chunk_flatten, session_documents, get_many)}
+QUERIES = {f.__name__: f for f in (page_bounds, char_to_page, page_bounds_long, char_to_page_join, text_chunks, text_chunks_udtf, table_chunks_rows, table_chunks_full, sheet_pages, chunk_flatten, session_documents, get_many)}
 
 _D_BOUNDS = f"""b AS (SELECT doc_id, page_number, coalesce(sum(length(cleaned_text) + 2) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, length(cleaned_text) AS n FROM ({inputs.PAGES}) WHERE regexp_matches(cleaned_text, '\\S')),
     bounds AS (SELECT doc_id, page_number::BIGINT AS page_number, char_start, char_start + n - 1 AS char_end FROM b)"""

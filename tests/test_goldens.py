@@ -85,6 +85,11 @@ def test_rule_match_best(spark, sf_dir):
     assert best_match([{"category": "a", "normalized_key": "use short words", "rule_id": 1}], "b", "use short words") is None
 
 
+def test_text_chunks_by_lateral_join(spark, sf_dir):
+    rows = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, sf_dir).collect())
+    assert rows("text_chunks_udtf") == rows("text_chunks")
+
+
 def test_text_chunks(spark, sf_dir):
     """Every chunk stands where it says, within the size, with the overlap at most, and nothing but white
     space falls between them."""
