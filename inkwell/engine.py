@@ -33,6 +33,7 @@ class Engine:
         self.rule_extractor = rule_extractor or draft.RuleExtractor()
         self.postings = PostingIndex(spark, f"{self.store.folder}/postings", config)
         self.rulebook = RuleBook(self.store, config)
+        self._worker: tuple[FeedbackJobs, StreamingQuery] | None = None
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version}
@@ -186,15 +187,22 @@ class Engine:
     def feedback_worker(self, **trigger) -> tuple[FeedbackJobs, StreamingQuery]:
         """Take up feedback as a stream: with processingTime="2 seconds", say, in the background until it is
         stopped, else what waits now. Where it is at is kept in the store, so each feedback is taken once."""
-        jobs = FeedbackJobs(self.store, lambda rows: self.rule_extractor.extract(rows), lambda: self.store.load("draft_runs", S.DRAFT_RUNS))
+        name = f"feedback-{hashlib.sha256(self.store.folder.encode()).hexdigest()[:8]}"
+        jobs = FeedbackJobs(self.store, lambda rows: self.rule_extractor.extract(rows), lambda: self.store.load("draft_runs", S.DRAFT_RUNS), name)
         feedback = self.spark.readStream.schema(S.FEEDBACK).parquet(f"{self.store.folder}/feedback")
-        return jobs, jobs.start(feedback, f"{self.store.folder}/checkpoints/feedback", **trigger)
+        self._worker = jobs, jobs.start(feedback, f"{self.store.folder}/checkpoints/feedback", **trigger)
+        return self._worker
 
     def process_feedback(self) -> int:
-        """Take up the feedback that waits, and fold what was read from it into the saved rules; returns how
-        many were taken up."""
+        """Take up the feedback that waits, by the worker if one runs, and fold what was read from it into the
+        saved rules; returns how many were taken up."""
         taken = 0
-        if self.store.exists("feedback"):
+        if self._worker is not None and self._worker[1].isActive:
+            jobs, query = self._worker
+            taken = -jobs.taken
+            query.processAllAvailable()
+            taken += jobs.taken
+        elif self.store.exists("feedback"):
             jobs, query = self.feedback_worker()
             query.awaitTermination()
             taken = jobs.taken

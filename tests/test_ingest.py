@@ -11,7 +11,7 @@ from inkwell.engine import Engine
 from inkwell.functions.rules import block_diff, diff_json
 from inkwell.operators import draft, learning
 from inkwell.operators.draft import OcrEngine
-from inkwell.schemas import JOBS, PAGES
+from inkwell.schemas import DRAFT_RUNS, JOBS, PAGES
 from inkwell.sources.readers import as_json, files, observed, read_workbook
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -200,6 +200,21 @@ def test_jobs_have_states_and_deleted_rules_come_back(spark, tmp_path):
         engine.control_rule("u", again.rule_id, "hide")
 
 
+def test_a_worker_takes_feedback_up_in_the_background(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    run = ("d", "u", "s", "internal_memo", None, "q", "a", [], [], AT)
+    engine.store.append("draft_runs", spark.createDataFrame([run], DRAFT_RUNS))
+    first = engine.submit_feedback("d", "a\n\nName the grantor first.", at=AT, process=False)
+    _, query = engine.feedback_worker(processingTime="1 second")
+    try:
+        second = engine.submit_feedback("d", "a\n\nCite the page.", at=AT + dt.timedelta(hours=1))  # by the worker
+        assert {engine.feedback_status(f)["status"] for f in (first, second)} == {"completed"}
+        assert engine.rules("u").count() == 2 and query.isActive and engine.process_feedback() == 0
+    finally:
+        query.stop()
+    assert engine.process_feedback() == 0 and engine.rules("u").count() == 2
+
+
 def test_fold_exact_counts_what_it_does_not_gather(spark):
     rows = [("u", "k", n, (n * 37 % 100) / 100) for n in range(40)] + [("u", "one", 1, 0.3), ("v", "k", 2, 0.9), ("v", "k", 3, 0.1)]
     got = {(r.user_id, r.key): (r.confidence, r.support) for r in learning.fold_exact(spark.createDataFrame(rows, "user_id string, key string, seq long, confidence double")).collect()}
