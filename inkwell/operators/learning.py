@@ -259,29 +259,43 @@ def rules_prompt(ranked: DataFrame, users: DataFrame) -> DataFrame:
     return users.select("user_id").distinct().join(text, "user_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("None")))
 
 
-#: Texts that a pair of keys may be found by: W words for their overlap, G pairs of letters for the ratio, and
-#: one of the shorter key's for containment, P, which the longer key has among all of its own, A.
-_WORDS, _GRAMS, _PROBE, _ALL = "w", "g", "p", "a"
 #: Letters of keys, the frequent ones first; the order of pairs of letters may be any, this begins with rare ones.
 _LETTERS = " etaoinsrhldcumfpgwybvkxjqz0123456789"
 
 
-def _signed(rows: DataFrame, key: str, config: Config) -> DataFrame:
-    """Keys with ``signs``, (kind, text) by which any like key can be found; see ``best_matches``."""
-    letters = F.split(key, "")
-    grams = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substr(F.col(key), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    # a text order that both sides share: rare pairs of letters first, and long words
+def _pieces(key: str) -> tuple[Column, Column]:
+    """Words and pairs of letters of a key, each once, in orders that are the same for all keys: long words
+    and rare pairs first."""
     ranked = lambda texts, rank: F.transform(F.array_sort(F.transform(F.array_distinct(texts), lambda g: F.struct(rank(g).alias("r"), g.alias("g")))), lambda x: x["g"])
-    words = ranked(F.array_remove(F.split(key, r"(?U)\s+"), ""), lambda w: -F.length(w))
     place = lambda g, n: F.position(F.substr(g, F.lit(n), F.lit(1)), F.lit(_LETTERS))
-    grams = ranked(grams, lambda g: -place(g, 1) - place(g, 2))
-    some = F.size(words) - F.ceil(F.size(words) * config.match_overlap - 1e-9) + 1
-    edits = F.floor(F.length(key) * (2 * (1 - config.match_score) / config.match_score) + 1e-9)
-    probe = F.when(F.length(key) > 1, F.slice(grams, 1, 1)).otherwise(F.array(F.col(key)))
-    of = lambda kind, texts: F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
-    every = F.concat(grams, F.array_distinct(F.array_remove(letters, "")))
-    signs = F.concat(of(_WORDS, F.slice(words, 1, F.greatest(some, F.lit(1)).cast("int"))), of(_GRAMS, F.slice(grams, 1, (2 * edits + 1).cast("int"))), of(_PROBE, probe), of(_ALL, every))
-    return rows.where(F.length(key) > 0).withColumn("signs", signs)
+    pairs = F.when(F.length(key) > 1, F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substr(F.col(key), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return ranked(F.array_remove(F.split(key, " "), ""), lambda w: -F.length(w)), ranked(pairs, lambda g: -place(g, 1) - place(g, 2))
+
+
+def _signed(rows: DataFrame, key: str, side: int, config: Config) -> DataFrame:
+    """Keys with ``signs``, hashes of which like keys of the two sides have one in common, but for contained
+    keys of two words or less, and ``short``, whether it is such a key; see ``best_matches``."""
+    low, high = config.match_score / (2 - config.match_score), (2 - config.match_score) / config.match_score  # of the other key's length
+    lost = max((2 - 1.5 * config.match_score) + (1 - 1.5 * config.match_score) * other for other in (low, high))
+    rows = rows.where(F.length(key) > 0).withColumn("_all", F.split(key, " "))
+    rows = rows.withColumns({"_words": _pieces(key)[0], "_pairs": _pieces(key)[1]})
+    some = F.size("_words") - F.ceil(F.size("_words") * config.match_overlap - 1e-9) + 1
+    inner = F.transform(F.array_sort(F.transform(F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    of = lambda kind, texts: F.transform(texts, lambda t: F.xxhash64(F.col("g"), F.lit(kind), t))
+    # what one side has of a kind that the other looks for: a key's inner words are words of a key that contains it
+    own, theirs = ("inner", "words") if side else ("words", "inner")
+    signs = F.concat(of("word", F.slice("_words", 1, F.greatest(some, F.lit(1)).cast("int"))), of("pair", F.slice("_pairs", 1, (F.floor(F.length(key) * lost + 1e-9) + 1).cast("int"))), of(own, F.slice(inner, 1, 1)), of(theirs, F.col("_words")))
+    return rows.withColumns({"signs": signs, "short": F.size("_all") < 3})
+
+
+def _contained(short: DataFrame, key: str, other: DataFrame, whole: str) -> DataFrame:
+    """Pairs of a key of one or two words and a key that has its rarest pair of letters, or its only letter. Only
+    keys in a group with such a short key are taken apart."""
+    groups = short.select("g").distinct()
+    probe = short.withColumn("text", F.when(F.length(key) > 1, F.element_at("_pairs", 1)).otherwise(F.col(key)))
+    every = F.concat("_pairs", F.array_distinct(F.array_remove(F.split(whole, ""), "")))
+    index = other.join(groups, "g", "left_semi").select("g", *[c for c in ("c", "r", "q", "s") if c in other.columns], F.explode(every).alias("text"))
+    return probe.select("g", "text", *[c for c in ("c", "r", "q", "s") if c in short.columns]).join(index, ["g", "text"])
 
 
 def _histogram(key: str) -> Column:
@@ -297,29 +311,33 @@ def best_matches(candidates: DataFrame, rules: DataFrame, config: Config = DEFAU
     Equal keys are joined. For the other candidates a rule is a match if it shares enough words, contains
     the key or is contained, or is alike by the ratio of matching blocks, and rules are found by what such
     a pair must share: of two keys with a word overlap of t the first words, in one order for all, but for
-    (1 - t) of them; of two with a ratio of r, which are 2 (1 - r) / r of a key's length in edits apart at
-    most, the first 2 e + 1 pairs of letters for e edits; and the rarest pair of a contained key. Pairs are
-    joined on these, so a user's rules are no group of one task, and their lengths and letters bound the
-    ratio before it is computed.
+    (1 - t) of them; of two with a ratio of r the first pairs of letters, one more than edits can take from
+    a key (at most 0.49 of its length for r = 0.86); of a contained key the longest inner word, which is a
+    word of the other, or with two words or less the rarest pair of letters. Hashes of these are joined, so
+    a user's rules are no group of one task, and the letters that two keys share bound the ratio before it
+    is computed.
     """
     group = F.to_json(F.struct("user_id", "category"), {"ignoreNullFields": "false"}).alias("g")
     seq = F.col("insert_seq").cast("long") if "insert_seq" in candidates.columns else F.lit(None).cast("long")
-    asked = settled(candidates.select(group, F.col("candidate_id"), F.col("key"), seq.alias("q")), "candidates")
-    known = settled(rules.select(group, F.col("normalized_key").alias("own"), "rule_id", F.col("insert_seq").cast("long").alias("s")), "rules")
+    asked = settled(candidates.select(group, F.col("candidate_id"), F.col("key"), seq.alias("q"), F.monotonically_increasing_id().alias("c")), "candidates")
+    known = settled(rules.select(group, F.col("normalized_key").alias("own"), "rule_id", F.col("insert_seq").cast("long").alias("s"), F.monotonically_increasing_id().alias("r")), "rules")
     before = F.col("q").isNull() | (F.col("s") < F.col("q"))
     first = F.min_by("rule_id", "s").alias("rule_id")
     equal = settled(asked.join(known.withColumnRenamed("own", "key"), ["g", "key"]).where(before).groupBy("candidate_id").agg(first), "equal")
     rest = settled(asked.join(equal, "candidate_id", "left_anti"), "rest")
 
-    left = _signed(rest, "key", config).select("g", "candidate_id", "key", "q", F.explode("signs").alias("x")).select("g", "candidate_id", "key", "q", "x.*")
-    right = _signed(known, "own", config).select("g", "rule_id", "own", "s", F.explode("signs").alias("x")).select("g", "rule_id", "own", "s", "x.*")
-    meets = {_WORDS: _WORDS, _GRAMS: _GRAMS, _PROBE: _ALL, _ALL: _PROBE}
-    right = right.withColumn("kind", F.create_map(*[F.lit(x) for kv in meets.items() for x in kv])[F.col("kind")])
+    left, right = _signed(rest, "key", 0, config), _signed(known, "own", 1, config)
+    met = left.select("c", "q", F.explode("signs").alias("h")).join(right.select("r", "s", F.explode("signs").alias("h")), "h").where(before).select("c", "r").distinct()
+    for a, key, b, whole in ((left, "key", right, "own"), (right, "own", left, "key")):
+        short = settled(a.where("short"), "short")
+        if not short.isEmpty():
+            met = met.unionByName(_contained(short, key, b, whole).where(before).select("c", "r")).distinct()
     shared = F.aggregate(F.zip_with(_histogram("key"), _histogram("own"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
     bound = 2.0 * shared / (F.length("key") + F.length("own"))
-    met = left.join(right, ["g", "kind", "text"]).where(before).select("g", "candidate_id", "key", "rule_id", "own", "s").distinct()
+    near = 2.0 * F.least(F.length("key"), F.length("own")) / (F.length("key") + F.length("own")) + 1e-9 >= config.match_score
+    met = met.join(rest.select("c", "g", "candidate_id", "key"), "c").join(known.select("r", F.col("g").alias("_g"), "rule_id", "own", "s"), "r").where("g = _g")
     met = met.withColumns({"overlap": token_overlap(F.col("own"), F.col("key")), "within": F.contains(F.col("own"), F.col("key")) | F.contains(F.col("key"), F.col("own"))})
-    met = met.where((F.col("overlap") >= config.match_overlap) | F.col("within") | (bound + 1e-9 >= config.match_score))
+    met = met.where((F.col("overlap") >= config.match_overlap) | F.col("within") | (near & (bound + 1e-9 >= config.match_score)))
     scored = met.withColumn("score", F.greatest(sequence_ratio("own", "key"), "overlap", F.when(F.col("within"), config.match_contained).otherwise(0.0)))
     scored = scored.where((F.col("score") >= config.match_score) | (F.col("overlap") >= config.match_overlap)).select("candidate_id", "rule_id", "s", "score")
     # an empty key is in every other
