@@ -17,12 +17,14 @@ from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
 from inkwell.operators.retrieve import FEW, idf, sized, tokens, top_k
-from inkwell.sources.readers import Store, drop_folder, settled
+from inkwell.sources.readers import Store, drop_folder, lean, settled
 
 #: Documents of a range on average.
 RANGE = 64
 #: Ranges of each query that are scored first.
 FIRST = 8
+#: Passes over new documents, each for a part of the terms, so that less is shuffled at once.
+PASSES = 2
 #: Terms up to which a search names them to the scan of blocks.
 NAMED = 2_000
 
@@ -34,10 +36,10 @@ class PostingIndex:
     nothing behind, and one that is done again under the same name takes the place of the first.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, config: Config = DEFAULT, id_type: str = "string", per_range: int = RANGE):
-        self.spark, self.config, self.per_range, self.folder = spark, config, per_range, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, config: Config = DEFAULT, id_type: str = "string", per_range: int = RANGE, passes: int = PASSES):
+        self.spark, self.config, self.per_range, self.passes, self.folder = spark, config, per_range, passes, folder.rstrip("/")
         self.store = Store(spark, self.folder)
-        self.blocks_of = f"term string, range string, n bigint, max_tf bigint, min_len bigint, postings array<struct<id:{id_type},tf:bigint,len:bigint>>, scope string, segment string"
+        self.blocks_of = f"term string, range bigint, n bigint, max_tf bigint, min_len bigint, postings array<struct<id:{id_type},tf:bigint,len:bigint>>, scope string, segment string"
         self.counts_of = "n_docs bigint, words bigint, scope string, segment string"
 
     def append(self, docs: DataFrame, segment: str, scope: str = "all", id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -52,11 +54,14 @@ class PostingIndex:
         parts = F.create_map(*[F.lit(x) for r in kinds for x in (r.kind, -(-r.n // self.per_range))]) if kinds else F.create_map(F.lit(0), F.lit(1))
         kind = _like("len")
         each = words.select("id", F.size("w").cast("bigint").alias("len"), F.explode("w").alias("term"))
-        each = each.withColumn("range", F.concat_ws(".", F.lit(segment), kind.cast("string"), F.pmod(F.xxhash64("id"), parts[kind]).cast("string")))
-        tf = each.groupBy("term", "range", "id", "len").agg(F.count("*").alias("tf"))
-        blocks = tf.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("id", "tf", "len")).alias("postings"))
-        by_term = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")  # so that a scan can skip row groups by term
-        by_term.write.mode("overwrite").parquet(f"{self.folder}/blocks/{at}")
+        each = each.select("id", "len", (F.shiftleft(kind.cast("long"), 40) + F.pmod(F.xxhash64("id"), parts[kind])).alias("range"), "term")
+        with lean(self.spark):
+            for n in range(self.passes):
+                some = each.where(F.pmod(F.xxhash64("term"), F.lit(self.passes)) == n)
+                tf = some.groupBy("term", "range", "id", "len").agg(F.count("*").alias("tf"))
+                blocks = tf.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("id", "tf", "len")).alias("postings"))
+                by_term = blocks.sortWithinPartitions("term", "range")  # so that a scan can skip row groups by term
+                by_term.write.mode("append" if n else "overwrite").parquet(f"{self.folder}/blocks/{at}")
         counts = self.spark.createDataFrame([(sum(r.n for r in kinds), sum(r.words or 0 for r in kinds))], "n_docs bigint, words bigint")
         counts.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/{at}")
 
@@ -101,25 +106,25 @@ class PostingIndex:
             return top_k(blocks.select(F.explode("postings").alias("p")).select("p.id", F.lit(0.0).alias("score")).crossJoin(none).select("query_id", "id", "score"), k), none.withColumns({"ranges": F.lit(0), "scored": F.lit(0)})
         n_docs, avg_len = F.lit(corpus.n_docs), F.lit(corpus.avg_len or 1.0)
 
-        heads = blocks.select("term", "range", "n", "max_tf", "min_len")
+        heads = blocks.select("term", "segment", "range", "n", "max_tf", "min_len")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         weighed = settled(asked.join(df, "term").select("query_id", "term", idf(n_docs, F.col("df")).alias("idf")), "weighed")
         most = self._impact(F.col("max_tf"), F.col("min_len"))
-        bounds = heads.join(sized(weighed), "term").withColumn("avg_len", avg_len).groupBy("query_id", "range").agg(F.sum(F.col("idf") * most).alias("bound"))
+        bounds = heads.join(sized(weighed), "term").withColumn("avg_len", avg_len).groupBy("query_id", "segment", "range").agg(F.sum(F.col("idf") * most).alias("bound"))
         bounds = settled(bounds, "bounds")
-        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "range")
         begin = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= first)  # a task keeps the best only
-        begin = settled(begin.select("query_id", "range"), "begin")
+        begin = settled(begin.select("query_id", "segment", "range"), "begin")
 
         def scored(ranges: DataFrame) -> DataFrame:
-            found = blocks.join(sized(weighed), "term").join(sized(ranges.select("query_id", "range")), ["query_id", "range"])
+            found = blocks.join(sized(weighed), "term").join(sized(ranges), ["query_id", "segment", "range"])
             each = found.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", "p.*").withColumn("avg_len", avg_len)
             return each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * self._impact(F.col("tf"), F.col("len"))), 6).alias("score"))
 
         best = settled(top_k(scored(begin), k), "best")
         least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         rest = bounds.join(sized(least), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least")))
-        rest = settled(rest.select("query_id", "range").join(sized(begin), ["query_id", "range"], "left_anti"), "rest")
+        rest = settled(rest.select("query_id", "segment", "range").join(sized(begin), ["query_id", "segment", "range"], "left_anti"), "rest")
         hits = top_k(best.drop("rank").unionByName(scored(rest)), k)
         looked = begin.unionByName(rest).groupBy("query_id").agg(F.count("*").alias("scored"))
         return hits, bounds.groupBy("query_id").agg(F.count("*").alias("ranges")).join(looked, "query_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import io
 import posixpath
@@ -55,6 +56,23 @@ def drop_folder(spark: SparkSession, folder: str, now: bool = True) -> None:
         files.deleteOnExit(at)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def lean(spark: SparkSession):
+    """Let the shuffle files of what is written inside go as soon as it is written."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def settled(rows: DataFrame, label: str) -> DataFrame:
     """Rows written to the shared folder and read from there: what is used twice is done once, and a lost
     executor takes nothing away. It goes when the driver ends."""
