@@ -87,10 +87,12 @@ class Embedder:
     def embed(self, text: Column) -> Column:
         from inkwell.operators.retrieve import tokens
 
+        once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  a bound value is made once
         slots = F.transform(tokens(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(self.size)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(self.size - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        scaled = lambda c: once(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+        return once(slots, lambda own: once(counts(own), scaled))
 
 
 class OcrEngine:

@@ -307,7 +307,7 @@ def stream_ingest(spark, sf):
     index, embedder = PostingIndex(spark, f"{at}/postings", id_type="bigint"), Embedder()
 
     def write(rows, batch):
-        rows = settled(rows.select("doc_id", "text"), "batch")
+        rows = settled(rows.select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism), "batch")  # a batch may be one file
         index.append(rows, f"batch-{batch}")
         rows.select("doc_id", embedder.embed(F.col("text")).alias("vector")).write.mode("overwrite").parquet(f"{at}/vectors/batch={batch}")
 
