@@ -1,21 +1,23 @@
 """Language-model scoring: the marginal likelihood of a text over all its subword segmentations.
 
-The lattice of a word has an edge for each vocabulary piece in it. Pieces come from an existing public
-vocabulary; its scores (merge ranks) give the first weights, which expectation-maximisation over all
-distinct training words then refits. All segmentations of the word into pieces up to an end mark are
-summed by forward recursion in log space.
-
-A departure from the method's plain form: with ``whole_words`` the lattice also has an edge for the
-word as a whole, if training texts have it, that weighs as often as they have it; the two ways are
-shared out as the words seen once suggest. Weights are those of a few latent classes of texts, found
-without labels (languages, mostly):
-
-    P(word | z) = known * (mostly count(word, z) / N(z)) + (1 - known) * sum over segmentations of
-                  the product of the pieces' weights in z
-
-A text's probability is the sum over classes of the class's share times the product over its words
-and one end. Pieces alone (``whole_words=False``) score held-out texts far below the contract's base of
-word counts: log10 a token on sf0.1 is -6.60 in one class and -5.76 in six, the base -4.19.
+The lattice of a word has an edge for each vocabulary piece in it, from its start to its end mark. Pieces
+come from an existing public vocabulary; its scores (merge ranks) give the first weights, which
+expectation-maximisation over all training words then refits. All segmentations are summed by one forward
+recursion in log space.
+
+With ``words_as_edges`` the vocabulary is that of the training texts too. Their most frequent words are
+pieces like the others, so they also serve inside longer words (before a comma, in compounds), and each
+training word is an edge from the start past the end mark. Such an edge weighs as often as the texts have
+the word, less a discount of part of one occurrence, which is what the word leaves to its spellings: so
+each word trains the pieces with that part once, and all that can be read sums to one:
+
+    P(word | z) = edge of the whole word in z
+                  + left in z * sum over segmentations of the product of the pieces' weights in z
+
+Weights are those of a few latent classes of texts, found without labels (languages, mostly). A text's
+probability is the sum over classes of the class's share times the product over its words and one end.
+The vocabulary's pieces alone (``words_as_edges=False``) score held-out texts far below the contract's
+base of word counts; README has the figures.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ HEAD_WORDS = 200_000
 FLUSH_WORDS = 1_000_000
 #: Words whose lattices are worked on together, and bytes of texts that are scored together.
 TOGETHER_WORDS, TOGETHER_BYTES = 40_000, 1 << 22
+#: Frequent training words that are pieces.
+WORD_PIECES = 20_000
 #: Latent classes, the rounds that find them, and the share of their word weights that is everyone's.
 CLASSES, CLASS_ROUNDS, SHARED = 6, 8, 0.03
 #: Bins of bytes for the profile of a text: letters without case, bytes of longer characters, digits.
@@ -122,9 +126,14 @@ def _forward(logs: np.ndarray, edges, n: int, size: int) -> np.ndarray:
     a = np.full((size + 1, len(logs), n), -np.inf)
     a[0] = 0
     for j in range(1, size + 1):
-        terms = [a[j - k] + logs[:, edges[k - 1][0][:, j - k]] for k in range(1, min(j, len(edges)) + 1) if edges[k - 1][1][j - k]]
-        for t in terms:
-            np.logaddexp(a[j], t, out=a[j])
+        for k in range(1, min(j, len(edges)) + 1):
+            if edges[k - 1][1][j - k]:
+                ids = edges[k - 1][0][:, j - k]
+                has = np.flatnonzero(ids >= 0)
+                if 2 * len(has) > n:
+                    np.logaddexp(a[j], a[j - k] + logs[:, ids], out=a[j])
+                else:
+                    a[j][:, has] = np.logaddexp(a[j][:, has], a[j - k][:, has] + logs[:, ids[has]])
     return a
 
 
@@ -153,8 +162,11 @@ def _forward_one(table: dict, word: bytes, z: int) -> float:
     return a[-1]
 
 
-def spelled(table: dict, words: list[bytes]) -> np.ndarray:
-    """Natural log of the sum over all segmentations of each word, with its end mark, by class."""
+def spelled(table: dict, words: list[bytes], left: np.ndarray | float = 0.0, whole: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the sum over all ways through each word's lattice, with its end mark, by class.
+
+    ``left`` is the log weight that spellings start with, ``whole`` that of each word's edge as a whole
+    (a row for each word), which goes from the start past the end mark."""
     classes = len(table["logs"])
     out = np.zeros((len(words), classes))
     for size, at, x in _by_length(words):
@@ -162,7 +174,8 @@ def spelled(table: dict, words: list[bytes]) -> np.ndarray:
             out[at] = [_forward_one(table, b" " + words[at[0]], z) for z in range(classes)]
         else:
             out[at] = _forward(table["logs"], _edges(table, x), len(at), size)[size].T
-    return out + table["ends"]
+    out += left + table["ends"]
+    return out if whole is None else np.logaddexp(out, whole)
 
 
 def _expected_one(table: dict, word: bytes, z: int, out: np.ndarray) -> None:
@@ -184,33 +197,34 @@ def _expected_one(table: dict, word: bytes, z: int, out: np.ndarray) -> None:
                 b[i] = top + math.log(math.exp(b[i] - top) + math.exp(t - top))
 
 
-def expected_pieces(table: dict, words: list[bytes], own: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, by class, over the segmentations of the words, each once in its own class."""
+def expected_pieces(table: dict, words: list[bytes], own: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece, by class, over the segmentations of the words, each as often as
+    ``often`` says in its own class."""
     logs = table["logs"]
     out = np.zeros(logs.size)
     uses: list[np.ndarray] = []
     shares: list[np.ndarray] = []
     for size, at, x in _by_length(words):
         if x is None:
-            z = int(own[at[0]])
-            _expected_one(table, b" " + words[at[0]], z, out[z * logs.shape[1] :])
+            z, one = int(own[at[0]]), np.zeros(logs.shape[1])
+            _expected_one(table, b" " + words[at[0]], z, one)
+            out[z * logs.shape[1] : (z + 1) * logs.shape[1]] += one * often[at[0]]
             continue
         n, z, edges = len(x), own[at], _edges(table, x)
-        weight = [np.where(ids >= 0, logs[z[:, None], ids], -np.inf) for ids, _ in edges]
         a, b = (np.full((size + 1, n), -np.inf) for _ in range(2))
         a[0] = b[size] = 0
-        for j in range(1, size + 1):
-            for k in range(1, min(j, len(edges)) + 1):
-                if edges[k - 1][1][j - k]:
-                    np.logaddexp(a[j], a[j - k] + weight[k - 1][:, j - k], out=a[j])
-        for i in range(size - 1, -1, -1):
-            for k in range(1, min(size - i, len(edges)) + 1):
-                if edges[k - 1][1][i]:
-                    np.logaddexp(b[i], weight[k - 1][:, i] + b[i + k], out=b[i])
-        for k, (ids, _) in enumerate(edges, 1):
-            r, c = np.nonzero(ids >= 0)
-            uses.append(z[r] * logs.shape[1] + ids[r, c])
-            shares.append(np.exp(a[c, r] + weight[k - 1][r, c] + b[c + k, r] - a[size, r]))
+        has = {}  # by start and length: the words with such an edge, its piece and log weight
+        for k, (ids, some) in enumerate(edges, 1):
+            for i in np.flatnonzero(some).tolist():
+                r = np.flatnonzero(ids[:, i] >= 0)
+                has[i, k] = r, z[r] * logs.shape[1] + ids[r, i], logs[z[r], ids[r, i]]
+        for (i, k), (r, _, w) in sorted(has.items(), key=lambda e: sum(e[0])):
+            a[i + k, r] = np.logaddexp(a[i + k, r], a[i, r] + w)
+        for (i, k), (r, _, w) in sorted(has.items(), key=lambda e: -e[0][0]):
+            b[i, r] = np.logaddexp(b[i, r], w + b[i + k, r])
+        for (i, k), (r, place, w) in has.items():
+            uses.append(place)
+            shares.append(np.exp(a[i, r] + w + b[i + k, r] - a[size, r]) * often[at][r])
     if uses:
         out += np.bincount(np.concatenate(uses), np.concatenate(shares), minlength=out.size)
     return out.reshape(logs.shape)[:, :-1]
@@ -231,6 +245,7 @@ def _class_profiles(batches):
     for batch in batches:
         for _, _, buf, offs in text_blocks(batch.column(0)):
             x = _profiles(buf, offs)
+            x = x[x.any(axis=1)]  # texts without letters or digits found no class
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.reshape(-1)))], names=["x"])
 
 
@@ -337,26 +352,30 @@ def _count(shared):
     return run
 
 
-def _expect(shared, classes: int):
-    """Expected uses of pieces by class; a word belongs to the class that has it most."""
+def _expect(shared, classes: int, by_count: bool):
+    """Expected uses of pieces by class; a word belongs to the class that has it most. A word counts as
+    often as the texts have it, or once."""
 
     def run(batches):
         table = shared.value
         total = np.zeros((classes, table["logs"].shape[1]))  # the last column counts words
         words: list[bytes] = []
         kinds: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
         def add():
-            own = np.concatenate([*kinds, np.zeros(0, np.int64)])
-            total[:, :-1] += expected_pieces(table, words, own)
-            total[:, -1] += np.bincount(own, minlength=classes)
-            words.clear()
-            kinds.clear()
+            own, often = np.concatenate([*kinds, np.zeros(0, np.int64)]), np.concatenate([*counts, np.zeros(0)])
+            total[:, :-1] += expected_pieces(table, words, own, often)
+            total[:, -1] += np.bincount(own, often, minlength=classes)
+            for held in (words, kinds, counts):
+                held.clear()
 
         for batch in batches:
             rows = column_of(batch, "word").to_pylist()
             own = np.array([column_of(batch, f"n{z}").to_numpy() for z in range(classes)]).argmax(axis=0)
-            kinds.append(own[[bool(w) for w in rows]])
+            full = [bool(w) for w in rows]
+            kinds.append(own[full])
+            counts.append(column_of(batch, "n").to_numpy()[full].astype(float) if by_count else np.ones(sum(full)))
             words += [w for w in rows if w]
             if len(words) >= TOGETHER_WORDS:
                 add()
@@ -368,29 +387,36 @@ def _expect(shared, classes: int):
     return run
 
 
+def discounts(totals: dict) -> tuple[float, np.ndarray]:
+    """The part of an occurrence that each training word leaves to spellings, from how many words are seen
+    once and twice, and what spellings have of each class in all; an end's own extra count leaves it too."""
+    n, of_class = totals["tokens"] + 1.0, np.array(totals["by_class"]) + 1.0
+    d = (totals["once"] + 1.0) / (totals["once"] + 2.0 * totals["twice"] + 2.0)
+    left = d * ((1 - SHARED) * (np.array(totals["parts"]) + 1.0) / of_class + SHARED * (totals["spelt"] + 1.0) / n)
+    return d, left
+
+
 def word_scores(table: dict, totals: dict, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 of the base's probability of words, and of the model's in each class. ``counts`` has a row
-    for each word: the training count, then that of each class. An end has no pieces, so it is always
-    read as a whole; without whole words, the others are spelled only."""
-    n, v, once = totals["tokens"], totals["distinct"], totals["once"]
-    known = 1 - (once + 1) / (n + 2)
-    if not totals["whole_words"]:
-        ends = np.array([not w for w in words], bool)
-        share = (totals["texts"] + 1.0) / (n + 2.0)
-        model = np.full((len(words), counts.shape[1] - 1), math.log10(share))
-        if (~ends).any():
-            model[~ends] = math.log10(1 - share) + spelled(table, [w for w in words if w]) / math.log(10)
-        return np.log10((counts[:, 0] + 1.0) / (n + v + 1.0)), model
+    for each word: the training count, then that of each class. An end is the empty word: it has no
+    pieces, so its edge is its only way."""
+    n, v = totals["tokens"], totals["distinct"]
     base = np.log10((counts[:, 0] + 1.0) / (n + v + 1.0))
     ends = np.array([not w for w in words], bool)
-    more = counts + ends[:, None]
-    whole = (1 - SHARED) * more[:, 1:] / (np.array(totals["by_class"]) + 1.0) + SHARED * more[:, :1] / (n + 1.0)
-    by_pieces = np.full(whole.shape, -np.inf)
+    if totals["words_as_edges"]:
+        d, left = discounts(totals)
+        more = counts + ends[:, None]
+        kept = np.where(ends, 1.0, 1 - d / np.maximum(counts[:, 0], 1))[:, None]
+        whole = kept * ((1 - SHARED) * (more[:, 1:] - d * ends[:, None]) / (np.array(totals["by_class"]) + 1.0) + SHARED * (more[:, :1] - d * ends[:, None]) / (n + 1.0))
+    else:
+        share = (totals["texts"] + 1.0) / (n + 2.0)
+        left, whole = np.full(counts.shape[1] - 1, 1 - share), np.repeat(ends[:, None] * share, counts.shape[1] - 1, axis=1)
+    with np.errstate(divide="ignore"):
+        model = np.log(whole)
     rest = np.flatnonzero(~ends)
     if len(rest):
-        by_pieces[rest] = math.log(1 - known) + spelled(table, [words[i] for i in rest])
-    with np.errstate(divide="ignore"):
-        return base, np.logaddexp(math.log(known) + np.log(whole), by_pieces) / math.log(10)
+        model[rest] = spelled(table, [words[i] for i in rest], np.log(left), model[rest])
+    return base, model / math.log(10)
 
 
 def _score_words(shared, totals: dict, classes: int):
@@ -448,16 +474,29 @@ def _score_texts(head, classes: int):
     return run
 
 
-def train_lattice(vocabulary: DataFrame, classes: int, path: str = VOCABULARY, rounds: int = EM_ROUNDS) -> dict:
-    """Refit piece weights on all distinct words; the driver gets a row for each piece and class."""
+def frequent_words(vocabulary: DataFrame, many: int) -> list[bytes]:
+    """The most frequent training words that are short enough for a piece, ties by bytes; at most ``many``."""
+    short = F.length("word").between(1, LONGEST_PIECE - 1)
+    return [bytes(r[0]) for r in vocabulary.where(short).orderBy(F.desc("n"), "word").select("word").limit(many).collect()]
+
+
+def train_lattice(vocabulary: DataFrame, classes: int, path: str = VOCABULARY, rounds: int = EM_ROUNDS, words_as_edges: bool = True, word_pieces: int = WORD_PIECES) -> dict:
+    """Refit piece weights on all training words; the driver gets a row for each piece and class. Frequent
+    words are further pieces, which share a tenth of the first weights equally. Where words are edges too,
+    each leaves the same part of an occurrence to its pieces, so it counts once; else as often as it occurs."""
     context = vocabulary.sparkSession.sparkContext
     pieces, first = load_pieces(path)
+    if words_as_edges:
+        have = set(pieces)
+        more = [b" " + w for w in frequent_words(vocabulary, word_pieces) if b" " + w not in have]
+        if more:
+            pieces, first = pieces + more, np.concatenate([first * 0.9, np.full(len(more), 0.1 / len(more))])
     size = len(pieces) + 1
     table = lattice_table(pieces, np.tile(first * 0.75, (classes, 1)), np.full(classes, 0.25))
     for _ in range(rounds):
         shared = context.broadcast(table)
         uses = np.zeros(classes * size)
-        for piece, n in vocabulary.mapInArrow(_expect(shared, classes), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
+        for piece, n in vocabulary.mapInArrow(_expect(shared, classes, not words_as_edges), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
             uses[piece] = n
         uses = uses.reshape(classes, size)
         words, uses = uses[:, -1:], uses[:, :-1] + first * 10.0
@@ -466,18 +505,18 @@ def train_lattice(vocabulary: DataFrame, classes: int, path: str = VOCABULARY, r
     return table
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, path: str = VOCABULARY, head_words: int = HEAD_WORDS, rounds: int = EM_ROUNDS, classes: int = CLASSES, whole_words: bool = True) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, path: str = VOCABULARY, head_words: int = HEAD_WORDS, rounds: int = EM_ROUNDS, classes: int = CLASSES, words_as_edges: bool = True) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words between white space after A-Z became lower-case, then one end; null counts
     as empty. Rows of the held-out fold (crc32 of the id) train nothing. Word counts and piece
     weights come from all other rows. ``base_score`` is the sum of log10 of add-one unigram
     probabilities, ``score`` the model's log10 probability of the text. Classes, counts and weights
-    come from all training rows. ``whole_words=False`` scores by the vocabulary's pieces alone, the
-    method's plain form; see the module for what that costs on held-out texts.
+    come from all training rows. ``words_as_edges=False`` scores by the vocabulary's pieces alone; see
+    the module.
 
     At most ``head_words`` of the most frequent words are sent to every task; the others, none of
-    them frequent, are joined by shuffle, so no key is hot. Ids may be null or repeat; with nothing to
+    them frequent in training texts, are joined by shuffle, where Spark splits what held-out rows repeat. Ids may be null or repeat; with nothing to
     train on, every word is spelled from pieces of the first weights; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -491,8 +530,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = train.mapInArrow(_count(centres), "z int, word binary, n long").groupBy("word").agg(F.sum("n").alias("n"), *by_class)
     counts = materialise(counts, "counts")
     level = F.floor(F.log2("n") * 8).cast("int")
-    levels = {r[0]: r for r in counts.groupBy(level).agg(F.count("*"), F.sum("n"), F.sum((F.col("n") == 1).cast("long")), *[F.sum(f"n{z}") for z in range(classes)]).collect()}
-    totals = {"distinct": sum(r[1] for r in levels.values()), "tokens": sum(r[2] for r in levels.values()), "once": sum(r[3] for r in levels.values()), "by_class": [sum(r[4 + z] for r in levels.values()) for z in range(classes)]}
+    levels = {r[0]: r for r in counts.groupBy(level).agg(F.count("*"), F.sum("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long")), F.sum((F.length("word") > 0).cast("long")), *[F.sum(f"n{z}") for z in range(classes)], *[F.sum(F.when(F.length("word") > 0, F.col(f"n{z}") / F.col("n")).otherwise(0)) for z in range(classes)]).collect()}
+    totals = {"distinct": sum(r[1] for r in levels.values()), "tokens": sum(r[2] for r in levels.values()), "once": sum(r[3] for r in levels.values()), "twice": sum(r[4] for r in levels.values()), "spelt": sum(r[5] for r in levels.values())}
+    totals |= {"by_class": [sum(r[6 + z] for r in levels.values()) for z in range(classes)], "parts": [round(sum(r[6 + classes + z] for r in levels.values()), 6) for z in range(classes)]}
     cut, room = max(levels, default=0) + 1, head_words
     for k in sorted(levels, reverse=True):
         room -= levels[k][1]
@@ -501,9 +541,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = k
     texts = counts.where("word = X''").first()
     texts = np.array([texts[f"n{z}"] if texts else 0 for z in range(classes)], np.float64)
-    totals |= {"whole_words": whole_words, "texts": float(texts.sum())}
+    totals |= {"words_as_edges": words_as_edges, "texts": float(texts.sum())}
     shares = np.log10((texts + 1) / (texts.sum() + classes))
-    table = context.broadcast(train_lattice(counts, classes, path, rounds))
+    table = context.broadcast(train_lattice(counts, classes, path, rounds, words_as_edges))
     names = [f"n{z}" for z in range(classes)]
     columns = "word binary, n long, " + ", ".join(f"{c} long" for c in names)
     scored = materialise(counts.select("word", "n", *names).mapInArrow(_score_words(table, totals, classes), f"{columns}, base double, model array<double>").drop(*names), "words")
