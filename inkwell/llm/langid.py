@@ -160,7 +160,8 @@ class LanguageModel:
 def train_languages(docs: DataFrame, may_train, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, features: int = FEATURES, train_rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> LanguageModel:
     """Fit on a bounded sample: by hash, about ``rows_per_language`` rows of each language, ``train_rows``
     in all, of texts with a letter and up to ``TRAIN_BYTES`` bytes. Counts of the languages cover all
-    rows; the ``languages`` most frequent ones are learned."""
+    rows; the ``languages`` most frequent ones are learned. Rows of one language and equal features count
+    once; a quarter more than that number of rows is the most that is taken, however often rows repeat."""
     rows = docs.where(may_train & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES) & F.col(text_col).rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
     langs = sorted(sizes)
@@ -170,7 +171,9 @@ def train_languages(docs: DataFrame, may_train, id_col: str = "doc_id", text_col
     rows = rows.where(F.col(lang_col).isin(langs))
     share = F.create_map(*[F.lit(x) for v in langs for x in (v, min(1.0, rows_per_language / sizes[v]))])[F.col(lang_col)]
     sample = rows.where(F.pmod(F.xxhash64(F.lit(9), id_col, text_col), F.lit(1_000_000)) < share * 1_000_000)
-    got = sample.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).mapInArrow(_train_rows(features), "_lang string, index array<int>, count array<int>").toArrow()
+    got = sample.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).mapInArrow(_train_rows(features), "_lang string, index array<int>, count array<int>").dropDuplicates()
+    most = len(langs) * rows_per_language * 5 // 4
+    got = got.orderBy(F.xxhash64("index", "count"), "_lang", "index", "count").limit(most).toArrow()
     x = np.zeros((got.num_rows, features), np.float32)
     for r, (i, c) in enumerate(zip(got["index"].to_pylist(), got["count"].to_pylist(), strict=True)):
         x[r, i] = np.array(c, np.float32) / max(1, sum(c))

@@ -155,15 +155,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
 
 def train_quality(docs: DataFrame, labels: DataFrame, may_train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
     """Fit on a bounded sample of labelled rows: by hash, about half of them of each label if there
-    are enough, of texts of up to ``TRAIN_BYTES`` bytes. Conflicting labels of one id count each."""
+    are enough, of texts of up to ``TRAIN_BYTES`` bytes. Conflicting labels of one id count each, equal
+    rows once; however often an id repeats, a quarter more than ``rows`` is the most that is taken."""
+    most = rows + rows // 4
     marks = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).alias("_y")).where("_y is not null")
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(may_train & F.col("_text").isNotNull() & (F.octet_length("_text") <= TRAIN_BYTES))
     sizes = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
     chance = F.lit(0.0)
     for y, n in sizes.items():
         chance = F.when(F.col("_y") == y, F.lit(min(1.0, rows / 2 / n))).otherwise(chance)
-    chosen = marks.where(F.pmod(F.xxhash64(F.lit(5), "_label_id"), F.lit(1_000_000)) < chance * 1_000_000)
-    got = known.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_id", "_y", "_text").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    chosen = marks.where(F.pmod(F.xxhash64(F.lit(5), "_label_id"), F.lit(1_000_000)) < chance * 1_000_000).distinct().orderBy(F.xxhash64("_label_id", "_y"), "_label_id", "_y").limit(most)
+    got = known.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_id", "_y", "_text").dropDuplicates()
+    got = got.orderBy(F.xxhash64("_text", "_id", "_y"), "_id", "_y", "_text").limit(most).toArrow().sort_by([(c, "ascending") for c in ("_id", "_text", "_y")])
     texts = got["_text"].combine_chunks().cast(pa.binary()).to_pylist() if got.num_rows else []
     return train(texts, (np.array(got["_y"].to_pylist(), np.float64) > 0).astype(np.float32), epochs)
 
