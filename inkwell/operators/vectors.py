@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from inkwell.operators.retrieve import cosine, sized, top_k
+from inkwell.operators.nearest import Asked, Best, blocks, columns, matrices
+from inkwell.operators.retrieve import top_k
 from inkwell.sources.readers import Store, drop_folder, settled
 
 #: Cells, at most, and rounds in which their centres are moved to the mean of what is in them.
@@ -22,6 +23,8 @@ CELLS = 256
 ROUNDS = 2
 #: Cells of each query that are scored first.
 FIRST = 4
+#: Vectors of a cell, in the order of their angles, that are scored or left out together.
+RUN = 256
 _SLACK = 1e-5  # scores are rounded to six digits
 
 
@@ -88,25 +91,65 @@ class VectorIndex:
         """The k nearest of each query by cosine (query_id, id, score, rank), ties by id, and for each query how
         many vectors there are and how many were scored. ``queries`` has query_id and query_vector; those without
         a direction have no rows."""
-        vectors, cells = self.store.load("vectors", self.vectors_of), self.store.load("cells", self.cells_of)
+        vectors = self.store.load("vectors", self.vectors_of)
+        cells = sorted(self.store.load("cells", self.cells_of).collect(), key=lambda r: r.cell)  # a bounded number
         asked = settled(queries.where(F.exists("query_vector", lambda x: x != 0)).select("query_id", "query_vector"), "asked")
-        turn = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(F.col("centre"), F.col("query_vector")))))
-        near = asked.crossJoin(F.broadcast(cells.select("cell", "centre", "reach", "n"))).withColumn("turn", turn)  # the cells are few
-        bound = F.cos(F.greatest(F.lit(0.0), F.col("turn") - F.col("reach")))
-        order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
-        near = settled(near.select("query_id", "cell", "turn", "n", bound.alias("bound")).withColumn("nth", F.row_number().over(order)), "near")
-
-        def scored(of: DataFrame, least: DataFrame | None = None) -> DataFrame:
-            met = vectors.join(sized(of), "cell")
-            if least is not None:
-                met = met.join(sized(least), "query_id", "left").where(F.col("least").isNull() | (F.cos(F.col("turn") - F.col("angle")) + _SLACK >= F.col("least")))
-            return met.join(sized(asked), "query_id").select("query_id", "id", F.round(cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
-
-        begin = settled(scored(near.where(F.col("nth") <= first).select("query_id", "cell", "turn")), "begin")
-        best = settled(top_k(begin, k), "best")
-        least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = near.where(F.col("nth") > first).join(sized(least), "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + _SLACK >= F.col("least")))
-        more = settled(scored(rest.select("query_id", "cell", "turn"), least), "more")
-        hits = top_k(best.drop("rank").unionByName(more), k)
-        looked = begin.select("query_id").unionByName(more.select("query_id")).groupBy("query_id").agg(F.count("*").alias("scored"))
-        return hits, near.groupBy("query_id").agg(F.sum("n").alias("vectors")).join(looked, "query_id", "left")
+        hits = looked = None
+        for block in blocks(asked, k):
+            turn, bound = self._bounds(block, cells)
+            nth = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1, kind="stable")
+            best, least = None, np.full(len(block.ids), np.nan)
+            for part in (nth < first, nth >= first):
+                part = part & ~(bound + _SLACK < least[:, None])
+                found = settled(self._scored(vectors, asked, block, k, cells, part, turn, least), "found")
+                counts = found.where("scored is not null").select("query_id", "scored")
+                looked = counts if looked is None else looked.unionByName(counts)
+                found = found.where("scored is null").drop("scored")
+                best = found if best is None else best.unionByName(found)
+                if not (nth >= first).any():
+                    break
+                kth = top_k(best, k).where(F.col("rank") == k).select("query_id", "score").toArrow().to_pydict()  # of a block of queries
+                kth = dict(zip(kth["query_id"], kth["score"], strict=True))
+                least = np.array([np.nan if kth.get(q) is None else kth[q] for q in block.ids.to_pylist()], np.float64)
+            best = top_k(best, k)
+            hits = best if hits is None else hits.unionByName(best)
+        stored = F.lit(sum(r.n for r in cells)).cast("long").alias("vectors")
+        return hits, looked.groupBy("query_id").agg(F.sum("scored").alias("scored")).select("query_id", stored, "scored")
+
+    @staticmethod
+    def _bounds(asked: Asked, cells: list) -> tuple[np.ndarray, np.ndarray]:
+        """Angles of queries and centres, and the greatest cosine that the cell may have; what has no angle is not bounded."""
+        turn = np.full((len(asked.ids), len(cells)), np.nan)
+        if cells and len(cells[0].centre) in asked.groups:
+            at, raw, norm, _ = asked.groups[len(cells[0].centre)]
+            with np.errstate(all="ignore"):
+                turn[at] = np.arccos(np.clip(raw / norm[:, None] @ _unit([r.centre for r in cells]).T, -1, 1))
+        reach = np.array([r.reach for r in cells])
+        return turn, np.nan_to_num(np.cos(np.maximum(0.0, turn - reach)), nan=1.0)
+
+    def _scored(self, vectors: DataFrame, queries: DataFrame, asked: Asked, k: int, cells: list, part: np.ndarray, turn: np.ndarray, least: np.ndarray) -> DataFrame:
+        """The k best of each task for queries in their ``part`` of the cells, and how many vectors of them were
+        scored; runs of vectors of like angles are left out where these bound them below ``least``."""
+        number = {r.cell: n for n, r in enumerate(cells)}
+
+        def run(batches):
+            best, scored = Best(asked, k), np.zeros(len(asked.ids), np.int64)
+            for batch in batches:
+                ids, cell, angle = best.ids_of(batch.column("id")), batch.column("cell").to_numpy(), batch.column("angle").to_numpy()
+                order = np.lexsort((angle, cell))
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                    n = number[cell[own[0]]]
+                    for lo in range(0, len(own), RUN):
+                        some = own[lo : lo + RUN]
+                        gap = np.maximum(0.0, np.maximum(angle[some[0]] - turn[:, n], turn[:, n] - angle[some[-1]]))
+                        only = part[:, n] & ~(np.cos(gap) + _SLACK < least)
+                        if only.any():
+                            scored += only * len(some)
+                            best.add(ids[some], matrices(batch.column("vector").take(pa.array(some))), only)
+            for rows in best.batch():
+                yield rows.append_column("scored", pa.nulls(len(rows), pa.int64()))
+            met = np.flatnonzero(scored)
+            yield pa.RecordBatch.from_arrays([asked.ids.take(pa.array(met)), pa.nulls(len(met), best.kind or pa.int64()), pa.nulls(len(met), pa.float64()), pa.array(scored[met])], names=["query_id", "id", "score", "scored"])
+
+        read = vectors.where(F.col("cell").isin([r.cell for n, r in enumerate(cells) if part[:, n].any()])) if part.any() else vectors.where("false")
+        return read.mapInArrow(run, columns(queries, vectors.schema["id"], counted=True))
