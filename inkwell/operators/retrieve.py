@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
+from inkwell.operators.nearest import candidates
 from inkwell.sources.readers import settled
 
 #: Rows that are sent to every task, at most.
@@ -102,6 +103,14 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     return out
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k best of each query by exact search (query_id, id, score, rank); ``queries`` has query_id and query_vector.
+
+    All pairs are compared, as products of matrices in each task; only the k best of a task are shuffled.
+    """
+    return top_k(candidates(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), queries, k), k)
+
+
 def fuse(dense: DataFrame, sparse: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Weighted reciprocal rank fusion of ranked lists (query_id, id, rank)."""
     lists = [r.select("query_id", "id", (F.lit(w) / (F.lit(config.fusion_constant) + F.col("rank"))).alias("part")) for r, w in ((dense, config.dense_weight), (sparse, config.sparse_weight))]

@@ -83,7 +83,7 @@ def _vectors(spark, sf):
 def dense_topk(spark, sf):
     """Ten nearest of every query; the queries are the vectors whose id is divisible by 50."""
     asked = _vectors(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.top_k(R.dense_scores(_vectors(spark, sf), asked), 10).select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return R.nearest(spread(_vectors(spark, sf), _vectors(spark, sf)), asked, 10).select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def dense_pruned_topk(spark, sf):
