@@ -107,6 +107,18 @@ def abbreviations(c: Column) -> Column:
     return where_has(c, " .", lambda x: replace_all(x, ABBREVIATIONS))
 
 
+#: Letters with a capital of one letter that Spark's ``upper`` does not use, as it writes several.
+_LOWER = "ß" + "".join(map(chr, [*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3]))
+_CAPITAL = "ẞ" + "".join(map(str.title, _LOWER[1:]))
+
+
+def upper(c: Column) -> Column:
+    """Upper case letter by letter, so that a text keeps its length; letters without a capital of one letter stay."""
+    each = lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(F.translate(x, _LOWER, _CAPITAL))
+    c = F.translate(c, _LOWER[0], _CAPITAL[0])  # the frequent one
+    return F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(F.array_join(F.transform(F.split(c, ""), each), ""))
+
+
 def strip(c: Column) -> Column:
     return replace_all(c, [(r"(?U)\s+\z", ""), (r"(?U)\A\s+", "")])
 

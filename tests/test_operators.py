@@ -204,3 +204,12 @@ def test_best_matches_lose_no_pair(spark):
             mine = [{"category": d, "normalized_key": x, "rule_id": str(m)} for v, m, d, x in rows if v == u and (not own or m < q)]
             best = best_match(mine, c, k)
             assert got[n] == (best and best["rule_id"]), (k, got[n], best)
+
+
+def test_upper_case_keeps_the_length(spark):
+    import duckdb
+
+    texts = ["Straße", "ǆ ŉ ﬁ ΐ und ß", "ᾳ ᾼ ᾂ", "a𐐨z\n", "", None]
+    got = [r.u for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.upper(F.col("t")).alias("u")).orderBy("k").collect()]
+    assert got == ["STRAẞE", "Ǆ ŉ ﬁ ΐ UND ẞ", "ᾼ ᾼ ᾊ", "A𐐀Z\n", "", None]
+    assert got[:5] == [duckdb.execute("SELECT upper(?)", [t]).fetchall()[0][0] for t in texts[:5]]
