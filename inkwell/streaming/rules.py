@@ -105,7 +105,7 @@ def rules_of(latest: DataFrame) -> DataFrame:
         for frame in batches:
             rules = [r for text in frame["rules"] for r in json.loads(text)]
             out = as_frame(rules)
-            out["last_updated"] = pd.to_datetime(out["last_updated"])
+            out["last_updated"] = pd.to_datetime(out["last_updated"], format="ISO8601")  # whole seconds have no fraction
             yield out
 
     return latest.select("rules").mapInPandas(run, RULES)

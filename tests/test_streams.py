@@ -147,3 +147,11 @@ def test_entries_of_state_equal_the_fold(spark, tmp_path):
     last = spark.read.parquet(f"{at}/out").groupBy("user_id", "rule_id").agg(F.max_by("rule", "batch").alias("rule")).where("rule is not null")
     plain = lambda rules: sorted((r.user_id, r.rule_id, r.normalized_key, round(r.confidence, 6), r.support_count, r.status) for r in rules.collect())
     assert plain(S.rules_of(last.select(F.concat(F.lit("["), "rule", F.lit("]")).alias("rules")))) == plain(L.fold_batch(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_rules_of_a_stream_may_end_on_whole_seconds(spark):
+    """Times are read whether or not they have a fraction of a second."""
+    rows = [S.json.dumps([rule | {"last_updated": at}]) for at in ("2024-01-01T00:00:00.123456", "2024-01-02T00:00:00", None) for rule in L.fold_feedback([], {"user_id": "u", "feedback_id": at or "-", "draft_type": "t", "submitted_at": at, "candidates": [{"description": "Rule a", "category": "other", "confidence": 0.5}]})]
+    latest = spark.createDataFrame([(r,) for r in rows], "rules string").coalesce(1)
+    got = sorted(str(r.last_updated) for r in S.rules_of(latest).collect())
+    assert got == ["2024-01-01 00:00:00.123456", "2024-01-02 00:00:00", "None"]
