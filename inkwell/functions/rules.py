@@ -22,9 +22,18 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
+#: Ratios of keys met lately, as a user's keys meet again and again. A dict, since functions go to tasks by value.
+_RATIOS: dict[tuple[str, str], float] = {}
+
+
 def ratio(a: str, b: str) -> float:
     """Matching-blocks ratio; the order of arguments matters."""
-    return difflib.SequenceMatcher(a=a, b=b).ratio()
+    found = _RATIOS.get((a, b))
+    if found is None:
+        if len(_RATIOS) >= 10_000:
+            _RATIOS.clear()
+        found = _RATIOS[a, b] = difflib.SequenceMatcher(a=a, b=b).ratio()
+    return found
 
 
 @F.pandas_udf(DoubleType())

@@ -29,13 +29,13 @@ def overlap(a: str, b: str) -> float:
 
 def best_match(rules: list[dict], category: str, key: str, config: Config = DEFAULT) -> dict | None:
     """The user's rule of that category most like the key; an equal key at once, ties to the earlier."""
+    rules = [r for r in rules if r["category"] == category]
+    equal = next((r for r in rules if r["normalized_key"] == key), None)
+    if equal is not None:
+        return equal
     best, best_score = None, 0.0
     for rule in rules:
-        if rule["category"] != category:
-            continue
         own = rule["normalized_key"]
-        if own == key:
-            return rule
         shared = overlap(own, key)
         score = max(ratio(own, key), shared, config.match_contained if key in own or own in key else 0.0)
         if score > best_score and (score >= config.match_score or shared >= config.match_overlap):
@@ -97,8 +97,13 @@ def as_frame(rules: list[dict]) -> pd.DataFrame:
 
 def in_time(frame: pd.DataFrame) -> list[dict]:
     """Feedback and events by time; what users set comes after feedback of the same time, ties go by id."""
-    late = frame["action"].notna() if "action" in frame else False
-    return frame.assign(_late=late).sort_values(["submitted_at", "_late", "feedback_id"], kind="stable").drop(columns="_late").to_dict("records")
+    last = lambda x: (True, 0) if pd.isna(x) else (False, x)
+    return sorted(records(frame), key=lambda r: (last(r["submitted_at"]), not pd.isna(r.get("action")), last(r["feedback_id"])))
+
+
+def records(frame: pd.DataFrame) -> list[dict]:
+    """A dict for each row."""
+    return [dict(zip(frame.columns, row, strict=True)) for row in zip(*(frame[c].tolist() for c in frame.columns), strict=True)]
 
 
 def with_controls(feedback: DataFrame, controls: DataFrame) -> DataFrame:
@@ -130,7 +135,7 @@ def _folded(feedback: DataFrame, config: Config) -> DataFrame:
         user, rules = object(), []
         for frame in frames:
             done: list[dict] = []
-            for row in frame.to_dict("records"):
+            for row in records(frame):
                 if row["user_id"] != user:
                     done += rules
                     user, rules = row["user_id"], []
