@@ -55,6 +55,7 @@ def matches(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     words = words.select("id", F.size("w").cast("double").alias("doc_len"), F.explode("w").alias("term"))
     hits = words.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = hits.repartition("id")  # what follows goes by document, where the scores of all queries stay in the task
     return hits.join(few(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # one row
 
 
