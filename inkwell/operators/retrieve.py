@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import chain
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from inkwell.config import DEFAULT, Config
-from inkwell.operators.nearest import candidates
+from inkwell.operators.nearest import Best, candidates, columns, rounded
 from inkwell.sources.readers import settled
 
 #: Rows that are sent to every task, at most.
 FEW = 200_000
 QUERY_BLOCK = 10_000
+#: Numbers of a matrix of terms and queries, or of terms of documents and queries, at most.
+PAIRS = 4_000_000
 
 
 def sized(small: DataFrame, bound: int = FEW) -> DataFrame:
@@ -51,19 +60,79 @@ def matches(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     few = F.broadcast if asked.limit(FEW + 1).count() <= FEW else lambda rows: rows
+    return _hits(docs, asked, few, id_col, text_col).join(few(asked), "term")
+
+
+def _hits(docs: DataFrame, asked: DataFrame, few, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc_len, term, tf, df, n_docs, avg_len) of the terms that are asked for, by document."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     words = words.select("id", F.size("w").cast("double").alias("doc_len"), F.explode("w").alias("term"))
     hits = words.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "doc_len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     hits = hits.repartition("id")  # what follows goes by document, where the scores of all queries stay in the task
-    return hits.join(few(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # one row
+    return hits.join(few(df), "term").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # one row
+
+
+def _part(config: Config) -> Column:
+    """What a term adds to a score."""
+    k1, b = config.bm25_k1, config.bm25_b
+    return idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("doc_len") / F.col("avg_len")))
 
 
 def bm25(found: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(query_id, id, score) from ``matches``."""
-    k1, b = config.bm25_k1, config.bm25_b
-    part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1 - b) + b * F.col("doc_len") / F.col("avg_len")))
-    return found.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.groupBy("query_id", "id").agg(F.round(F.sum(_part(config)), 6).alias("score"))
+
+
+def best_bm25(docs: DataFrame, queries: DataFrame, k: int, configs: tuple[Config, ...] = (DEFAULT,), id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
+    """The k best documents of each query (query_id, id, score, rank), for each of the settings.
+
+    Terms of a document meet the queries as rows of a matrix, in the task that has the document, and a task
+    gives the k best of each query. If queries and terms are too many for that matrix, pairs are joined.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    size = asked.agg(F.count_distinct("query_id").alias("queries"), F.count_distinct("term").alias("terms"), F.count("*").alias("n")).first()
+    if size.queries * size.terms > PAIRS or size.n > FEW:
+        found = matches(docs, queries, id_col, text_col)
+        return [top_k(bm25(found, c), k) for c in configs]
+    table = asked.toArrow()
+    ids, terms = (table.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    names, of = terms.dictionary, SimpleNamespace(ids=ids.dictionary)
+    has = np.zeros((len(names), len(of.ids)))
+    np.add.at(has, (terms.indices.to_numpy(), ids.indices.to_numpy()), 1.0)
+    parts = [f"part{n}" for n in range(len(configs))]
+
+    def run(batches):
+        best, rest = [Best(of, k) for _ in configs], None
+        for batch in chain(batches, [None]):  # a document's rows follow each other; the last one's wait for the next batch
+            rows = pa.Table.from_batches([b for b in (rest, batch) if b is not None]).combine_chunks() if rest is not None or batch is not None else None
+            if rows is None or not len(rows):
+                continue
+            rows = rows.to_batches()[0]
+            key = rows.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            end = starts[-1] if batch is not None else len(rows)
+            rest, rows, starts = rows.slice(end), rows.slice(0, end), starts[starts < end]
+            term = pc.index_in(rows.column("term"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            for own in np.split(starts, np.flatnonzero(np.diff(starts * max(1, len(of.ids)) // PAIRS)) + 1) if len(starts) else []:
+                last = starts[np.searchsorted(starts, own[-1]) + 1] if own[-1] != starts[-1] else end
+                met = has[term[own[0] : last]]
+                for b, name in zip(best, parts, strict=True):
+                    doc = b.ids_of(rows.column("id").take(pa.array(own)))
+                    total = np.add.reduceat(met * rows.column(name).to_numpy()[own[0] : last, None], own - own[0], axis=0)
+                    scores = rounded(total)
+                    d, q = np.nonzero((total > 0) & (scores >= b.scores[:, -1]))
+                    b.offer(q, doc[d], scores[d, q])
+        for n, b in enumerate(best):
+            for out in b.batch():
+                yield out.append_column("n", pa.array(np.full(len(out), n, np.int32)))
+
+    rows = _hits(docs, asked, F.broadcast, id_col, text_col).select("id", "term", *[_part(c).alias(name) for c, name in zip(configs, parts, strict=True)])
+    own = StructType([*columns(queries, rows.schema["id"]).fields, StructField("n", IntegerType())])
+    found = rows.sortWithinPartitions("id").mapInArrow(run, own)
+    if len(configs) > 1:
+        found = settled(found, "best")  # k rows of each query and task
+    return [top_k(found.where(F.col("n") == n).drop("n"), k) for n in range(len(configs))]
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: Config = DEFAULT) -> DataFrame:

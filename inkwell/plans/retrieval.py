@@ -51,7 +51,7 @@ def corpus_append(spark, sf):
 
 def bm25_multi_query_topk(spark, sf):
     """Ten best documents of each benchmark text as a query."""
-    return R.top_k(R.bm25_scores(_docs(spark, sf), _asked(spark, sf)), 10).select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    return R.best_bm25(_docs(spark, sf), _asked(spark, sf), 10)[0].select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _index(spark, sf):
@@ -111,9 +111,7 @@ def _lists(spark, sf):
     from inkwell.config import DEFAULT
 
     docs, asked = _docs(spark, sf), _asked(spark, sf)
-    found = R.matches(docs, asked)  # both scores come from the same shuffle
-    one = R.top_k(R.bm25(found), 10)
-    two = R.top_k(R.bm25(found, replace(DEFAULT, bm25_b=0.0)), 10)
+    one, two = R.best_bm25(docs, asked, 10, (DEFAULT, replace(DEFAULT, bm25_b=0.0)))  # both scores come from the same pass
     return docs, asked, one, two
 
 
