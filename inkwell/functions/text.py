@@ -15,22 +15,25 @@ from pyspark.sql.types import StringType
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 RULE_LINE = r"(?U)^\s*[_\-=]{4,}\s*$"
 CONTROL_START = r"^[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+#: What ``\s`` is in Unicode mode.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: OCR corrections in order, then spacing at punctuation, then abbreviations. Each has, in
-#: front, what a text must have for it to match; without that it is not tried.
+#: front, what a text must have for it to match; without that it is not tried. Patterns begin with what is
+#: cheap to look for, and look back from there.
 OCR_FIXES = [
-    ("l", r"(?U)\bl\b", "I"),
-    ("0", r"(?U)\b0\b", "O"),
-    ("rn", r"rn", "m"),
-    ("|", r"\|", "I"),
-    ("-\n", r"(?<=[a-z])-\n(?=[a-z])", ""),
-    ("\n", r"(?<!\n)\n(?!\n)", " "),
+    ("l", r"(?U)l(?<=\bl)\b", "I"),
+    ("0", r"(?U)0(?<=\b0)\b", "O"),
+    ("rn", None, "m"),
+    ("|", None, "I"),
+    ("-\n", r"-\n(?<=[a-z]-\n)(?=[a-z])", ""),
+    ("\n", r"\n(?<!\n\n)(?!\n)", " "),
     ("\n\n\n", r"\n{3,}", "\n\n"),
     ("", r"[ \t]{2,}", " "),
     ("- ", r"([a-z])- ([A-Z])", "$1-$2"),
 ]
 SPACING = [
-    ("", r"(?U)\s+([.,;:!?)\]])", "$1"),
+    ("", r"(?U)\s++([.,;:!?)\]])", "$1"),
     ("", r"(?U)([.,;:!?)\]])\s+", "$1 "),
     ("(", r"(?U)\(\s+", "("),
     (")", r"(?U)\s+\)", ")"),
@@ -78,8 +81,9 @@ def where_has(c: Column, part: str, change) -> Column:
 
 
 def replace_where(c: Column, steps) -> Column:
+    """Steps of a part, a pattern and what takes its place; without a pattern, that of the part."""
     for part, pattern, to in steps:
-        c = where_has(c, part, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
+        c = F.replace(c, F.lit(part), F.lit(to)) if pattern is None else where_has(c, part, lambda x, p=pattern, t=to: F.regexp_replace(x, p, t))
     return c
 
 
@@ -120,7 +124,7 @@ def upper(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return replace_all(c, [(r"(?U)\s+\z", ""), (r"(?U)\A\s+", "")])
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -132,7 +136,7 @@ def clean(c: Column, composed: bool = False) -> Column:
     that no Python runs."""
     t = c if composed else nfc(c)
     t = abbreviations(spaced(ocr_fixed(without_noise_lines(lookalikes(t)))))
-    return F.when(is_blank(c), "").otherwise(strip(F.regexp_replace(t, r"(?U)[^\S\n]+(?=\n)", "")))
+    return F.when(is_blank(c), "").otherwise(strip(where_has(t, "\n", lambda x: F.regexp_replace(x, r"(?U)[^\S\n]++(?=\n)", ""))))
 
 
 def letters(c: Column) -> Column:
@@ -148,7 +152,7 @@ def upper_ratio(c: Column) -> Column:
 
 
 def space_ratio(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, "[^ ]+", "")) / F.greatest(F.length(c), F.lit(1))
+    return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))) / F.greatest(F.length(c), F.lit(1))
 
 
 def word_count(c: Column) -> Column:
