@@ -27,6 +27,7 @@ class Engine:
     """All calls of the service; ids are hashes of their content, so reruns agree."""
 
     def __init__(self, spark: SparkSession, folder: str, config: Config = DEFAULT, embedder=None, query_writer=None, draft_writer=None, rule_extractor=None):
+        readers.bound_batches(spark)
         self.spark, self.config, self.store = spark, config, Store(spark, folder)
         self.embedder = embedder or draft.Embedder(config.embedding_size)
         self.query_writer, self.draft_writer = query_writer or draft.QueryWriter(), draft_writer or draft.DraftWriter()

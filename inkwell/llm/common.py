@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.sources.readers import shared_dir
+from inkwell.sources.readers import bound_batches, shared_dir
 
 #: The white space of the contracts: `[\x20\x09-\x0D]`, which is also what ``bytes.split`` takes.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,17 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of a batch of rows that goes to a Python worker, where the session does not say.
-BATCH_BYTES = "4m"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Let batches for Python workers be small, whatever the length of texts; a session's own bound stays."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, BATCH_BYTES)
-
-
 def _delete(spark: SparkSession, path: str, now: bool) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.sources.readers import parquet, spread
+from inkwell.sources.readers import bound_batches, parquet, spread
 
 LEGAL = """
 SELECT o_orderkey AS doc_id,
@@ -35,6 +35,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A SQL text over the tables it names."""
+    bound_batches(spark)
     for t in TABLES:
         if t in text:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)

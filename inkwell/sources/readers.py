@@ -24,7 +24,19 @@ from inkwell.functions import text as X
 from inkwell.operators.draft import OcrEngine
 
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session does not say.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers be small, whatever the length of texts; a session's own bound stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -373,7 +385,8 @@ def latest(log: DataFrame, key: str, version: str, deleted: str | None = None) -
 def in_order_of(ids: DataFrame, rows: DataFrame, ids_col: str, key: str) -> DataFrame:
     """Rows of a list of keys, in its order; keys without a row drop out."""
     listed = ids.select(*[c for c in ids.columns if c != ids_col], F.posexplode(ids_col).alias("pos", key))
-    return listed.join(rows, key)
+    asked = listed.select(key).distinct()  # combined in each task, so that a key that many ask for does not meet in one
+    return listed.join(settled(rows.join(asked, key, "left_semi"), "asked"), key)  # written, so that Spark knows whether it is small
 
 
 def observed(docs: DataFrame, name: str = "doc_metrics") -> DataFrame:
