@@ -28,10 +28,16 @@ LANGUAGE_LEXICON = [
 ]
 
 
+def _pattern(k: str) -> str:
+    """A keyword between word boundaries. It begins with the keyword, which is cheap to look for, and looks
+    back for the boundary before it."""
+    return rf"(?U){k}(?<=\b{k})\b"
+
+
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """Occurrences of all keywords between word boundaries; overlapping ones count each. Only texts that
     have a keyword at all are matched with its pattern."""
-    parts = [F.when(F.contains(text, F.lit(k)), F.regexp_count(text, F.lit(r"(?U)\b" + re.sub(r"([^\w\s])", r"\\\1", k) + r"\b"))).otherwise(0) for k in keywords]
+    parts = [F.when(F.contains(text, F.lit(k)), F.regexp_count(text, F.lit(_pattern(re.sub(r"([^\w\s])", r"\\\1", k))))).otherwise(0) for k in keywords]
     total = parts[0]
     for p in parts[1:]:
         total = total + p

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,16 @@ NEEDS = {
     "party": [("between",), ("plaintiff", "petitioner"), ("defendant", "respondent"), ("landlord", "lessor"), ("tenant", "lessee"), ("grantor", "grantee")],
     "address": [()],
 }
+#: For each pattern, in the same order, a cheaper one that is found wherever it is; none: it is cheap itself.
+BEFORE = {
+    "date": [r"\d[\/\-]\d", r"\d[\/\-]\d", r" \d{1,2},", r" \d{4}", r" \d{4}"],
+    "amount": [None, None, None],
+    "case_number": [None, None, r"-\d{4}", r"\d{4}"],
+    "party": [None] * 6,
+    "address": [None],
+}
+#: Patterns that begin with a digit at a word's boundary look for the digit first.
+_DIGIT = r"\b(\d"
 #: Types whose patterns have a group that is the value.
 GROUPED = {"date", "case_number", "party"}
 
@@ -65,11 +75,13 @@ def found(text: Column, kind: str, low: Column) -> Column:
     text, which a plain search of spares most patterns."""
     group, none = 1 if kind in GROUPED else 0, F.array().cast("array<string>")
 
-    def one(pattern: str, needs: tuple[str, ...]) -> Column:
+    def one(pattern: str, needs: tuple[str, ...], before: str | None) -> Column:
+        pattern = f"(?=\\d){pattern}" if pattern.startswith(_DIGIT) else pattern
         values = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(group)), strip)
-        return F.when(reduce(or_, [F.contains(low, F.lit(x)) for x in needs]), values).otherwise(none) if needs else values
+        has = ([reduce(or_, [F.contains(low, F.lit(x)) for x in needs])] if needs else []) + ([text.rlike(f"(?U){before}")] if before else [])
+        return F.when(reduce(and_, has), values).otherwise(none) if has else values
 
-    return F.filter(F.concat(*[one(p, n) for p, n in zip(PATTERNS[kind], NEEDS[kind], strict=True)]), lambda v: v != "")
+    return F.filter(F.concat(*[one(*each) for each in zip(PATTERNS[kind], NEEDS[kind], BEFORE[kind], strict=True)]), lambda v: v != "")
 
 
 def amount_normal(value: Column) -> Column:
