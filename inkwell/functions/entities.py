@@ -104,10 +104,12 @@ def extract(pages: DataFrame, kinds=tuple(PATTERNS), doc_col: str = "doc_id", pa
     return rows.where(fits).withColumn("normalized", normal).withColumn("key", key)
 
 
-def first_of_each(mentions: DataFrame) -> DataFrame:
+def first_of_each(mentions: DataFrame, parts: int | None = None) -> DataFrame:
     """One mention of each key of a document: the first by page, type, pattern and place. Mentions are
-    shuffled once, by document, for both windows."""
-    mentions = mentions.repartition("doc_id")
+    shuffled once, by document, for both windows; ``parts`` beyond the session's number keep a task from
+    growing with the input."""
+    usual = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mentions = mentions.repartition(parts, "doc_id") if parts and parts > usual else mentions.repartition("doc_id")
     order = Window.partitionBy("doc_id", "entity_type", "key").orderBy("page", "kind_ord", "pos")
     numbered = Window.partitionBy("doc_id").orderBy("page", "kind_ord", "pos")
     kept = mentions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -104,7 +104,7 @@ def document_rows(pages: DataFrame, found: DataFrame, config: Config = DEFAULT)
 
 def entity_rows(pages: DataFrame) -> DataFrame:
     """The entities of documents, each once."""
-    kept = entities.first_of_each(entities.extract(pages))
+    kept = entities.first_of_each(entities.extract(pages), readers.parts_of(pages, 1))
     return kept.select("doc_id", F.col("ord").cast("int").alias("ord"), "entity_type", "value", "normalized", F.col("page").cast("int").alias("page"), F.round("confidence", 3).alias("confidence"))
 
 

@@ -40,11 +40,21 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+#: Rows of a task, about.
+ROWS_OF_A_TASK = 50_000
+
+
+def parts_of(table: DataFrame, least: int, rows: int = ROWS_OF_A_TASK) -> int:
+    """Parts of ``least`` or, of a table of many rows, so many that a task does not grow with it."""
+    return max(least, -(-table.count() // rows))
+
+
 def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
     """``rows`` made from a table, dealt over all cores if the table is so small that it is read in fewer
-    parts than there are cores; larger inputs stay as they lie. For costly work on each row."""
+    parts than there are cores, in more parts where it has many rows; larger inputs stay as they lie. For
+    costly work on each row."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if table.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(parts_of(table, cores)) if table.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -65,3 +65,13 @@ def test_keys_that_many_lists_ask_for_do_not_meet(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted((r.id, r.pos, r.v) for r in got) == [(k, 1, k % 5 * 2) for k in range(2_000)]
+
+
+def test_a_task_does_not_grow_with_a_table(spark):
+    table = spark.range(0, 1_000, 1, 2)
+    assert readers.spread(table, table).rdd.getNumPartitions() == 4
+    assert readers.parts_of(table, 4, rows=100) == 10 and readers.parts_of(table, 4) == 4
+    pages = spark.createDataFrame([(k, 1, "12/5/2020 and 12/5/2020 $3") for k in range(50)], "doc_id long, page_number int, cleaned_text string")
+    many, few = (E.first_of_each(E.extract(pages, confidence_col=None), parts) for parts in (9, None))
+    assert many.rdd.getNumPartitions() == 9
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
