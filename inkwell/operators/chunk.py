@@ -199,17 +199,19 @@ def table_blocks(tables: DataFrame, config: Config = DEFAULT) -> DataFrame:
         more = F.struct(a["begins"].alias("begins"), a["label"].alias("label"), (a["n"] + 1).alias("n"), grown.alias("len"))
         return F.when(full, fresh).otherwise(more)
 
-    t = t.withColumn("begins", F.aggregate(sizes, initial, step)["begins"])
-    # The generator stands between the fold and its uses, so that it runs once a table.
-    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", "cells", "begins", F.posexplode("begins").alias("block", "at"))
-    upto = F.coalesce(F.try_element_at("begins", (F.col("block") + 2).cast("int")), F.size("cells"))
-    label = F.when(F.col("block") == 0, 1).otherwise(F.col("at") + 2)
-    t = t.withColumns({"label": label, "own": F.slice("cells", F.col("at") + 1, upto - F.col("at"))})
-    t = t.withColumn("b", F.struct(F.col("label").alias("start"), F.transform("own", lambda c, k: F.concat(F.lit("Row "), (F.col("label") + k).cast("string"), F.lit(": "), c)).alias("lines")))
+    # Generators stand between the fold and its uses, so that it runs once a table; a block has its own rows only.
+    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", "cells", F.explode(F.array(F.aggregate(sizes, initial, step)["begins"])).alias("begins"))
+
+    def block(at, k):
+        upto = F.coalesce(F.try_element_at("begins", k + 2), F.size("cells"))
+        return F.struct(F.when(k == 0, 1).otherwise(at + 2).alias("start"), F.slice("cells", at + 1, upto - at).alias("own"))
+
+    t = t.select("doc_id", "page_number", "table_index", "head", "n_columns", F.posexplode(F.transform("begins", block)).alias("block", "o"))
+    lines = F.transform("o.own", lambda c, k: F.concat(F.lit("Row "), (F.col("o.start") + k).cast("string"), F.lit(": "), c))
     return t.select(
         "doc_id", "page_number", "table_index", "block",
-        F.concat(F.col("head"), F.lit("\n"), F.array_join("b.lines", "\n")).alias("text"),
-        F.col("b.start").alias("table_row_start"), (F.col("b.start") + F.size("b.lines") - 1).alias("table_row_end"), F.size("b.lines").alias("table_row_count"),
+        F.concat(F.col("head"), F.lit("\n"), F.array_join(lines, "\n")).alias("text"),
+        F.col("o.start").alias("table_row_start"), (F.col("o.start") + F.size("o.own") - 1).alias("table_row_end"), F.size("o.own").alias("table_row_count"),
         F.col("n_columns").alias("table_column_count"), F.lit(True).alias("header_included"),
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import classify as C
 from inkwell.functions import entities as E
 from inkwell.functions import text as T
+from inkwell.operators import chunk as C2
+from inkwell.plans import chunks
 from inkwell.sources import readers
 from tests.test_index import shuffled
 
@@ -75,3 +77,16 @@ def test_a_task_does_not_grow_with_a_table(spark):
     many, few = (E.first_of_each(E.extract(pages, confidence_col=None), parts) for parts in (9, None))
     assert many.rdd.getNumPartitions() == 9
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_a_block_of_a_table_has_its_own_rows_only(spark, sf_dir):
+    """Rows of a table are put in order by a flat struct, and no block carries the whole table."""
+    tables = chunks.order_tables(spark, sf_dir, "l_suppkey")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan(tables) and "sort_array(" in plan(tables)
+    blocks = [line for line in plan(C2.table_blocks(tables)).splitlines() if "posexplode(" in line]
+    assert len(blocks) == 1 and "posexplode(begins" not in blocks[0]
+    rows = spark.createDataFrame([(1, 1, 0, [["h"], *[["x" * n] for n in range(1, 40)]])], "doc_id int, page_number int, table_index int, rows array<array<string>>")
+    out = C2.table_blocks(rows).orderBy("block").collect()
+    assert [(r.block, r.table_row_start, r.table_row_end, r.table_row_count) for r in out] == [(0, 1, 12, 12), (1, 14, 25, 12), (2, 26, 37, 12), (3, 38, 40, 3)]
+    assert "\n".join(r.text.split("h\n", 1)[1] for r in out).split("\n") == [f"Row {k + (k > 12)}: {'x' * k}" for k in range(1, 40)]
