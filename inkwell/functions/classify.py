@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import is_blank
+from inkwell.functions.text import is_ascii, is_blank
 
 #: Type, weight, keywords. Ties go to the earlier type.
 DOMAIN_LEXICON = [
@@ -34,10 +34,27 @@ def _pattern(k: str) -> str:
     return rf"(?U){k}(?<=\b{k})\b"
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
+def _first(k: str) -> str | None:
+    """The word that a keyword begins with, which is a whole word of a text wherever the keyword is; none where
+    Python and Java might cut it differently."""
+    m = re.match(r"\w+", k)
+    plain = m and all(c.isalpha() or c.isascii() for c in m.group()) and k[m.end() : m.end() + 1].isascii()
+    return m.group() if plain else None
+
+
+def first_words(text: Column, keywords: list[str]) -> Column:
+    """Words of the text that a keyword begins with, each once, between blanks."""
+    words = F.when(is_ascii(text), F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)))
+    own = F.array(*[F.lit(w) for w in sorted({_first(k) for k in keywords} - {None})]).cast("array<string>")
+    return F.concat(F.lit(" "), F.array_join(F.array_intersect(words, own), " "), F.lit(" "))
+
+
+def keyword_hits(text: Column, keywords: list[str], firsts: Column | None = None) -> Column:
     """Occurrences of all keywords between word boundaries; overlapping ones count each. Only texts that
-    have a keyword at all are matched with its pattern."""
-    parts = [F.when(F.contains(text, F.lit(k)), F.regexp_count(text, F.lit(_pattern(re.sub(r"([^\w\s])", r"\\\1", k))))).otherwise(0) for k in keywords]
+    have a keyword at all, or its first word where ``firsts`` is ``first_words`` of the text, are matched with its
+    pattern."""
+    has = lambda k: F.contains(text, F.lit(k)) if firsts is None or not _first(k) else F.contains(firsts, F.lit(f" {_first(k)} "))
+    parts = [F.when(has(k), F.regexp_count(text, F.lit(_pattern(re.sub(r"([^\w\s])", r"\\\1", k))))).otherwise(0) for k in keywords]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -45,9 +62,13 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 
 
 def classify(df: DataFrame, text_col: str = "text", lexicon=DOMAIN_LEXICON, unknown: str = "unknown", type_col: str = "doc_type", confidence_col: str = "doc_type_confidence") -> DataFrame:
-    """Adds the best type and its confidence; no shuffle; a plain search of the text a keyword, and a pattern for those it has."""
+    """Adds the best type and its confidence; no shuffle; a text is cut into words once, and a pattern runs for each
+    keyword whose first word it has."""
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    scores = F.array(*[F.struct((keyword_hits(F.col("_low"), words) * F.lit(weight)).cast("double").alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")) for k, (name, weight, words) in enumerate(lexicon)])
+    score = lambda words, firsts: keyword_hits(F.col("_low"), words, firsts)
+    each = lambda firsts: F.array(*[F.struct((score(words, firsts) * F.lit(weight)).cast("double").alias("score"), F.lit(-k).alias("ord"), F.lit(name).alias("type")) for k, (name, weight, words) in enumerate(lexicon)])
+    # In a lambda, so that the scores are not one method of the generated code, too long to be compiled.
+    scores = F.transform(F.array(first_words(F.col("_low"), [k for _, _, words in lexicon for k in words])), each)[0]
     df = df.withColumn("_scores", scores)
     best = F.array_max("_scores")
     total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x["score"])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.functions.text import strip
+from inkwell.functions.text import is_ascii, strip
 
 #: Patterns of each type, in order; all ignore case.
 PATTERNS = {
@@ -65,20 +65,25 @@ _DIGIT = r"\b(\d"
 GROUPED = {"date", "case_number", "party"}
 
 
-def plain_case(text: Column) -> Column:
+def plain_case(text: Column, ascii: Column | None = None) -> Column:
     """Lower case as patterns that ignore case see it: four letters equal ASCII ones for them."""
-    return F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik"))
+    ascii = is_ascii(text) if ascii is None else ascii
+    return F.when(ascii, F.lower(text)).otherwise(F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik")))
 
 
-def found(text: Column, kind: str, low: Column) -> Column:
+def found(text: Column, kind: str, low: Column, ascii: Column | None = None) -> Column:
     """Values of a type, pattern by pattern, stripped, without empty ones; ``low`` is ``plain_case`` of the
-    text, which a plain search of spares most patterns."""
+    text, which a plain search of spares most patterns, and ``ascii`` says that it is ASCII: there Java's plain
+    classes, which are cheaper, are those of Unicode, and a pattern that begins with a digit needs none before it."""
     group, none = 1 if kind in GROUPED else 0, F.array().cast("array<string>")
+    ascii = is_ascii(text) if ascii is None else ascii
+    either = lambda make: F.when(ascii, make("")).otherwise(make("U"))
 
     def one(pattern: str, needs: tuple[str, ...], before: str | None) -> Column:
-        pattern = f"(?=\\d){pattern}" if pattern.startswith(_DIGIT) else pattern
-        values = F.transform(F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(group)), strip)
-        has = ([reduce(or_, [F.contains(low, F.lit(x)) for x in needs])] if needs else []) + ([text.rlike(f"(?U){before}")] if before else [])
+        digit = pattern.startswith(_DIGIT)
+        pattern = f"(?=\\d){pattern}" if digit else pattern
+        values = F.transform(either(lambda u: F.regexp_extract_all(text, F.lit(f"(?i{u}){pattern}"), F.lit(group))), strip)
+        has = ([reduce(or_, [F.contains(low, F.lit(x)) for x in needs])] if needs else []) + ([ascii | text.rlike(f"(?U){before}") if digit else either(lambda u: text.rlike(f"(?{u}){before}"))] if before else [])
         return F.when(reduce(and_, has), values).otherwise(none) if has else values
 
     return F.filter(F.concat(*[one(*each) for each in zip(PATTERNS[kind], NEEDS[kind], BEFORE[kind], strict=True)]), lambda v: v != "")
@@ -93,9 +98,9 @@ def amount_normal(value: Column) -> Column:
 def extract(pages: DataFrame, kinds=tuple(PATTERNS), doc_col: str = "doc_id", page_col: str = "page_number", text_col: str = "cleaned_text", confidence_col: str | None = "confidence") -> DataFrame:
     """Entity mentions of the pages: doc, page, type, order of type and place, value, normalized,
     key, confidence; parties and addresses that are too short or generic are left out."""
-    kinds_of = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("kind"), found(F.col("_text"), name, F.col("_low")).alias("values")) for k, name in enumerate(kinds)])
+    kinds_of = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("kind"), found(F.col("_text"), name, F.col("_low"), F.col("_ascii")).alias("values")) for k, name in enumerate(kinds)])
     rows = pages.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page"), (F.col(confidence_col) if confidence_col else F.lit(1.0)).alias("confidence"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_low", plain_case(F.col("_text")))
+    rows = rows.withColumn("_ascii", is_ascii(F.col("_text"))).withColumn("_low", plain_case(F.col("_text"), F.col("_ascii")))
     rows = rows.select("doc_id", "page", "confidence", F.explode(kinds_of).alias("k")).select("doc_id", "page", "confidence", F.col("k.kind").alias("entity_type"), F.col("k.ord").alias("kind_ord"), F.posexplode("k.values").alias("pos", "value"))
     kind, value = F.col("entity_type"), F.col("value")
     normal = F.when(kind == "amount", amount_normal(value)).when(kind.isin("date", "address"), value)

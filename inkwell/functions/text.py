@@ -63,7 +63,11 @@ def _composed(texts: pd.Series) -> pd.Series:
 def nfc(c: Column) -> Column:
     """Canonical composition, which Spark has no function for. Only texts with other than ASCII characters
     go to Python, and only those that it changes come back."""
-    return F.coalesce(_composed(F.when(F.octet_length(c) != F.length(c), c)), c)
+    return F.coalesce(_composed(F.when(~is_ascii(c), c)), c)
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def replace_all(c: Column, steps) -> Column:
@@ -140,7 +144,7 @@ def clean(c: Column, composed: bool = False) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
+    return F.when(is_ascii(c), F.octet_length(F.regexp_replace(c, "[^A-Za-z]+", ""))).otherwise(F.length(F.regexp_replace(c, r"[^\p{L}]+", "")))
 
 
 def alpha_ratio(c: Column) -> Column:
@@ -152,7 +156,7 @@ def upper_ratio(c: Column) -> Column:
 
 
 def space_ratio(c: Column) -> Column:
-    return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))) / F.greatest(F.length(c), F.lit(1))
+    return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit("")))) / F.greatest(F.length(c), F.lit(1))
 
 
 def word_count(c: Column) -> Column:

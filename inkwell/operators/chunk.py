@@ -16,6 +16,9 @@ from inkwell.functions import text as T
 #: Where a text is preferably split, in order.
 SEPARATORS = ("\n\nSECTION ", "\n\nSection ", "\n\nARTICLE ", "\n\nArticle ", "\n\nCLAUSE ", "\n\nClause ", "\n\nSHEET: ", "\n\nSheet: ", "\n\n", "\n", ". ", "; ", ", ", " ", "")
 
+#: What Python strips, as windows are stripped.
+PYTHON_WHITE = T.WHITE + "\x1c\x1d\x1e\x1f"
+
 
 def page_bounds(pages: DataFrame) -> DataFrame:
     """First and last character of each page with text, in the document's joined text."""
@@ -148,9 +151,20 @@ def text_windows(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"text": w, "start": s} for w, s in split_text(t or "")] for t in texts], dtype=object)
 
 
+def windows(text: Column) -> Column:
+    """The windows of a text, as ``text_windows`` has them. A text shorter than one is its only window; just the
+    others go to Python."""
+    size, text = DEFAULT.chunk_chars, F.coalesce(text, F.lit(""))
+    whole = F.btrim(text, F.lit(PYTHON_WHITE))
+    start = F.length(text) - F.length(F.ltrim(text, F.lit(PYTHON_WHITE)))
+    none = F.array().cast("array<struct<text:string,start:int>>")
+    one = F.when(whole == "", none).otherwise(F.array(F.struct(whole.alias("text"), start.alias("start"))))
+    return F.when(F.length(text) < size, one).otherwise(text_windows(F.when(F.length(text) >= size, text)))
+
+
 def text_chunks(docs: DataFrame, bounds: DataFrame, text_col: str = "full_text") -> DataFrame:
     """Text chunks with their character and page ranges."""
-    return _placed(docs.select("doc_id", F.posexplode(text_windows(F.col(text_col))).alias("chunk_index", "w")), bounds)
+    return _placed(docs.select("doc_id", F.posexplode(windows(F.col(text_col))).alias("chunk_index", "w")), bounds)
 
 
 def _placed(rows: DataFrame, bounds: DataFrame) -> DataFrame:

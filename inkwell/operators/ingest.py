@@ -90,7 +90,7 @@ def finished_pages(pages: DataFrame, answers: DataFrame | None = None, config: C
 def file_methods(pages: DataFrame) -> DataFrame:
     """(doc_id, extraction_method) of whole files: of a PDF by its native and recognised pages, of others
     that of their pages."""
-    native, pdf = F.col("extraction_method") == "native_text", F.lower("filename").endswith(".pdf")
+    native, pdf = F.col("extraction_method") == "native_text", F.col("filename").rlike(r"(?i)\.pdf\z")
     counted = pages.groupBy("doc_id").agg(F.count_if(native).alias("native"), F.count_if(~native).alias("scanned"), F.bool_or(pdf).alias("pdf"), F.min_by("extraction_method", "page_number").alias("first"))
     return counted.select("doc_id", F.when(F.col("pdf"), documents.extraction_method(F.col("native"), F.col("scanned"))).otherwise(F.col("first")).alias("extraction_method"))
 
@@ -98,7 +98,7 @@ def file_methods(pages: DataFrame) -> DataFrame:
 def document_rows(pages: DataFrame, found: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Documents from finished pages and the files they are of."""
     of_files = found.select("doc_id", "filename", F.regexp_replace("extension", "^[.]", "").alias("file_type"), F.col("length").alias("file_size_bytes"))
-    named = pages.drop("filename").join(of_files.select("doc_id", "filename"), "doc_id")
+    named = pages if "filename" in pages.columns else pages.join(of_files.select("doc_id", "filename"), "doc_id")
     return documents.process(pages, config).join(file_methods(named), "doc_id").join(of_files, "doc_id").withColumn("processed_at", F.current_timestamp())
 
 
@@ -108,11 +108,12 @@ def entity_rows(pages: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.col("ord").cast("int").alias("ord"), "entity_type", "value", "normalized", F.col("page").cast("int").alias("page"), F.round("confidence", 3).alias("confidence"))
 
 
-def upload_rows(docs: DataFrame, chunks: DataFrame, found_entities: DataFrame) -> DataFrame:
-    """What an upload answers for each document: its attributes, and counts of pages, chunks and entities."""
+def upload_rows(docs: DataFrame, chunks: DataFrame, found_entities: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """What an upload answers for each document: its attributes and any ``more`` of them, and counts of pages,
+    chunks and entities."""
     n = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
     out = docs.join(n(chunks, "chunk_count"), "doc_id", "left").join(n(found_entities, "entity_count"), "doc_id", "left")
     return out.select(
         "doc_id", "filename", F.lit("processed").alias("status"), F.lit("File processed successfully").alias("message"), "quality_score", "doc_type", "total_pages", "avg_confidence",
-        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.transform("warnings", lambda w: w["message"]).alias("warnings"),
+        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.transform("warnings", lambda w: w["message"]).alias("warnings"), *more,
     )

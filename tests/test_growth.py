@@ -90,3 +90,33 @@ def test_a_block_of_a_table_has_its_own_rows_only(spark, sf_dir):
     out = C2.table_blocks(rows).orderBy("block").collect()
     assert [(r.block, r.table_row_start, r.table_row_end, r.table_row_count) for r in out] == [(0, 1, 12, 12), (1, 14, 25, 12), (2, 26, 37, 12), (3, 38, 40, 3)]
     assert "\n".join(r.text.split("h\n", 1)[1] for r in out).split("\n") == [f"Row {k + (k > 12)}: {'x' * k}" for k in range(1, 40)]
+
+
+def test_only_long_texts_go_to_python_for_windows(spark):
+    texts = [*ODD, "\x1c a \x1f", "  x y\u0085", "᠎", "a" * 1_999, " " * 1_999, "b c " * 600, " " * 2_000, "\n\nd" * 1_000, "é " * 999, "𝒳 " * 3, None]
+    out = rows(spark, texts).select("text", C2.windows(F.col("text")).alias("a")).collect()
+    assert [[(w.text, w.start) for w in r.a] for r in out] == [C2.split_text(t or "") for t in texts]
+    seen = rows(spark, ["a b", "c" * 2_500]).select(C2.windows(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "text_windows(CASE WHEN" in seen
+
+
+def test_keywords_are_looked_for_by_their_first_words(spark):
+    words = ["notice", "to:", "für", "l", "notice notice", "ź", "x²", "(to"]
+    assert [C._first(w) for w in words] == ["notice", "to", "für", "l", "notice", None, None, None]
+    texts = [*ODD, "ź źa z", "x² x", "a (to b) (to", "notice  notice notice notice notice"]
+    for w in (w for w in words if not w.startswith("(")):
+        hits = C.keyword_hits(F.col("text"), [w], C.first_words(F.col("text"), words))
+        out = rows(spark, texts).select("text", hits.alias("a"), F.regexp_count("text", F.lit(rf"(?U)\b{w}\b")).alias("b")).collect()
+        assert [(r.text, r.a) for r in out] == [(r.text, r.b) for r in out]
+
+
+def test_plain_classes_find_the_same_in_ascii_texts(spark):
+    controls = "".join(map(chr, range(1, 32)))
+    texts = ["3 March 2024, 1st day of May 1999 12/5/2020", f"on{controls}3{controls}12 May 2020", "$ 1,200.50 USD\x1c3 4 dollars 5\x0bdollar", "Case No. 24-CV-1234 Docket # x-1 AB\x1f12345 ab 1234", "between A Bcd Efg and x, Plaintiff: Jo Doe\nTenant\x1dAnn Bell", "12 Oak Street Suite 4, Springfield, IL 62704", "é 3 March 2024 12 Oak Street"]
+    for kind in E.PATTERNS:
+        group = 1 if kind in E.GROUPED else 0
+        plain = F.filter(F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(f"(?iU){p}"), F.lit(group)), T.strip) for p in E.PATTERNS[kind]]), lambda v: v != "")
+        found = E.found(F.col("text"), kind, E.plain_case(F.col("text")))
+        assert "(?i)" in str(found)
+        out = rows(spark, texts).select("text", found.alias("a"), plain.alias("b")).collect()
+        assert [(r.text, r.a) for r in out] == [(r.text, r.b) for r in out]
