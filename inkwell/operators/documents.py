@@ -70,10 +70,11 @@ def quality_score(confidence: Column, usable_ratio: Column, n_warnings: Column)
     return F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 3)
 
 
-def assemble(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def assemble(pages: DataFrame, config: Config = DEFAULT, blank_pages: bool = False) -> DataFrame:
     """One row a document: full text, mean confidence, weak pages, page warnings, usable-page ratio.
 
-    A document's pages meet in one row; that is as large as the file was.
+    A document's pages meet in one row; that is as large as the file was. The full text leaves blank pages
+    out; with ``blank_pages`` it has them too, and is null where no page has a text.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "cleaned_text", "confidence", "warnings")))
     docs = pages.groupBy("doc_id").agg(
@@ -82,10 +83,13 @@ def assemble(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.count("*").cast("int").alias("total_pages"),
         (F.count_if(F.length(T.strip(F.col("cleaned_text"))) >= config.least_page_chars) / F.greatest(F.count("*"), F.lit(1))).alias("usable_ratio"),
     )
-    texts = F.transform(F.filter("p", lambda x: ~T.is_blank(x["cleaned_text"])), lambda x: x["cleaned_text"])
+    texts = F.transform("p" if blank_pages else F.filter("p", lambda x: ~T.is_blank(x["cleaned_text"])), lambda x: x["cleaned_text"])
+    full = F.array_join(texts, "\n\n", "")
+    if blank_pages:
+        full = F.when(F.exists(texts, lambda x: x.isNotNull()), full)
     return docs.select(
         "doc_id", "avg_confidence", "total_pages", "usable_ratio",
-        F.array_join(texts, "\n\n").alias("full_text"),
+        full.alias("full_text"),
         F.transform(F.filter("p", lambda x: x["confidence"] < config.low_confidence), lambda x: x["page_number"]).alias("low_confidence_pages"),
         F.flatten(F.transform("p", lambda x: F.transform(x["warnings"], lambda w: F.struct(F.lit("PAGE_WARNING").alias("code"), w.alias("message"), x["page_number"].cast("int").alias("page"))))).alias("page_warnings"),
     )
